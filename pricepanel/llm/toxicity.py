@@ -1,17 +1,20 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Toxic and ordinary texts each have a bigram model. Counts are discounted by ``DISCOUNT``; the mass goes from bigrams to
-the class's unigrams and from these to continuation counts that both classes share, so a rare word, or one of the other
-class only, is as likely under either model but for the mass handed down. A text's score is a logistic
-function of the log-likelihood ratio per word (and of its saturating total, since a rate says little on a few words), fitted on
-training rows that the counts have not seen, at the classes' own frequencies.
+Toxic and ordinary texts each have a bigram model. The class's unigrams are continuation counts (after how many different words
+a word comes), so copies of a text add nothing. All counts are discounted; the mass taken from a word in either class goes
+back to it in shares that both classes have in common, so a rare word is as likely under one model as under the other, and a bigram
+hands down the same mass in both.
 
-The models are fitted on a bounded sample, ``max_per_class`` labelled rows of each class; they keep ``max_entries``
-words and as many bigrams, so what is broadcast is bounded.
+The log-likelihoods are compared word by word: a log ratio within ``DEAD_ZONE`` of zero tells of language or topic and counts
+as none. A text's score is a logistic function of the ratio per word (and of its saturating total, since a rate says little on a few
+words), fitted on training rows that the counts have not seen, at the classes' own frequencies.
+
+The models are fitted on a bounded sample, ``max_per_class`` labelled rows of each class and as many of one as of the other; they keep
+``max_entries`` words and as many bigrams, so what is broadcast is bounded.
 
 Defined results: empty and null texts have ratio zero and a score like any other; several labels of a document count as toxic if
-one is; labels without a document teach nothing; without labels of both classes every score is 0. Rows that repeat
-count as they are. Extra columns are dropped by :func:`score` and kept by :func:`drop_toxic`.
+one is; labels without a document teach nothing; without labels of both classes every score is 0. Equal texts in the sample teach
+once. Extra columns are dropped by :func:`score` and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 
 from pricepanel.llm.common import map_slices, sources, written
 
-#: Bounds of the sample and of the model; discount of every count; one labelled row in ``FOLDS`` fits the logistic function.
-MAX_PER_CLASS, MAX_ENTRIES, DISCOUNT, FOLDS = 5_000, 200_000, 3, 5
+#: Bounds of the sample and of the model; one labelled row in ``FOLDS`` fits the logistic function.
+MAX_PER_CLASS, MAX_ENTRIES, FOLDS = 5_000, 200_000, 5
+#: Largest discount of a count (a fortieth of the texts of a class in small samples), occurrences from which a word is a history, dead zone.
+DISCOUNT, HISTORY, DEAD_ZONE = 8, 200, 1.0
 #: Distinct bigrams that a task counts before it hands its counts on.
 HELD = 300_000
 words_of = re.compile(r"\w+").findall
@@ -37,23 +42,23 @@ words_of = re.compile(r"\w+").findall
 
 @dataclass
 class Model:
-    """Log-likelihood ratios (toxic to ordinary) by word, by history and corrections by bigram, and the logistic weights."""
+    """Log-likelihood ratios (toxic to ordinary) by word and by bigram, and the logistic weights."""
 
     rare: float = 0.0
     word: dict[str, float] = field(default_factory=dict)
-    history: dict[str, float] = field(default_factory=dict)
     bigram: dict[tuple[str, str], float] = field(default_factory=dict)
     weights: tuple[float, float, float] | None = None
 
     def ratio(self, text: str | None) -> tuple[float, int]:
-        """Log-likelihood ratio of the text and its number of words."""
+        """Log-likelihood ratio of the text outside the dead zone, and its number of words."""
         own = words_of((text or "").lower())
-        if not own:
-            return 0.0, 0
-        before = ["", *own[:-1]]
-        word, history, bigram, rare = self.word.get, self.history.get, self.bigram, self.rare
-        total = math.fsum([word(w, rare) for w in own]) + math.fsum([history(v, 0.0) for v in before])
-        return total + math.fsum([bigram[p] for p in zip(before, own, strict=True) if p in bigram]), len(own)
+        # Where a bigram is known, what both orders agree on counts: a passage that many texts copy is common as bigrams only.
+        word, bigram, rare = self.word.get, self.bigram, self.rare
+        ratios = [word(w, rare) for w in own]
+        for i, p in enumerate(zip(["", *own], own, strict=False)):
+            if p in bigram:
+                ratios[i] = max(min(ratios[i], bigram[p]), 0.0) if bigram[p] > 0 else min(max(ratios[i], bigram[p]), 0.0)
+        return math.fsum([x - math.copysign(DEAD_ZONE, x) for x in ratios if abs(x) > DEAD_ZONE]), len(own)
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -74,15 +79,17 @@ def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int) -> tuple[Dat
     known = written(known.withColumn("h", h), "labels")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     # At most 2 * max_per_class ids: a proven bound for the broadcast.
-    picked = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(max_per_class) for c in (0, 1)]
+    each = min([max_per_class, *sizes.values()]) if len(sizes) == 2 else 0
+    picked = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(each) for c in (0, 1)]
     picked = F.broadcast(written(picked[0].union(picked[1]), "sampled-labels"))
     rows = sources(docs, "doc_id", "text").where("text is not null").join(picked, "doc_id")
     calibrates = F.pmod(F.shiftrightunsigned("h", 7), F.lit(FOLDS)) == 0
-    return written(rows.select("toxic", calibrates.cast("int").alias("calibrates"), "text"), "toxicity-sample"), sizes
+    rows = rows.select("toxic", calibrates.cast("int").alias("calibrates"), "text").dropDuplicates(["toxic", "text"])
+    return written(rows, "toxicity-sample"), sizes
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
-    """``(toxic, v, w, n)``: bigrams with the empty string before the first word, summed in the task first."""
+    """``(v, w, n0, n1)``: ordinary and toxic texts with each bigram, the empty string before the first word; summed in the task first."""
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         held: Counter = Counter()
@@ -93,7 +100,7 @@ def _bigrams(rows: DataFrame) -> DataFrame:
         for classes, texts in slices:
             for c, text in zip(classes, texts, strict=True):
                 own = words_of(text.lower())
-                held.update((c, v, w) for v, w in zip(["", *own], own, strict=False))
+                held.update({(c, v, w) for v, w in zip(["", *own], own, strict=False)})
             if len(held) > HELD:
                 yield out()
                 held.clear()
@@ -103,44 +110,38 @@ def _bigrams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("v", "w").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
 
 
-def _taken(n: str):
-    return F.least(F.col(n), F.lit(DISCOUNT))
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_entries: int = MAX_ENTRIES) -> Model:
     """Model of the labelled documents; callers pass the training labels only."""
     rows, sizes = _sample(docs, labels, max_per_class)
     model = Model()
     if len(sizes) < 2:
         return model
+    discount = max(2, min(DISCOUNT, min(max_per_class, *sizes.values()) // 40))
+    less = lambda n, d: F.least(F.col(n), F.lit(d))
     pairs = written(_bigrams(rows.where("calibrates = 0").select("toxic", "text")), "bigrams")
-    sums = lambda by: pairs.groupBy(by).agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("spread"), F.sum(_taken("n0")).alias("t0"), F.sum(_taken("n1")).alias("t1")
-    )
-    by_word, by_history = written(sums("w"), "by-word"), written(sums("v"), "by-history")
-    total = by_word.agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "spread")), F.sum(_taken("n0")).alias("d0"), F.sum(_taken("n1")).alias("d1")).first()
-    if not total["n0"] or not total["n1"]:
+    spread = [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]
+    by_word = written(pairs.groupBy("w").agg(*spread), "by-word")
+    total = by_word.agg(*(F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)), *(F.sum(less(f"k{c}", discount)).alias(f"d{c}") for c in (0, 1))).first()
+    if not total["k0"] or not total["k1"]:
         return model
-    n, handed = (total["n0"], total["n1"]), (total["d0"], total["d1"])
-
-    def kept(table: DataFrame) -> list:
-        return table.where(F.greatest("n0", "n1") > DISCOUNT).orderBy(F.desc(F.col("n0") + F.col("n1")), *table.columns[:2]).limit(max_entries).collect()
-
-    model.rare = math.log(handed[1] / n[1]) - math.log(handed[0] / n[0])
+    k, taken = (total["k0"], total["k1"]), (total["d0"], total["d1"])
+    model.rare = math.log(taken[1] / k[1]) - math.log(taken[0] / k[0])
     chance: dict[str, tuple[float, float]] = {}
-    for r in kept(by_word):
-        shared = r["spread"] / total["spread"]
-        p = tuple((max(r[f"n{c}"] - DISCOUNT, 0) + handed[c] * shared) / n[c] for c in (0, 1))
+    known = by_word.where(F.greatest("k0", "k1") > discount).orderBy(F.desc(F.col("k0") + F.col("k1")), "w").limit(max_entries)
+    for r in known.toLocalIterator():
+        shared = sum(min(r[f"k{c}"], discount) for c in (0, 1)) / sum(taken)
+        p = tuple((max(r[f"k{c}"] - discount, 0) + taken[c] * shared) / k[c] for c in (0, 1))
         chance[r["w"]], model.word[r["w"]] = p, math.log(p[1] / p[0])
-    down: dict[str, tuple[tuple[int, float], ...]] = {}
-    for r in kept(by_history):
-        down[r["v"]] = own = tuple((r[f"n{c}"], r[f"t{c}"] / r[f"n{c}"] if r[f"n{c}"] else 1.0) for c in (0, 1))
-        model.history[r["v"]] = math.log(own[1][1] / own[0][1])
-    for r in kept(pairs):
-        v, w = r["v"], r["w"]
-        if v in down and w in chance:
-            p = [(max(r[f"n{c}"] - DISCOUNT, 0) / count if count else 0.0) + mass * chance[w][c] for c, (count, mass) in enumerate(down[v])]
-            model.bigram[v, w] = math.log(p[1] / p[0]) - model.history[v] - model.word[w]
+    # Bigrams of common words are common themselves; theirs is twice the discount.
+    sums = [F.sum(f"n{c}").alias(f"v{c}") for c in (0, 1)]
+    handed = F.sum(less("n0", 2 * discount) + less("n1", 2 * discount)).alias("handed")
+    by_history = pairs.groupBy("v").agg(*sums, handed).where(F.least("v0", "v1") >= HISTORY)
+    common = pairs.where(F.greatest("n0", "n1") > 2 * discount).join(written(by_history, "by-history"), "v")
+    for r in common.orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(max_entries).toLocalIterator():
+        if r["w"] in chance:
+            mass = r["handed"] / (r["v0"] + r["v1"])
+            p = [max(r[f"n{c}"] - 2 * discount, 0) / r[f"v{c}"] + mass * chance[r["w"]][c] for c in (0, 1)]
+            model.bigram[r["v"], r["w"]] = math.log(p[1] / p[0])
     model.weights = _weights(model, rows.where("calibrates = 1").select("toxic", "text"), sizes)
     return model
 
@@ -157,8 +158,8 @@ def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[floa
     w = np.array([math.log(sizes[1] / sizes[0]), 0.5, 1.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (per * (p - y)) + 0.05 * w * (0, 1, 1)
-        curve = (x * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag((1e-6, 0.05, 0.05))
+        gradient = x.T @ (per * (p - y)) + 0.005 * w * (0, 1, 1)
+        curve = (x * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag((1e-6, 0.005, 0.005))
         step = np.linalg.solve(curve, gradient)
         w = w - step * min(1.0, 3 / np.abs(step).max())
         if np.abs(step).max() < 1e-6:

@@ -111,7 +111,7 @@ def trajectory_windows(origins: DataFrame, df: DataFrame, src: str, k: int, hori
     ranges = rows.select(
         "issue_id", "pos", "date", F.col(src).alias("last"), F.lag(src).over(ordered()).alias("previous"), F.min(src).over(w).alias("lo"), F.max(src).over(w).alias("hi"), F.count(src).over(w).alias("_n")
     )
-    steps = origins.select("issue_id", "origin_date", F.posexplode(F.sequence(F.col("origin_pos"), F.col("origin_pos") + horizon)).alias("step", "pos"))
+    steps = origins.select(*(c for c in origins.columns if c != "origin_pos"), F.posexplode(F.sequence(F.col("origin_pos"), F.col("origin_pos") + horizon)).alias("step", "pos"))
     return steps.join(ranges.where(F.col("_n") == k).drop("_n"), ["issue_id", "pos"]).drop("pos")
 
 

@@ -99,7 +99,7 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     totals = rows.groupBy(*keys, "_bin", "_all").agg(F.sum("_w").alias("_b"))
     up_to = F.sum("_b").over(Window.partitionBy(*keys).orderBy("_bin"))
     totals = totals.withColumns({"_up": up_to, "_before": up_to - F.col("_b")})
-    target = q * F.col("_all") - 1e-9
+    target = F.greatest(q * F.col("_all") - 1e-9, F.lit(1e-300))
     chosen = totals.where((F.col("_up") >= target) & (F.col("_before") < target)).select(*keys, "_bin", "_before")
     inside = rows.join(F.broadcast(chosen), [*keys, "_bin"])
     inside = inside.withColumn("_cum", F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys).orderBy("_x")))

@@ -236,12 +236,9 @@ def c08_paired_semi_join(spark, d):
     return rows.select(*keys).distinct().join(rows.where("vo_adj > 60"), keys, "left_semi").join(rows.where("lo_adj_loc is null"), keys, "left_semi")
 
 
-FEW = "issue_id IN ('1', '2', '3', '4', '5', '6', '7', '8')"
-
-
-@query(f"{P}, q AS (SELECT * FROM panel WHERE {FEW}) SELECT a.issue_id AS id_a, b.issue_id AS id_b, count(*) AS n, corr(a.cl_adj_loc, b.cl_adj_loc) AS c FROM q a JOIN q b USING (date) WHERE a.issue_id < b.issue_id GROUP BY 1, 2", "c")
+@query(f"{P} SELECT a.issue_id AS id_a, b.issue_id AS id_b, count(*) AS n, corr(a.cl_adj_loc, b.cl_adj_loc) AS c FROM panel a JOIN panel b USING (date) WHERE a.issue_id < b.issue_id GROUP BY 1, 2", "c")
 def c09_pairs_by_date(spark, d):
-    pairs = jn.pairs_by_date(panel(spark, d).where(FEW), "cl_adj_loc")
+    pairs = jn.pairs_by_date(panel(spark, d), "cl_adj_loc")
     return pairs.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("c"))
 
 

@@ -67,10 +67,10 @@ def i06_synthetic_caps(spark, d):
     return sm.synthetic_caps(_tagged(spark, d), "label", "synthetic", [0.25, 0.5, 0.75])
 
 
-@query(f"{P} SELECT issue_id, date, cl_adj_loc FROM panel UNION ALL SELECT issue_id || '_synthetic_0', date, round(cl_adj_loc) FROM panel WHERE issue_id IN ('1', '2')")
+@query(f"{P} SELECT issue_id, date, cl_adj_loc FROM panel UNION ALL SELECT issue_id || '_synthetic_0', date, round(cl_adj_loc) FROM panel")
 def i07_real_and_synthetic(spark, d):
     real = panel(spark, d).select("issue_id", "date", "cl_adj_loc")
-    made = real.where("issue_id in ('1', '2')").select(F.concat("issue_id", F.lit("_synthetic_0")).alias("issue_id"), F.col("date").cast("string").alias("date"), F.round("cl_adj_loc").cast("long").alias("cl_adj_loc"))
+    made = real.select(F.concat("issue_id", F.lit("_synthetic_0")).alias("issue_id"), F.col("date").cast("string").alias("date"), F.round("cl_adj_loc").cast("long").alias("cl_adj_loc"))
     return sm.appended(real, made)
 
 

@@ -53,12 +53,12 @@ def a03_two_header_csv(spark, d):
     return st.load(spark, "local", "RX1", at)
 
 
-@query(f"{P} SELECT {K}, cl_adj_loc FROM panel WHERE issue_id IN ('1', '2', '3') AND date <= DATE '1999-06-30'")
+@query(f"{P} SELECT {K}, cl_adj_loc FROM panel WHERE date <= DATE '1999-06-30'")
 def a04_wide_to_panel(spark, d):
-    rows = panel(spark, d).where("issue_id in ('1', '2', '3')")
-    wide = rows.groupBy(F.col("date").alias("Datetime")).pivot("issue_id", ["1", "2", "3"]).agg(F.first("cl_adj_loc"))
-    wide = wide.withColumnsRenamed({c: f"Close_{c}" for c in "123"})
-    return st.wide_to_panel(wide, ["1", "2", "3"], "1999-06-30").select("issue_id", "date", "cl_adj_loc")
+    rows = panel(spark, d)
+    ids = sorted(r["issue_id"] for r in rows.select("issue_id").distinct().collect())  # the wide file's columns
+    wide = rows.groupBy(F.col("date").alias("Datetime")).pivot("issue_id", ids).agg(F.first("cl_adj_loc"))
+    return st.wide_to_panel(wide.withColumnsRenamed({c: f"Close_{c}" for c in ids}), ids, "1999-06-30").select("issue_id", "date", "cl_adj_loc")
 
 
 @query(f"{P} SELECT {K}, cl_adj_loc FROM panel WHERE (date - DATE '1970-01-01') % 5 <> 0")
@@ -168,11 +168,11 @@ def a16_result_tables(spark, d):
     return counted[0].union(counted[1])
 
 
-@query(f"{P}, e AS (SELECT CASE WHEN issue_id = '1' THEN 'a' ELSE 'b' END AS variant, year(date) AS epoch, round(avg(cl_adj_loc), 4) AS loss FROM panel WHERE issue_id IN ('1', '2') GROUP BY 1, 2) SELECT variant, count(*) AS epochs, sum(loss) AS loss, CASE WHEN variant = 'a' THEN 0.5 END::DOUBLE AS final FROM e GROUP BY 1", "loss", 3)
+@query(f"{P}, e AS (SELECT CASE WHEN issue_id::INT % 2 = 1 THEN 'a' ELSE 'b' END AS variant, year(date) AS epoch, round(avg(cl_adj_loc), 4) AS loss FROM panel GROUP BY 1, 2) SELECT variant, count(*) AS epochs, sum(loss) AS loss, CASE WHEN variant = 'a' THEN 0.5 END::DOUBLE AS final FROM e GROUP BY 1", "loss", 3)
 def a17_run_folder(spark, d):
     at = scratch(spark, "runs")
-    for name, issue in (("a", "1"), ("b", "2")):
-        rows = panel(spark, d).where(F.col("issue_id") == issue).groupBy(F.year("date").alias("epoch")).agg(F.round(F.avg("cl_adj_loc"), 4).alias("loss"))
+    for name, odd in (("a", 1), ("b", 0)):
+        rows = panel(spark, d).where(F.col("issue_id").cast("int") % 2 == odd).groupBy(F.year("date").alias("epoch")).agg(F.round(F.avg("cl_adj_loc"), 4).alias("loss"))
         rows.write.option("header", True).csv(f"{at}/variant={name}/epoch_metrics")
     spark.createDataFrame([(0.5,)], "final double").write.json(f"{at}/variant=a/val_metrics")
     found = st.run_tables(spark, at)

@@ -1,12 +1,13 @@
 """Level-interaction events of a path.
 
 The detector works on runs, not on single steps: for each level the sides of all prices (below, inside, above) and where each run of
-one side ends are known at once, and an interaction jumps from run to run. Each path is one group of a grouped map; its
-rows are few (a horizon's steps), however many paths there are.
+one side ends are known at once, and an interaction jumps from run to run. A path is packed into one row of arrays first (a horizon's steps,
+however many paths there are), and batches of such rows go to Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,35 +147,41 @@ def _fields(keys: list[str], df: DataFrame) -> str:
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
+def packed(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Each path as one row: arrays of its steps and prices in order, null prices dropped, and its levels."""
+    rows = paths.where("price is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "price"))).alias("p"), F.first("levels").alias("levels"))
+    return rows.select(*keys, F.col("p.step").alias("steps"), F.col("p.price").alias("prices"), "levels")
+
+
 def interactions(paths: DataFrame, keys: list[str], rules: Rules = Rules(), pad: int = 0) -> DataFrame:
-    """Events of each path ``(keys, step, price, levels)``; null prices are dropped, ``pad`` repeats the last price that often."""
+    """Events of each path ``(keys, step, price, levels)``; ``pad`` repeats the last price that often."""
     names = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        prices = np.concatenate([pdf["price"].to_numpy(float), np.repeat(pdf["price"].iloc[-1], pad)])
-        events, _ = detect(prices, pdf["levels"].iloc[0], rules)
-        out = pd.DataFrame(events, columns=names)
-        for c in ("consolidation_index", "hover_index", "exit_index", "confirmation_end_index"):
-            out[c] = out[c].astype("Int32")
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, *names]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for row in pdf.to_dict("records"):
+                prices = np.asarray(row["prices"], float)
+                events, _ = detect(np.concatenate([prices, np.repeat(prices[-1], pad)]), row["levels"], rules)
+                found += [{k: row[k] for k in keys} | e for e in events]
+            out = pd.DataFrame(found, columns=[*keys, *names])
+            for c in ("consolidation_index", "hover_index", "exit_index", "confirmation_end_index"):
+                out[c] = out[c].astype("Int32")
+            yield out
 
-    usable = paths.where("price is not null").select(*keys, "step", "price", "levels")
-    return usable.groupBy(*keys).applyInPandas(run, f"{_fields(keys, paths)}, {EVENT_FIELDS}")
+    return packed(paths, keys).mapInPandas(run, f"{_fields(keys, paths)}, {EVENT_FIELDS}")
 
 
 def state_trace(paths: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:
     """State of every step of each path."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        _, states = detect(pdf["price"].to_numpy(float), pdf["levels"].iloc[0], rules)
-        return pdf[[*keys, "step"]].assign(state=states)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            states = [detect(np.asarray(p, float), v, rules)[1] for p, v in zip(pdf["prices"], pdf["levels"], strict=True)]
+            yield pdf[[*keys, "steps"]].rename(columns={"steps": "step"}).assign(state=states)
 
-    usable = paths.where("price is not null").select(*keys, "step", "price", "levels")
-    return usable.groupBy(*keys).applyInPandas(run, f"{_fields([*keys, 'step'], paths)}, state string")
+    rows = packed(paths, keys).mapInPandas(run, f"{_fields(keys, paths)}, step array<{paths.schema['step'].dataType.simpleString()}>, state array<string>")
+    return rows.select(*keys, F.explode(F.arrays_zip("step", "state")).alias("s")).select(*keys, "s.*")
 
 
 def state_runs(trace: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:

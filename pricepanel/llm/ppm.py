@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pricepanel.llm.common import map_slices, sources, written
 
 #: Context length in bytes; bounds of the broadcast trie and of the broadcast words.
-ORDER, MAX_ENTRIES, TOP_WORDS = 4, 3_000_000, 300_000
+ORDER, MAX_ENTRIES, TOP_WORDS = 4, 800_000, 100_000
 #: Bytes whose contexts are sorted at a time, and distinct words that a task counts before it hands its counts on.
 CHUNK, HELD = 8 << 20, 400_000
 #: Bytes that UTF-8 never has: before a text's start, and its end.
@@ -112,11 +112,16 @@ class Trie:
         self.log = np.log10(top.counts / (top.total + top.kinds)[top.of]) if len(top.codes) else np.zeros(0)
         # The most frequent entries have a slot of their own in a hash table; the others are searched for.
         self.bits = max(10, min(23, int(np.ceil(np.log2(4 * max(1, len(top.codes)))))))
-        self.slot_code = np.full(1 << self.bits, np.uint64(2**64 - 1))
-        self.slot_log = np.zeros(1 << self.bits)
+        self.slot_code: np.ndarray | None = None
+
+    def _fill(self) -> None:
+        """Slots are filled where they are used, not shipped."""
+        top = self.levels[self.order]
+        code, log = np.full(1 << self.bits, np.uint64(2**64 - 1)), np.zeros(1 << self.bits)
         by_count = np.argsort(top.counts, kind="stable")
         slots = self._slots(top.codes[by_count])
-        self.slot_code[slots], self.slot_log[slots] = top.codes[by_count], self.log[by_count]
+        code[slots], log[slots] = top.codes[by_count], self.log[by_count]
+        self.slot_code, self.slot_log = code, log
 
     def _slots(self, codes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -124,6 +129,8 @@ class Trie:
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """log10 chance of each packed byte after its context."""
+        if self.slot_code is None:
+            self._fill()
         at = self._slots(codes)
         out = self.slot_log[at]
         miss = np.flatnonzero(self.slot_code[at] != codes)
@@ -162,8 +169,8 @@ def fit(texts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) ->
         if kept > max_entries:
             least = r["n"] + 1
             break
-    rows = counted.where(F.col("n") >= least).toPandas()
-    return Trie(rows["code"].to_numpy(np.uint64), rows["n"].to_numpy(float), order)
+    rows = counted.where(F.col("n") >= least).toArrow()  # max_entries rows of two numbers at most
+    return Trie(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(float), order)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -199,8 +206,14 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER, max_entries
     divisor = total + 0.5 * (kinds + 1)
     frequent = vocabulary.orderBy(F.desc("n"), "word").limit(top_words)
     frequent = written(frequent, "frequent-words")
-    top = {bytes(r["word"]): r["n"] for r in frequent.toLocalIterator()}
-    last = frequent.agg(F.min("n")).first()[0] or 0
+    rows = frequent.toArrow()  # top_words rows at most
+    top = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    # Rare words: words as frequent as the last broadcast one may be on either side, those above it are all broadcast.
+    rare = vocabulary
+    if top:
+        last = min(top.values())
+        own = F.broadcast(frequent.where(F.col("n") == last).select("word"))
+        rare = vocabulary.where(F.col("n") <= last).join(own, "word", "left_anti") if len(top) >= top_words else vocabulary.limit(0)
     known = spark.sparkContext.broadcast({w: math.log10((c + 0.5) / divisor) for w, c in top.items()})
     end_score = math.log10((ends + 0.5) / divisor)
 
@@ -222,8 +235,6 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER, max_entries
 
     scored = map_slices(sources(docs, "doc_id", "text"), score, "doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>", rows=64)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    # Rare words: equal counts of the last broadcast word may be on either side, and those above it are all broadcast.
-    rare = vocabulary.where(F.col("n") <= last).join(F.broadcast(frequent.where(F.col("n") == last)).select("word"), "word", "left_anti") if len(top) >= top_words else vocabulary.limit(0)
     asked = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = asked.join(rare, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),

@@ -5,8 +5,10 @@ known context; where that has not seen it, an escape (as likely as the context's
 the context shorter by one, in which the bytes of the longer one are excluded, and at last to equal chances for the bytes left. The model is
 pretrained: counts don't change while a text is scored. Its log10 probability of a text includes an end mark.
 
-Contexts are counted as integers of packed bytes, sorted and summed in the task and then by Spark. The broadcast trie is bounded:
-beyond ``MAX_ENTRIES`` entries the least frequent ones go, and their bytes are predicted by escapes.
+Contexts are counted as integers of packed bytes, sorted and summed in the task and then by Spark; the trie is written tables, a
+pair for each context length, and keeps every context. The chances of the ``MAX_ENTRIES`` most frequent entries are broadcast; a document's other
+bytes are counted by code and joined with the rest of the trie, or with the escapes of codes that it hasn't. The bound moves
+work from one to the other and changes no score.
 
 The base score is a smoothed unigram model of words, exact for any vocabulary: the ``TOP_WORDS`` most frequent words are
 broadcast; a document's other words are joined with the counts of all others.
@@ -20,17 +22,18 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricepanel.llm.common import map_slices, sources, written
 
-#: Context length in bytes; bounds of the broadcast trie and of the broadcast words.
-ORDER, MAX_ENTRIES, TOP_WORDS = 4, 800_000, 100_000
+#: Context length in bytes; bounds of the broadcast chances and of the broadcast words.
+ORDER, MAX_ENTRIES, TOP_WORDS = 4, 262_144, 100_000
 #: Bytes whose contexts are sorted at a time, and distinct words that a task counts before it hands its counts on.
-CHUNK, HELD = 8 << 20, 400_000
+CHUNK, HELD = 4 << 20, 400_000
 #: Bytes that UTF-8 never has: before a text's start, and its end.
 START, END = 0xFE, 0xFF
 
@@ -72,105 +75,111 @@ def count_contexts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return map_slices(texts, run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-class Level:
-    """One context length: entries (context and byte), their counts, and what each context passes on by its escape."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        self.codes, self.counts = codes, counts.astype(float)
-        self.contexts, self.of = np.unique(codes >> np.uint64(8), return_inverse=True)
-        self.total = np.bincount(self.of, self.counts, len(self.contexts))
-        self.kinds = np.bincount(self.of, minlength=len(self.contexts)).astype(float)
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        return _find(self.codes, codes)
-
-
-def _find(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Place of each asked value among the sorted known ones, -1 if it isn't there."""
-    if not len(known):
-        return np.full(len(asked), -1)
-    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    return np.where(known[at] == asked, at, -1)
-
-
-class Trie:
-    """Levels from no context to the full one, with log10 chances ready to be looked up."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER) -> None:
-        self.order, self.levels = order, []
-        for n in range(order + 1):
-            short, at = np.unique(codes & np.uint64(2 ** (8 * (n + 1)) - 1), return_inverse=True)
-            self.levels.append(Level(short, np.bincount(at, counts, len(short))))
-        # For each context: what remains in the context shorter by one once its own bytes are excluded.
-        self.left = [None]
-        for n in range(1, order + 1):
-            own, shorter = self.levels[n], self.levels[n - 1]
-            taken = np.bincount(own.of, shorter.counts[shorter.find(own.codes & np.uint64(2 ** (8 * n) - 1))], len(own.contexts))
-            below = _find(shorter.contexts, own.contexts & np.uint64(2 ** (8 * (n - 1)) - 1))
-            self.left.append((shorter.total[below] - taken, shorter.kinds[below] - own.kinds))
-        top = self.levels[order]
-        self.log = np.log10(top.counts / (top.total + top.kinds)[top.of]) if len(top.codes) else np.zeros(0)
-        # The most frequent entries have a slot of their own in a hash table; the others are searched for.
-        self.bits = max(10, min(23, int(np.ceil(np.log2(4 * max(1, len(top.codes)))))))
-        self.slot_code: np.ndarray | None = None
-
-    def _fill(self) -> None:
-        """Slots are filled where they are used, not shipped."""
-        top = self.levels[self.order]
-        code, log = np.full(1 << self.bits, np.uint64(2**64 - 1)), np.zeros(1 << self.bits)
-        by_count = np.argsort(top.counts, kind="stable")
-        slots = self._slots(top.codes[by_count])
-        code[slots], log[slots] = top.codes[by_count], self.log[by_count]
-        self.slot_code, self.slot_log = code, log
-
-    def _slots(self, codes: np.ndarray) -> np.ndarray:
+def _low(code: Column, n: int) -> Column:
+    """The last ``n`` bytes of a packed code."""
+    return code.bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+@dataclass
+class Model:
+    """Written tables by context length: ``entries[k](code, n)``, a context of ``k`` bytes and the byte after it, and
+    ``contexts[k](context, total, kinds, left_total, left_kinds)``, where ``left`` is what stays in the context shorter by one once
+    the bytes of this one are excluded."""
+
+    entries: list[DataFrame]
+    contexts: list[DataFrame]
+    bytes_seen: int
+
+    def known(self) -> DataFrame:
+        """``(code, n, log)``: log10 chance of each byte that its full context has seen."""
+        full = self.contexts[-1].select("context", "total", "kinds")
+        met = self.entries[-1].withColumn("context", F.shiftright("code", 8)).join(full, "context")
+        return met.select("code", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("log"))
+
+    def chances(self, codes: DataFrame) -> DataFrame:
+        """``(code, log)`` of distinct ``codes(code)`` of the full length, by escapes where a context hasn't seen the byte."""
+        none = F.lit(None).cast("long")
+        rows = codes.select("code", F.lit(0.0).alias("log"), F.lit(False).alias("found"), none.alias("left_total"), none.alias("left_kinds"))
+        for k in range(len(self.entries) - 1, -1, -1):
+            entry = self.entries[k].select(F.col("code").alias("own"), "n")
+            context = self.contexts[k].select("context", "total", "kinds", F.col("left_total").alias("next_total"), F.col("left_kinds").alias("next_kinds"))
+            # Two bytes have 65,536 values: a proven bound. Longer keys meet as plain tables.
+            entry, context = F.broadcast(entry) if k < 2 else entry, F.broadcast(context) if k < 3 else context
+            own = _low(F.col("code"), k + 1)
+            met = rows.withColumns({"own": own, "context": F.shiftright(own, 8)}).join(entry, "own", "left").join(context, "context", "left")
+            total, kinds = F.coalesce("left_total", "total"), F.coalesce("left_kinds", "kinds")
+            step = F.when(F.col("n").isNotNull(), F.log10(F.col("n") / (total + kinds))).when(kinds > 0, F.log10(kinds / (total + kinds))).otherwise(0.0)
+            rows = met.select(
+                "code",
+                (F.col("log") + F.when(F.col("found"), 0.0).otherwise(step)).alias("log"),
+                (F.col("found") | F.col("n").isNotNull()).alias("found"),
+                F.col("next_total").alias("left_total"),
+                F.col("next_kinds").alias("left_kinds"),
+            )
+        return rows.select("code", F.when(F.col("found"), F.col("log")).otherwise(F.col("log") - math.log10(max(256 - self.bytes_seen, 1))).alias("log"))
+
+
+def fit(texts: DataFrame, order: int = ORDER) -> Model:
+    """Model of all texts of the one-column ``texts``; every context counts."""
+    entries = [written(count_contexts(texts, order), "entries")]
+    for k in range(order, 0, -1):
+        shorter = entries[0].groupBy(_low(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n"))
+        entries.insert(0, written(shorter, "entries"))
+    totals = [e.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")) for e in entries]
+    none = F.lit(None).cast("long")
+    contexts = [written(totals[0].withColumns({"left_total": none, "left_kinds": none}), "contexts")]
+    for k in range(1, order + 1):
+        # A shorter entry or context goes on in 256 longer ones at most, so no key is hot.
+        counted = entries[k - 1].select(F.col("code").alias("short"), F.col("n").alias("m"))
+        own = entries[k].select(F.shiftright("code", 8).alias("context"), _low(F.col("code"), k).alias("short"))
+        taken = own.join(counted, "short").groupBy("context").agg(F.sum("m").alias("taken"))
+        below = contexts[k - 1].select(F.col("context").alias("below"), F.col("total").alias("all"), F.col("kinds").alias("of"))
+        met = totals[k].join(taken, "context").withColumn("below", _low(F.col("context"), k - 1)).join(below, "below")
+        left = [(F.col("all") - F.col("taken")).alias("left_total"), (F.col("of") - F.col("kinds")).alias("left_kinds")]
+        contexts.append(written(met.select("context", "total", "kinds", *left), "contexts"))
+    return Model(entries, contexts, entries[0].count())
+
+
+class Frequent:
+    """Chances of the most frequent codes, found by a hash table that is filled where it is used."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray) -> None:
+        at = np.argsort(codes)
+        self.codes, self.logs = codes[at], logs[at]
+        self.bits = max(10, int(np.ceil(np.log2(4 * max(1, len(codes))))))
+        self.slots: np.ndarray | None = None
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """log10 chance of each packed byte after its context."""
-        if self.slot_code is None:
-            self._fill()
-        at = self._slots(codes)
-        out = self.slot_log[at]
-        miss = np.flatnonzero(self.slot_code[at] != codes)
-        out[miss] = self._search(codes[miss])
-        return out
-
-    def _search(self, codes: np.ndarray) -> np.ndarray:
-        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
-        longer = np.full(len(codes), -1)  # the context escaped from, if it is known
-        for n in range(self.order, -1, -1):
-            level = self.levels[n]
-            own = codes[open_] & np.uint64(2 ** (8 * (n + 1)) - 1)
-            entry, context = level.find(own), _find(level.contexts, own >> np.uint64(8))
-            known = context >= 0
-            total, kinds = np.zeros(len(own)), np.zeros(len(own))
-            total[known], kinds[known] = level.total[context[known]], level.kinds[context[known]]
-            if n < self.order:
-                came = longer >= 0
-                total[came], kinds[came] = self.left[n + 1][0][longer[came]], self.left[n + 1][1][longer[came]]
-            found = entry >= 0
-            out[open_[found]] += np.log10(level.counts[entry[found]] / (total + kinds)[found])
-            escapes = ~found & known & (kinds > 0)
-            out[open_[escapes]] += np.log10(kinds[escapes] / (total + kinds)[escapes])
-            open_, longer = open_[~found], context[~found]
-        left = 256.0 - (len(self.levels[0].codes) if len(open_) and longer[0] >= 0 else 0)
-        out[open_] -= math.log10(max(left, 1.0))
-        return out
-
-
-def fit(texts: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Trie:
-    """Trie over all texts of the one-column ``texts``."""
-    counted = written(count_contexts(texts, order), "contexts")
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 chance of each code, 0 where it isn't here, and the places of those that aren't."""
+        if not len(self.codes):
+            return np.zeros(len(codes)), np.arange(len(codes))
+        if self.slots is None:
+            self.slots = np.zeros(1 << self.bits, np.int32)
+            self.slots[self._slot(self.codes)] = np.arange(len(self.codes))
+        at = self.slots[self._slot(codes)]
+        # Where another code has the slot, the sorted codes are searched.
+        other = np.flatnonzero(self.codes[at] != codes)
+        at[other] = np.minimum(np.searchsorted(self.codes, codes[other]), len(self.codes) - 1)
+        absent = other[self.codes[at[other]] != codes[other]]
+        out = self.logs[at]
+        out[absent] = 0.0
+        return out, absent
+
+
+def most_frequent(known: DataFrame, max_entries: int) -> tuple[Frequent, int]:
+    """The entries of :meth:`Model.known` that are broadcast, ``max_entries`` at most, and the least count among them."""
     least, kept = 1, 0
-    for r in counted.groupBy("n").agg(F.count(F.lit(1)).alias("entries")).orderBy(F.desc("n")).toLocalIterator():
+    for r in known.groupBy("n").agg(F.count(F.lit(1)).alias("entries")).orderBy(F.desc("n")).toLocalIterator():
         kept += r["entries"]
         if kept > max_entries:
             least = r["n"] + 1
             break
-    rows = counted.where(F.col("n") >= least).toArrow()  # max_entries rows of two numbers at most
-    return Trie(rows["code"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(float), order)
+    rows = known.where(F.col("n") >= least).select("code", "log").toArrow()
+    return Frequent(rows["code"].to_numpy().astype(np.uint64), rows["log"].to_numpy().astype(float)), least
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -198,7 +207,10 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER, max_entries
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of all ``docs`` under the models of ``training``."""
     spark = docs.sparkSession
     taught = training.select("text")
-    trie = spark.sparkContext.broadcast(fit(taught, order, max_entries))
+    model = fit(taught, order)
+    entries = written(model.known(), "chances")
+    frequent_codes, least = most_frequent(entries, max_entries)
+    shared = spark.sparkContext.broadcast(frequent_codes)
     vocabulary = written(count_words(taught), "vocabulary")
     sums = vocabulary.agg(F.count(F.lit(1)).alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = taught.count()
@@ -218,33 +230,44 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER, max_entries
     end_score = math.log10((ends + 0.5) / divisor)
 
     def score(slices: Iterator[list[list]]) -> Iterator[list[list]]:
-        chance, model = known.value.get, trie.value
+        chance = known.value.get
         for ids, texts in slices:
-            raw = [(t or "").encode() for t in texts]
-            codes, begins = packed(raw, model.order)
-            logs = np.add.reduceat(model.logs(codes), begins)
-            out: list[list] = [[], [], [], [], [], [], []]
-            for key, t, log in zip(ids, texts, logs.tolist(), strict=True):
+            codes, begins = packed([(t or "").encode() for t in texts], order)
+            logs, absent = shared.value.find(codes)
+            sums = np.add.reduceat(logs, begins).tolist()
+            # Codes to join, counted by text: the text's place in the slice stands above the five bytes.
+            of = (np.searchsorted(begins, absent, "right") - 1).astype(np.uint64) << np.uint64(40)
+            rest, times = np.unique(of | codes[absent], return_counts=True)
+            cuts = np.searchsorted(rest, np.arange(1, len(ids), dtype=np.uint64) << np.uint64(40))
+            rest = np.split((rest & np.uint64(2**40 - 1)).astype(np.int64), cuts)
+            out: list[list] = [[], [], [], [], [], [], [], rest, np.split(times, cuts)]
+            for key, t, log in zip(ids, texts, sums, strict=True):
                 own = words_of(t)
                 found = [chance(w) for w in own]
                 hits = [x for x in found if x is not None]
-                rest = Counter(w for w, x in zip(own, found, strict=True) if x is None) if len(hits) < len(own) else {}
-                for column, value in zip(out, (key, len(own) + 1, len(hits) + (ends > 0), math.fsum(hits) + end_score, log, list(rest), list(rest.values())), strict=True):
+                others = Counter(w for w, x in zip(own, found, strict=True) if x is None) if len(hits) < len(own) else {}
+                row = (key, len(own) + 1, len(hits) + (ends > 0), math.fsum(hits) + end_score, log, list(others), list(others.values()))
+                for column, value in zip(out[:7], row, strict=True):
                     column.append(value)
             yield out
 
-    scored = map_slices(sources(docs, "doc_id", "text"), score, "doc_id long, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>", rows=64)
+    ddl = "doc_id long, n_tokens long, n_known long, base double, log double, words array<binary>, times array<long>, codes array<long>, code_times array<long>"
+    scored = map_slices(sources(docs, "doc_id", "text"), score, ddl, rows=64)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     asked = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = asked.join(rare, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(divisor))).alias("rest"),
     )
-    return scored.drop("words", "times").join(met, "row", "left").select(
+    bytes_ = scored.select("row", F.explode(F.arrays_zip("codes", "code_times")).alias("c")).select("row", F.col("c.codes").alias("code"), F.col("c.code_times").alias("times"))
+    unseen = written(bytes_.select("code").distinct().join(entries, "code", "left_anti"), "unseen-codes")
+    others = written(entries.where(F.col("n") < least).select("code", "log").union(model.chances(unseen)), "other-chances")
+    by_code = bytes_.join(others, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rest_log"))
+    return scored.drop("words", "times", "codes", "code_times").join(met, "row", "left").join(by_code, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("log") + F.coalesce("rest_log", F.lit(0.0))).alias("score"),
     )

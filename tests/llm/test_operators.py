@@ -196,9 +196,22 @@ def ppm_by_hand(training, text, order):
 def test_ppm_against_the_definition(spark, order):
     training = [prose(i, 12, VOCABULARY) for i in range(6)] + ["", "é" * 5]
     model = ppm.fit(docs(spark, training).select("text"), order)
-    for text in [prose(2, 12, VOCABULARY), prose(50, 20, VOCABULARY), "", "ZZ日本", training[-1]]:
-        codes, _ = ppm.packed([text.encode()], order)
-        assert math.isclose(model.logs(codes).sum(), ppm_by_hand(training, text, order), rel_tol=1e-9)
+    texts = [prose(2, 12, VOCABULARY), prose(50, 20, VOCABULARY), "", "ZZ日本", training[-1]]
+    codes = [ppm.packed([t.encode()], order)[0].tolist() for t in texts]
+    asked = spark.createDataFrame([(c,) for c in {c for own in codes for c in own}], "code long")
+    log = {r["code"]: r["log"] for r in model.chances(asked).collect()}
+    for text, own in zip(texts, codes, strict=True):
+        assert math.isclose(sum(log[c] for c in own), ppm_by_hand(training, text, order), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("most", [100_000, 40, 0])
+def test_ppm_scores_are_whole_for_any_broadcast(spark, most):
+    texts = [*ODD[:7], *(prose(i, 40, VOCABULARY) for i in range(12)), "ZZ日本 é"]
+    rows = docs(spark, texts)
+    training = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    out = by_id(ppm.scores(rows, rows.where(common.remainder("doc_id", 5) != 1), max_entries=most), "score")
+    for i, t in enumerate(texts):
+        assert math.isclose(out[i], ppm_by_hand(training, t or "", ppm.ORDER), rel_tol=1e-9)
 
 
 @pytest.mark.parametrize("top", [100_000, 5, 0])

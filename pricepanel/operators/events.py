@@ -49,6 +49,24 @@ def checked(prices: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return prices, levels
 
 
+def path_faults(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_steps, n_missing, fault`` of each path ``(keys, step, price, levels)``: why the detector would refuse it, null if it takes it.
+
+    ``empty``: no price that isn't null; ``price``: one isn't finite; ``levels``: none, or one that isn't finite. Sums only, so a
+    path's prices are never brought together.
+    """
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    level = F.coalesce(F.size("levels") < 1, F.lit(True)) | F.coalesce(F.exists("levels", lambda v: v.isNull() | odd(v)), F.lit(True))
+    found = paths.groupBy(*keys).agg(
+        F.count("price").alias("n_steps"),
+        F.count(F.when(F.col("price").isNull(), 1)).alias("n_missing"),
+        F.count(F.when(odd(F.col("price")), 1)).alias("n_odd"),
+        F.max(level).alias("no_levels"),
+    )
+    fault = F.when(F.col("n_steps") == 0, "empty").when(F.col("n_odd") > 0, "price").when(F.col("no_levels"), "levels")
+    return found.select(*keys, "n_steps", "n_missing", fault.alias("fault"))
+
+
 def detect(prices: np.ndarray, levels: np.ndarray, rules: Rules = Rules()) -> tuple[list[dict], list[str]]:
     """Events of one path in order, and its state at every step."""
     prices, levels = checked(prices, levels)

@@ -13,7 +13,7 @@ from pricepanel.operators import events as ev
 from pricepanel.operators import gates as gt
 from pricepanel.operators import trajectory as tj
 from pricepanel.operators import windows as wn
-from pricepanel.operators.panel import panel
+from pricepanel.operators.panel import PANEL_SQL, panel
 from pricepanel.plans.calendar_queries import HOR, LOOK, ORIGINS, origins
 from pricepanel.plans.feature_queries import O, w
 from pricepanel.plans.metric_queries import REPS, WEIGHTS
@@ -251,6 +251,17 @@ def m01_interactions(spark, d):
     return ev.interactions(event_paths(spark, d), tj.PATH, RULES)
 
 
+@query(
+    f"""WITH {PANEL_SQL}, m AS (SELECT issue_id, date_trunc('month', date)::DATE AS origin_date, hi_adj_loc AS hi, CASE WHEN month(date) <> 2 THEN 1 END AS has_levels FROM panel)
+  SELECT issue_id, origin_date, count(hi) AS n_steps, count(*) - count(hi) AS n_missing,
+         CASE WHEN count(hi) = 0 THEN 'empty' WHEN count(has_levels) = 0 THEN 'levels' END AS fault FROM m GROUP BY 1, 2"""
+)
+def m02_detector_inputs(spark, d):
+    """High prices by security and month; February comes without levels."""
+    rows = panel(spark, d).select("issue_id", F.trunc("date", "month").alias("origin_date"), F.dayofmonth("date").alias("step"), F.col("hi_adj_loc").alias("price"), "date")
+    return ev.path_faults(rows.withColumn("levels", F.when(F.month("date") != 2, levels(F.lit(0.0), F.lit(1.0)))), ["issue_id", "origin_date"])
+
+
 @query()
 def m03_state_trace(spark, d):
     return ev.state_trace(event_paths(spark, d), tj.PATH, RULES)

@@ -198,6 +198,25 @@ def test_detector_rejects_bad_input():
         ev.Rules(min_dwell=5, max_dwell=2)
 
 
+def test_faults_are_what_the_detector_rejects(spark):
+    nan, inf = float("nan"), float("inf")
+    paths = {"ok": ([0.1, None, 0.2], [0.5]), "gone": ([None], [0.5]), "nan": ([0.1, nan], [0.5]), "inf": ([-inf], [0.5])}
+    paths |= {"none": ([0.1], None), "no": ([0.1], []), "hole": ([0.1], [0.5, None]), "odd": ([0.1], [inf])}
+    rows = [(k, i, p, lv) for k, (ps, lv) in paths.items() for i, p in enumerate(ps)]
+    found = {r["k"]: r for r in ev.path_faults(spark.createDataFrame(rows, "k string, step int, price double, levels array<double>"), ["k"]).collect()}
+    assert {k: r["fault"] for k, r in found.items()} == {
+        "ok": None, "gone": "empty", "nan": "price", "inf": "price", "none": "levels", "no": "levels", "hole": "levels", "odd": "levels"
+    }
+    assert (found["ok"]["n_steps"], found["ok"]["n_missing"]) == (2, 1)
+    for k, (ps, lv) in paths.items():
+        args = np.array([p for p in ps if p is not None], float), np.array(lv or [], float)
+        if found[k]["fault"]:
+            with pytest.raises(ValueError):
+                ev.detect(*args)
+        else:
+            ev.detect(*args)
+
+
 def test_segments_of_a_calendar(spark):
     rows = prices(spark, range(1500), "2016-01-01")
     found = cal.segment_origins(rows, 252, 100, "2018-01-01", "2020-12-31").orderBy("origin_pos").collect()

@@ -1,18 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
 Toxic and ordinary texts each have a bigram model. The class's unigrams are continuation counts (after how many different words
-a word comes), so copies of a text add nothing. All counts are discounted; the mass taken from a word in either class goes
-back to it in shares that both classes have in common, so a rare word is as likely under one model as under the other, and a bigram
-hands down the same mass in both.
+a word comes), so copies of a text add nothing. Every count is discounted by ``DISCOUNT``, the same at every size; the mass taken
+from a word or a bigram in either class goes back to it in shares that both classes have in common, a bigram's in proportion to the
+class's continuation unigram. So what was seen once is nearly as likely under one model as under the other, and what was seen often in one only isn't.
 
-The log-likelihoods are compared word by word: a log ratio within ``DEAD_ZONE`` of zero tells of language or topic and counts
-as none. A text's score is a logistic function of the ratio per word (and of its saturating total, since a rate says little on a few
-words), fitted on training rows that the counts have not seen, at the classes' own frequencies.
+The log-likelihoods are compared word by word: the ratio of the bigram where it is known, else that of the word. A plain sum of them
+would follow language and topic, of which many words each give a little. So ratios are summed by size, in the bands between ``CUTS``;
+each band's sum per word and its saturating sum (since a rate says little on a few words) are the features of a logistic function. It is
+fitted on training rows that the counts have not seen, at the classes' own frequencies, and says what evidence of each size is worth.
 
-The models are fitted on a bounded sample, ``max_per_class`` labelled rows of each class and as many of one as of the other; they keep
-``max_entries`` words and as many bigrams, so what is broadcast is bounded.
+The models are fitted on a bounded sample, ``max_per_class`` labelled rows of each class and as many of one as of the other; they keep the
+``max_entries`` most frequent words and as many bigrams, so what is broadcast is bounded; up to there all are kept.
 
-Defined results: empty and null texts have ratio zero and a score like any other; several labels of a document count as toxic if
+Defined results: empty and null texts have no evidence and a score like any other; several labels of a document count as toxic if
 one is; labels without a document teach nothing; without labels of both classes every score is 0. Equal texts in the sample teach
 once. Extra columns are dropped by :func:`score` and kept by :func:`drop_toxic`.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +35,10 @@ from pricepanel.llm.common import map_slices, sources, written
 
 #: Bounds of the sample and of the model; one labelled row in ``FOLDS`` fits the logistic function.
 MAX_PER_CLASS, MAX_ENTRIES, FOLDS = 5_000, 200_000, 5
-#: Largest discount of a count (a fortieth of the texts of a class in small samples), occurrences from which a word is a history, dead zone.
-DISCOUNT, HISTORY, DEAD_ZONE = 8, 200, 1.0
+#: Kneser-Ney discount, and the sizes of log ratios (nats) that bound the bands.
+DISCOUNT, CUTS = 0.75, (1.0, 2.0, 3.0, 4.0, 5.0)
+#: Intercept and weights of the bands (sums per word, saturating sums) where no row is left to fit them on; ridge of the fit.
+UNFITTED, RIDGE = (-1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 2.0, 3.0, 3.0, 3.0), 0.005
 #: Distinct bigrams that a task counts before it hands its counts on.
 HELD = 300_000
 words_of = re.compile(r"\w+").findall
@@ -47,29 +51,26 @@ class Model:
     rare: float = 0.0
     word: dict[str, float] = field(default_factory=dict)
     bigram: dict[tuple[str, str], float] = field(default_factory=dict)
-    weights: tuple[float, float, float] | None = None
+    weights: tuple[float, ...] | None = None
 
-    def ratio(self, text: str | None) -> tuple[float, int]:
-        """Log-likelihood ratio of the text outside the dead zone, and its number of words."""
+    def ratios(self, text: str | None) -> list[float]:
+        """Log-likelihood ratio of each word of the text."""
         own = words_of((text or "").lower())
-        # Where a bigram is known, what both orders agree on counts: a passage that many texts copy is common as bigrams only.
-        word, bigram, rare = self.word.get, self.bigram, self.rare
-        ratios = [word(w, rare) for w in own]
-        for i, p in enumerate(zip(["", *own], own, strict=False)):
-            if p in bigram:
-                ratios[i] = max(min(ratios[i], bigram[p]), 0.0) if bigram[p] > 0 else min(max(ratios[i], bigram[p]), 0.0)
-        return math.fsum([x - math.copysign(DEAD_ZONE, x) for x in ratios if abs(x) > DEAD_ZONE]), len(own)
+        word, bigram, rare = self.word.get, self.bigram.get, self.rare
+        return [word(w, rare) if (known := bigram((v, w))) is None else known for v, w in zip(["", *own], own, strict=False)]
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return 0.0
-        x = float(np.dot(self.weights, features(*self.ratio(text))))
+        x = float(np.dot(self.weights, features(self.ratios(text))))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
 
-def features(total: float, n: int) -> tuple[float, float, float]:
-    """Intercept, ratio per word, saturating total."""
-    return 1.0, 10 * total / max(n, 1), total / (5 + abs(total))
+def features(ratios: list[float]) -> list[float]:
+    """Intercept, then of each band the ratios' sum per word, then of each their saturating sum."""
+    own = np.array(ratios, float)
+    total = np.bincount(np.searchsorted(CUTS, np.abs(own)), own, len(CUTS) + 1)
+    return [1.0, *(10 * total / max(len(own), 1)).tolist(), *(total / (5 + np.abs(total))).tolist()]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -116,66 +117,68 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
     model = Model()
     if len(sizes) < 2:
         return model
-    discount = max(2, min(DISCOUNT, min(max_per_class, *sizes.values()) // 40))
-    less = lambda n, d: F.least(F.col(n), F.lit(d))
+    less = lambda n: F.least(F.col(n).cast("double"), F.lit(DISCOUNT))
     pairs = written(_bigrams(rows.where("calibrates = 0").select("toxic", "text")), "bigrams")
     spread = [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"k{c}") for c in (0, 1)]
     by_word = written(pairs.groupBy("w").agg(*spread), "by-word")
-    total = by_word.agg(*(F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)), *(F.sum(less(f"k{c}", discount)).alias(f"d{c}") for c in (0, 1))).first()
+    total = by_word.agg(*(F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)), *(F.sum(less(f"k{c}")).alias(f"d{c}") for c in (0, 1))).first()
     if not total["k0"] or not total["k1"]:
         return model
     k, taken = (total["k0"], total["k1"]), (total["d0"], total["d1"])
     model.rare = math.log(taken[1] / k[1]) - math.log(taken[0] / k[0])
-    chance: dict[str, tuple[float, float]] = {}
-    known = by_word.where(F.greatest("k0", "k1") > discount).orderBy(F.desc(F.col("k0") + F.col("k1")), "w").limit(max_entries)
-    for r in known.toLocalIterator():
-        shared = sum(min(r[f"k{c}"], discount) for c in (0, 1)) / sum(taken)
-        p = tuple((max(r[f"k{c}"] - discount, 0) + taken[c] * shared) / k[c] for c in (0, 1))
-        chance[r["w"]], model.word[r["w"]] = p, math.log(p[1] / p[0])
-    # Bigrams of common words are common themselves; theirs is twice the discount.
-    sums = [F.sum(f"n{c}").alias(f"v{c}") for c in (0, 1)]
-    handed = F.sum(less("n0", 2 * discount) + less("n1", 2 * discount)).alias("handed")
-    by_history = pairs.groupBy("v").agg(*sums, handed).where(F.least("v0", "v1") >= HISTORY)
-    common = pairs.where(F.greatest("n0", "n1") > 2 * discount).join(written(by_history, "by-history"), "v")
-    for r in common.orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(max_entries).toLocalIterator():
-        if r["w"] in chance:
-            mass = r["handed"] / (r["v0"] + r["v1"])
-            p = [max(r[f"n{c}"] - 2 * discount, 0) / r[f"v{c}"] + mass * chance[r["w"]][c] for c in (0, 1)]
-            model.bigram[r["v"], r["w"]] = math.log(p[1] / p[0])
+    for r in by_word.orderBy(F.desc(F.col("k0") + F.col("k1")), "w").limit(max_entries).toLocalIterator():
+        shared = sum(min(r[f"k{c}"], DISCOUNT) for c in (0, 1)) / sum(taken)
+        p = tuple((max(r[f"k{c}"] - DISCOUNT, 0) + taken[c] * shared) / k[c] for c in (0, 1))
+        model.word[sys.intern(r["w"])] = math.log(p[1] / p[0])
+    # Only a history that both classes have says how likely a word after it is in each.
+    by_history = pairs.groupBy("v").agg(*(F.sum(f"n{c}").alias(f"v{c}") for c in (0, 1))).where(F.least("v0", "v1") > 0)
+    known = pairs.join(written(by_history, "by-history"), "v")
+    for r in known.orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(max_entries).toLocalIterator():
+        shared = sum(min(r[f"n{c}"], DISCOUNT) for c in (0, 1)) / (r["v0"] + r["v1"])
+        toxic = 1 / (1 + math.exp(-model.word.get(r["w"], model.rare)))
+        p = [max(r[f"n{c}"] - DISCOUNT, 0) / r[f"v{c}"] + shared * 2 * part for c, part in ((0, 1 - toxic), (1, toxic))]
+        model.bigram[sys.intern(r["v"]), sys.intern(r["w"])] = math.log(p[1] / p[0])
     model.weights = _weights(model, rows.where("calibrates = 1").select("toxic", "text"), sizes)
     return model
 
 
-def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[float, float, float]:
-    """Weights of the logistic function by Newton steps, each class weighing as much as all its labels."""
-    found = _with_ratios(rows, model).collect()
+def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[float, ...]:
+    """Weights of the logistic function by Newton steps, each class weighing as much as all its labels; none but the intercept is negative."""
+    found = _with_features(rows, model).collect()
     y = np.array([r["toxic"] for r in found], float)
     if not 0 < y.sum() < len(y):
-        return (-1.0, 1.0, 3.0)
-    x = np.array([features(r["ratio"], r["n"]) for r in found])
+        return UNFITTED
+    x = np.array([r["features"] for r in found])
     per = np.array([sizes[0] / (len(y) - y.sum()), sizes[1] / y.sum()])[y.astype(int)]
     per *= len(y) / per.sum()
-    w = np.array([math.log(sizes[1] / sizes[0]), 0.5, 1.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (per * (p - y)) + 0.005 * w * (0, 1, 1)
-        curve = (x * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag((1e-6, 0.005, 0.005))
-        step = np.linalg.solve(curve, gradient)
-        w = w - step * min(1.0, 3 / np.abs(step).max())
-        if np.abs(step).max() < 1e-6:
+    used = np.arange(x.shape[1])
+    while True:
+        w = np.where(used > 0, 0.5, math.log(sizes[1] / sizes[0]))
+        own, ridge = x[:, used], np.where(used > 0, RIDGE, 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            gradient = own.T @ (per * (p - y)) + ridge * w
+            curve = (own * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ own + np.diag(ridge + 1e-6)
+            step = np.linalg.solve(curve, gradient)
+            w = w - step * min(1.0, 3 / np.abs(step).max())
+            if np.abs(step).max() < 1e-6:
+                break
+        if (stays := (w >= 0) | (used == 0)).all():
             break
-    return tuple(float(v) for v in (w[0], max(w[1], 0.0), max(w[2], 0.0)))
+        used = used[stays]
+    weights = np.zeros(x.shape[1])
+    weights[used] = w
+    return tuple(weights.tolist())
 
 
-def _with_ratios(rows: DataFrame, model: Model) -> DataFrame:
+def _with_features(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         for classes, texts in slices:
-            found = [shared.value.ratio(t) for t in texts]
-            yield [classes, [f[0] for f in found], [f[1] for f in found]]
+            yield [classes, [features(shared.value.ratios(t)) for t in texts]]
 
-    return map_slices(rows, run, "toxic int, ratio double, n long")
+    return map_slices(rows, run, "toxic int, features array<double>")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

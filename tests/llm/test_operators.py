@@ -278,6 +278,31 @@ def test_toxicity_of_held_out_and_odd_texts(spark):
     assert toxicity.score(rows, toxicity.fit(rows, table.limit(0))).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_of_pairs_of_ordinary_words(spark):
+    rng = random.Random(2)
+    texts, labels = [], []
+    for i in range(600):
+        words = prose(i, 60, VOCABULARY).split()
+        # Both classes have both words equally often; only toxic texts have one right after the other.
+        for _ in range(3):
+            at = rng.randrange(len(words) - 2)
+            words[at:at] = ["grey", "goose"] if i % 4 == 0 else ["goose", "and", "grey"]
+        texts.append(" ".join(words))
+        labels.append((i, 1, int(i % 4 == 0)))
+    rows = docs(spark, texts)
+    model = toxicity.fit(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where(common.remainder("doc_id", 5) != 0))
+    out = by_id(toxicity.score(rows, model), "predicted")
+    assert all(out[i] == int(i % 4 == 0) for i in range(600))
+
+
+@pytest.mark.parametrize("n", [80, 700])
+def test_toxicity_counts_rare_words_at_every_size(spark, n):
+    # The counts see every label but those that calibrate; a word of some 8 toxic texts is known, in a small table and in a large one.
+    texts = [prose(i, 20, VOCABULARY) + (" vile" if i % 2 and i < 20 else "") for i in range(n)]
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame([(i, 1, i % 2) for i in range(n)], "doc_id long, quality int, toxic int"))
+    assert model.word["vile"] > 2 and set(VOCABULARY) <= set(model.word)
+
+
 def spans_by_hand(text):
     """Spans by one pass of Python's own regular expressions; its case folding is kept to ASCII."""
     found = []

@@ -41,7 +41,7 @@ RULES = (
 
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...], key: str = "blob") -> DataFrame:
-    """``(key, kind, version, start, end)`` of ``texts(key, text, due)``; ``due`` has the kinds to scan a text for."""
+    """``(key, kind, version, start, end)`` of ``texts(key, text, due)``, where a key may repeat with its text; ``due`` has the kinds to scan a text for."""
     found = []
     for r in rules:
         # The text is tested only where the scan is due, which the ledger says: the test can't move ahead of the ledger's join.
@@ -53,7 +53,8 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...], key: str = "blob") -> DataFr
             sizes(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias("size"),
             sizes(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).alias("tested"),
         )
-        rows = hit.select(key, F.posexplode(parts).alias("i", "p")).select(key, "i", "p.*")
+        # Equal rows of a path and version bring a text more than once: each place counts once. Only places travel here, no text.
+        rows = hit.select(key, F.posexplode(parts).alias("i", "p")).select(key, "i", "p.*").dropDuplicates([key, "i"])
         before = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(Window.partitionBy(key).orderBy("i"))
         placed = rows.withColumn("end", before).where(F.col("tested") >= r.least)
         found.append(placed.select(key, F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), (F.col("end") - F.col("size")).alias("start"), "end"))
@@ -103,7 +104,7 @@ class Ledger:
         pairs = first.select("blob", "at", F.explode(rules).alias("r")).select("blob", "at", "r.*")
         unseen = pairs.join(self._table("scanned", self.SCANNED), ["blob", "kind", "version"], "left_anti") if self.batches else pairs
         due = written(unseen.groupBy("blob", "at.path", "at.version").agg(F.collect_set("kind").alias("due")), "unseen-blobs")
-        # Only one copy of each unseen blob travels; where a path and version repeat, the blob is checked again.
+        # Only one path and version of each unseen blob travels; where they repeat, the blob is checked again and equal rows all come.
         copies = texts.join(due, texts["path"].eqNullSafe(due["path"]) & texts["version"].eqNullSafe(due["version"]))
         copies = copies.where(F.sha2("text", 256) == F.col("blob")).select("blob", "text", "due")
         spans = scan(copies, self.rules).distinct()

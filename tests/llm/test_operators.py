@@ -334,6 +334,16 @@ def test_secret_spans_against_brute_force(spark):
     assert ledger.ingest("a", history).count() == 0
 
 
+def test_repeated_rows_have_the_spans_of_one(spark):
+    history = [(1, SECRETS[0])] * 3 + [(2, SECRETS[0]), (2, SECRETS[1]), (None, SECRETS[1]), (None, SECRETS[1]), (3, SECRETS[1]), (None, None)]
+    ledger = secret_ledger.Ledger(spark, common.shared_path(spark, "ledger"))
+    ledger.ingest("a", spark.createDataFrame([(p, 1, t) for p, t in history], "path long, version long, text string"))
+    texts = {hashlib.sha256((t or "").encode()).hexdigest(): t for _, t in history}
+    found = ledger.report().collect()
+    assert Counter((r["path"], texts[r["blob"]]) for r in found) == Counter(history)
+    assert all([(s["start"], s["kind"], s["end"]) for s in r["spans"]] == spans_by_hand(texts[r["blob"]]) for r in found)
+
+
 def test_ledger_scans_unseen_pairs_only(spark):
     path = common.shared_path(spark, "ledger")
     rows = lambda *r: spark.createDataFrame(r, "path long, version long, text string")

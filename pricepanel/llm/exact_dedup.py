@@ -17,11 +17,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricepanel.llm.common import map_slices, sources, written
+from pricepanel.llm.common import arrow_type, map_slices, sources, written
 
 #: Digests that a shard of the index holds on average; a task builds or reads one shard at a time.
 SHARD_DIGESTS = 20_000
@@ -116,11 +116,12 @@ class PerfectHash:
         return cls(bits, {data[at + 32 * i : at + 32 * i + 32]: placed + i for i in range(int(n_rest))})
 
 
-def _matrix(values: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, 32)
+def _matrix(values: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, 32)
 
 
 INDEX = "shard long, slot long, digest binary, keep_chars long, keep_id long, group_size long"
+FOUND = "digest binary, old_chars long, old_id long, old_size long"
 
 
 class DigestIndex:
@@ -134,36 +135,34 @@ class DigestIndex:
         """Index of the output of :func:`groups`, which is written already."""
         n = max(1, -(-grouped.count() // SHARD_DIGESTS))
 
-        def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = _matrix(pdf["digest"])
+        def shard(table: pa.Table) -> pa.Table:
+            # Arrow keeps whole numbers whole beside nulls; pandas would make ids floats.
+            schema, keys = arrow_type(INDEX), _matrix(table["digest"])
             function = PerfectHash.build(keys)
-            pdf = pdf.assign(slot=function.slots(keys))[["shard", "slot", "digest", "keep_chars", "keep_id", "group_size"]]
-            head = pd.DataFrame({"shard": pdf["shard"][:1], "slot": -1, "digest": [function.dump()]})
-            return pd.concat([head, pdf.sort_values("slot")], ignore_index=True)
+            rows = table.append_column("slot", pa.array(function.slots(keys))).select(schema.names).sort_by("slot").cast(schema)
+            head = {"shard": table["shard"][0].as_py(), "slot": -1, "digest": function.dump()}
+            return pa.concat_tables([pa.Table.from_pylist([head], schema), rows])
 
-        return cls(written(grouped.withColumn("shard", _shard(n)).groupBy("shard").applyInPandas(shard, INDEX), "digest-index"), n)
+        return cls(written(grouped.withColumn("shard", _shard(n)).groupBy("shard").applyInArrow(shard, INDEX), "digest-index"), n)
 
     def lookup(self, distinct: DataFrame) -> DataFrame:
         """For distinct digests: the slot's group where the bytes agree, nulls for nonmembers."""
 
-        def probe(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-            out = asked[["digest"]].assign(old_chars=None, old_id=None, old_size=None)
-            if not len(asked) or not len(index):
-                return out
-            index = index.sort_values("slot")
-            function, slots = PerfectHash.load(index["digest"].iloc[0]), index.iloc[1:]
+        def probe(asked: pa.Table, index: pa.Table) -> pa.Table:
+            schema = arrow_type(FOUND)
+            if not asked.num_rows or not index.num_rows:
+                return pa.table([asked["digest"], *(pa.nulls(asked.num_rows, pa.int64()) for _ in range(3))], schema)
+            index = index.sort_by("slot")
+            function, slots = PerfectHash.load(index["digest"][0].as_py()), index.slice(1)
             keys = _matrix(asked["digest"])
             at = function.slots(keys)
             same = at >= 0
             same[same] = (_matrix(slots["digest"])[at[same]] == keys[same]).all(axis=1)
-            for name, of in (("old_chars", "keep_chars"), ("old_id", "keep_id"), ("old_size", "group_size")):
-                column = pd.array([pd.NA] * len(asked), dtype="Int64")
-                column[same] = slots[of].astype("Int64").to_numpy(dtype=object, na_value=pd.NA)[at[same]]
-                out[name] = column
-            return out
+            places = pa.array(at, mask=~same)
+            return pa.table([asked["digest"], *(slots[of].take(places) for of in ("keep_chars", "keep_id", "group_size"))], schema)
 
         asked = distinct.select("digest").withColumn("shard", _shard(self.shards)).groupBy("shard")
-        return asked.cogroup(self.rows.groupBy("shard")).applyInPandas(probe, "digest binary, old_chars long, old_id long, old_size long")
+        return asked.cogroup(self.rows.groupBy("shard")).applyInArrow(probe, FOUND)
 
 
 def resolve(batch: DataFrame, index: DigestIndex) -> DataFrame:

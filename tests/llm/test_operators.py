@@ -91,6 +91,14 @@ def test_exact_dedup_against_brute_force(spark):
     assert exact_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_keeps_large_ids_whole(spark):
+    big = 2**62
+    rows = [(big + 1, "a b"), (big + 3, "ab"), (big + 5, "c"), (None, "d"), (-big - 1, "e"), (big + 7, None)]
+    out = by_id(exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")), "keep_id", "group_size", "kept")
+    want = {big + 1: (big + 1, 2, True), big + 3: (big + 1, 2, False), big + 5: (big + 5, 1, True), None: (None, 1, True)}
+    assert out == want | {-big - 1: (-big - 1, 1, True), big + 7: (big + 7, 1, True)}
+
+
 def test_digest_index_of_history_and_new_batch(spark):
     old = exact_dedup.groups(exact_dedup.digests(docs(spark, ["a b", "c", "c", None])))
     index = exact_dedup.DigestIndex.build(common.written(old, "old"))

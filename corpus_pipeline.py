@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricepanel.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
@@ -25,22 +25,44 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a written ``row`` id, by which a stage carries its decision back: a doc_id may be null or repeat."""
+    return written(_documents(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """``rows`` as an operator takes them, with the row id for a doc_id."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
+def _firsts(members: DataFrame, *order: Column) -> DataFrame:
+    """``(row)``: one row of each group of ``members(row, doc_id, of, ...)``, first by ``order``, then by smallest doc_id, null last."""
+    first = F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    return members.groupBy("of").agg(first.alias("first")).select("first.row")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that stays of each group of equal texts."""
-    kept = exact_dedup.dedup(docs).where("kept").select("doc_id").distinct()
-    return _documents(docs).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The one row that stays of each group of equal texts: most code points, then smallest doc_id (null last), then any one."""
+    rows = _numbered(docs)
+    groups = exact_dedup.dedup(_by_row(rows)).select(F.col("doc_id").alias("row"), F.col("text_sha256").alias("of"))
+    sizes = rows.select("row", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
+    kept = written(_firsts(sizes.join(groups, "row"), -F.col("chars")), "kept-rows")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return _documents(docs).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """The one row of smallest doc_id (null last) of each SimHash component."""
+    rows = _numbered(docs)
+    groups = simhash.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
+    kept = written(_firsts(rows.select("row", "doc_id").join(groups, "row")), "kept-rows")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _documents(docs).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """The rows without a copy of a benchmark item, each judged by its own text."""
+    rows = _numbered(docs)
+    found = decontaminate.contaminated(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,16 @@ def test_stages_keep_the_columns(spark, tmp_path):
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_are_judged_by_row(spark, tmp_path):
+    a, b, c, d, item = (prose(i, 150) for i in (1, 2, 3, 4, 5))
+    rows = [(None, a), (None, b), (7, c), (7, c), (None, c), (8, "  " + a), (9, d), (9, d + " " + item), (None, prose(6, 150) + " " + item)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = lambda stage, df: sorted(((r["doc_id"] or 0, r["text"]) for r in stage(spark, df, str(tmp_path)).collect()))
+    exact = [(None, b), (7, c), (8, "  " + a), *rows[6:]]
+    assert texts(corpus_pipeline.drop_exact_copies, frame) == sorted((i or 0, t) for i, t in exact)
+    near = texts(corpus_pipeline.drop_near_copies, frame)
+    assert {(0, b), (7, c), (8, "  " + a)} <= set(near) and len(near) == len(set(near)) and (0, a) not in near and (0, c) not in near
+    assert texts(corpus_pipeline.drop_benchmark_copies, frame) == sorted((i or 0, t) for i, t in rows[:7])

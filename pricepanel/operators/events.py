@@ -171,35 +171,48 @@ def packed(paths: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.col("p.step").alias("steps"), F.col("p.price").alias("prices"), "levels")
 
 
-def interactions(paths: DataFrame, keys: list[str], rules: Rules = Rules(), pad: int = 0) -> DataFrame:
-    """Events of each path ``(keys, step, price, levels)``; ``pad`` repeats the last price that often."""
-    names = [f.split()[0] for f in EVENT_FIELDS.split(", ")]
+EVENT_NAMES = tuple(f.split()[0] for f in EVENT_FIELDS.split(", "))
+
+
+def traced(paths: DataFrame, keys: list[str], rules: Rules = Rules(), pad: int = 0) -> DataFrame:
+    """Events and states of each path ``(keys, step, price, levels)`` in one row ``(keys, step, state, event)`` of arrays; one run of the detector gives both.
+
+    ``pad`` repeats the last price that often; the states are those of the path's own steps.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = []
-            for row in pdf.to_dict("records"):
-                prices = np.asarray(row["prices"], float)
-                events, _ = detect(np.concatenate([prices, np.repeat(prices[-1], pad)]), row["levels"], rules)
-                found += [{k: row[k] for k in keys} | e for e in events]
-            out = pd.DataFrame(found, columns=[*keys, *names])
-            for c in ("consolidation_index", "hover_index", "exit_index", "confirmation_end_index"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            states, events = [], []
+            for prices, levels in zip(pdf["prices"], pdf["levels"], strict=True):
+                own = np.asarray(prices, float)
+                found, trace = detect(np.concatenate([own, np.repeat(own[-1], pad)]), levels, rules)
+                states.append(trace[: len(own)])
+                events.append([{n: e[n] for n in EVENT_NAMES} for e in found])
+            yield pdf[[*keys, "steps"]].rename(columns={"steps": "step"}).assign(state=states, event=events)
 
-    return packed(paths, keys).mapInPandas(run, f"{_fields(keys, paths)}, {EVENT_FIELDS}")
+    event = ", ".join(f.replace(" ", ": ", 1) for f in EVENT_FIELDS.split(", "))
+    step = paths.schema["step"].dataType.simpleString()
+    return packed(paths, keys).mapInPandas(run, f"{_fields(keys, paths)}, step array<{step}>, state array<string>, event array<struct<{event}>>")
 
 
-def state_trace(paths: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:
-    """State of every step of each path."""
+def events_of(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per event of :func:`traced` paths."""
+    return traces.select(*keys, F.explode("event").alias("e")).select(*keys, "e.*")
+
+
+def states_of(traces: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per step of :func:`traced` paths."""
+    return traces.select(*keys, F.explode(F.arrays_zip("step", "state")).alias("s")).select(*keys, "s.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            states = [detect(np.asarray(p, float), v, rules)[1] for p, v in zip(pdf["prices"], pdf["levels"], strict=True)]
-            yield pdf[[*keys, "steps"]].rename(columns={"steps": "step"}).assign(state=states)
 
-    rows = packed(paths, keys).mapInPandas(run, f"{_fields(keys, paths)}, step array<{paths.schema['step'].dataType.simpleString()}>, state array<string>")
-    return rows.select(*keys, F.explode(F.arrays_zip("step", "state")).alias("s")).select(*keys, "s.*")
+def interactions(paths: DataFrame, keys: list[str], rules: Rules = Rules(), pad: int = 0) -> DataFrame:
+    """Events of each path ``(keys, step, price, levels)``; ``pad`` repeats the last price that often."""
+    return events_of(traced(paths, keys, rules, pad), keys)
+
+
+def state_trace(paths: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:
+    """State of every step of each path."""
+    return states_of(traced(paths, keys, rules), keys)
 
 
 def state_runs(trace: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
@@ -213,7 +226,7 @@ def state_runs(trace: DataFrame, events: DataFrame, keys: list[str]) -> DataFram
 
 def integrity(events: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of violations over all paths: all are 0 for what :func:`interactions` returns."""
-    w = Window.partitionBy(*keys).orderBy("output_index", "entry_index")
+    w = Window.partitionBy(*keys).orderBy("output_index", "entry_index", "event_type")
     rows = events.withColumns({"_back": F.lag("output_index").over(w), "_entry": F.lag("entry_index").over(w), "_kind": F.lag("event_type").over(w)})
     per = events.groupBy(*keys, "entry_index").agg(
         F.count(F.when(F.col("event_type") == "HOVER", 1)).alias("h"), F.count(F.when(F.col("is_terminal"), 1)).alias("t"),

@@ -15,7 +15,7 @@ from pricepanel.plans.registry import query
 DAYS = f"{P}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS trading_day FROM (SELECT DISTINCT date FROM panel)), t AS (SELECT panel.*, trading_day FROM panel JOIN days USING (date))"
 POS = f"{P}, pos AS (SELECT *, row_number() OVER ({O}) - 1 AS pos FROM panel)"
 START, END = "1996-01-01", "1999-12-31"
-LOOK, HOR = 64, 20
+LOOK, HOR = 252, 100
 ORIGINS = f"""{POS}, bounds AS (SELECT issue_id, greatest(min(pos) FILTER (date >= DATE '{START}'), {LOOK - 1}) AS first, max(pos) FILTER (date <= DATE '{END}') AS last FROM pos GROUP BY 1),
   origins AS (SELECT issue_id, date AS origin_date, pos AS origin_pos FROM pos JOIN bounds USING (issue_id) WHERE pos >= first AND (pos - first) % {HOR} = 0 AND pos + {HOR} <= last)"""
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricepanel.functions.expressions import levels
+from pricepanel.functions.expressions import LEVEL_RATIOS, levels
 from pricepanel.functions.storage import written
 from pricepanel.operators import events as ev
 from pricepanel.operators import gates as gt
@@ -15,6 +15,7 @@ from pricepanel.operators import trajectory as tj
 from pricepanel.operators import windows as wn
 from pricepanel.operators.panel import PANEL_SQL, panel
 from pricepanel.plans.calendar_queries import HOR, LOOK, ORIGINS, origins
+from pricepanel.plans.event_sql import ALIGNED, events_sql
 from pricepanel.plans.feature_queries import O, w
 from pricepanel.plans.metric_queries import REPS, WEIGHTS
 from pricepanel.plans.registry import query
@@ -227,7 +228,9 @@ def l19_unrolled_steps(spark, d):
     return tj.unrolled(packed.select(*tj.PATH, *(F.col(f"s.{c}").alias(c) for c in ("price", *gt.P))))
 
 
-RULES = ev.Rules(tolerance=0.02, min_dwell=2, confirmation=3, max_dwell=8)
+RULES = ev.Rules()
+#: Last prices that an unfinished path is extended by: enough for any interaction to end.
+PAD = RULES.min_dwell + RULES.max_dwell + RULES.confirmation
 
 
 def event_paths(spark, d):
@@ -246,7 +249,21 @@ def detected(spark, d):
     return rows, written(ev.interactions(rows, tj.PATH, RULES), "events")
 
 
-@query()
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+EV = _recursive(f"{TRAJ}, {events_sql(RULES, LEVEL_RATIOS)}")
+EV_PADDED = _recursive(f"{TRAJ}, {events_sql(RULES, LEVEL_RATIOS, PAD)}")
+EV_BOTH = f"{EV_PADDED}, {events_sql(RULES, LEVEL_RATIOS, prefix='u_')}"
+
+
+def _unresolved_sql(horizon: int) -> str:
+    return f"""op AS (SELECT DISTINCT {PK}, entry_index FROM ev WHERE entry_index <= {horizon} AND output_index > {horizon}),
+  ur AS (SELECT {PK}, count(*) AS unresolved FROM op ANTI JOIN (SELECT {PK}, entry_index FROM ev WHERE is_terminal AND output_index <= {horizon}) USING ({PK}, entry_index) GROUP BY {PK})"""
+
+
+@query(f"{EV} SELECT * FROM ev", "fib_level exit_price max_price_after min_price_after")
 def m01_interactions(spark, d):
     return ev.interactions(event_paths(spark, d), tj.PATH, RULES)
 
@@ -262,20 +279,37 @@ def m02_detector_inputs(spark, d):
     return ev.path_faults(rows.withColumn("levels", F.when(F.month("date") != 2, levels(F.lit(0.0), F.lit(1.0)))), ["issue_id", "origin_date"])
 
 
-@query()
+@query(f"{EV} SELECT {PK}, step, state FROM trace")
 def m03_state_trace(spark, d):
     return ev.state_trace(event_paths(spark, d), tj.PATH, RULES)
 
 
-@query()
+@query(
+    f"""{EV}, tl AS (SELECT *, coalesce((state <> lag(state) OVER ({PW}))::INT, 0) AS new FROM trace), tr AS (SELECT *, sum(new) OVER ({PW}) AS run FROM tl)
+    SELECT {PK}, run, state, min(step)::INT AS start, max(step)::INT AS "end", coalesce(string_agg(event_type, ',' ORDER BY step), '') AS events FROM tr LEFT JOIN (SELECT {PK}, output_index AS step, event_type FROM ev) USING ({PK}, step) GROUP BY {PK}, run, state"""
+)
 def m04_state_runs(spark, d):
-    rows, events = detected(spark, d)
-    return ev.state_runs(ev.state_trace(rows, tj.PATH, RULES), events, tj.PATH)
+    traced = written(ev.traced(event_paths(spark, d), tj.PATH, RULES), "traced-paths")
+    return ev.state_runs(ev.states_of(traced, tj.PATH), ev.events_of(traced, tj.PATH), tj.PATH)
+
 
+def _faulty(events):
+    """The events, and those of every third path once more with an output one step earlier: a table with violations."""
+    odd = F.pmod(F.col("entry_index") + F.col("path_id"), F.lit(3)) == 0
+    moved = events.where(odd).withColumns({"source": F.concat(F.lit("faulty "), "source"), "output_index": F.col("output_index") - F.col("entry_index")})
+    return events.unionByName(moved).unionByName(events.where(odd).withColumn("source", F.concat(F.lit("faulty "), "source")))
 
-@query("SELECT 0::BIGINT AS out_of_order, 0::BIGINT AS overlapping, 0::BIGINT AS hovers, 0::BIGINT AS terminals, 0::BIGINT AS hover_after_end")
+
+@query(
+    f"""{EV}, od AS (SELECT * FROM ev WHERE (entry_index + path_id) % 3 = 0), fe AS (SELECT * FROM ev UNION ALL SELECT * REPLACE ('faulty ' || source AS source, output_index - entry_index AS output_index) FROM od UNION ALL SELECT * REPLACE ('faulty ' || source AS source) FROM od),
+    fl AS (SELECT *, lag(output_index) OVER w AS back, lag(entry_index) OVER w AS went FROM fe WINDOW w AS (PARTITION BY {PK} ORDER BY output_index, entry_index, event_type)),
+    fp AS (SELECT count(*) FILTER (event_type = 'HOVER') AS h, count(*) FILTER (is_terminal) AS t, max(hover_index) AS hover, min(output_index) FILTER (is_terminal) AS final FROM fe GROUP BY {PK}, entry_index)
+    SELECT * FROM (SELECT count(*) FILTER (back >= output_index) AS out_of_order, count(*) FILTER (went <> entry_index AND entry_index <= back) AS overlapping FROM fl),
+      (SELECT count(*) FILTER (h > 1) AS hovers, count(*) FILTER (t > 1) AS terminals, count(*) FILTER (hover > final) AS hover_after_end FROM fp)"""
+)
 def m05_event_integrity(spark, d):
-    return ev.integrity(detected(spark, d)[1], tj.PATH)
+    """Violations in the events together with a spoilt copy of some; on its own what the detector returns has none."""
+    return ev.integrity(_faulty(detected(spark, d)[1]), tj.PATH)
 
 
 def _aligned(spark, d):
@@ -283,29 +317,44 @@ def _aligned(spark, d):
     return ev.aligned(events, rows, tj.PATH)
 
 
-@query()
+GATE = " ".join(f"{c}{x}" for c in gt.P for x in ("", "_entry", "_change"))
+AL = f"{EV}, {ALIGNED}"
+
+
+@query(f"{AL} SELECT * FROM ag", f"fib_level exit_price max_price_after min_price_after {GATE}")
 def m06_event_gate_alignment(spark, d):
     return _aligned(spark, d)
 
 
-@query()
+@query(f"{EV_PADDED}, {_unresolved_sql(HOR)} SELECT * FROM ur")
 def m07_unresolved(spark, d):
-    return ev.unresolved(event_paths(spark, d), tj.PATH, HOR, RULES, pad=12)
+    return ev.unresolved(event_paths(spark, d), tj.PATH, HOR, RULES, PAD)
 
 
-@query()
+@query(
+    f"""{AL}, du AS (SELECT event, duration, row_number() OVER (PARTITION BY event ORDER BY duration) AS k, count(*) OVER (PARTITION BY event) AS n FROM ag), md2 AS (SELECT event, duration FROM du WHERE k = (n + 1) // 2),
+    mo AS (SELECT event, duration, issue_id, split_part(segment_id, '|', 2) AS origin_date, entry_index, row_number() OVER (PARTITION BY event ORDER BY issue_id, split_part(segment_id, '|', 2), entry_index) AS k FROM ag JOIN md2 USING (event, duration))
+    SELECT event, duration, issue_id, origin_date, entry_index FROM mo WHERE k = 1"""
+)
 def m08_typical_examples(spark, d):
     rows = _aligned(spark, d).withColumn("origin_date", F.element_at(F.split("segment_id", r"\|"), 2))
     return ev.typical_examples(rows)
 
 
-@query()
+BY_PATH = f"""{EV}, bp0 AS (SELECT {PK}, count(*) FILTER (event_type = 'HOVER') AS hover, count(*) FILTER (event_type = 'BREAKOUT') AS breakout, count(*) FILTER (event_type = 'PULLBACK') AS pullback, count(*) FILTER (event_type = 'TIMEOUT') AS timeout
+    FROM (SELECT DISTINCT {PK} FROM ep) LEFT JOIN ev USING ({PK}) GROUP BY {PK}), bp AS (SELECT *, breakout + pullback AS evaluated FROM bp0)"""
+
+
+@query(f"{BY_PATH} SELECT *, breakout / nullif(evaluated, 0) AS breakout_share, pullback / nullif(evaluated, 0) AS pullback_share, breakout / nullif(pullback, 0) AS breakout_ratio FROM bp", "breakout_share pullback_share breakout_ratio")
 def m09_events_by_path(spark, d):
     rows, events = detected(spark, d)
     return ev.counts_by_path(rows, events, tj.PATH)
 
 
-@query()
+KINDS = ("hover", "breakout", "pullback", "timeout", "evaluated")
+
+
+@query(f"{BY_PATH} SELECT source, count(*) AS paths, {', '.join(f'sum({k})::BIGINT AS {k}, avg({k}) AS mean_{k}' for k in KINDS)} FROM bp GROUP BY source", " ".join(f"mean_{k}" for k in KINDS))
 def m10_events_by_source(spark, d):
     rows, events = detected(spark, d)
     return ev.counts_by_source(ev.counts_by_path(rows, events, tj.PATH))
@@ -316,7 +365,10 @@ def _with_level(events):
     return events.withColumn("level_index", (place - 1).cast("int"))
 
 
-@query()
+@query(
+    f"""{EV}, hn AS (SELECT event_type, lv.l AS level_index, source, count(*) AS n FROM ev JOIN lv ON ev.fib_level = lv.level GROUP BY ALL)
+    SELECT event_type, level_index::INT AS level_index, source, coalesce(n, 0) AS n FROM (SELECT unnest(['HOVER', 'BREAKOUT', 'PULLBACK', 'TIMEOUT']) AS event_type) CROSS JOIN (SELECT l AS level_index FROM lv) CROSS JOIN (SELECT unnest(['real', 'synthetic']) AS source) LEFT JOIN hn USING (event_type, level_index, source)"""
+)
 def m11_event_level_histogram(spark, d):
     return ev.level_histogram(_with_level(detected(spark, d)[1]))
 
@@ -334,24 +386,37 @@ def m12_jensen_shannon(spark, d):
     return ev.jensen_shannon(counts, ["y"], "real", "synthetic")
 
 
-@query()
+@query(
+    f"""{EV_BOTH}, {_unresolved_sql(HOR)}, us AS (SELECT segment_id, sum(unresolved)::BIGINT AS unresolved FROM ur GROUP BY 1),
+    ts AS (SELECT segment_id, count(*) FILTER (event_type = 'TIMEOUT') AS timeouts FROM u_ev GROUP BY 1)
+    SELECT segment_id, coalesce(timeouts, 0) AS timeouts, coalesce(unresolved, 0) AS unresolved FROM (SELECT DISTINCT segment_id FROM ep) LEFT JOIN ts USING (segment_id) LEFT JOIN us USING (segment_id)"""
+)
 def m13_segment_counters(spark, d):
     rows, events = detected(spark, d)
     per = events.groupBy("segment_id").agg(F.count(F.when(F.col("event_type") == "TIMEOUT", 1)).alias("timeouts"))
-    open_ = ev.unresolved(rows, tj.PATH, HOR, RULES, pad=12).groupBy("segment_id").agg(F.sum("unresolved").alias("unresolved"))
+    open_ = ev.unresolved(rows, tj.PATH, HOR, RULES, PAD).groupBy("segment_id").agg(F.sum("unresolved").alias("unresolved"))
     return rows.select("segment_id").distinct().join(per, "segment_id", "left").join(open_, "segment_id", "left").na.fill(0, ["timeouts", "unresolved"])
 
 
-@query()
+@query(f"{EV_PADDED}, {_unresolved_sql(HOR // 2)} SELECT * FROM ur")
 def c12_unfinished_entries(spark, d):
-    return ev.unresolved(event_paths(spark, d), tj.PATH, HOR // 2, RULES, pad=12)
+    return ev.unresolved(event_paths(spark, d), tj.PATH, HOR // 2, RULES, PAD)
+
 
+SUMMARY = f"""{AL}, lg AS (SELECT event, issue_id, unnest([{', '.join(f"'{e}'" for e in gt.EXPERTS)}]) AS expert, unnest([{', '.join(gt.P)}]) AS a, unnest([{', '.join(f'{c}_entry' for c in gt.P)}]) AS b FROM ag),
+  sg AS (SELECT event, expert, count(*) AS n, count(DISTINCT issue_id) AS stocks, avg(a) AS mean_event, avg(b) AS mean_entry, avg(a - b) AS mean_change FROM lg GROUP BY 1, 2),
+  sy AS (SELECT event, expert, coalesce(n, 0) AS n, coalesce(stocks, 0) AS stocks, mean_event, mean_entry, mean_change FROM (SELECT unnest([{', '.join(f"'{e}'" for e in ev.EVENTS)}]) AS event) CROSS JOIN (SELECT unnest([{', '.join(f"'{e}'" for e in gt.EXPERTS)}]) AS expert) LEFT JOIN sg USING (event, expert))"""
 
-@query()
+
+@query(f"{SUMMARY} SELECT *, n >= 30 AND stocks >= 5 AS supported FROM sy", "mean_event mean_entry mean_change")
 def k07_event_summary(spark, d):
     return ev.event_summary(_aligned(spark, d))
 
 
-@query()
+@query(
+    f"""{SUMMARY}, sp AS (SELECT *, max(mean_event) OVER (PARTITION BY expert) - min(mean_event) OVER (PARTITION BY expert) AS spread, row_number() OVER (PARTITION BY event ORDER BY mean_event DESC, expert DESC) AS k FROM sy WHERE mean_event IS NOT NULL)
+    SELECT event, expert, mean_event, spread FROM sp WHERE k = 1""",
+    "mean_event spread",
+)
 def k08_event_winners(spark, d):
     return ev.event_winners(ev.event_summary(_aligned(spark, d)))

@@ -1,36 +1,23 @@
-"""Shared folder, written tables and Arrow helpers used by the operators."""
+"""Arrow helpers, samples and lookup tables used by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a Python task holds as Python objects at a time.
-SLICE_ROWS = 256
+from pricepanel.functions.storage import scratch as shared_path
+from pricepanel.functions.storage import written
 
+__all__ = ["Lookup", "arrow_type", "hashes", "map_slices", "pair_hashes", "quota_sample", "remainder", "shared_path", "sources", "written"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests, local mode) a temporary folder becomes it.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="pricepanel-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows, and characters of text, that a Python task holds as Python objects at a time (one longer text may exceed the latter).
+SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
 
 
 def remainder(col: str, modulus: int):
@@ -55,10 +42,25 @@ def arrow_type(ddl: str) -> pa.Schema:
     return pa.schema(fields)
 
 
+def _cuts(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of each slice, by rows and by the bytes of the string columns."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(total, before + chars, "right"))))
+        yield at, end - at
+        at = end
+
+
 def map_slices(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list[list]]], ddl: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Apply ``fn`` in each task to an iterator of column lists; it yields column lists of schema ``ddl``.
 
-    A slice has ``rows`` rows at most, so Python objects of a few texts live at a time, whatever a partition's size.
+    A slice has ``rows`` rows and ``SLICE_CHARS`` bytes of text at most, so Python objects of a few texts live at a time,
+    whatever a partition's size; a text longer than that is a slice of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,8 +68,8 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list
 
         def slices() -> Iterator[list[list]]:
             for batch in batches:
-                for at in range(0, batch.num_rows, rows):
-                    yield [c.to_pylist() for c in batch.slice(at, rows).columns]
+                for at, n in _cuts(batch, rows, SLICE_CHARS):
+                    yield [c.to_pylist() for c in batch.slice(at, n).columns]
 
         for columns in fn(slices()):
             if columns and len(columns[0]):
@@ -76,11 +78,72 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list
     return df.mapInArrow(run, ddl)
 
 
-def smallest_hashes(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """The rows of the ``n`` smallest key hashes: a bounded sample that no partitioning changes.
+def quota_sample(df: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
+    """``df(doc_id, text, by)`` cut to a sample bounded in rows and in code points, shared evenly by the values of ``by``.
 
-    Only hashes travel to find the limit; rows (with their texts) are filtered in place.
+    Of each value the rows of smallest id hash come in, up to its share of both bounds, so partitions don't change the sample.
+    Before rows are ordered, each value is thinned by hash to about twice its share: what is sorted is bounded too, whatever a
+    value's part of all rows; ids and lengths are sorted, texts stay where they are.
     """
-    h = F.xxhash64(F.col(key).cast("string"))
-    top = df.select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return df.where(h <= F.lit(top)) if top is not None else df.limit(0)
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(2**31))
+    sizes = {r[0]: r[1] for r in df.groupBy(by).agg(F.count(F.lit(1))).collect()}
+    if not sizes:
+        return df.limit(0)
+    share = max(1, rows // len(sizes))
+    near = F.lit(False)
+    for value, n in sizes.items():
+        near |= F.col(by).eqNullSafe(F.lit(value)) & (h <= F.lit(int(min(1.0, 2 * (share + 50) / n) * 2**31)))
+    keys = df.where(near).select(by, "doc_id", h.alias("h"), F.length("text").alias("n"))
+    first = Window.partitionBy(by).orderBy("h", "doc_id")
+    placed = keys.withColumns({"place": F.row_number().over(first), "before": F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1))})
+    kept = placed.where((F.col("place") <= share) & (F.coalesce("before", F.lit(0)) < max(1, chars // len(sizes))))
+    last = {r[0]: r[1] for r in kept.groupBy(by).agg(F.max("h")).collect()}
+    taken = F.lit(False)
+    for value, top in last.items():
+        taken |= F.col(by).eqNullSafe(F.lit(value)) & (h <= F.lit(top))
+    return df.where(taken)
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """64-bit hash of each word, the same in every process; two words of a model share one with a chance below one in a million."""
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit hash of each pair of hashed words, in order."""
+    with np.errstate(over="ignore"):
+        x = first * np.uint64(0x9E3779B97F4A7C15) ^ (second + np.uint64(0x632BE59BD9B4E019))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+
+class Lookup:
+    """Distinct 64-bit keys with a row of values each, laid out by slot; where each slot begins is worked out where it is used."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys))))))
+        at = np.argsort(self._slot(keys), kind="stable")
+        self.keys, self.values = keys[at], values[at]
+        self.begins: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "begins": None}
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key among those that are here, -1 for others."""
+        if self.begins is None:
+            self.begins = np.concatenate([[0], np.cumsum(np.bincount(self._slot(self.keys), minlength=1 << self.bits))]).astype(np.int32)
+        slot = self._slot(keys)
+        at, stop = self.begins[slot], self.begins[slot + 1]
+        out, left = np.full(len(keys), -1, np.int64), np.flatnonzero(at < stop)
+        while len(left):  # as often as the fullest slot has keys: a few times
+            same = self.keys[at[left]] == keys[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        return out

@@ -3,12 +3,13 @@
 A known word scores by its log frequency in each language. An unseen word falls back to the longest n-grams of its
 characters (edges marked) of which any is known: length 5, then 4, down to single characters; it scores by their mean.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows``) and keeps ``max_words`` words and ``max_grams``
-n-grams, so what is broadcast is bounded; what falls outside is scored by the backoff itself.
+The model is fitted on a bounded sample of labelled rows, ``max_rows`` and ``max_chars`` code points, of which every language has
+an equal share, so a rare language is learned from a large table as from a small one. Every word and n-gram of the sample is
+kept; they are keyed by 64-bit hashes, so the model is arrays of 8 bytes an entry and 4 more for each language.
 
-Defined results: null text, or text without a letter, is ``und`` with score 0. If nothing was learned every text is
-``und``. A tie goes to the language with more training words, then to the first by name. Whole texts are read, rows
-that repeat count as they are, extra columns are dropped.
+Defined results: null text, empty text, or text without a letter, is ``und`` with score 0. If nothing was learned every text is
+``und``. A tie goes to the language with more training words, then to the first by name. Whole texts are read however long they are,
+rows that repeat a doc_id or a text count as they are, an empty table gives an empty result, extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -18,114 +19,129 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricepanel.llm.common import map_slices, smallest_hashes, sources, written
+from pricepanel.llm.common import Lookup, hashes, map_slices, quota_sample, sources, written
 
-#: Bounds of the sample and of the model.
-MAX_ROWS, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 100_000, 100_000, 5
-#: Distinct words that a task counts before it hands its counts on, and unseen words that it remembers.
-HELD = 200_000
+#: Bounds of the sample; longest n-gram.
+MAX_ROWS, MAX_CHARS, LONGEST = 20_000, 40_000_000, 5
+#: Distinct words that a task counts before it hands its counts on.
+HELD = 100_000
 words_of = re.compile(r"[^\W\d_]+").findall
 
 
-def _gram_lists(word: str) -> list[list[str]]:
+def grams_of(word: str, n: int) -> list[str]:
+    """The character n-grams of a word with its edges marked; single characters without the marks."""
+    if n == 1:
+        return list(word)
     marked = f"^{word}$"
-    return [[marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word) for n in range(LONGEST, 0, -1)]
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
 @dataclass
 class Model:
-    """Log frequencies by language of the kept words, then of the kept n-grams."""
+    """Log frequencies by language of the sample's words and n-grams."""
 
     langs: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    scores: np.ndarray
-    unknown: np.ndarray
-
-    def vector(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        if at is not None:
-            return self.scores[at]
-        for grams in _gram_lists(word):
-            if found := [self.grams[g] for g in grams if g in self.grams]:
-                return self.scores[found].mean(axis=0)
-        return self.unknown
-
-    def predict(self, text: str | None, memo: dict[str, np.ndarray]) -> tuple[str, float]:
-        own = words_of((text or "").lower())
-        if not self.langs or not any(c.isalpha() for w in own for c in w):
-            return "und", 0.0
-        if len(memo) > HELD:
-            memo.clear()
-        counts = Counter(own)
-        for w in counts:
-            if w not in memo:
-                memo[w] = self.vector(w)
-        total = np.array(list(counts.values()), float) @ np.array([memo[w] for w in counts])
-        best = int(total.argmax())
-        shares = np.exp((total - total[best]) * min(1.0, 50 / len(own)))
-        return self.langs[best], float(shares[best] / shares.sum())
-
-
-def _log_shares(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log frequencies by language for rows of counts."""
-    return np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * (len(counts) + 1)))
-
-
-def _tally(rows: DataFrame, grams: bool) -> DataFrame:
-    """``(lang, item, n)`` for words of texts, or for the n-grams of counted words; summed in the task first."""
+    words: Lookup
+    grams: Lookup
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of unseen words by the longest known n-grams."""
+        out, left = np.full((len(words), len(self.langs)), -math.log(1e6)), np.arange(len(words))
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            own = [grams_of(words[i], n) for i in left]
+            sizes = np.array([len(g) for g in own])
+            at = self.grams.places(hashes(list(chain.from_iterable(own))))
+            of = np.repeat(np.arange(len(left)), sizes)[at >= 0]
+            found = np.bincount(of, minlength=len(left))
+            total = np.zeros((len(left), len(self.langs)))
+            np.add.at(total, of, self.grams.values[at[at >= 0]])
+            met = found > 0
+            out[left[met]] = total[met] / found[met, None]
+            left = left[~met]
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        own = [words_of((t or "").lower()) for t in texts]
+        # Some characters that count as parts of words, such as raised figures, are no letters.
+        known = [bool(self.langs) and any(c.isalpha() for w in words for c in w) for words in own]
+        own = [words if k else [] for words, k in zip(own, known, strict=True)]
+        sizes = np.array([len(words) for words in own])
+        every = list(chain.from_iterable(own))
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if not every:
+            return langs, scores
+        keys = hashes(every)
+        at = self.words.places(keys)
+        vectors = self.words.values[at].astype(float)
+        missing = np.flatnonzero(at < 0)
+        _, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+        vectors[missing] = self._unseen([every[i] for i in missing[first]])[back]
+        held = np.flatnonzero(sizes)
+        totals = np.add.reduceat(vectors, (np.cumsum(sizes) - sizes)[held])
+        for i, total in zip(held, totals, strict=True):
+            best = int(total.argmax())
+            shares = np.exp((total - total[best]) * min(1.0, 50 / sizes[i]))
+            langs[i], scores[i] = self.langs[best], float(shares[best] / shares.sum())
+        return langs, scores
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """``(lang, word, n)``; summed in the task first."""
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         held: Counter = Counter()
-        for columns in slices:
-            for row in zip(*columns, strict=True):
-                if grams:
-                    lang, word, n = row
-                    for g in (g for own in _gram_lists(word) for g in own):
-                        held[lang, g] += n
-                else:
-                    lang, text = row
-                    held.update((lang, w) for w in words_of(text.lower()))
-            if len(held) > HELD:
-                yield [[k[0] for k in held], [k[1] for k in held], list(held.values())]
-                held.clear()
+        for langs, texts in slices:
+            for lang, text in zip(langs, texts, strict=True):
+                held.update((lang, w) for w in words_of(text.lower()))
+                if len(held) > HELD:
+                    yield [[k[0] for k in held], [k[1] for k in held], list(held.values())]
+                    held.clear()
         yield [[k[0] for k in held], [k[1] for k in held], list(held.values())]
 
-    return map_slices(rows, run, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    return map_slices(rows, run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def _parts(words: DataFrame) -> DataFrame:
+    """``(size, part, lang, n)``: hashes of the counted words (size 0) and of their n-grams."""
+
+    def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
+        for langs, words, counts in slices:
+            for n in range(LONGEST + 1):
+                own = [grams_of(w, n) if n else [w] for w in words]
+                sizes = [len(g) for g in own]
+                parts = hashes(list(chain.from_iterable(own))).view(np.int64)
+                yield [np.full(len(parts), n), parts, [lang for lang, k in zip(langs, sizes, strict=True) for _ in range(k)], np.repeat(counts, sizes)]
+
+    return map_slices(words, run, "size int, part long, lang string, n long", rows=4096).groupBy("size", "part", "lang").agg(F.sum("n").alias("n"))
+
+
+def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """Model of ``labelled(doc_id, text, lang)``; rows without text or lang teach nothing."""
     taught = sources(labelled, "doc_id", "text", "lang").where("text is not null and lang is not null")
-    words = written(_tally(smallest_hashes(taught, max_rows).select("lang", "text"), grams=False), "words")
-    grams = written(_tally(words, grams=True), "grams")
+    words = written(_words(quota_sample(taught, "lang", max_rows, max_chars).select("lang", "text")), "words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals, key=lambda k: (-totals[k], k))
-    at = {k: i for i, k in enumerate(langs)}
-
-    def top(rows: DataFrame, limit: int) -> tuple[dict[str, int], np.ndarray]:
-        per_item = rows.groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        kept = per_item.orderBy(F.desc("total"), "item").limit(limit).collect()
-        counts = np.zeros((len(kept), max(1, len(langs))))
-        for i, r in enumerate(kept):
-            for k, n in r["by"].items():
-                counts[i, at[k]] = n
-        return {r["item"]: i for i, r in enumerate(kept)}, counts
-
-    known, word_counts = top(words, max_words)
-    parts, part_counts = top(grams, max_grams)
+    number = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(langs) for x in (k, i))), F.col("lang")) if langs else F.lit(0)
+    # Bounded by the sample: hashes and counts only.
+    rows = _parts(words).select("size", "part", number.cast("int").alias("lang"), "n").toArrow()
+    size, part, lang, n = (rows[c].to_numpy() for c in ("size", "part", "lang", "n"))
     # n-grams of one length compete with each other only, so their frequencies are shares of that length.
-    part_scores = np.zeros_like(part_counts)
-    sizes = np.array([len(g) for g in parts])
-    for n in np.unique(sizes):
-        part_scores[sizes == n] = _log_shares(part_counts[sizes == n])
-    scores = np.vstack([_log_shares(word_counts), part_scores]) if len(langs) else np.zeros((0, 1))
-    return Model(langs, known, {g: len(known) + i for g, i in parts.items()}, scores, np.full(max(1, len(langs)), -math.log(1e6)))
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(LONGEST + 1):
+        keys, at = np.unique(part[size == k].view(np.uint64), return_inverse=True)
+        counts = np.zeros((len(keys), max(1, len(langs))))
+        np.add.at(counts, (at, lang[size == k]), n[size == k])
+        found.append((keys, np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * (len(keys) + 1))).astype(np.float32)))
+    return Model(langs, Lookup(*found[0]), Lookup(*map(np.concatenate, zip(*found[1:], strict=True))))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -133,9 +149,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
-        memo: dict[str, np.ndarray] = {}
         for ids, texts in slices:
-            found = [shared.value.predict(t, memo) for t in texts]
-            yield [ids, [f[0] for f in found], [f[1] for f in found]]
+            yield [ids, *shared.value.predict(texts)]
 
     return map_slices(sources(docs, "doc_id", "text"), run, "doc_id long, lang_pred string, score double")

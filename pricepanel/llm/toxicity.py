@@ -4,44 +4,52 @@ Toxic and ordinary texts each have a bigram model. The class's unigrams are cont
 a word comes), so copies of a text add nothing. Every count is discounted by ``DISCOUNT``, the same at every size; the mass taken
 from a word or a bigram in either class goes back to it in shares that both classes have in common, a bigram's in proportion to the
 class's continuation unigram. So what was seen once is nearly as likely under one model as under the other, and what was seen often in one only isn't.
+A history that only one class has seen tells nothing of the other, so there both models back off to the unigrams.
 
-The log-likelihoods are compared word by word: the ratio of the bigram where it is known, else that of the word. A plain sum of them
-would follow language and topic, of which many words each give a little. So ratios are summed by size, in the bands between ``CUTS``;
-each band's sum per word and its saturating sum (since a rate says little on a few words) are the features of a logistic function. It is
-fitted on training rows that the counts have not seen, at the classes' own frequencies, and says what evidence of each size is worth.
+A text's evidence is the difference of its log-likelihoods under the two models, divided by its length: that of the whole text, and
+those of its most toxic expressions of one, two and four words, since a few insults say little about a long text's mean. A logistic
+function of these, fitted on training rows that the counts have not seen, is the score. No count is dropped and no ratio is cut off.
 
-The models are fitted on a bounded sample, ``max_per_class`` labelled rows of each class and as many of one as of the other; they keep the
-``max_entries`` most frequent words and as many bigrams, so what is broadcast is bounded; up to there all are kept.
+The models are fitted on a bounded sample: ``max_toxic`` labelled rows of one class, ``max_ordinary`` of the other, and ``max_chars``
+code points in all. Every word and bigram of the sample is kept; words are keyed by 64-bit hashes, so the model is
+two arrays of 12 bytes an entry, and has fewer entries than the sample has code points.
 
 Defined results: empty and null texts have no evidence and a score like any other; several labels of a document count as toxic if
 one is; labels without a document teach nothing; without labels of both classes every score is 0. Equal texts in the sample teach
-once. Extra columns are dropped by :func:`score` and kept by :func:`drop_toxic`.
+once, whatever order equal hashes come in; rows that repeat a doc_id are scored each; very long texts are scored whole, in pieces; an
+empty table gives an empty result. Extra columns are dropped by :func:`score` and kept by :func:`drop_toxic`.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricepanel.llm.common import map_slices, sources, written
+from pricepanel.llm.common import Lookup, hashes, map_slices, pair_hashes, quota_sample, sources, written
 
-#: Bounds of the sample and of the model; one labelled row in ``FOLDS`` fits the logistic function.
-MAX_PER_CLASS, MAX_ENTRIES, FOLDS = 5_000, 200_000, 5
-#: Kneser-Ney discount, and the sizes of log ratios (nats) that bound the bands.
-DISCOUNT, CUTS = 0.75, (1.0, 2.0, 3.0, 4.0, 5.0)
-#: Intercept and weights of the bands (sums per word, saturating sums) where no row is left to fit them on; ridge of the fit.
-UNFITTED, RIDGE = (-1.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 1.0, 2.0, 3.0, 3.0, 3.0), 0.005
+#: Bounds of the sample; one labelled row in ``FOLDS`` fits the logistic function.
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, FOLDS = 3_000, 9_000, 40_000_000, 5
+#: Kneser-Ney discount, and the words of an expression.
+DISCOUNT, EXPRESSIONS = 0.75, (1, 2, 4)
+#: Intercept and weights (whole text, expressions) where no row is left to fit them on; ridge of the fit.
+UNFITTED, RIDGE = (-6.0, 0.0, 1.0, 1.0, 0.0), 0.005
 #: Distinct bigrams that a task counts before it hands its counts on.
-HELD = 300_000
+HELD = 100_000
 words_of = re.compile(r"\w+").findall
+#: Stands before a text's first word.
+START = hashes([""])
+
+
+def _none() -> Lookup:
+    return Lookup(np.zeros(0, np.uint64), np.zeros(0, np.float32))
 
 
 @dataclass
@@ -49,71 +57,78 @@ class Model:
     """Log-likelihood ratios (toxic to ordinary) by word and by bigram, and the logistic weights."""
 
     rare: float = 0.0
-    word: dict[str, float] = field(default_factory=dict)
-    bigram: dict[tuple[str, str], float] = field(default_factory=dict)
+    word: Lookup = field(default_factory=_none)
+    bigram: Lookup = field(default_factory=_none)
     weights: tuple[float, ...] | None = None
 
-    def ratios(self, text: str | None) -> list[float]:
-        """Log-likelihood ratio of each word of the text."""
-        own = words_of((text or "").lower())
-        word, bigram, rare = self.word.get, self.bigram.get, self.rare
-        return [word(w, rare) if (known := bigram((v, w))) is None else known for v, w in zip(["", *own], own, strict=False)]
+    def ratios(self, words: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each of a text's hashed words: of the bigram where both classes know its history, else of the word."""
+        at = self.word.places(words)
+        out = np.where(at >= 0, self.word.values[at] if len(self.word.keys) else 0.0, self.rare)
+        at = self.bigram.places(pair_hashes(np.concatenate([START, words[:-1]]), words)) if len(words) else at
+        known = at >= 0
+        out[known] = self.bigram.values[at[known]]
+        return out
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
-            return 0.0
-        x = float(np.dot(self.weights, features(self.ratios(text))))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+            return np.zeros(len(texts))
+        x = np.array([features(self.ratios(hashes(words_of((t or "").lower())))) for t in texts]).reshape(-1, len(self.weights)) @ np.array(self.weights)
+        return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def features(ratios: list[float]) -> list[float]:
-    """Intercept, then of each band the ratios' sum per word, then of each their saturating sum."""
-    own = np.array(ratios, float)
-    total = np.bincount(np.searchsorted(CUTS, np.abs(own)), own, len(CUTS) + 1)
-    return [1.0, *(10 * total / max(len(own), 1)).tolist(), *(total / (5 + np.abs(total))).tolist()]
+def features(ratios: np.ndarray) -> list[float]:
+    """Intercept, then the log-likelihood ratio per word of the whole text and of its most toxic expression of each length."""
+    if not len(ratios):
+        return [0.0 if i else 1.0 for i in range(len(EXPRESSIONS) + 2)]
+    total = np.concatenate([[0.0], np.cumsum(ratios, dtype=float)])
+    sizes = [min(n, len(ratios)) for n in EXPRESSIONS]
+    return [1.0, float(total[-1]) / len(ratios), *(float((total[n:] - total[:-n]).max()) / n for n in sizes)]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_per_class: int) -> tuple[DataFrame, dict[int, int]]:
+def _sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int], max_chars: int) -> tuple[DataFrame, dict[int, int]]:
     """``(toxic, calibrates, text)`` of the rows of smallest id hash in each class, and the class sizes."""
     h = F.xxhash64(F.col("doc_id").cast("string"))
     known = sources(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = written(known.withColumn("h", h), "labels")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # At most 2 * max_per_class ids: a proven bound for the broadcast.
-    each = min([max_per_class, *sizes.values()]) if len(sizes) == 2 else 0
-    picked = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(each) for c in (0, 1)]
+    # At most max_toxic + max_ordinary ids: a proven bound for the broadcast.
+    picked = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(most[c] if len(sizes) == 2 else 0) for c in (0, 1)]
     picked = F.broadcast(written(picked[0].union(picked[1]), "sampled-labels"))
     rows = sources(docs, "doc_id", "text").where("text is not null").join(picked, "doc_id")
+    rows = written(quota_sample(written(rows, "labelled"), "toxic", 2 * sum(most), max_chars), "quota")
     calibrates = F.pmod(F.shiftrightunsigned("h", 7), F.lit(FOLDS)) == 0
-    rows = rows.select("toxic", calibrates.cast("int").alias("calibrates"), "text").dropDuplicates(["toxic", "text"])
-    return written(rows, "toxicity-sample"), sizes
+    # Of equal texts one row stays, by text: which one it is changes nothing but the fold.
+    own = rows.groupBy("toxic", "text").agg(F.min(calibrates.cast("int")).alias("calibrates"))
+    return written(own.select("toxic", "calibrates", "text"), "toxicity-sample"), sizes
 
 
 def _bigrams(rows: DataFrame) -> DataFrame:
-    """``(v, w, n0, n1)``: ordinary and toxic texts with each bigram, the empty string before the first word; summed in the task first."""
+    """``(v, w, n0, n1)``: hashed words, and the ordinary and toxic texts with each bigram; summed in the task first."""
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         held: Counter = Counter()
 
         def out() -> list[list]:
-            return [*map(list, zip(*held, strict=True)), list(held.values())] if held else []
+            return [np.array(c) for c in (*zip(*held, strict=True), list(held.values()))] if held else []
 
         for classes, texts in slices:
             for c, text in zip(classes, texts, strict=True):
-                own = words_of(text.lower())
-                held.update({(c, v, w) for v, w in zip(["", *own], own, strict=False)})
-            if len(held) > HELD:
-                yield out()
-                held.clear()
+                own = hashes(words_of(text.lower()))
+                pairs = np.unique(np.stack([np.concatenate([START, own[:-1]]), own]).view(np.int64), axis=1) if len(own) else np.zeros((2, 0), np.int64)
+                held.update(zip([c] * pairs.shape[1], *pairs.tolist(), strict=True))
+                if len(held) > HELD:
+                    yield out()
+                    held.clear()
         yield out()
 
-    counted = map_slices(rows, run, "toxic int, v string, w string, n long")
+    counted = map_slices(rows, run, "toxic int, v long, w long, n long")
     return counted.groupBy("v", "w").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_entries: int = MAX_ENTRIES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_chars: int = MAX_CHARS) -> Model:
     """Model of the labelled documents; callers pass the training labels only."""
-    rows, sizes = _sample(docs, labels, max_per_class)
+    rows, sizes = _sample(docs, labels, (max_ordinary, max_toxic), max_chars)
     model = Model()
     if len(sizes) < 2:
         return model
@@ -126,25 +141,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
         return model
     k, taken = (total["k0"], total["k1"]), (total["d0"], total["d1"])
     model.rare = math.log(taken[1] / k[1]) - math.log(taken[0] / k[0])
-    for r in by_word.orderBy(F.desc(F.col("k0") + F.col("k1")), "w").limit(max_entries).toLocalIterator():
-        shared = sum(min(r[f"k{c}"], DISCOUNT) for c in (0, 1)) / sum(taken)
-        p = tuple((max(r[f"k{c}"] - DISCOUNT, 0) + taken[c] * shared) / k[c] for c in (0, 1))
-        model.word[sys.intern(r["w"])] = math.log(p[1] / p[0])
+    shared = (less("k0") + less("k1")) / F.lit(sum(taken))
+    chance = lambda c: (F.greatest(F.col(f"k{c}") - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(taken[c]) * shared) / F.lit(float(k[c]))
+    words = written(by_word.select("w", F.log(chance(1) / chance(0)).alias("ratio")), "word-ratios")
     # Only a history that both classes have says how likely a word after it is in each.
     by_history = pairs.groupBy("v").agg(*(F.sum(f"n{c}").alias(f"v{c}") for c in (0, 1))).where(F.least("v0", "v1") > 0)
-    known = pairs.join(written(by_history, "by-history"), "v")
-    for r in known.orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w").limit(max_entries).toLocalIterator():
-        shared = sum(min(r[f"n{c}"], DISCOUNT) for c in (0, 1)) / (r["v0"] + r["v1"])
-        toxic = 1 / (1 + math.exp(-model.word.get(r["w"], model.rare)))
-        p = [max(r[f"n{c}"] - DISCOUNT, 0) / r[f"v{c}"] + shared * 2 * part for c, part in ((0, 1 - toxic), (1, toxic))]
-        model.bigram[sys.intern(r["v"]), sys.intern(r["w"])] = math.log(p[1] / p[0])
+    known = pairs.join(written(by_history, "by-history"), "v").join(words, "w")
+    back = (less("n0") + less("n1")) / (F.col("v0") + F.col("v1"))
+    toxic = 1 / (1 + F.exp(-F.col("ratio")))
+    after = lambda c, part: F.greatest(F.col(f"n{c}") - F.lit(DISCOUNT), F.lit(0.0)) / F.col(f"v{c}") + 2 * back * part
+    bigrams = known.select("v", "w", F.log(after(1, toxic) / after(0, 1 - toxic)).alias("ratio"))
+    # Bounded by the sample: each of its code points can begin one word at most.
+    table = words.toArrow()
+    model.word = Lookup(table["w"].to_numpy().view(np.uint64), table["ratio"].to_numpy().astype(np.float32))
+    table = bigrams.toArrow()
+    keys = pair_hashes(*(table[c].to_numpy().view(np.uint64) for c in ("v", "w")))
+    model.bigram = Lookup(keys, table["ratio"].to_numpy().astype(np.float32))
     model.weights = _weights(model, rows.where("calibrates = 1").select("toxic", "text"), sizes)
     return model
 
 
 def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[float, ...]:
     """Weights of the logistic function by Newton steps, each class weighing as much as all its labels; none but the intercept is negative."""
-    found = _with_features(rows, model).collect()
+    found = _with_features(rows, model).collect()  # three numbers a row of the sample
     y = np.array([r["toxic"] for r in found], float)
     if not 0 < y.sum() < len(y):
         return UNFITTED
@@ -155,7 +174,7 @@ def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[floa
     while True:
         w = np.where(used > 0, 0.5, math.log(sizes[1] / sizes[0]))
         own, ridge = x[:, used], np.where(used > 0, RIDGE, 0.0)
-        for _ in range(50):
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
             gradient = own.T @ (per * (p - y)) + ridge * w
             curve = (own * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ own + np.diag(ridge + 1e-6)
@@ -176,7 +195,7 @@ def _with_features(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         for classes, texts in slices:
-            yield [classes, [features(shared.value.ratios(t)) for t in texts]]
+            yield [classes, [features(shared.value.ratios(hashes(words_of(t.lower())))) for t in texts]]
 
     return map_slices(rows, run, "toxic int, features array<double>")
 
@@ -187,21 +206,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         for ids, texts in slices:
-            scores = [shared.value.score(t) for t in texts]
-            yield [ids, scores, [int(s >= 0.5) for s in scores]]
+            scores = shared.value.scores(texts)
+            yield [ids, scores, (scores >= 0.5).astype(np.int32)]
 
     return map_slices(sources(docs, "doc_id", "text"), run, "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, whose text isn't predicted toxic; no shuffle."""
-    import pyarrow as pa
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                yield part.filter(pa.array(shared.value.scores(part.column(at).to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,8 +4,8 @@ Ranks come from a file of the ``tiktoken`` form. Each rank's bytes are written w
 byte-to-character table, so the library's BPE model sees text; a token's merges are all its splits into two known
 tokens, in rank order. Every match of the split pattern is encoded on its own.
 
-Defined results: a null or empty text has no tokens; no special token is ever produced or read; texts are processed
-whole; rows with equal ids or texts are independent; extra columns of the input are dropped.
+Defined results: a null or empty text has no tokens; no special token is ever produced or read; very long texts are processed
+whole; rows with equal ids or texts are independent; an empty table gives an empty result; extra columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pricepanel.llm.common import map_slices, sources
 
 #: White space around a space: only there can a match of the pattern reach over a space between two words.
 WIDE_SPACE = regex.compile(r"\s (?:\s|\Z)").search
-#: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMO_WORDS = 500_000
+#: Bytes of words, ids and their objects that an encoder remembers; beyond it the memory starts anew. Words longer than ``MEMO_LONGEST`` aren't kept.
+MEMO_BYTES, MEMO_LONGEST = 64 << 20, 64
+#: Ids that are decoded at a time.
+PIECE = 1 << 16
 
 
 def byte_table() -> list[str]:
@@ -55,26 +57,33 @@ class Codec:
         for token in sorted(ranks, key=ranks.get):
             splits = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += sorted(splits, key=lambda s: (ranks[s[0]], ranks[s[1]]))
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
         self.model = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=[(spell(a), spell(b)) for a, b in merges], ignore_merges=True, cache_capacity=0))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
         # A space before a word always starts a match, so words with the space before them are encoded once each.
         words = [t.split(" ") if not WIDE_SPACE(t) else [t] for t in texts]
-        unseen = list({w for own in words for w in own[1:] if w not in self.memo})
+        memo = self.memo
+        unseen = list({w for own in words for w in own[1:] if w not in memo})
         starts = [own[0] for own in words]
         found = self._pieces([" " + w for w in unseen] + starts)
-        self.memo.update(zip(unseen, found, strict=False))
-        get = self.memo.__getitem__
-        return [first + b"".join(map(get, own[1:])) for first, own in zip(found[len(unseen) :], words, strict=True)]
+        new = dict(zip(unseen, found, strict=False))
+        get = lambda w: new[w] if (known := memo.get(w)) is None else known
+        out = [first + b"".join(map(get, own[1:])) for first, own in zip(found[len(unseen) :], words, strict=True)]
+        short = {w: ids for w, ids in new.items() if len(w) <= MEMO_LONGEST}
+        # An entry is two objects of some 50 bytes more than what they hold, and a place in the table.
+        size = sum(len(w) + len(ids) for w, ids in short.items()) + 200 * len(short)
+        if self.memo_bytes + size > MEMO_BYTES:
+            memo.clear()
+            self.memo_bytes = 0
+        if size <= MEMO_BYTES:
+            memo.update(short)
+            self.memo_bytes += size
+        return out
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that are split by the pattern; equal pieces are encoded once."""
@@ -87,27 +96,54 @@ class Codec:
                 ids[piece] = np.array(found.ids, "<u4").tobytes()
         return [b"".join(map(ids.__getitem__, own)) for own in pieces]
 
+
+class Table:
+    """The bytes of each id of a rank file, laid end to end: what decoding needs."""
+
+    def __init__(self, path: str) -> None:
+        ranks = read_ranks(path)
+        by_rank = sorted(ranks, key=ranks.get)
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[[ranks[t] for t in by_rank]] = [len(t) for t in by_rank]
+        self.begin = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(by_rank), np.uint8)
+
+    def bytes_of(self, token: int) -> bytes:
+        return self.raw[self.begin[token] : self.begin[token] + self.size[token]].tobytes()
+
     def offsets(self, text: str, packed: bytes) -> list[list[int]]:
         """Start and end character of each token; a token that holds part of a character covers the whole of it."""
-        sizes = np.array([len(self.bytes_of[i]) for i in np.frombuffer(packed, "<u4")], np.int64)
+        sizes = self.size[np.frombuffer(packed, "<u4")]
         raw = np.frombuffer(text.encode(), np.uint8)
         char_of_byte = np.cumsum((raw & 0xC0) != 0x80) - 1
         ends = np.cumsum(sizes)
         return [char_of_byte[ends - sizes].tolist(), (char_of_byte[ends - 1] + 1).tolist()] if len(ends) else [[], []]
 
     def decode_bytes(self, packed: bytes) -> bytes:
-        """The bytes that the ids stand for."""
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
-
-
-@lru_cache(maxsize=4)
+        """The bytes that the ids stand for, in any cut: a character split over ids comes back whole when they meet."""
+        out = []
+        for at in range(0, len(packed), 4 * PIECE):
+            ids = np.frombuffer(packed[at : at + 4 * PIECE], "<u4")
+            sizes = self.size[ids]
+            # Each byte's place: its token's begin, plus how far it is into the token.
+            within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out.append(self.raw[np.repeat(self.begin[ids], sizes) + within].tobytes())
+        return b"".join(out)
+
+
+# A worker keeps one encoder and one table at a time, so what it holds doesn't grow with the rank files it has met.
+@lru_cache(maxsize=1)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, offsets: bool = False) -> DataFrame:
-    """Ids of every whole text: ``(id_col, n_tokens long, ids)``.
+@lru_cache(maxsize=1)
+def table(path: str) -> Table:
+    return Table(path)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ids of every whole text: ``(id_col, keep columns, n_tokens long, ids)``.
 
     ``ids`` is an array of ints or, with ``packed``, the little-endian 32-bit form that loaders read. With ``offsets``
     two arrays follow: the first character of each token and the one after its last.
@@ -115,21 +151,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         c = codec(path, pattern)
-        for keys, texts in slices:
+        for *kept, texts in slices:
             texts = [t or "" for t in texts]
             ids = c.encode_packed(texts)
-            out = [keys, [len(i) // 4 for i in ids], ids if packed else [np.frombuffer(i, "<u4").tolist() for i in ids]]
+            out = [*kept, [len(i) // 4 for i in ids], ids if packed else [np.frombuffer(i, "<u4").tolist() for i in ids]]
             if offsets:
-                found = [c.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
+                found = [table(path).offsets(t, i) for t, i in zip(texts, ids, strict=True)]
                 out += [[f[0] for f in found], [f[1] for f in found]]
             yield out
 
-    kind = docs.schema[id_col].dataType.simpleString().replace("bigint", "long")
-    ddl = f"{id_col} {kind}, n_tokens long, ids {'binary' if packed else 'array<int>'}" + ", starts array<int>, ends array<int>" * offsets
-    return map_slices(sources(docs, id_col, text_col), run, ddl)
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString().replace('bigint', 'long')}" for n in (id_col, *keep))
+    ddl = f"{kinds}, n_tokens long, ids {'binary' if packed else 'array<int>'}" + ", starts array<int>, ends array<int>" * offsets
+    return map_slices(sources(docs, id_col, *keep, text_col), run, ddl)
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decode(tokens: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``decoded binary`` for the packed ``ids`` of :func:`encode`, with the ``keep`` columns.
 
     Bytes are joined before any reading as text, so characters split over tokens come back whole; ids cut within a
@@ -137,18 +173,27 @@ def decode(tokens: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = (
     """
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
-        c = codec(path, pattern)
+        own = table(path)
         for columns in slices:
-            yield [*columns, [c.decode_bytes(i or b"") for i in columns[-1]]]
+            yield [*columns, [own.decode_bytes(i or b"") for i in columns[-1]]]
 
     names = (*keep, "ids")
     kinds = {f.name: f.dataType.simpleString().replace("bigint", "long") for f in tokens.schema}
     return map_slices(sources(tokens, *names), run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", decoded binary")
 
 
+def coded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids binary, decoded binary``: :func:`encode` and :func:`decode` in one pass of one worker a task."""
+
+    def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
+        c, own = codec(path, pattern), table(path)
+        for keys, texts in slices:
+            ids = c.encode_packed([t or "" for t in texts])
+            yield [keys, [len(i) // 4 for i in ids], ids, [own.decode_bytes(i) for i in ids]]
+
+    return map_slices(sources(docs, "doc_id", "text"), run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document the token count and digests of the ids and of what they decode to."""
-    tokens = encode(docs, path, pattern, packed=True)
-    return decode(tokens, path, pattern, keep=("doc_id", "n_tokens")).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """Per document the token count, and digests of the ids and of what they decode to."""
+    return coded(docs, path, pattern).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

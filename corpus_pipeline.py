@@ -30,6 +30,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return written(_documents(docs).withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
+def _kept(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The numbered rows that ``kept(row)`` names. Ids aren't broadcast, however few: the plan is the same at every size."""
+    return rows.join(written(kept, "kept-rows").hint("shuffle_hash"), "row", "left_semi").select(*COLUMNS)
+
+
 def _by_row(rows: DataFrame) -> DataFrame:
     """``rows`` as an operator takes them, with the row id for a doc_id."""
     return rows.select(F.col("row").alias("doc_id"), "text")
@@ -46,16 +51,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     rows = _numbered(docs)
     groups = exact_dedup.dedup(_by_row(rows)).select(F.col("doc_id").alias("row"), F.col("text_sha256").alias("of"))
     sizes = rows.select("row", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    kept = written(_firsts(sizes.join(groups, "row"), -F.col("chars")), "kept-rows")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    return _kept(rows, _firsts(sizes.join(groups, "row"), -F.col("chars")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The one row of smallest doc_id (null last) of each SimHash component."""
     rows = _numbered(docs)
     groups = simhash.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("of"))
-    kept = written(_firsts(rows.select("row", "doc_id").join(groups, "row")), "kept-rows")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    return _kept(rows, _firsts(rows.select("row", "doc_id").join(groups, "row")))
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +71,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document that is left, with digests of them and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = bpe.encode(docs, path, pattern, packed=True)
-    return bpe.decode(tokens, path, pattern, keep=("doc_id", "n_tokens")).select(
+    return bpe.coded(docs, path, pattern).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -6,9 +6,13 @@ first level where no other wants it, and the rank of that bit is its slot). A sl
 the group's winner. A lookup computes the slot and compares all 32 bytes: equal means a repeat of history, unequal
 means a new text, which is grouped among the new ones.
 
+A table without a history of its own is cut in two by document id: the digests of one half are indexed, those of the other are
+looked up. Members join the group in their slot, whose winner is then settled between both; nonmembers are groups of their own.
+
 Defined results: null counts as empty text, and empty texts are one group. Of a group the row with the most code points
 stays, then the smallest doc_id; a null doc_id loses to any other. Rows that repeat a doc_id are one document:
-all rows of the winning doc_id are ``kept``. An empty table gives an empty result. Extra columns are dropped.
+all rows of the winning doc_id are ``kept``. Very long texts are read whole, one at a time. An empty table gives an empty result. Extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricepanel.llm.common import arrow_type, map_slices, sources, written
+from pricepanel.llm.common import arrow_type, map_slices, remainder, sources, written
 
 #: Digests that a shard of the index holds on average; a task builds or reads one shard at a time.
 SHARD_DIGESTS = 20_000
@@ -165,6 +169,9 @@ class DigestIndex:
         return asked.cogroup(self.rows.groupBy("shard")).applyInArrow(probe, FOUND)
 
 
+WINNERS = ("digest", "keep_id", "group_size")
+
+
 def resolve(batch: DataFrame, index: DigestIndex) -> DataFrame:
     """Groups of a batch against history: ``(digest, keep_id, group_size, known)``; history and batch count together."""
     grouped = batch.withColumnsRenamed({"keep_id": "new_id", "keep_chars": "new_chars", "group_size": "new_size"})
@@ -179,18 +186,24 @@ def resolve(batch: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
+def _by_halves(rows: DataFrame) -> DataFrame:
+    """``(digest, keep_id, group_size)`` of all rows: one half is the history, the other the batch that is looked up in it."""
+    half = remainder("doc_id", 2)
+    history = written(groups(rows.where(half == 0)), "history-groups")
+    batch = written(groups(rows.where(half == 1)), "batch-groups")
+    resolved = written(resolve(batch, DigestIndex.build(history)), "resolved")
+    met = resolved.where("known").select("digest")
+    return history.join(met, "digest", "left_anti").select(*WINNERS).union(resolved.select(*WINNERS))
+
+
 def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """Per document ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    With ``index``, ``docs`` is a new batch whose repeats of history are dropped too. Without it the table is its own
-    history: the index is built over its distinct digests and every row is looked up in it.
+    With ``index``, ``docs`` is a new batch whose repeats of history are dropped too. Without it one half of the table is the
+    history of the other.
     """
     rows = written(digests(docs), "digests")
-    grouped = written(groups(rows), "digest-groups")
-    if index is None:
-        found = DigestIndex.build(grouped).lookup(grouped).select("digest", F.col("old_id").alias("keep_id"), F.col("old_size").alias("group_size"))
-    else:
-        found = resolve(grouped, index).drop("known")
+    found = _by_halves(rows) if index is None else resolve(written(groups(rows), "batch-groups"), index).select(*WINNERS)
     # Both sides are plain tables, so a group with a large part of all rows is a skewed join that Spark splits.
     return rows.join(written(found, "digest-winners"), "digest").select(
         "doc_id",

@@ -8,14 +8,15 @@ A rule is a pattern and a test of its matches: matches are leftmost and don't ov
 taken their text. Spans are code points, end exclusive.
 
 Defined results: null counts as empty text; empty texts have no spans; rows that repeat a path and version are reported each;
-null paths are reported; a batch ingested again changes nothing; extra columns are dropped.
+null paths are reported; a batch ingested again changes nothing; very long texts are scanned whole; an empty table gives an empty
+report; extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricepanel.llm.common import sources, written
@@ -42,26 +43,28 @@ RULES = (
 
 def scan(texts: DataFrame, rules: tuple[Rule, ...], key: str = "blob") -> DataFrame:
     """``(key, kind, version, start, end)`` of ``texts(key, text, due)``, where a key may repeat with its text; ``due`` has the kinds to scan a text for."""
-    found = []
-    for r in rules:
-        # The text is tested only where the scan is due, which the ledger says: the test can't move ahead of the ledger's join.
-        hit = texts.where(F.when(F.array_contains("due", r.kind), F.col("text")).rlike(r.pattern))
-        sizes = lambda parts: F.transform(parts, F.length)
+    lengths = lambda parts: F.transform(parts, F.length)
+    none = F.array().cast("array<struct<rule:int,i:int,gap:int,size:int,tested:int>>")
+
+    def places(k: int, r: Rule) -> Column:
         # What stands between matches and the matches themselves take turns, so running sums of lengths give places.
         parts = F.arrays_zip(
-            sizes(F.split("text", r.pattern, -1)).alias("gap"),
-            sizes(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias("size"),
-            sizes(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).alias("tested"),
+            lengths(F.split("text", r.pattern, -1)).alias("gap"),
+            lengths(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))).alias("size"),
+            lengths(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).alias("tested"),
         )
-        # Equal rows of a path and version bring a text more than once: each place counts once. Only places travel here, no text.
-        rows = hit.select(key, F.posexplode(parts).alias("i", "p")).select(key, "i", "p.*").dropDuplicates([key, "i"])
-        before = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(Window.partitionBy(key).orderBy("i"))
-        placed = rows.withColumn("end", before).where(F.col("tested") >= r.least)
-        found.append(placed.select(key, F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), (F.col("end") - F.col("size")).alias("start"), "end"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+        numbered = F.transform(parts, lambda p, i: F.struct(F.lit(k).alias("rule"), i.alias("i"), p["gap"].alias("gap"), p["size"].alias("size"), p["tested"].alias("tested")))
+        # The text is tested only where the scan is due, which the ledger says: the test can't move ahead of the ledger's join.
+        return F.when(F.array_contains("due", r.kind) & F.col("text").rlike(r.pattern), numbered).otherwise(none)
+
+    # Each text is read once for all rules; only places travel from here, no text.
+    rows = texts.select(key, F.explode(F.concat(*(places(k, r) for k, r in enumerate(rules)))).alias("p")).select(key, "p.*")
+    # Equal rows of a path and version bring a text more than once: each place counts once.
+    rows = rows.dropDuplicates([key, "rule", "i"])
+    before = F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(Window.partitionBy(key, "rule").orderBy("i"))
+    of = lambda field: F.element_at(F.array(*(F.lit(getattr(r, field)) for r in rules)), F.col("rule") + 1)
+    placed = rows.withColumn("end", before).where(F.col("tested") >= of("least"))
+    return placed.select(key, of("kind").alias("kind"), of("version").alias("version"), (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 class Ledger:

@@ -5,12 +5,15 @@ A store has a ledger of batches. A batch holds changes ``(op, doc_id, tokenizer,
 ones away, a revision does both. Totals are sums of signed rows, so they need no recount and any order of batches gives the same.
 
 A batch is written in a folder of its own name and counts once that folder is complete, so a repeated commit changes nothing,
-and one that a lost driver left half-way is written anew. :meth:`Rollups.compact` folds committed batches into one.
+and one that a lost driver left half-way is written anew. A commit looks up the facts of its own documents only. :meth:`Rollups.compact`
+folds committed batches into one: the list of its members is written first, its rows under a name of their own next, and only a
+complete base takes its members' place, so it can be tried again after any loss.
 
 Defined results: an insert of a document that the store has counts as a revision, a delete or revision of an unknown
 one as nothing or as an insert; of several changes of one document in a batch the one of highest ``seq`` counts, then
-delete before revise before insert, then the largest count; null source or lang are groups of their own; null tokens count as 0; changes without doc_id or tokenizer are
-dropped; an empty batch is committed and changes nothing; groups whose documents are all gone are not returned.
+delete before revise before insert, then the largest count, then the last source and language by name; null source or lang are groups of their own;
+null tokens count as 0; changes without doc_id or tokenizer are dropped; an empty batch is committed and changes nothing; groups whose
+documents are all gone are not returned; very long texts are counted whole; extra columns of changes are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricepanel.llm import bpe
 from pricepanel.llm.common import sources
 
 KEY = ["doc_id", "tokenizer"]
@@ -43,6 +47,11 @@ def counted(docs: DataFrame, tokenizer: str, count: Column, op: str = "insert",
     )
 
 
+def bpe_counted(docs: DataFrame, tokenizer: str, path: str, pattern: str, op: str = "insert", seq: int = 0) -> DataFrame:
+    """Changes that give each document its number of byte-level BPE tokens by the ranks in ``path``, as tokenizer version ``tokenizer``."""
+    return counted(bpe.encode(docs, path, pattern, packed=True, keep=("source", "lang")), tokenizer, F.col("n_tokens"), op, seq)
+
+
 class Rollups:
     """A store at ``path``, a folder that driver and executors share."""
 
@@ -61,22 +70,30 @@ class Rollups:
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(path(f"{s.getPath()}/_SUCCESS"))]
-        names = [n for n in names if not n.endswith("-members")]
+        names = [n for n in names if not n.startswith("members-")]
         folded = {n for base in names if base.startswith("base-") for n in self._members(base)}
         return sorted(set(names) - folded)
 
     def _members(self, base: str) -> list[str]:
-        return [r["value"] for r in self.spark.read.text(f"{self.path}/{base}-members").collect()]
+        return [r["value"] for r in self.spark.read.text(f"{self.path}/members-{base}").collect()]
 
-    def ledger(self) -> DataFrame:
-        """All signed rows that count."""
-        names = self.committed()
+    def _ledger(self, names: list[str]) -> DataFrame:
         empty = self.spark.createDataFrame([], SIGNED)
         return self.spark.read.schema(SIGNED).parquet(*(f"{self.path}/{n}" for n in names)) if names else empty
 
-    def facts(self) -> DataFrame:
-        """The current facts of each document and tokenizer version."""
-        facts = self.ledger().groupBy(*KEY, "source", "lang", "tokens").agg(F.sum("sign").alias("sign"))
+    def ledger(self) -> DataFrame:
+        """All signed rows that count."""
+        return self._ledger(self.committed())
+
+    def facts(self, of: DataFrame | None = None) -> DataFrame:
+        """The current facts of each document and tokenizer version, or of those ``of`` names."""
+        rows = self.ledger()
+        rows = rows if of is None else rows.join(of.select(*KEY), KEY, "left_semi")
+        return self._net(rows)
+
+    @staticmethod
+    def _net(rows: DataFrame) -> DataFrame:
+        facts = rows.groupBy(*KEY, "source", "lang", "tokens").agg(F.sum("sign").alias("sign"))
         return facts.where("sign > 0").drop("sign")
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
@@ -89,7 +106,7 @@ class Rollups:
         known = sources(changes, "op", "seq", *KEY, "source", "lang", "tokens").where("doc_id is not null and tokenizer is not null")
         rank = F.when(F.col("op") == "delete", 2).when(F.col("op") == "revise", 1).otherwise(0)
         last = known.groupBy(*KEY).agg(F.max(F.struct("seq", rank.alias("rank"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "source", "lang")).alias("new"))
-        old = self.facts().select(*KEY, F.struct("source", "lang", "tokens").alias("old"))
+        old = self.facts(last).select(*KEY, F.struct("source", "lang", "tokens").alias("old"))
         met = last.join(old, KEY, "left")
         side = lambda c, sign: F.struct(F.col(f"{c}.source").alias("source"), F.col(f"{c}.lang").alias("lang"), F.col(f"{c}.tokens").alias("tokens"), F.lit(sign).alias("sign"))
         rows = F.concat(
@@ -99,17 +116,21 @@ class Rollups:
         met.select(*KEY, F.explode(rows).alias("r")).select(*KEY, "r.*").write.mode("overwrite").parquet(f"{self.path}/{name}")
         return True
 
-    def compact(self, base_id: str) -> None:
-        """Fold the committed batches into one of net rows; totals stay as they are."""
+    def compact(self, base_id: str) -> bool:
+        """Fold the committed batches into one of net rows; totals stay as they are. False if this base is complete already."""
+        fs, path = self._fs()
+        base = f"base-{base_id}"
+        if fs.exists(path(f"{self.path}/{base}/_SUCCESS")):
+            return False
+        # A list left by an earlier try names what its base was to fold; nothing has been folded yet, so it is written anew.
         names = self.committed()
         members = [m for n in names for m in ([n, *self._members(n)] if n.startswith("base-") else [n])]
-        self.spark.createDataFrame([(m,) for m in members], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/base-{base_id}-members")
-        net = self.facts().withColumn("sign", F.lit(1))
-        net.write.mode("overwrite").parquet(f"{self.path}/base-{base_id}")
+        self.spark.createDataFrame([(m,) for m in members], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/members-{base}")
+        net = self._net(self._ledger(names)).withColumn("sign", F.lit(1))
+        net.write.mode("overwrite").parquet(f"{self.path}/{base}")
+        return True
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, documents, tokens``: sums of signed rows, partial before the shuffle."""
         sums = self.ledger().groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
         return sums.where("documents > 0")
-
-

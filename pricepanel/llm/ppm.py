@@ -14,7 +14,8 @@ The base score is a smoothed unigram model of words, exact for any vocabulary: t
 broadcast; a document's other words are joined with the counts of all others.
 
 Defined results: null counts as empty text, which has one token, its end; without training texts every byte has an equal
-chance; rows that repeat a doc_id are scored each; extra columns are dropped.
+chance; rows that repeat a doc_id, null ones too, are scored each; very long texts are scored whole, in pieces; an empty table gives an empty result; extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -28,30 +29,51 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricepanel.llm.common import map_slices, sources, written
+from pricepanel.llm.common import Lookup, map_slices, sources, written
 
 #: Context length in bytes; bounds of the broadcast chances and of the broadcast words.
 ORDER, MAX_ENTRIES, TOP_WORDS = 4, 262_144, 100_000
 #: Bytes whose contexts are sorted at a time, and distinct words that a task counts before it hands its counts on.
-CHUNK, HELD = 4 << 20, 400_000
+CHUNK, HELD = 2 << 20, 200_000
 #: Bytes that UTF-8 never has: before a text's start, and its end.
 START, END = 0xFE, 0xFF
 
 
-def packed(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte and end mark: the context before it and itself as one integer; and where each text begins."""
-    raw = np.frombuffer(b"".join(bytes([START]) * order + t + bytes([END]) for t in texts), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+def pieces(text: bytes, order: int = ORDER, size: int = CHUNK) -> list[bytes]:
+    """The text with its start and end marks, cut into pieces of ``size`` bytes, each with the ``order`` bytes before it in front."""
+    whole = bytes([START]) * order + text + bytes([END])
+    return [whole[at - order : at + size] for at in range(order, len(whole), size)]
+
+
+def packed(cut: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of :func:`pieces`: the context before it and itself as one integer; and where each piece begins."""
+    raw = np.frombuffer(b"".join(cut), np.uint8)
+    sizes = np.array([len(c) - order for c in cut], np.int64)
     codes = np.zeros(len(raw), np.uint64)
     for back in range(order + 1):
         codes[back:] |= raw[: len(raw) - back].astype(np.uint64) << np.uint64(8 * back)
     begins = np.cumsum(sizes) - sizes
     real = np.ones(len(raw), bool)
     for k in range(order):
-        real[begins + order * np.arange(len(texts)) + k] = False
+        real[begins + order * np.arange(len(cut)) + k] = False
     return codes[real], begins
 
 
+def grouped(texts: list[str | None], order: int = ORDER) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Pieces of the texts and which text each is of, ``CHUNK`` bytes and little more at a time."""
+    of, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        for piece in pieces((t or "").encode(), order):
+            of.append(i)
+            held.append(piece)
+            size += len(piece)
+            if size > CHUNK:
+                yield np.array(of), held
+                of, held, size = [], [], 0
+    if held:
+        yield np.array(of), held
+
+
 def count_contexts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """``(code, n)`` over all texts, for contexts of the full length."""
 
@@ -64,11 +86,12 @@ def count_contexts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
         for (own,) in slices:
             for t in own:
-                held.append((t or "").encode())
-                size += len(held[-1])
-                if size > CHUNK:
-                    yield out()
-                    held, size = [], 0
+                for piece in pieces((t or "").encode(), order):
+                    held.append(piece)
+                    size += len(piece)
+                    if size > CHUNK:
+                        yield out()
+                        held, size = [], 0
         if held:
             yield out()
 
@@ -140,37 +163,7 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
     return Model(entries, contexts, entries[0].count())
 
 
-class Frequent:
-    """Chances of the most frequent codes, found by a hash table that is filled where it is used."""
-
-    def __init__(self, codes: np.ndarray, logs: np.ndarray) -> None:
-        at = np.argsort(codes)
-        self.codes, self.logs = codes[at], logs[at]
-        self.bits = max(10, int(np.ceil(np.log2(4 * max(1, len(codes))))))
-        self.slots: np.ndarray | None = None
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 chance of each code, 0 where it isn't here, and the places of those that aren't."""
-        if not len(self.codes):
-            return np.zeros(len(codes)), np.arange(len(codes))
-        if self.slots is None:
-            self.slots = np.zeros(1 << self.bits, np.int32)
-            self.slots[self._slot(self.codes)] = np.arange(len(self.codes))
-        at = self.slots[self._slot(codes)]
-        # Where another code has the slot, the sorted codes are searched.
-        other = np.flatnonzero(self.codes[at] != codes)
-        at[other] = np.minimum(np.searchsorted(self.codes, codes[other]), len(self.codes) - 1)
-        absent = other[self.codes[at[other]] != codes[other]]
-        out = self.logs[at]
-        out[absent] = 0.0
-        return out, absent
-
-
-def most_frequent(known: DataFrame, max_entries: int) -> tuple[Frequent, int]:
+def most_frequent(known: DataFrame, max_entries: int) -> tuple[Lookup, int]:
     """The entries of :meth:`Model.known` that are broadcast, ``max_entries`` at most, and the least count among them."""
     least, kept = 1, 0
     for r in known.groupBy("n").agg(F.count(F.lit(1)).alias("entries")).orderBy(F.desc("n")).toLocalIterator():
@@ -179,7 +172,7 @@ def most_frequent(known: DataFrame, max_entries: int) -> tuple[Frequent, int]:
             least = r["n"] + 1
             break
     rows = known.where(F.col("n") >= least).select("code", "log").toArrow()
-    return Frequent(rows["code"].to_numpy().astype(np.uint64), rows["log"].to_numpy().astype(float)), least
+    return Lookup(rows["code"].to_numpy().astype(np.uint64), rows["log"].to_numpy().astype(float)), least
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -195,9 +188,9 @@ def count_words(texts: DataFrame) -> DataFrame:
         for (own,) in slices:
             for t in own:
                 held.update(words_of(t))
-            if len(held) > HELD:
-                yield [list(held), list(held.values())]
-                held.clear()
+                if len(held) > HELD:
+                    yield [list(held), list(held.values())]
+                    held.clear()
         yield [list(held), list(held.values())]
 
     return map_slices(texts, run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -232,16 +225,21 @@ def scores(docs: DataFrame, training: DataFrame, order: int = ORDER, max_entries
     def score(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         chance = known.value.get
         for ids, texts in slices:
-            codes, begins = packed([(t or "").encode() for t in texts], order)
-            logs, absent = shared.value.find(codes)
-            sums = np.add.reduceat(logs, begins).tolist()
-            # Codes to join, counted by text: the text's place in the slice stands above the five bytes.
-            of = (np.searchsorted(begins, absent, "right") - 1).astype(np.uint64) << np.uint64(40)
-            rest, times = np.unique(of | codes[absent], return_counts=True)
+            sums, absent = np.zeros(len(ids)), []
+            for of, cut in grouped(texts, order):
+                codes, begins = packed(cut, order)
+                at = shared.value.places(codes)
+                sums += np.bincount(of, np.add.reduceat(np.where(at < 0, 0.0, shared.value.values[at] if len(shared.value.keys) else 0.0), begins), len(ids))
+                # Codes to join, counted by text: the text's place in the slice stands above the five bytes.
+                place = np.flatnonzero(at < 0)
+                text = of[np.searchsorted(begins, place, "right") - 1].astype(np.uint64)
+                absent.append(np.unique(text << np.uint64(40) | codes[place], return_counts=True))
+            rest, back = np.unique(np.concatenate([a[0] for a in absent]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([a[1] for a in absent]), len(rest)).astype(np.int64)
             cuts = np.searchsorted(rest, np.arange(1, len(ids), dtype=np.uint64) << np.uint64(40))
             rest = np.split((rest & np.uint64(2**40 - 1)).astype(np.int64), cuts)
             out: list[list] = [[], [], [], [], [], [], [], rest, np.split(times, cuts)]
-            for key, t, log in zip(ids, texts, sums, strict=True):
+            for key, t, log in zip(ids, texts, sums.tolist(), strict=True):
                 own = words_of(t)
                 found = [chance(w) for w in own]
                 hits = [x for x in found if x is not None]

@@ -161,7 +161,8 @@ def panel_raster(df: DataFrame, value: str) -> DataFrame:
     """Min-max value of each security by trading day with its index, and whether the day before is a one-day gap."""
     from pricepanel.operators.calendar import gaps
     from pricepanel.operators.normalise import by_group
+    from pricepanel.operators.sampling import numbered
 
-    ids = df.select("issue_id").distinct().withColumn("issue_index", F.row_number().over(Window.orderBy("issue_id")) - 1)
+    ids = numbered(df.select("issue_id").distinct(), "issue_id").select("issue_id", (F.col("_n") - 1).cast("int").alias("issue_index"))
     rows = gaps(by_group(df, value, "issue_id", "value", "minmax")).withColumn("gap_before", F.coalesce(F.col("gap") == 1, F.lit(False)))
-    return rows.join(F.broadcast(ids), "issue_id").select("issue_index", "trading_day", "value", "gap_before")
+    return rows.join(ids, "issue_id").select("issue_index", "trading_day", "value", "gap_before")

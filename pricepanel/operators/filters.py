@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import ordered, ratio, trailing
 from pricepanel.operators.calendar import trading_days
+from pricepanel.operators.sampling import numbered
 
 
 def issue_date_filter(df: DataFrame, ids: list[str] | None, start: str, end: str) -> DataFrame:
@@ -112,8 +113,8 @@ def filled_open(df: DataFrame, open_: str, close: str) -> DataFrame:
 
 def anonymised(df: DataFrame) -> DataFrame:
     """Ids replaced by their rank as ``0001`` and on; only the distinct ids are ordered."""
-    ids = df.select("issue_id").distinct().withColumn("_n", F.row_number().over(Window.orderBy("issue_id")))
-    return df.join(ids, "issue_id").withColumn("issue_id", F.lpad(F.col("_n").cast("string"), 4, "0")).drop("_n")
+    ids = numbered(df.select("issue_id").distinct(), "issue_id")
+    return df.join(ids, "issue_id").withColumn("issue_id", F.lpad(F.col("_n").cast("string"), 4, "0")).drop("_n", "_all")
 
 
 def student_export(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import bin_index, first_argmax, ratio, softmax
+from pricepanel.operators.sampling import numbered
 
 EXPERTS = ("bounce", "break", "hover")
 P = tuple(f"p_{e}" for e in EXPERTS)
@@ -108,21 +109,33 @@ def distance_summary(df: DataFrame) -> DataFrame:
 
 def bootstrap_weights(ids: DataFrame, replicates: int, seed: int) -> DataFrame:
     """``(replicate, issue_id, weight)``: how often each security is drawn; as many draws as securities, from md5 numbers."""
-    ranked = ids.select("issue_id").distinct().withColumns({"_n": F.row_number().over(Window.orderBy("issue_id")) - 1, "_all": F.count(F.lit(1)).over(Window.partitionBy())})
+    ranked = numbered(ids.select("issue_id").distinct(), "issue_id").withColumn("_n", F.col("_n") - 1)
     draw = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     draws = ranked.select(F.col("_n").alias("_draw"), "_all", draw.alias("replicate"))
     digits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_draw").cast("string"))), 1, 8), 16, 10).cast("double")
     drawn = draws.select("replicate", F.floor(digits / 2.0**32 * F.col("_all")).alias("_n"))
-    return drawn.groupBy("replicate", "_n").agg(F.count(F.lit(1)).alias("weight")).join(F.broadcast(ranked), "_n").select("replicate", "issue_id", "weight")
+    return drawn.groupBy("replicate", "_n").agg(F.count(F.lit(1)).alias("weight")).join(ranked, "_n").select("replicate", "issue_id", "weight")
+
+
+def drawn(sums: DataFrame, weights: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Sums of each of the ``values`` per ``keys`` and replicate, each security counted as often as it was drawn.
+
+    A security's cells and its draws travel as one row each, whose sizes are those of the grid and of the replicates; they meet in the task,
+    where the products are summed before the next shuffle.
+    """
+    cells = sums.groupBy("issue_id").agg(F.collect_list(F.struct(*keys, *values)).alias("cells"))
+    draws = weights.groupBy("issue_id").agg(F.collect_list(F.struct("replicate", "weight")).alias("draws"))
+    # Few bytes make many products, so the number of tasks doesn't follow the bytes.
+    tasks = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cells.join(draws, "issue_id").repartition(tasks, "issue_id").select("cells", F.explode("draws").alias("d"))
+    rows = met.select("d.*", F.explode("cells").alias("c")).select("replicate", "weight", "c.*")
+    return rows.groupBy(*keys, "replicate").agg(*(F.sum(F.col(v) * F.col("weight")).alias(v) for v in values))
 
 
 def distance_bands(df: DataFrame, weights: DataFrame) -> DataFrame:
     """2.5 and 97.5 percentiles over replicates of each cell's mean gates, with the number of replicates that have the cell."""
-    sums = distance_sums(binned(df, "distance"))
-    draws = sums.join(F.broadcast(weights), "issue_id").groupBy("level", "distance_bin", "replicate").agg(
-        F.sum(F.col("n") * F.col("weight")).alias("_n"), *(F.sum(F.col(c) * F.col("weight")).alias(c) for c in P)
-    )
-    means = draws.select("level", "distance_bin", *(ratio(F.col(c), F.col("_n")).alias(c) for c in P))
+    draws = drawn(distance_sums(binned(df, "distance")), weights, ["level", "distance_bin"], ["n", *P])
+    means = draws.select("level", "distance_bin", *(ratio(F.col(c), F.col("n")).alias(c) for c in P))
     bands = [F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in P]
     rows = means.groupBy("level", "distance_bin").agg(F.count(F.lit(1)).alias("replicates"), *bands)
     return rows.select("level", "distance_bin", "replicates", *(x for c in P for x in (F.col(c)[0].alias(f"{c}_lo"), F.col(c)[1].alias(f"{c}_hi"))))

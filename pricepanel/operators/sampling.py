@@ -15,25 +15,45 @@ def random_ids(df: DataFrame, k: int, seed: int) -> DataFrame:
     return ids.orderBy(hash_order(seed, "issue_id"), "issue_id").limit(k)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``_n`` from 1 by ``order`` over all rows, and their number ``_all``, without sorting them in one task.
+
+    Rows are sorted within the ranges of a range partitioning, which is written, and lifted by the counts of the ranges before.
+    """
+    rows = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))  # a row for each partition
+    up_to = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    before = counts.select("_p", (up_to - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_all"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return rows.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("_n", F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
+
+
 def split_ids(df: DataFrame) -> DataFrame:
     """First half of the sorted securities train, the rest val; a single one is both. Only ids are ordered."""
-    ids = df.select("issue_id").distinct()
-    ranked = ids.withColumns({"_n": F.row_number().over(Window.orderBy("issue_id")), "_all": F.count(F.lit(1)).over(Window.partitionBy())})
+    ranked = numbered(df.select("issue_id").distinct(), "issue_id")
     both = F.array(F.lit("train"), F.lit("val"))
     split = F.when(F.col("_all") == 1, both).when(F.col("_n") <= F.floor(F.col("_all") / 2), F.array(F.lit("train"))).otherwise(F.array(F.lit("val")))
     return ranked.select("issue_id", F.explode(split).alias("split"))
 
 
-def ranked_in_buckets(df: DataFrame, order: Column, ties: list[str]) -> DataFrame:
-    """``rank`` from 1 by a hexadecimal ``order`` over all rows, without sorting them in one task.
+def ranked_in_buckets(df: DataFrame, order: Column, ties: list[str], by: tuple[str, ...] = (), rank: str = "rank", size: str | None = None) -> DataFrame:
+    """``rank`` from 1 by a hexadecimal ``order`` over all rows, or those of each group ``by``, without sorting one in one task.
 
-    Rows are ranked within the first three digits (4,096 buckets) and lifted by the counts of the buckets before.
+    Rows are ranked within the first three digits (4,096 buckets) and lifted by the counts of the group's buckets before; ``size`` names a
+    column for the group's number of rows.
     """
     rows = df.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
-    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
-    own = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *ties))
-    return rows.withColumn("_own", own).join(F.broadcast(before), "_b").withColumn("rank", F.col("_own") + F.col("_before")).drop("_h", "_b", "_own", "_before")
+    counts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    up_to = F.sum("_c").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    before = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_b").alias("_at"), (up_to - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_size"))
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *ties))
+    same = F.col("_b") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    met = rows.withColumn("_own", own).join(before if by else F.broadcast(before), same)
+    if size:
+        met = met.withColumn(size, F.col("_size"))
+    return met.withColumn(rank, F.col("_own") + F.col("_before")).drop("_h", "_b", "_at", "_own", "_before", "_size", *(f"_by_{c}" for c in by))
 
 
 def random_split(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
@@ -51,13 +71,13 @@ def _rank(by: list[str], order: Column, ties: list[str]) -> Column:
 def balanced(df: DataFrame, label: str, keys: list[str], seed: int) -> DataFrame:
     """As many rows of every class as the smallest has, without replacement."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
-    ranked = df.withColumn("_rank", _rank([label], hash_order(seed, *keys), keys))
+    ranked = ranked_in_buckets(df, hash_order(seed, *keys), keys, (label,), "_rank")
     return ranked.crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_least")
 
 
 def balanced_bins(df: DataFrame, bin_: str, keys: list[str], target: int, seed: int) -> DataFrame:
     """``target`` rows of every nonempty bin; a short one repeats rows, drawn by hash (``copy`` tells draws apart)."""
-    ranked = df.withColumns({"_rank": _rank([bin_], hash_order(seed, *keys), keys), "_n": F.count(F.lit(1)).over(Window.partitionBy(bin_))})
+    ranked = ranked_in_buckets(df, hash_order(seed, *keys), keys, (bin_,), "_rank", "_n")
     long = ranked.where((F.col("_n") >= target) & (F.col("_rank") <= target)).withColumn("copy", F.lit(0))
     sizes = df.groupBy(bin_).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < target)
     draws = sizes.select(bin_, "_n", F.explode(F.sequence(F.lit(1), F.lit(target))).alias("copy"))
@@ -82,7 +102,7 @@ def synthetic_share_balance(df: DataFrame, label: str, synthetic: str, keys: lis
     for c in classes:
         if counts.get((c, True), 0) < wanted or counts.get((c, False), 0) < target - wanted:
             raise ValueError(f"class {c} has too few rows for {target - wanted} real and {wanted} synthetic ones")
-    ranked = df.withColumn("_rank", _rank([label, synthetic], hash_order(seed, *keys), keys))
+    ranked = ranked_in_buckets(df, hash_order(seed, *keys), keys, (label, synthetic), "_rank")
     quota = F.when(F.col(synthetic), wanted).otherwise(target - wanted)
     return ranked.where(F.col("_rank") <= quota).drop("_rank")
 
@@ -114,7 +134,7 @@ def matched_batches(rows: DataFrame, env: str, keys: list[str], seed: int) -> Da
     """One row of each sector per ``batch``; as many batches as the smallest sector has rows. ``weight`` is the sector's share of rows."""
     sizes = rows.groupBy(env).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumns({"_least": F.min("_n").over(Window.partitionBy()), "_all": F.sum("_n").over(Window.partitionBy())})
-    ranked = rows.withColumn("batch", _rank([env], hash_order(seed, *keys), keys)).join(F.broadcast(sizes), env)
+    ranked = ranked_in_buckets(rows, hash_order(seed, *keys), keys, (env,), "batch").join(F.broadcast(sizes), env)
     return ranked.where(F.col("batch") <= F.col("_least")).withColumn("weight", F.col("_n") / F.col("_all")).drop("_n", "_least", "_all")
 
 
@@ -174,7 +194,7 @@ def mean_of_duplicates(df: DataFrame, value: str) -> DataFrame:
 
 def evenly_spaced(ids: DataFrame, k: int = 3) -> DataFrame:
     """Up to ``k`` ids at evenly spaced ranks."""
-    ranked = ids.select("issue_id").distinct().withColumns({"_n": F.row_number().over(Window.orderBy("issue_id")) - 1, "_all": F.count(F.lit(1)).over(Window.partitionBy())})
+    ranked = numbered(ids.select("issue_id").distinct(), "issue_id").withColumn("_n", F.col("_n") - 1)
     spots = [F.floor(F.lit(i) * (F.col("_all") - 1) / (k - 1)) for i in range(k)]
     return ranked.where(F.col("_n").isin(*spots)).select("issue_id")
 

@@ -1,7 +1,7 @@
 """Dwell, transition and bootstrap statistics of gate trajectories.
 
 A trajectory is the steps of one ``(segment_id, source, path_id)``; ``issue_id`` is its stock. Statistics of many trajectories
-are summed per stock before bootstrap weights meet them, so facts are shuffled once and weights are small.
+are summed per stock before bootstrap weights meet them, so facts are shuffled once.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import ratio
-from pricepanel.operators.gates import EXPERTS, P, entropy, top_two, winner_shares
+from pricepanel.operators.gates import EXPERTS, P, drawn, entropy, top_two, winner_shares
 
 PATH = ["segment_id", "issue_id", "source", "path_id"]
 METRICS = ("switches_per_100", "dwell_mean", "soft_change_mean", "entropy", "ambiguous_share")
@@ -95,13 +95,13 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
     rows = rows.groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.sum(weight).alias("_w"))
     ends = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("_all"))
     at = F.least(F.floor(F.coalesce(ratio(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
-    rows = rows.join(F.broadcast(ends), keys).withColumn("_bin", at)
+    rows = rows.join(ends, keys).withColumn("_bin", at)
     totals = rows.groupBy(*keys, "_bin", "_all").agg(F.sum("_w").alias("_b"))
     up_to = F.sum("_b").over(Window.partitionBy(*keys).orderBy("_bin"))
     totals = totals.withColumns({"_up": up_to, "_before": up_to - F.col("_b")})
     target = F.greatest(q * F.col("_all") - 1e-9, F.lit(1e-300))
     chosen = totals.where((F.col("_up") >= target) & (F.col("_before") < target)).select(*keys, "_bin", "_before")
-    inside = rows.join(F.broadcast(chosen), [*keys, "_bin"])
+    inside = rows.join(chosen, [*keys, "_bin"])
     inside = inside.withColumn("_cum", F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys).orderBy("_x")))
     return inside.where(F.col("_cum") >= target).groupBy(*keys).agg(F.min("_x").alias(f"{value}_quantile"))
 
@@ -130,7 +130,7 @@ def compared(weighted: DataFrame, weights: DataFrame, metrics: tuple[str, ...] =
 def _with_bands(sums: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Estimate and interval of ``sum s / sum w`` from per-stock sums."""
     estimate = sums.groupBy(*keys, "source").agg(ratio(F.sum("s"), F.sum("w")).alias("estimate"))
-    draws = sums.join(F.broadcast(weights), "issue_id").groupBy(*keys, "source", "replicate").agg(ratio(F.sum(F.col("s") * F.col("weight")), F.sum(F.col("w") * F.col("weight"))).alias("estimate"))
+    draws = drawn(sums, weights, [*keys, "source"], ["s", "w"]).select(*keys, "source", "replicate", ratio(F.col("s"), F.col("w")).alias("estimate"))
     bands = interval(with_difference(draws, [*keys, "replicate"], "estimate"), [*keys, "source"], "estimate")
     return with_difference(estimate, keys, "estimate").join(bands, [*keys, "source"], "left")
 

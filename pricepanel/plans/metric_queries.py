@@ -259,7 +259,7 @@ def k05_distance_summary(spark, d):
     return gt.distance_summary(gates(spark, d))
 
 
-REPS = 50
+REPS = 1000
 WEIGHTS = f"""ids AS (SELECT issue_id, row_number() OVER (ORDER BY issue_id) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT issue_id FROM panel)),
   draws AS (SELECT r::INT AS replicate, floor((('0x' || substr(md5(concat_ws('|', '7', r::VARCHAR, ids.n::VARCHAR)), 1, 8))::BIGINT) / 4294967296.0 * c)::BIGINT AS n FROM ids, range({REPS}) t(r)),
   weights AS (SELECT replicate, issue_id, count(*) AS weight FROM draws JOIN ids USING (n) GROUP BY 1, 2)"""

@@ -96,9 +96,7 @@ STAR = f"{ORIGINS}, b AS (SELECT issue_id, origin_date, row_number() OVER (ORDER
 
 
 def _star(spark, d):
-    from pyspark.sql import Window
-
-    base = origins(spark, d).withColumn("base_sample_id", (F.row_number().over(Window.orderBy("issue_id", "origin_date")) - 1).cast("long")).drop("origin_pos")
+    base = sm.numbered(origins(spark, d), "issue_id", "origin_date").withColumn("base_sample_id", (F.col("_n") - 1).cast("long")).drop("origin_pos", "_n", "_all")
     paths = base.select("base_sample_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("iteration"))
     return base, paths
 

@@ -142,6 +142,15 @@ def transition_scores(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(gaussian_nll(*(F.col(c) for c in ("x", "nxt", "mu", "sigma")))).alias("nll"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
 
 
+def class_decisions(df: DataFrame, logits: str, threshold: float = 0.5) -> DataFrame:
+    """:func:`decisions` for an array of logits of any length: ``p`` (array), ``argmax`` (the first on a tie) and ``positive``."""
+    top = F.array_max(logits)
+    weights = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    positive = (1 / (1 + F.exp(-F.element_at(logits, 1))) > threshold).cast("int")
+    return df.withColumns({"p": F.transform(weights, lambda x: x / total), "argmax": (F.array_position(logits, top) - 1).cast("int"), "positive": positive})
+
+
 def decisions(df: DataFrame, logits: list[str], threshold: float = 0.5) -> DataFrame:
     """Softmax probabilities with their argmax, and for the first logit alone the sigmoid's decision."""
     p = softmax(*(F.col(c) for c in logits))

@@ -54,10 +54,15 @@ def transition_rows(counts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("probability", ratio(F.col("n"), F.sum("n").over(Window.partitionBy(*keys, "from"))))
 
 
-def trajectory_metrics(steps: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row per trajectory; medians are exact, per-expert dwells are NULL where the expert never won."""
+def trajectory_metrics(steps: DataFrame) -> DataFrame:
+    """One row per trajectory; medians are exact, per-expert dwells are NULL where the expert never won.
+
+    A run's duration stands at its first step, so steps and runs are summed in one grouping, on the partitioning that the steps have.
+    """
     shares = winner_shares()
-    by_step = steps.groupBy(*PATH).agg(
+    first = F.coalesce(F.col("state") != F.col("before"), F.lit(True))
+    duration = F.when(first, F.count(F.lit(1)).over(Window.partitionBy(*PATH, "run")))
+    rows = steps.withColumn("_duration", duration).groupBy(*PATH).agg(
         F.count(F.lit(1)).alias("observations"),
         F.count(F.when(F.col("state") != F.col("before"), 1)).alias("switches"),
         F.avg("soft_change").alias("soft_change_mean"),
@@ -67,13 +72,10 @@ def trajectory_metrics(steps: DataFrame, runs: DataFrame) -> DataFrame:
         F.avg(F.col("tied").cast("int")).alias("tie_share"),
         *(F.avg(c).alias(f"mean_{e}") for e, c in zip(EXPERTS, P, strict=True)),
         *(F.avg(s).alias(f"share_{e}") for e, s in zip(EXPERTS, shares, strict=True)),
+        F.avg("_duration").alias("dwell_mean"),
+        F.percentile("_duration", F.lit(0.5)).alias("dwell_median"),
+        *(F.avg(F.when(F.col("state") == i, F.col("_duration"))).alias(f"dwell_{e}") for i, e in enumerate(EXPERTS)),
     )
-    by_run = runs.groupBy(*PATH).agg(
-        F.avg("duration").alias("dwell_mean"),
-        F.percentile("duration", F.lit(0.5)).alias("dwell_median"),
-        *(F.avg(F.when(F.col("state") == i, F.col("duration"))).alias(f"dwell_{e}") for i, e in enumerate(EXPERTS)),
-    )
-    rows = by_step.join(by_run, PATH)
     return rows.withColumns({"switches_per_100": ratio(100 * F.col("switches"), F.col("observations") - 1), "zero_switch": F.col("switches") == 0})
 
 

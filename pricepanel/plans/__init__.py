@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("feature_queries", "calendar_queries", "trend_queries", "sampling_queries", "metric_queries", "trajectory_queries", "path_queries", "source_queries")
+MODULES = ("feature_queries", "calendar_queries", "trend_queries", "sampling_queries", "metric_queries", "trajectory_queries", "path_queries", "source_queries", "user_queries")
 
 
 def load() -> None:

@@ -156,13 +156,13 @@ def j14_transition_nll(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS l0, embedding[2]::DOUBLE AS l1, embedding[3]::DOUBLE AS l2 FROM embeddings), x AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS a, exp(l1 - greatest(l0, l1, l2)) AS b, exp(l2 - greatest(l0, l1, l2)) AS c FROM e)
-    SELECT vec_id, a / (a + b + c) AS p0, b / (a + b + c) AS p1, c / (a + b + c) AS p2, CASE WHEN l0 >= greatest(l1, l2) THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS argmax, (1 / (1 + exp(-l0)) > 0.5)::INT AS positive FROM x""",
-    "p0 p1 p2",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS l FROM embeddings), x AS (SELECT *, list_transform(l, lambda x: exp(x - list_max(l))) AS w FROM e)
+    SELECT vec_id, (generate_subscripts(w, 1) - 1)::INT AS class, unnest(w) / list_sum(w) AS p, (list_position(l, list_max(l)) - 1)::INT AS argmax, (1 / (1 + exp(-l[1])) > 0.5)::INT AS positive FROM x""",
+    "p",
 )
 def j15_softmax_decision(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"l{i}") for i in range(3)))
-    return mt.decisions(rows, ["l0", "l1", "l2"]).select("vec_id", "p0", "p1", "p2", "argmax", "positive")
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
+    return mt.class_decisions(rows, "logits").select("vec_id", F.posexplode("p").alias("class", "p"), "argmax", "positive")
 
 
 @query(

@@ -209,7 +209,7 @@ def q02_gate_scoring(spark, d):
 @query()
 def q03_repeated_runs(spark, d):
     train, test = _classified(spark, d)
-    runs = md.repeated(train, test, [21, 8, 3], [1, 2], iterations=10)
+    runs = md.repeated(train, test, [21, 64, 8, 3], list(range(1, 11)), iterations=10)
     return repeated_runs(confusion(runs, "label", "y_hat", 3, ("run",)), ["y_true", "y_pred"], "percent")
 
 

@@ -93,8 +93,7 @@ MET = [f"{a}_{e}" for e in gt.EXPERTS for a in ("mean", "share", "dwell")] + ["s
 
 @query(f"{TRAJ} SELECT {PK}, observations, switches, zero_switch, {', '.join(MET)} FROM metrics", " ".join(MET))
 def l05_trajectory_metrics(spark, d):
-    rows = steps(spark, d)
-    return tj.trajectory_metrics(rows, tj.dwell_runs(rows)).select(*tj.PATH, "observations", "switches", "zero_switch", *MET)
+    return tj.trajectory_metrics(steps(spark, d)).select(*tj.PATH, "observations", "switches", "zero_switch", *MET)
 
 
 @query(f"{TRAJ} SELECT {PK}, weight FROM wt", "weight")
@@ -109,7 +108,7 @@ def l06_paired_weights(spark, d):
 )
 def l07_weighted_quantile(spark, d):
     rows = steps(spark, d)
-    both = tj.trajectory_metrics(rows, tj.dwell_runs(rows)).join(weighted(rows), tj.PATH)
+    both = tj.trajectory_metrics(rows).join(weighted(rows), tj.PATH)
     return tj.weighted_quantile(both, ["source"], "entropy", "weight")
 
 
@@ -135,7 +134,7 @@ def _bands_sql(sums: str, keys: str) -> str:
 )
 def l09_trajectory_comparison(spark, d):
     rows = written(steps(spark, d), "steps")
-    both = tj.trajectory_metrics(rows, tj.dwell_runs(rows)).join(weighted(rows), tj.PATH)
+    both = tj.trajectory_metrics(rows).join(weighted(rows), tj.PATH)
     return tj.compared(both, gt.bootstrap_weights(panel(spark, d), REPS, 7))
 
 
@@ -189,7 +188,7 @@ def l14_dwell_summary(spark, d):
 )
 def l15_weighted_histograms(spark, d):
     rows = written(steps(spark, d), "steps")
-    both = tj.trajectory_metrics(rows, tj.dwell_runs(rows)).join(weighted(rows), tj.PATH)
+    both = tj.trajectory_metrics(rows).join(weighted(rows), tj.PATH)
     counts = tj.weighted_histogram(both, "switches", width=1.0).select(F.lit("switches").alias("name"), "source", "bin", "share")
     return counts.union(tj.weighted_histogram(both, "soft_change_mean").select(F.lit("soft_change"), "source", "bin", "share"))
 

@@ -83,7 +83,7 @@ def test_states_and_runs(spark):
     flips = tj.stepped(gate_rows(spark, [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0)] * 50 + [(1.0, 0.0, 0.0)], **path))
     for rows, switches in ((still, 0), (flips, 100)):
         runs = tj.dwell_runs(rows)
-        out = tj.trajectory_metrics(rows, runs).first()
+        out = tj.trajectory_metrics(rows).first()
         assert out["switches"] == switches and runs.agg(F.sum("duration")).first()[0] == 101
         counts = tj.transitions(rows)
         assert sum(counts.select([c for c in counts.columns if c.startswith("t_")]).first()) == 100

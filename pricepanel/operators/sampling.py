@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,12 +165,37 @@ def least_correlated(df: DataFrame, value: str, first: str, last: str, k: int) -
     present = grid.withColumn("_share", F.avg(F.col(value).isNotNull().cast("int")).over(Window.partitionBy("issue_id"))).where("_share >= 0.5")
     order = Window.partitionBy("issue_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     filled = present.select("issue_id", "date", F.last(value, ignorenulls=True).over(order).alias("x"))
-    filled = written(filled.where("x is not null"), "filled-prices")
-    a, b = filled.select("date", F.col("issue_id").alias("a"), F.col("x").alias("xa")), filled.select("date", F.col("issue_id").alias("b"), F.col("x").alias("xb"))
-    pairs = a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.corr("xa", "xb").alias("c")).where("c is not null and not isnan(c)")
-    both = pairs.select(F.col("a").alias("issue_id"), F.abs("c").alias("c")).union(pairs.select("b", F.abs("c")))
-    means = both.groupBy("issue_id").agg(F.round(F.avg("c"), 9).alias("mean_abs_corr"))
-    return means.orderBy("mean_abs_corr", "issue_id").limit(k)
+    means = mean_correlations(filled.groupBy("issue_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "x"))), lambda s: s["x"]).alias("x")))
+    return means.select("issue_id", F.round("mean_abs_corr", 9).alias("mean_abs_corr")).orderBy("mean_abs_corr", "issue_id").limit(k)
+
+
+def mean_correlations(series: DataFrame, block: int = 64) -> DataFrame:
+    """``(issue_id, mean_abs_corr)`` of each security's correlations with all others, over ``series(issue_id, x)``: arrays over one calendar.
+
+    Nulls are left out pair by pair; pairs without a correlation count for nothing. Securities are dealt to blocks; a task gets two
+    blocks and does their pairs as products of matrices, so a series is sent once for each block, not for each security and date.
+    """
+    series = written(series, "series")
+    blocks = max(1, -(-series.count() // block))
+    own = F.pmod(F.xxhash64("issue_id"), F.lit(blocks)).cast("int")
+    met = series.select("issue_id", "x", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    met = met.select("issue_id", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def correlated(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array([np.array(v, float) for v in pdf["x"]])
+        there = np.isfinite(x)
+        m, x = there.astype(float), np.where(there, x - np.nanmean(np.where(there, x, np.nan), axis=1, keepdims=True), 0.0)
+        n, sx, sxx, sxy = m @ m.T, x @ m.T, (x * x) @ m.T, x @ x.T
+        spread = n * sxx - sx**2
+        spread[spread <= 1e-12 * n * sxx] = np.nan  # a series that stands still over the common dates
+        c = np.abs((n * sxy - sx * sx.T) / np.sqrt(spread * spread.T))
+        # A block with itself has its own pairs, two blocks those across.
+        side = pdf["own"].to_numpy()
+        wanted = np.isfinite(c) & ~np.eye(len(x), dtype=bool) & ((side[:, None] != side[None, :]) | (pdf["i"].iloc[0] == pdf["j"].iloc[0]))
+        return pd.DataFrame({"issue_id": pdf["issue_id"], "total": np.where(wanted, c, 0.0).sum(axis=1), "n": wanted.sum(axis=1)})
+
+    sums = met.groupBy("i", "j").applyInPandas(correlated, "issue_id string, total double, n long")
+    return sums.groupBy("issue_id").agg((F.sum("total") / F.sum("n")).alias("mean_abs_corr")).where("mean_abs_corr is not null")
 
 
 def round_robin(candidates: DataFrame, n: int, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricepanel.functions.storage import scratch as shared_path
@@ -18,6 +18,8 @@ __all__ = ["Lookup", "arrow_type", "hashes", "map_slices", "pair_hashes", "quota
 
 #: Rows, and characters of text, that a Python task holds as Python objects at a time (one longer text may exceed the latter).
 SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
+#: Ranges of the hash by which a sample's rows are counted.
+BUCKETS = 1024
 
 
 def remainder(col: str, modulus: int):
@@ -81,26 +83,30 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list
 def quota_sample(df: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
     """``df(doc_id, text, by)`` cut to a sample bounded in rows and in code points, shared evenly by the values of ``by``.
 
-    Of each value the rows of smallest id hash come in, up to its share of both bounds, so partitions don't change the sample.
-    Before rows are ordered, each value is thinned by hash to about twice its share: what is sorted is bounded too, whatever a
-    value's part of all rows; ids and lengths are sorted, texts stay where they are.
+    Of each value the rows of smallest hash come in, up to its share of both bounds, so partitions don't change the sample. Rows and
+    lengths are counted by ``BUCKETS`` ranges of the hash, which together hold some twice the share, whatever a value's part of all
+    rows; the ranges that fit are taken. Only those counts travel, texts stay where they are.
     """
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(2**31))
     sizes = {r[0]: r[1] for r in df.groupBy(by).agg(F.count(F.lit(1))).collect()}
     if not sizes:
         return df.limit(0)
-    share = max(1, rows // len(sizes))
-    near = F.lit(False)
-    for value, n in sizes.items():
-        near |= F.col(by).eqNullSafe(F.lit(value)) & (h <= F.lit(int(min(1.0, 2 * (share + 50) / n) * 2**31)))
-    keys = df.where(near).select(by, "doc_id", h.alias("h"), F.length("text").alias("n"))
-    first = Window.partitionBy(by).orderBy("h", "doc_id")
-    placed = keys.withColumns({"place": F.row_number().over(first), "before": F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1))})
-    kept = placed.where((F.col("place") <= share) & (F.coalesce("before", F.lit(0)) < max(1, chars // len(sizes))))
-    last = {r[0]: r[1] for r in kept.groupBy(by).agg(F.max("h")).collect()}
+    share, most = max(1, rows // len(sizes)), max(1, chars // len(sizes))
+    # Width of a range by value: the first BUCKETS of them hold about 2 * (share + 50) rows, or all.
+    width = {value: max(1, -(-int(min(1.0, 2 * (share + 50) / n) * 2**31) // BUCKETS)) for value, n in sizes.items()}
+    bucket = F.lit(BUCKETS)
+    for value, step in width.items():
+        bucket = F.when(F.col(by).eqNullSafe(F.lit(value)), F.floor(h / F.lit(step))).otherwise(bucket)
+    counted = df.select(by, bucket.alias("bucket"), F.length("text").alias("n")).where(F.col("bucket") < BUCKETS)
+    counts = counted.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars")).collect()
     taken = F.lit(False)
-    for value, top in last.items():
-        taken |= F.col(by).eqNullSafe(F.lit(value)) & (h <= F.lit(top))
+    for value, step in width.items():
+        end = so_far = so_long = 0
+        for r in sorted((r for r in counts if r[by] == value), key=lambda r: r["bucket"]):
+            if so_long >= most or so_far and so_far + r["rows"] > share:
+                break
+            end, so_far, so_long = (r["bucket"] + 1) * step, so_far + r["rows"], so_long + (r["chars"] or 0)
+        taken |= F.col(by).eqNullSafe(F.lit(value)) & (h < F.lit(end))
     return df.where(taken)
 
 

@@ -352,12 +352,13 @@ def language_by_hand(rows, text):
             for n in range(6):
                 for g in grams(w, n) if n else [w]:
                     tables[n].setdefault(g, Counter())[lang] += 1
-    langs = {lang for c in tables[0].values() for lang in c}
+    taught = sum(tables[0].values(), Counter())
+    langs = sorted(taught, key=lambda k: (-taught[k], k))
 
     def score(table, g, lang):
         return math.log((table[g][lang] + 0.1) / (sum(c[lang] for c in table.values()) + 0.1 * (len(table) + 1)))
 
-    total = Counter()
+    total = dict.fromkeys(langs, 0.0)
     for w in tokens(text):
         for lang in langs:
             if w in tables[0]:

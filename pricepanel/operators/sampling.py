@@ -195,7 +195,7 @@ def mean_correlations(series: DataFrame, block: int = 64) -> DataFrame:
         return pd.DataFrame({"issue_id": pdf["issue_id"], "total": np.where(wanted, c, 0.0).sum(axis=1), "n": wanted.sum(axis=1)})
 
     sums = met.groupBy("i", "j").applyInPandas(correlated, "issue_id string, total double, n long")
-    return sums.groupBy("issue_id").agg((F.sum("total") / F.sum("n")).alias("mean_abs_corr")).where("mean_abs_corr is not null")
+    return sums.groupBy("issue_id").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean_abs_corr")).where("mean_abs_corr is not null")
 
 
 def round_robin(candidates: DataFrame, n: int, seed: int) -> DataFrame:

@@ -22,6 +22,7 @@ from pricepanel.operators import metrics as mt
 from pricepanel.operators import normalise as nm
 from pricepanel.operators import sampling as sm
 from pricepanel.operators import trajectory as tj
+from pricepanel.operators import user_functions as uf
 from pricepanel.operators import windows as wn
 from pricepanel.plans import registry
 from pricepanel.sources import tables as st
@@ -314,3 +315,44 @@ def test_queries_match_sql(spark, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_user_functions(spark):
+    rows = prices(spark, [float(v) for v in (3, 1, 2, 5, 4, 6)], "2020-01-01")
+    value = [c for c in rows.columns if c not in ("issue_id", "date")][0]
+    low = uf.grouped_map(rows, lambda pdf: pdf.assign(low=pdf[value].cummin())[["issue_id", "date", "low"]], "issue_id string, date date, low double").orderBy("date").collect()
+    assert [r["low"] for r in low] == [3, 1, 1, 1, 1, 1]
+    out = uf.rolling_map(rows, value, "named", 3, "range")
+    out = uf.rolling_map(out, value, "own", 3, lambda x: F.array_max(x))
+    out = uf.rolling_python(out, value, "python", 3, lambda x: float(min(x))).orderBy("date").collect()
+    assert [(r["named"], r["own"], r["python"]) for r in out] == [(None, None, None)] * 2 + [(2, 3, 1), (4, 5, 1), (3, 5, 2), (2, 6, 4)]
+    with pytest.raises(ValueError, match="unknown kernel"):
+        uf.rolling_map(rows, value, "v", 3, "nothing")
+    found = uf.balanced_by(rows, value, lambda v: F.when(v < 6, F.floor(v / 3).cast("int")), ["issue_id", "date"], 4, 1)
+    assert {r["bin"]: r["count"] for r in found.groupBy("bin").count().collect()} == {0: 4, 1: 4}
+    paths = rows.select("issue_id", F.dayofmonth("date").alias("step"), F.col(value).alias("price"))
+    up = uf.table_function(paths, ["issue_id"], lambda pdf: pdf[pdf["price"].diff() > 0][["step"]].reset_index(drop=True), "step int").count()
+    assert up == 3
+
+
+def test_numbers_without_one_task(spark):
+    ids = spark.range(1000).select(F.md5(F.col("id").cast("string")).alias("issue_id")).repartition(7)
+    found = sm.numbered(ids, "issue_id").orderBy("_n").collect()
+    assert [r["_n"] for r in found] == list(range(1, 1001)) and {r["_all"] for r in found} == {1000}
+    assert [r["issue_id"] for r in found] == sorted(r["issue_id"] for r in found)
+    rows = spark.range(500).select("id", (F.col("id") % 10 == 0).alias("g"))
+    ranked = sm.ranked_in_buckets(rows, F.md5(F.col("id").cast("string")), ["id"], ("g",), "r", "n").collect()
+    assert sorted(r["r"] for r in ranked if r["g"]) == list(range(1, 51)) and {(r["g"], r["n"]) for r in ranked} == {(True, 50), (False, 450)}
+
+
+def test_mean_correlations_against_pandas(spark):
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.normal(size=(9, 40)), axis=1)
+    x[2, :5] = np.nan
+    x[5] = 3.0
+    rows = [(str(i), [None if np.isnan(v) else float(v) for v in own]) for i, own in enumerate(x)]
+    c = pd.DataFrame(x.T).corr().abs().to_numpy()
+    np.fill_diagonal(c, np.nan)
+    for block in (64, 2):
+        found = {int(r["issue_id"]): r["mean_abs_corr"] for r in sm.mean_correlations(spark.createDataFrame(rows, "issue_id string, x array<double>"), block).collect()}
+        assert set(found) == set(range(9)) - {5} and all(abs(found[i] - np.nanmean(c[i])) < 1e-9 for i in found)

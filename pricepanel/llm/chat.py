@@ -6,8 +6,9 @@ entities, so no control string can stand in them and every turn can be read back
 assistant texts in the formatted string.
 
 Defined results: null text counts as empty, null role as an empty role; turns are sorted by number (null first), then
-role, then text, and repeated rows are turns of their own; a null conv_id is a conversation; an empty table gives an empty result; extra
-columns are dropped.
+role, then text, and repeated rows are turns of their own; a null conv_id is a conversation; very long texts are formatted whole; an empty
+table gives an empty result; extra columns are dropped. A conversation is one row, so its turns meet in one task; time for its loss
+spans grows with the square of their number.
 """
 
 from __future__ import annotations

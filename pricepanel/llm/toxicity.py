@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +43,7 @@ DISCOUNT, EXPRESSIONS = 0.75, (1, 2, 4)
 UNFITTED, RIDGE = (-6.0, 0.0, 1.0, 1.0, 0.0), 0.005
 #: Distinct bigrams that a task counts before it hands its counts on.
 HELD = 100_000
-words_of = re.compile(r"\w+").findall
+words_of, SPACE = re.compile(r"\w+").findall, re.compile(r"\s+").search
 #: Stands before a text's first word.
 START = hashes([""])
 
@@ -61,29 +61,59 @@ class Model:
     bigram: Lookup = field(default_factory=_none)
     weights: tuple[float, ...] | None = None
 
-    def ratios(self, words: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each of a text's hashed words: of the bigram where both classes know its history, else of the word."""
+    def ratios(self, words: np.ndarray, before: np.ndarray = START) -> np.ndarray:
+        """Log-likelihood ratio of each of the hashed words that follow ``before``: of the bigram where both classes know its history, else of the word."""
         at = self.word.places(words)
         out = np.where(at >= 0, self.word.values[at] if len(self.word.keys) else 0.0, self.rare)
-        at = self.bigram.places(pair_hashes(np.concatenate([START, words[:-1]]), words)) if len(words) else at
+        at = self.bigram.places(pair_hashes(np.concatenate([before, words[:-1]]), words)) if len(words) else at
         known = at >= 0
         out[known] = self.bigram.values[at[known]]
         return out
 
+    def parts(self, text: str | None) -> Iterator[np.ndarray]:
+        """:meth:`ratios` of a text's words, a piece of the text at a time."""
+        before = START
+        for piece in pieces(text or ""):
+            if words := words_of(piece.lower()):
+                own = hashes(words)
+                yield self.ratios(own, before)
+                before = own[-1:]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        x = np.array([features(self.ratios(hashes(words_of((t or "").lower())))) for t in texts]).reshape(-1, len(self.weights)) @ np.array(self.weights)
+        x = np.array([features(self.parts(t)) for t in texts]).reshape(-1, len(self.weights)) @ np.array(self.weights)
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def features(ratios: np.ndarray) -> list[float]:
-    """Intercept, then the log-likelihood ratio per word of the whole text and of its most toxic expression of each length."""
-    if not len(ratios):
-        return [0.0 if i else 1.0 for i in range(len(EXPRESSIONS) + 2)]
-    total = np.concatenate([[0.0], np.cumsum(ratios, dtype=float)])
-    sizes = [min(n, len(ratios)) for n in EXPRESSIONS]
-    return [1.0, float(total[-1]) / len(ratios), *(float((total[n:] - total[:-n]).max()) / n for n in sizes)]
+def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The text in pieces of ``size`` characters and up to the next white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        space = SPACE(text, at + size)
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
+def features(parts: Iterable[np.ndarray]) -> list[float]:
+    """Intercept, then the log-likelihood ratio per word of the whole text and of its most toxic expression of each length.
+
+    ``parts`` are the ratios of the text's words, piece by piece; expressions reach over from one to the next.
+    """
+    total, n, last, best = 0.0, 0, np.zeros(0), dict.fromkeys(EXPRESSIONS, -math.inf)
+    for own in parts:
+        total, n = total + float(own.sum(dtype=float)), n + len(own)
+        run = np.concatenate([last, own.astype(float)])
+        sums = np.concatenate([[0.0], np.cumsum(run)])
+        for k in EXPRESSIONS:
+            if len(run) >= k:
+                best[k] = max(best[k], float((sums[k:] - sums[:-k]).max()) / k)
+        last = run[-(max(EXPRESSIONS) - 1) :]
+    if not n:
+        return [1.0, *[0.0] * (len(EXPRESSIONS) + 1)]
+    # A text that is shorter than an expression is one.
+    return [1.0, total / n, *(best[k] if n >= k else total / n for k in EXPRESSIONS)]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int], max_chars: int) -> tuple[DataFrame, dict[int, int]]:
@@ -195,7 +225,7 @@ def _with_features(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(slices: Iterator[list[list]]) -> Iterator[list[list]]:
         for classes, texts in slices:
-            yield [classes, [features(shared.value.ratios(hashes(words_of(t.lower())))) for t in texts]]
+            yield [classes, [features(shared.value.parts(t)) for t in texts]]
 
     return map_slices(rows, run, "toxic int, features array<double>")
 

@@ -449,7 +449,12 @@ def test_toxicity_models_against_the_definition(spark, monkeypatch):
         got = model.ratios(common.hashes(toxicity.words_of(text.lower())))
         want = toxic_ratios_by_hand(list(zip(texts, labels)), text)
         assert np.allclose(got, want, atol=1e-4)
-        assert np.allclose(toxicity.features(got)[:3], [1.0, np.mean(want), max(want)], atol=1e-4)
+        assert np.allclose(toxicity.features([got])[:3], [1.0, np.mean(want), max(want)], atol=1e-4)
+        whole, cut = toxicity.features([got]), toxicity.features([got[:1], got[1:2], got[2:5], got[5:5], got[5:]])
+        assert np.allclose(whole, cut) and np.allclose(whole[3], max((a + b) / 2 for a, b in zip(want, want[1:])), atol=1e-4)
+    for size in (1, 7, 50):
+        found = list(toxicity.pieces(texts[0], size))
+        assert "".join(found) == texts[0] and [w for p in found for w in toxicity.words_of(p)] == toxicity.words_of(texts[0])
     rows = spark.createDataFrame([(1, "vile vile"), (1, "vile vile"), (None, "x"), (2, "lane " * 60_000)], "doc_id long, text string")
     assert toxicity.score(rows, model).count() == 4 and toxicity.score(rows.limit(0), model).count() == 0
 
@@ -570,6 +575,23 @@ def test_chat_formatting_reads_back(spark):
     assert chat.digests(table.limit(0)).count() == 0
 
 
+def test_chat_of_equal_turns_and_long_texts(spark):
+    long = "é<[&" * 60_000
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "a"), (1, 0, "assistant", "a"), (1, None, "user", long), (2, 0, "assistant", long)]
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}
+    assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [("user", long), ("assistant", "a"), ("assistant", "a"), ("user", "b")]
+    assert back[1]["loss_text"] == "aa" and back[2]["loss_text"] == long
+
+
+def test_repeated_rows_are_coded_and_scored_each(spark):
+    public = pytest.importorskip("public_tokenizers")
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (None, "c"), (None, "c")], "doc_id long, text string")
+    coded = bpe.round_trip(rows, public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN).collect()
+    assert Counter((r["doc_id"], r["n_tokens"] > 0) for r in coded) == {(1, True): 2, (1, False): 1, (None, True): 2}
+    scores = Counter((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in ppm.scores(rows, rows).collect())
+    assert sorted(scores.values()) == [1, 2, 2] and ppm.scores(rows.limit(0), rows).count() == 0
+
+
 def test_rollups_match_a_recount(spark):
     store = token_rollups.Rollups(spark, common.shared_path(spark, "rollups"))
     change = lambda *r: spark.createDataFrame(r, "op string, seq int, doc_id long, tokenizer string, source string, lang string, tokens long")

@@ -15,7 +15,7 @@ from pricepanel.plans.calendar_queries import DAYS, HOR, LOOK, ORIGINS, origins
 from pricepanel.plans.feature_queries import O
 from pricepanel.plans.metric_queries import MEMBERS, PRED, members, predictions
 from pricepanel.plans.registry import query
-from pricepanel.plans.trend_queries import RATIOS, T, ranges
+from pricepanel.plans.trend_queries import RATIOS, T
 
 #: Paths: the realised future, two made by the returns of rows 7 and 14 before, and the mean-reverting baseline.
 KAPPA, MU, SIGMA = 0.1, 0.5, 0.05
@@ -38,8 +38,24 @@ PK = "issue_id, origin_date, source, iteration"
 PW = f"PARTITION BY {PK} ORDER BY step"
 
 
+def origin_prices(spark, d):
+    """One row per origin: ``x``, its prices from the first row of the look-back to the horizon's last."""
+    from pricepanel.operators.calendar import positions
+
+    rows = positions(panel(spark, d)).select("issue_id", "pos", F.col("cl_adj_loc").alias("price"))
+    starts = origins(spark, d)
+    wanted = starts.select("issue_id", "origin_date", F.explode(F.sequence(F.col("origin_pos") - (LOOK - 1), F.col("origin_pos") + HOR)).alias("pos"))
+    prices = F.transform(F.sort_array(F.collect_list(F.struct("pos", "price"))), lambda s: s["price"])
+    return wanted.join(rows, ["issue_id", "pos"]).groupBy("issue_id", "origin_date").agg(prices.alias("x"))
+
+
 def histories(spark, d):
-    return ranges(spark, d).withColumnRenamed("date", "origin_date").join(origins(spark, d), ["issue_id", "origin_date"]).withColumnRenamed("last", "price")
+    return _histories(origin_prices(spark, d))
+
+
+def _histories(found):
+    back = F.slice("x", 1, LOOK)
+    return found.select("issue_id", "origin_date", F.array_min(back).alias("lo"), F.array_max(back).alias("hi"), F.element_at("x", LOOK).alias("price"))
 
 
 def baseline(spark, d):
@@ -47,15 +63,12 @@ def baseline(spark, d):
 
 
 def price_paths(spark, d):
-    from pricepanel.operators.calendar import positions
-
-    rows = positions(panel(spark, d)).select("issue_id", "pos", F.col("cl_adj_loc").alias("price"))
-    starts = origins(spark, d).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    first = F.col("origin_pos") - 7 * F.col("iteration")
-    wanted = starts.select("issue_id", "origin_date", "iteration", F.posexplode(F.sequence(first, first + HOR)).alias("step", "pos"))
+    found = origin_prices(spark, d)
+    shifted = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(i.alias("iteration"), F.slice("x", LOOK - 7 * i, F.lit(HOR + 1)).alias("prices")))
     source = F.when(F.col("iteration") == 0, "original").otherwise("donor").alias("source")
-    drawn = wanted.join(rows, ["issue_id", "pos"]).select("issue_id", "origin_date", source, "iteration", "step", "price")
-    return drawn.unionByName(baseline(spark, d).withColumns({"source": F.lit("baseline"), "iteration": F.lit(0)}))
+    drawn = found.select("issue_id", "origin_date", F.inline(shifted)).select("issue_id", "origin_date", source, "iteration", F.posexplode("prices").alias("step", "price"))
+    made = pt.mean_reverting(_histories(found), HOR, 5, KAPPA, MU, SIGMA)
+    return drawn.unionByName(made.withColumns({"source": F.lit("baseline"), "iteration": F.lit(0)}))
 
 
 @query(f"{PATHS}, v AS (SELECT {PK}, max(price) / min(price) < 1.25 AS ok FROM paths GROUP BY {PK}) SELECT issue_id, origin_date, count(*) AS paths, count(DISTINCT iteration) AS iterations, sum(ok::INT)::BIGINT AS valid_paths FROM v GROUP BY 1, 2")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pricepanel.functions.expressions import bin_index, ratio, uniform
 
 KEYS = ["issue_id", "origin_date", "source", "iteration"]
+#: Differences up to which the signed-rank test is exact.
+EXACT = 50
 
 
 def inventory(paths: DataFrame) -> DataFrame:
@@ -108,7 +110,9 @@ def shared_histogram(rows: DataFrame, value: str, bins: int = 40) -> DataFrame:
 
 
 def signed_rank_test(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    """One-sided paired test that error ``b`` is larger than ``a``: zeros dropped, average ranks, normal approximation with ties corrected.
+    """One-sided paired test that error ``b`` is larger than ``a``: zeros dropped, average ranks.
+
+    ``p_value`` is exact for up to ``EXACT`` differences of distinct sizes, none of them 0, else by the normal approximation with ties corrected.
 
     Ranks come from the counts of distinct sizes, one row each, so no row is ranked in one task with all others.
     """
@@ -125,7 +129,19 @@ def signed_rank_test(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFr
     n = F.coalesce("n", F.lit(0))
     mean, variance = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.coalesce("_ties", F.lit(0)) / 48
     z = ratio(F.coalesce("statistic", F.lit(0.0)) - mean, F.sqrt(variance))
-    return out.withColumns({"n": n, "statistic": F.coalesce("statistic", F.lit(0.0)), "z": z}).withColumn("p_value", F.when(F.col("z").isNull(), 1.0).otherwise(upper_tail(F.col("z")))).drop("_ties")
+    out = out.withColumns({"n": n, "statistic": F.coalesce("statistic", F.lit(0.0)), "z": z})
+    exact = (F.col("n") <= EXACT) & (F.col("n") == F.col("issues")) & (F.col("_ties") == 0)
+    p = F.when(F.col("z").isNull(), 1.0).when(exact, signed_rank_tail(F.col("n"), F.col("statistic"))).otherwise(upper_tail(F.col("z")))
+    return out.withColumn("p_value", p).drop("_ties")
+
+
+def signed_rank_tail(n: Column, statistic: Column) -> Column:
+    """Chance that the ranks 1 to ``n``, each in or out like a coin, sum to ``statistic`` or more: the distribution rank by rank."""
+    ranks = F.sequence(F.lit(1), n.cast("int"))
+    start = F.transform(F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    with_rank = lambda p, r: F.transform(p, lambda x, i: (x + F.when(i >= r, F.get(p, i - r)).otherwise(0.0)) / 2)
+    chances = F.aggregate(ranks, start, with_rank)
+    return F.aggregate(F.slice(chances, statistic.cast("int") + 1, F.size(start)), F.lit(0.0), lambda a, x: a + x)
 
 
 def upper_tail(z: Column) -> Column:

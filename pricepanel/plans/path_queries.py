@@ -171,8 +171,11 @@ TEST = "mean_a mean_b median_a median_b statistic z p_value"
     k AS (SELECT count(*) AS issues, avg(a) AS mean_a, avg(b) AS mean_b, quantile_cont(a, 0.5) AS median_a, quantile_cont(b, 0.5) AS median_b FROM x WHERE a IS NOT NULL AND b IS NOT NULL), sz AS (SELECT abs(d) AS s, count(*) AS c, count(*) FILTER (d > 0) AS up FROM x WHERE d <> 0 GROUP BY 1),
     rk AS (SELECT *, sum(c) OVER (ORDER BY s) - (c - 1) / 2 AS r FROM sz), sm AS (SELECT sum(c)::BIGINT AS n, sum(r * up) AS statistic, sum(c * c * c - c) AS ties FROM rk),
     f AS (SELECT *, (statistic - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) AS z FROM k, sm), g AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM f),
-    h AS (SELECT *, exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS tail FROM g)
-    SELECT issues, mean_a, mean_b, median_a, median_b, n, statistic, z, {TAIL} AS p_value, {TAIL} < 0.05 AS better FROM h""",
+    h AS (SELECT *, exp(-z * z / 2) / 2.5066282746310002 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS tail FROM g),
+    dist(i, k, p) AS (SELECT 0::BIGINT, 0::BIGINT, 1.0::DOUBLE UNION ALL SELECT i, k, sum(p) FROM (SELECT d.i + 1 AS i, d.k + u.u * (d.i + 1) AS k, d.p / 2 AS p FROM dist d, (SELECT unnest([0, 1]) AS u) u, sm WHERE d.i < sm.n AND sm.n <= {pt.EXACT}) GROUP BY i, k),
+    ev AS (SELECT sum(p) FILTER (i = n AND k >= statistic) AS exact FROM dist, sm),
+    j AS (SELECT *, CASE WHEN z IS NOT NULL AND n <= {pt.EXACT} AND n = issues AND ties = 0 THEN exact ELSE {TAIL} END AS p_value FROM h, ev)
+    SELECT issues, mean_a, mean_b, median_a, median_b, n, statistic, z, p_value, p_value < 0.05 AS better FROM j""".replace("WITH ", "WITH RECURSIVE ", 1),
     TEST,
 )
 def n12_signed_rank_test(spark, d):

@@ -20,6 +20,7 @@ from pricepanel.operators import gates as gt
 from pricepanel.operators import joins as jn
 from pricepanel.operators import metrics as mt
 from pricepanel.operators import normalise as nm
+from pricepanel.operators import paths as pt
 from pricepanel.operators import sampling as sm
 from pricepanel.operators import trajectory as tj
 from pricepanel.operators import user_functions as uf
@@ -356,3 +357,13 @@ def test_mean_correlations_against_pandas(spark):
     for block in (64, 2):
         found = {int(r["issue_id"]): r["mean_abs_corr"] for r in sm.mean_correlations(spark.createDataFrame(rows, "issue_id string, x array<double>"), block).collect()}
         assert set(found) == set(range(9)) - {5} and all(abs(found[i] - np.nanmean(c[i])) < 1e-9 for i in found)
+
+
+def test_signed_rank_tails_are_exact(spark):
+    from itertools import product
+
+    rows = [(n, float(w)) for n in (1, 4, 7) for w in range(n * (n + 1) // 2 + 1)]
+    table = spark.createDataFrame(rows, "n long, w double").withColumn("p", pt.signed_rank_tail(F.col("n"), F.col("w")))
+    for r in table.collect():
+        sums = [sum(i + 1 for i, s in enumerate(signs) if s) for signs in product((0, 1), repeat=r["n"])]
+        assert math.isclose(r["p"], sum(s >= r["w"] for s in sums) / len(sums))

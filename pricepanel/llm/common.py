@@ -127,7 +127,7 @@ class Lookup:
     """Distinct 64-bit keys with a row of values each, laid out by slot; where each slot begins is worked out where it is used."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(keys))))))
+        self.bits = max(4, int(np.ceil(np.log2(2 * max(1, len(keys))))))
         at = np.argsort(self._slot(keys), kind="stable")
         self.keys, self.values = keys[at], values[at]
         self.begins: np.ndarray | None = None
@@ -141,15 +141,19 @@ class Lookup:
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key among those that are here, -1 for others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
         if self.begins is None:
             self.begins = np.concatenate([[0], np.cumsum(np.bincount(self._slot(self.keys), minlength=1 << self.bits))]).astype(np.int32)
         slot = self._slot(keys)
         at, stop = self.begins[slot], self.begins[slot + 1]
-        out, left = np.full(len(keys), -1, np.int64), np.flatnonzero(at < stop)
-        while len(left):  # as often as the fullest slot has keys: a few times
+        some = at < stop
+        hit = some & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)
+        out, left = np.where(hit, at, np.int64(-1)), np.flatnonzero(some & ~hit)
+        while len(left):  # as often as the fullest slot has keys: a few times, for few keys
+            at[left] += 1
+            left = left[at[left] < stop[left]]
             same = self.keys[at[left]] == keys[left]
             out[left[same]] = at[left[same]]
             left = left[~same]
-            at[left] += 1
-            left = left[at[left] < stop[left]]
         return out

@@ -14,6 +14,7 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import regex
@@ -24,8 +25,8 @@ from pricepanel.llm.common import map_slices, sources
 
 #: White space around a space: only there can a match of the pattern reach over a space between two words.
 WIDE_SPACE = regex.compile(r"\s (?:\s|\Z)").search
-#: Bytes of words, ids and their objects that an encoder remembers; beyond it the memory starts anew. Words longer than ``MEMO_LONGEST`` aren't kept.
-MEMO_BYTES, MEMO_LONGEST = 64 << 20, 64
+#: Bytes of words, ids and their objects that an encoder remembers between slices; beyond it the memory starts anew.
+MEMO_BYTES = 96 << 20
 #: Ids that are decoded at a time.
 PIECE = 1 << 16
 
@@ -71,18 +72,14 @@ class Codec:
         unseen = list({w for own in words for w in own[1:] if w not in memo})
         starts = [own[0] for own in words]
         found = self._pieces([" " + w for w in unseen] + starts)
-        new = dict(zip(unseen, found, strict=False))
-        get = lambda w: new[w] if (known := memo.get(w)) is None else known
+        memo.update(zip(unseen, found, strict=False))
+        get = memo.__getitem__
         out = [first + b"".join(map(get, own[1:])) for first, own in zip(found[len(unseen) :], words, strict=True)]
-        short = {w: ids for w, ids in new.items() if len(w) <= MEMO_LONGEST}
         # An entry is two objects of some 50 bytes more than what they hold, and a place in the table.
-        size = sum(len(w) + len(ids) for w, ids in short.items()) + 200 * len(short)
-        if self.memo_bytes + size > MEMO_BYTES:
+        self.memo_bytes += sum(map(len, unseen)) + sum(map(len, found[: len(unseen)])) + 200 * len(unseen)
+        if self.memo_bytes > MEMO_BYTES:
             memo.clear()
             self.memo_bytes = 0
-        if size <= MEMO_BYTES:
-            memo.update(short)
-            self.memo_bytes += size
         return out
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
@@ -92,9 +89,12 @@ class Codec:
         ids: dict[str, bytes] = {}
         for at in range(0, len(distinct), 10_000):
             part = distinct[at : at + 10_000]
-            for piece, found in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[piece] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(ids.__getitem__, own)) for own in pieces]
+            found = [e.ids for e in self.model.encode_batch_fast(part, add_special_tokens=False)]
+            raw = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            ends = list(accumulate(map(len, found), initial=0))
+            ids.update((piece, raw[4 * a : 4 * b]) for piece, a, b in zip(part, ends, ends[1:], strict=False))
+        get = ids.__getitem__
+        return [get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for own in pieces]
 
 
 class Table:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pricepanel.functions.storage import scratch as shared_path
 from pricepanel.functions.storage import written
 
-__all__ = ["Lookup", "arrow_type", "hashes", "map_slices", "pair_hashes", "quota_sample", "remainder", "shared_path", "sources", "written"]
+__all__ = ["Lookup", "arrow_cuts", "arrow_type", "hashes", "map_slices", "pair_hashes", "quota_sample", "remainder", "shared_path", "sources", "written"]
 
 #: Rows, and characters of text, that a Python task holds as Python objects at a time (one longer text may exceed the latter).
 SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
@@ -44,7 +44,7 @@ def arrow_type(ddl: str) -> pa.Schema:
     return pa.schema(fields)
 
 
-def _cuts(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[tuple[int, int]]:
+def arrow_cuts(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[tuple[int, int]]:
     """First row and number of rows of each slice, by rows and by the bytes of the string columns."""
     size = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
@@ -70,7 +70,7 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list
 
         def slices() -> Iterator[list[list]]:
             for batch in batches:
-                for at, n in _cuts(batch, rows, SLICE_CHARS):
+                for at, n in arrow_cuts(batch, rows, SLICE_CHARS):
                     yield [c.to_pylist() for c in batch.slice(at, n).columns]
 
         for columns in fn(slices()):

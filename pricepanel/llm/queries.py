@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricepanel.llm import bpe, chat, decontaminate, exact_dedup, language_id, ppm, secret_ledger, simhash, token_rollups, toxicity
+from pricepanel.llm import bpe, chat, decontaminate, exact_dedup, fim, language_id, ppm, secret_ledger, simhash, token_rollups, toxicity
 from pricepanel.llm.common import remainder, shared_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -169,5 +169,31 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(ppm.scores(docs, docs.where(remainder("doc_id", 5) != 1)), 5, 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score)}
-ORACLE_SQL = {"op2_token_rollups": OP2_SQL, "op5_secret_scan": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(_read(spark, sf_dir, "documents"), with_restored=True)
+    digests = F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('7:' || doc_id), i, 8))::BIGINT) AS h
+  FROM documents
+), cut AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+              WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score, op12_fill_in_middle)}
+ORACLE_SQL = {"op2_token_rollups": OP2_SQL, "op5_secret_scan": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricepanel.llm import bpe, chat, decontaminate, exact_dedup, fim, language_id, ppm, secret_ledger, simhash, token_rollups, toxicity
-from pricepanel.llm.common import remainder, shared_path
+from pricepanel.llm import alignment, bpe, chat, decontaminate, exact_dedup, fim, language_id, ppm, secret_ledger, simhash, token_rollups, toxicity
+from pricepanel.llm.common import remainder, shared_path, written
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY, ALIGNED = "byte_bpe_multi_50k.tiktoken", ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -195,5 +195,11 @@ FROM parts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score, op12_fill_in_middle)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_read(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("").alias("groups_sha256")
+    return alignment.scored(written(found.select(*(digest if c == "groups" else c for c in found.columns)), "aligned"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score, op12_fill_in_middle, op13_alignment)}
 ORACLE_SQL = {"op2_token_rollups": OP2_SQL, "op5_secret_scan": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricepanel.llm import alignment, bpe, chat, decontaminate, exact_dedup, fim, language_id, ppm, secret_ledger, simhash, token_rollups, toxicity
+from pricepanel.llm import alignment, bpe, chat, decontaminate, exact_dedup, fim, language_id, ppm, secret_ledger, simhash, suffix_dedup, token_rollups, toxicity
 from pricepanel.llm.common import remainder, shared_path, written
 
 VOCABULARY, ALIGNED = "byte_bpe_multi_50k.tiktoken", ("byte_bpe_50k.json", "piece_bpe_32k.model")
@@ -169,6 +169,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(ppm.scores(docs, docs.where(remainder("doc_id", 5) != 1)), 5, 1)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fim.transform(_read(spark, sf_dir, "documents"), with_restored=True)
     digests = F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256")
@@ -201,5 +206,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(written(found.select(*(digest if c == "groups" else c for c in found.columns)), "aligned"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score, op12_fill_in_middle, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score, op11_suffix_dedup, op12_fill_in_middle, op13_alignment)}
 ORACLE_SQL = {"op2_token_rollups": OP2_SQL, "op5_secret_scan": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import bin_index, first_argmax, ratio, softmax
+from pricepanel.functions.storage import written
+from pricepanel.operators.bootstrap import percentiles, ratios, resampled
 from pricepanel.operators.sampling import numbered
 
 EXPERTS = ("bounce", "break", "hover")
@@ -69,10 +71,10 @@ def assignment_change(before: DataFrame, after: DataFrame, keys: list[str]) -> D
 
 
 def edges(df: DataFrame, *cols: str) -> DataFrame:
-    """One row with ``lo_<col>, hi_<col>`` of each column, padded by a half where it has one value."""
+    """One row with ``lo_<col>, hi_<col>`` of each column; where it has one value, a millionth of it (1e-8 at least) is added on both sides."""
     stats = df.agg(*(f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))))
-    flat = {c: F.col(f"lo_{c}") == F.col(f"hi_{c}") for c in cols}
-    return stats.select(*(x for c in cols for x in (F.when(flat[c], F.col(f"lo_{c}") - 0.5).otherwise(F.col(f"lo_{c}")).alias(f"lo_{c}"), F.when(flat[c], F.col(f"hi_{c}") + 0.5).otherwise(F.col(f"hi_{c}")).alias(f"hi_{c}"))))
+    pad = {c: F.when(F.col(f"lo_{c}") == F.col(f"hi_{c}"), F.greatest(F.abs(f"lo_{c}") * 1e-6, F.lit(1e-8))).otherwise(0.0) for c in cols}
+    return stats.select(*(x for c in cols for x in ((F.col(f"lo_{c}") - pad[c]).alias(f"lo_{c}"), (F.col(f"hi_{c}") + pad[c]).alias(f"hi_{c}"))))
 
 
 def binned(df: DataFrame, col: str, bins: int = BINS) -> DataFrame:
@@ -117,28 +119,20 @@ def bootstrap_weights(ids: DataFrame, replicates: int, seed: int) -> DataFrame:
     return drawn.groupBy("replicate", "_n").agg(F.count(F.lit(1)).alias("weight")).join(ranked, "_n").select("replicate", "issue_id", "weight")
 
 
-def drawn(sums: DataFrame, weights: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Sums of each of the ``values`` per ``keys`` and replicate, each security counted as often as it was drawn.
+def distance_bands(df: DataFrame, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """2.5 and 97.5 percentiles over replicates of each cell's mean gates, left out where the cell isn't supported.
 
-    A security's cells and its draws travel as one row each, whose sizes are those of the grid and of the replicates; they meet in the task,
-    where the products are summed before the next shuffle.
+    The stocks of ``df`` are drawn, the same in all cells; a replicate counts for a cell if it drew a window of it. Cells of no window have no replicates.
     """
-    cells = sums.groupBy("issue_id").agg(F.collect_list(F.struct(*keys, *values)).alias("cells"))
-    draws = weights.groupBy("issue_id").agg(F.collect_list(F.struct("replicate", "weight")).alias("draws"))
-    # Few bytes make many products, so the number of tasks doesn't follow the bytes.
-    tasks = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cells.join(draws, "issue_id").repartition(tasks, "issue_id").select("cells", F.explode("draws").alias("d"))
-    rows = met.select("d.*", F.explode("cells").alias("c")).select("replicate", "weight", "c.*")
-    return rows.groupBy(*keys, "replicate").agg(*(F.sum(F.col(v) * F.col("weight")).alias(v) for v in values))
-
-
-def distance_bands(df: DataFrame, weights: DataFrame) -> DataFrame:
-    """2.5 and 97.5 percentiles over replicates of each cell's mean gates, with the number of replicates that have the cell."""
-    draws = drawn(distance_sums(binned(df, "distance")), weights, ["level", "distance_bin"], ["n", *P])
-    means = draws.select("level", "distance_bin", *(ratio(F.col(c), F.col("n")).alias(c) for c in P))
-    bands = [F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(c) for c in P]
-    rows = means.groupBy("level", "distance_bin").agg(F.count(F.lit(1)).alias("replicates"), *bands)
-    return rows.select("level", "distance_bin", "replicates", *(x for c in P for x in (F.col(c)[0].alias(f"{c}_lo"), F.col(c)[1].alias(f"{c}_hi"))))
+    sums = written(distance_sums(binned(df, "distance")), "distance-sums")
+    cells = sums.groupBy("level", "distance_bin").agg(F.sum("n").alias("n"), F.countDistinct("issue_id").alias("stocks"))
+    draws = resampled(sums, ["level", "distance_bin"], ["n", *P], replicates, seed)
+    bands = {c: percentiles(ratios(c, "n")) for c in P}
+    found = draws.select("level", "distance_bin", bands[P[0]][2].alias("replicates"), *(x.alias(f"{c}_{end}") for c, own in bands.items() for x, end in zip(own, ("lo", "hi"), strict=False)))
+    grid = _grid(df, level=list(range(-1, 7)), distance_bin=list(range(BINS)))
+    full = grid.join(cells, ["level", "distance_bin"], "left").join(found, ["level", "distance_bin"], "left").na.fill(0, ["n", "stocks", "replicates"])
+    ends = [F.when(supported(), F.col(f"{c}_{end}")).alias(f"{c}_{end}") for c in P for end in ("lo", "hi")]
+    return full.select("level", "distance_bin", "n", "stocks", supported().alias("supported"), "replicates", *ends)
 
 
 def movement_summary(df: DataFrame) -> DataFrame:

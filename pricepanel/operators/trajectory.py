@@ -10,11 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import ratio
-from pricepanel.operators.gates import EXPERTS, P, drawn, entropy, top_two, winner_shares
+from pricepanel.functions.storage import written
+from pricepanel.operators.bootstrap import percentiles, ratios, resampled
+from pricepanel.operators.gates import EXPERTS, P, entropy, top_two
 
 PATH = ["segment_id", "issue_id", "source", "path_id"]
-METRICS = ("switches_per_100", "dwell_mean", "soft_change_mean", "entropy", "ambiguous_share")
-SOURCES = ("real", "synthetic")
+METRICS = (
+    "switches", "switches_per_100", "zero_switch", "dwell_mean", "dwell_median", "soft_change_mean", "soft_change_median", "entropy", "ambiguous_share", "tie_share",
+    *(f"mean_{e}" for e in EXPERTS), *(f"share_{e}" for e in EXPERTS),
+)
+SOURCES, GAP = ("real", "synthetic"), "synthetic-minus-real"
+#: Transitions out of a state, and stocks that have any, from which the state counts as supported.
+MIN_TRANSITIONS, MIN_STOCKS = 30, 5
 
 
 def _order():
@@ -59,7 +66,6 @@ def trajectory_metrics(steps: DataFrame) -> DataFrame:
 
     A run's duration stands at its first step, so steps and runs are summed in one grouping, on the partitioning that the steps have.
     """
-    shares = winner_shares()
     first = F.coalesce(F.col("state") != F.col("before"), F.lit(True))
     duration = F.when(first, F.count(F.lit(1)).over(Window.partitionBy(*PATH, "run")))
     rows = steps.withColumn("_duration", duration).groupBy(*PATH).agg(
@@ -71,7 +77,7 @@ def trajectory_metrics(steps: DataFrame) -> DataFrame:
         F.avg(F.col("ambiguous").cast("int")).alias("ambiguous_share"),
         F.avg(F.col("tied").cast("int")).alias("tie_share"),
         *(F.avg(c).alias(f"mean_{e}") for e, c in zip(EXPERTS, P, strict=True)),
-        *(F.avg(s).alias(f"share_{e}") for e, s in zip(EXPERTS, shares, strict=True)),
+        *(F.avg((F.col("state") == i).cast("int")).alias(f"share_{e}") for i, e in enumerate(EXPERTS)),
         F.avg("_duration").alias("dwell_mean"),
         F.percentile("_duration", F.lit(0.5)).alias("dwell_median"),
         *(F.avg(F.when(F.col("state") == i, F.col("_duration"))).alias(f"dwell_{e}") for i, e in enumerate(EXPERTS)),
@@ -114,38 +120,66 @@ def interval(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"), "replicates")
 
 
-def with_difference(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds rows of source ``difference``: real less synthetic, where both are there."""
-    wide = rows.groupBy(*keys).agg(*(F.max(F.when(F.col("source") == s, F.col(value))).alias(s) for s in SOURCES))
-    gap = wide.select(*keys, F.lit("difference").alias("source"), (F.col("real") - F.col("synthetic")).alias(value))
-    return rows.select(*keys, "source", value).unionByName(gap.where(F.col(value).isNotNull()))
+def _sides(sums: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """``keys, source, estimate, lo, hi, replicates`` of ``sum s / sum w`` for both sources and the second less the first.
 
-
-def compared(weighted: DataFrame, weights: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """Per metric and source (and their difference): weighted mean with its bootstrap interval."""
-    cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
-    long = weighted.select("issue_id", "source", "weight", F.explode(cells).alias("c")).select("issue_id", "source", "weight", "c.*").where("value is not null")
-    sums = long.groupBy("metric", "source", "issue_id").agg(F.sum(F.col("weight") * F.col("value")).alias("s"), F.sum("weight").alias("w"))
-    return _with_bands(sums, weights, ["metric"])
-
-
-def _with_bands(sums: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """Estimate and interval of ``sum s / sum w`` from per-stock sums."""
-    estimate = sums.groupBy(*keys, "source").agg(ratio(F.sum("s"), F.sum("w")).alias("estimate"))
-    draws = drawn(sums, weights, [*keys, "source"], ["s", "w"]).select(*keys, "source", "replicate", ratio(F.col("s"), F.col("w")).alias("estimate"))
-    bands = interval(with_difference(draws, [*keys, "replicate"], "estimate"), [*keys, "source"], "estimate")
-    return with_difference(estimate, keys, "estimate").join(bands, [*keys, "source"], "left")
-
-
-def compared_transitions(counts: DataFrame, weighted: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weighted transition probabilities per source with intervals, raw counts and support (30 raw transitions, 5 stocks)."""
-    cells = F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(f"t_{a}{b}").alias("n")) for a in range(3) for b in range(3)))
-    long = counts.join(weighted.select(*PATH, "weight"), PATH).select("issue_id", "source", "weight", F.explode(cells).alias("c")).select("issue_id", "source", "weight", "c.*")
-    sums = long.groupBy("from", "to", "source", "issue_id").agg(F.sum(F.col("weight") * F.col("n")).alias("s"), F.sum("n").alias("raw"))
-    sums = sums.withColumn("w", F.sum("s").over(Window.partitionBy("from", "source", "issue_id")))
-    support = sums.groupBy("from", "to", "source").agg(F.sum("raw").alias("raw"), F.count(F.when(F.col("raw") > 0, 1)).alias("stocks"))
-    support = support.withColumn("supported", (F.col("raw") >= 30) & (F.col("stocks") >= 5))
-    return _with_bands(sums.select("from", "to", "source", "issue_id", "s", "w"), weights, ["from", "to"]).join(support, ["from", "to", "source"], "left")
+    ``sums(issue_id, keys, s_<source>, w_<source>)`` are per stock. Both sources share their draws, so the difference is taken draw by draw.
+    """
+    names = [f"{x}_{source}" for source in SOURCES for x in "sw"]
+    whole = sums.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
+    point = [ratio(F.col(f"s_{source}"), F.col(f"w_{source}")) for source in SOURCES]
+    estimates = whole.select(*keys, F.explode(F.array(*(F.struct(F.lit(name).alias("source"), value.alias("estimate")) for name, value in zip((*SOURCES, GAP), (*point, point[1] - point[0]), strict=True)))).alias("e"))
+    drawn = resampled(sums, keys, names, replicates, seed)
+    drawn = drawn.select(*keys, *(ratios(f"s_{source}", f"w_{source}").alias(source) for source in SOURCES))
+    drawn = drawn.withColumn(GAP, F.zip_with(SOURCES[1], SOURCES[0], lambda a, b: a - b))
+    bands = [F.struct(F.lit(name).alias("source"), *(x.alias(n) for x, n in zip(percentiles(F.col(f"`{name}`")), ("lo", "hi", "replicates"), strict=True))) for name in (*SOURCES, GAP)]
+    intervals = drawn.select(*keys, F.explode(F.array(*bands)).alias("b")).select(*keys, "b.*")
+    return estimates.select(*keys, "e.*").join(intervals, [*keys, "source"], "left")
+
+
+def compared(weighted: DataFrame, replicates: int = 1000, seed: int = 1, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Per metric, for each source and for synthetic less real: weighted mean, weighted median, bootstrap interval and counts.
+
+    ``weighted`` are the included trajectories with their metrics and ``weight``; their stocks are drawn, the same for all metrics and both
+    sources. A metric that a trajectory lacks adds nothing to its sum. The difference has no median and no trajectories; its origins are the real ones.
+    """
+    cell = lambda source, value: F.sum(F.when(F.col("source") == source, value))
+    value = {m: F.col(m).cast("double") for m in metrics}
+    totals = [cell(source, F.col("weight") * value[m]).alias(f"{m}|{source}") for m in metrics for source in SOURCES]
+    stocks = weighted.groupBy("issue_id").agg(*totals, *(cell(source, F.col("weight")).alias(f"w_{source}") for source in SOURCES))
+    cells = F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"`{m}|{source}`").alias(f"s_{source}") for source in SOURCES)) for m in metrics))
+    sums = written(stocks.select("issue_id", F.explode(cells).alias("c"), *(f"w_{source}" for source in SOURCES)).select("issue_id", "c.*", *(f"w_{source}" for source in SOURCES)), "metric-sums")
+    out = _sides(sums, ["metric"], replicates, seed)
+    long = weighted.select("source", "weight", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), value[m].alias("value")) for m in metrics))).alias("c")).select("source", "weight", "c.*")
+    medians = weighted_quantile(long, ["metric", "source"], "value", "weight").withColumnRenamed("value_quantile", "median")
+    counts = weighted.groupBy("source").agg(F.count(F.lit(1)).alias("trajectories"), F.countDistinct("segment_id").alias("origins"))
+    gap = counts.where(F.col("source") == SOURCES[0]).select(F.lit(GAP).alias("source"), F.lit(None).cast("long").alias("trajectories"), "origins")
+    both = counts.unionByName(gap).crossJoin(F.broadcast(weighted.agg(F.countDistinct("issue_id").alias("stocks"))))  # three rows and one
+    return out.join(medians, ["metric", "source"], "left").join(both, "source")
+
+
+def compared_transitions(counts: DataFrame, weighted: DataFrame, replicates: int = 1000, seed: int = 1) -> DataFrame:
+    """Weighted transition probabilities of each source and of synthetic less real, with intervals and support.
+
+    A source state is supported by 30 raw transitions out of it and 5 stocks that have any; the difference, where both sources' are. Unsupported rows
+    have no interval. The difference has no counts, and the fewer stocks of both.
+    """
+    own = counts.join(weighted.select(*PATH, "weight"), PATH)
+    stocks = own.groupBy("issue_id", "source").agg(*(f.alias(f"{n}_{a}{b}") for a in range(3) for b in range(3) for n, f in (("s", F.sum(F.col("weight") * F.col(f"t_{a}{b}"))), ("r", F.sum(f"t_{a}{b}")))))
+    cells = F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(f"s_{a}{b}").alias("s"), (F.col(f"s_{a}0") + F.col(f"s_{a}1") + F.col(f"s_{a}2")).alias("w"), (F.col(f"r_{a}0") + F.col(f"r_{a}1") + F.col(f"r_{a}2")).alias("raw")) for a in range(3) for b in range(3)))
+    long = stocks.select("issue_id", "source", F.explode(cells).alias("c")).select("issue_id", "source", "c.*")
+    side = lambda source, c: F.sum(F.when(F.col("source") == source, F.col(c)))
+    sums = written(long.groupBy("from", "to", "issue_id").agg(*(side(source, c).alias(f"{c}_{source}") for source in SOURCES for c in ("s", "w", "raw"))), "transition-sums")
+    out = _sides(sums, ["from", "to"], replicates, seed)
+    keys = ["from", "to"]
+    totals = sums.groupBy(*keys).agg(*(x.alias(f"{n}_{source}") for source in SOURCES for n, x in (("weighted", F.sum(f"s_{source}")), ("weighted_from", F.sum(f"w_{source}")), ("raw_from", F.sum(f"raw_{source}")), ("stocks", F.count(F.when(F.col(f"w_{source}") > 0, 1))))))
+    enough = {source: (F.col(f"raw_from_{source}") >= MIN_TRANSITIONS) & (F.col(f"stocks_{source}") >= MIN_STOCKS) for source in SOURCES}
+    rows = [F.struct(F.lit(source).alias("source"), *(F.col(f"{n}_{source}").alias(n) for n in ("weighted", "weighted_from", "raw_from", "stocks")), enough[source].alias("supported")) for source in SOURCES]
+    none = [F.lit(None).cast(kind).alias(n) for n, kind in (("weighted", "double"), ("weighted_from", "double"), ("raw_from", "long"))]
+    rows.append(F.struct(F.lit(GAP).alias("source"), *none, F.least(*(f"stocks_{source}" for source in SOURCES)).alias("stocks"), (enough[SOURCES[0]] & enough[SOURCES[1]]).alias("supported")))
+    support = totals.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
+    both = out.join(support, [*keys, "source"])
+    return both.withColumns({end: F.when(F.col("supported"), F.col(end)) for end in ("lo", "hi")})
 
 
 def transition_origins(counts: DataFrame, weighted: DataFrame) -> DataFrame:

@@ -260,20 +260,25 @@ def k05_distance_summary(spark, d):
 
 
 REPS = 1000
-WEIGHTS = f"""ids AS (SELECT issue_id, row_number() OVER (ORDER BY issue_id) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT issue_id FROM panel)),
+
+
+def weights_sql(table: str) -> str:
+    """``weights(replicate, issue_id, weight)``: how often each replicate draws each security of ``table``."""
+    return f"""ids AS (SELECT issue_id, row_number() OVER (ORDER BY issue_id) - 1 AS n, count(*) OVER () AS c FROM (SELECT DISTINCT issue_id FROM {table})),
   draws AS (SELECT r::INT AS replicate, floor((('0x' || substr(md5(concat_ws('|', '7', r::VARCHAR, ids.n::VARCHAR)), 1, 8))::BIGINT) / 4294967296.0 * c)::BIGINT AS n FROM ids, range({REPS}) t(r)),
   weights AS (SELECT replicate, issue_id, count(*) AS weight FROM draws JOIN ids USING (n) GROUP BY 1, 2)"""
 
 
 @query(
-    f"""{GATES}, {WEIGHTS}, {_binned_sql('distance', 'gates', 'db')}, lv AS (SELECT unnest([-1, nearest_level]) AS level, * EXCLUDE (nearest_level) FROM db), s AS (SELECT level, distance_bin, issue_id, count(*) AS n, sum(p_bounce) AS p_bounce, sum(p_break) AS p_break, sum(p_hover) AS p_hover FROM lv GROUP BY 1, 2, 3),
-    w AS (SELECT level, distance_bin, replicate, sum(p_bounce * weight) / sum(n * weight) AS p_bounce, sum(p_break * weight) / sum(n * weight) AS p_break, sum(p_hover * weight) / sum(n * weight) AS p_hover FROM s JOIN weights USING (issue_id) GROUP BY 1, 2, 3)
-    SELECT level, distance_bin, count(*) AS replicates, {', '.join(f'quantile_cont({c}, 0.025) AS {c}_lo, quantile_cont({c}, 0.975) AS {c}_hi' for c in gt.P)} FROM w GROUP BY 1, 2""",
+    f"""{GATES}, {weights_sql('gates')}, {_binned_sql('distance', 'gates', 'db')}, lv AS (SELECT unnest([-1, nearest_level]) AS level, * EXCLUDE (nearest_level) FROM db), s AS (SELECT level, distance_bin, issue_id, count(*) AS n, sum(p_bounce) AS p_bounce, sum(p_break) AS p_break, sum(p_hover) AS p_hover FROM lv GROUP BY 1, 2, 3),
+    w AS (SELECT level, distance_bin, replicate, sum(p_bounce * weight) / sum(n * weight) AS p_bounce, sum(p_break * weight) / sum(n * weight) AS p_break, sum(p_hover * weight) / sum(n * weight) AS p_hover FROM s JOIN weights USING (issue_id) GROUP BY 1, 2, 3),
+    b AS (SELECT level, distance_bin, count(*) AS replicates, {', '.join(f'quantile_cont({c}, 0.025) AS {c}_lo, quantile_cont({c}, 0.975) AS {c}_hi' for c in gt.P)} FROM w GROUP BY 1, 2), c AS (SELECT level, distance_bin, sum(n)::BIGINT AS n, count(*) AS stocks FROM s GROUP BY 1, 2),
+    g AS (SELECT (a - 1)::INT AS level, b::INT AS distance_bin FROM range(8) t(a), range(20) u(b)), f AS (SELECT g.*, coalesce(n, 0) AS n, coalesce(stocks, 0) AS stocks, coalesce(replicates, 0) AS replicates, b.* EXCLUDE (level, distance_bin, replicates) FROM g LEFT JOIN c USING (level, distance_bin) LEFT JOIN b USING (level, distance_bin))
+    SELECT level, distance_bin, n, stocks, {GRID} AS supported, replicates, {', '.join(f'CASE WHEN {GRID} THEN {c}_{e} END AS {c}_{e}' for c in gt.P for e in ('lo', 'hi'))} FROM f""",
     " ".join(f"{c}_{e}" for c in gt.P for e in ("lo", "hi")),
 )
 def k05_distance_bands(spark, d):
-    rows = gates(spark, d)
-    return gt.distance_bands(rows, gt.bootstrap_weights(panel(spark, d), REPS, 7))
+    return gt.distance_bands(gates(spark, d), REPS, 7)
 
 
 @query(

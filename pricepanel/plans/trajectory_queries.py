@@ -17,7 +17,7 @@ from pricepanel.operators.panel import PANEL_SQL, panel
 from pricepanel.plans.calendar_queries import HOR, LOOK, ORIGINS, origins
 from pricepanel.plans.event_sql import ALIGNED, events_sql
 from pricepanel.plans.feature_queries import O, w
-from pricepanel.plans.metric_queries import REPS, WEIGHTS
+from pricepanel.plans.metric_queries import REPS, weights_sql
 from pricepanel.plans.registry import query
 from pricepanel.plans.trend_queries import FEATS
 
@@ -41,7 +41,7 @@ TRAJ = f"""{ORIGINS}, m AS (SELECT issue_id, pos, date, cl_adj_loc AS last, lag(
   wt AS (SELECT {PK}, 1 / count(*) OVER (PARTITION BY segment_id, source) AS weight FROM ok WHERE paired),
   met AS (SELECT {PK}, count(*) AS observations, count(*) FILTER (state <> "before") AS switches, avg(soft_change) AS soft_change_mean, quantile_cont(soft_change, 0.5) AS soft_change_median,
     avg(-({' + '.join(f'CASE WHEN {c} > 0 THEN {c} * ln({c}) ELSE 0 END' for c in gt.P)})) / ln(3.0) AS entropy, avg(ambiguous::INT) AS ambiguous_share, avg(tied::INT) AS tie_share, {', '.join(f'avg(p_{e}) AS mean_{e}' for e in gt.EXPERTS)},
-    {', '.join(f'avg((p_{e} = greatest({PROB}))::INT / ((p_bounce = greatest({PROB}))::INT + (p_break = greatest({PROB}))::INT + (p_hover = greatest({PROB}))::INT)) AS share_{e}' for e in gt.EXPERTS)} FROM st GROUP BY {PK}),
+    {', '.join(f'avg((state = {i})::INT) AS share_{e}' for i, e in enumerate(gt.EXPERTS))} FROM st GROUP BY {PK}),
   md AS (SELECT {PK}, avg(duration) AS dwell_mean, quantile_cont(duration, 0.5) AS dwell_median, {', '.join(f'avg(duration) FILTER (state = {i}) AS dwell_{e}' for i, e in enumerate(gt.EXPERTS))} FROM runs GROUP BY {PK}),
   metrics AS (SELECT *, CASE WHEN observations > 1 THEN 100 * switches / (observations - 1) END AS switches_per_100, switches = 0 AS zero_switch FROM met JOIN md USING ({PK}))"""
 
@@ -112,40 +112,47 @@ def l07_weighted_quantile(spark, d):
     return tj.weighted_quantile(both, ["source"], "entropy", "weight")
 
 
-@query(f"{TRAJ}, {WEIGHTS} SELECT replicate, issue_id, weight FROM weights")
+@query(f"{TRAJ}, {weights_sql('panel')} SELECT replicate, issue_id, weight FROM weights")
 def l08_bootstrap_weights(spark, d):
     return gt.bootstrap_weights(panel(spark, d), REPS, 7)
 
 
 def _bands_sql(sums: str, keys: str) -> str:
-    """Estimate, interval and difference from per-stock sums ``sums(keys, source, issue_id, s, w)``."""
+    """Estimate, interval and difference (synthetic less real) from per-stock sums ``sums(keys, source, issue_id, s, w)``; a draw counts where its ``w`` is positive."""
     k, on = f"{keys}, ", f"{keys}, source"
-    return f"""est AS (SELECT {k}source, sum(s) / nullif(sum(w), 0) AS estimate FROM {sums} GROUP BY ALL), dr AS (SELECT {k}source, replicate, sum(s * weight) / nullif(sum(w * weight), 0) AS estimate FROM {sums} JOIN weights USING (issue_id) GROUP BY ALL),
-  est2 AS (SELECT {k}source, estimate FROM est UNION ALL SELECT * FROM (SELECT {k}'difference', max(estimate) FILTER (source = 'real') - max(estimate) FILTER (source = 'synthetic') AS g FROM est GROUP BY {keys}) WHERE g IS NOT NULL),
-  dr2 AS (SELECT {k}source, estimate FROM dr UNION ALL SELECT * FROM (SELECT {k}'difference', max(estimate) FILTER (source = 'real') - max(estimate) FILTER (source = 'synthetic') AS g FROM dr GROUP BY {k}replicate) WHERE g IS NOT NULL),
-  bands AS (SELECT {on}, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi, count(estimate) AS replicates FROM dr2 GROUP BY ALL),
+    gap = "max(estimate) FILTER (source = 'synthetic') - max(estimate) FILTER (source = 'real') AS estimate"
+    return f"""est AS (SELECT {k}source, sum(s) / nullif(sum(w), 0) AS estimate FROM {sums} GROUP BY ALL), dr AS (SELECT {k}source, replicate, CASE WHEN sum(w * weight) > 0 THEN sum(s * weight) / sum(w * weight) END AS estimate FROM {sums} JOIN weights USING (issue_id) GROUP BY ALL),
+  est2 AS (SELECT {k}source, estimate FROM est UNION ALL SELECT {k}'{tj.GAP}', {gap} FROM est GROUP BY {keys}),
+  dr2 AS (SELECT {k}source, estimate FROM dr UNION ALL SELECT {k}'{tj.GAP}', {gap} FROM dr GROUP BY {k}replicate),
+  bands AS (SELECT {on}, quantile_cont(estimate, 0.025) AS lo, quantile_cont(estimate, 0.975) AS hi, count(estimate)::INT AS replicates FROM dr2 GROUP BY ALL),
   result AS (SELECT * FROM est2 LEFT JOIN bands USING ({on}))"""
 
 
 @query(
-    f"""{TRAJ}, {WEIGHTS}, lg AS (SELECT issue_id, source, weight, unnest([{', '.join(f"'{x}'" for x in tj.METRICS)}]) AS metric, unnest([{', '.join(f'{x}::DOUBLE' for x in tj.METRICS)}]) AS value FROM metrics JOIN wt USING ({PK})),
-    sm AS (SELECT metric, source, issue_id, sum(weight * value) AS s, sum(weight) AS w FROM lg WHERE value IS NOT NULL GROUP BY 1, 2, 3), {_bands_sql('sm', 'metric')} SELECT * FROM result""",
-    "estimate lo hi",
+    f"""{TRAJ}, {weights_sql('wt')}, lg AS (SELECT segment_id, issue_id, source, weight, unnest([{', '.join(f"'{x}'" for x in tj.METRICS)}]) AS metric, unnest([{', '.join(f'{x}::DOUBLE' for x in tj.METRICS)}]) AS value FROM metrics JOIN wt USING ({PK})),
+    sm AS (SELECT metric, source, issue_id, coalesce(sum(weight * value), 0) AS s, sum(weight) AS w FROM lg GROUP BY 1, 2, 3), {_bands_sql('sm', 'metric')},
+    cu AS (SELECT metric, source, value, sum(weight) OVER (PARTITION BY metric, source ORDER BY value) AS cum, sum(weight) OVER (PARTITION BY metric, source) AS a FROM lg WHERE value IS NOT NULL), md2 AS (SELECT metric, source, min(value) AS median FROM cu WHERE cum >= 0.5 * a - 1e-9 GROUP BY 1, 2),
+    nn AS (SELECT source, count(*) AS trajectories, count(DISTINCT segment_id) AS origins FROM wt GROUP BY 1), n2 AS (SELECT * FROM nn UNION ALL SELECT '{tj.GAP}', NULL, origins FROM nn WHERE source = 'real')
+    SELECT r.metric, r.source, estimate, lo, hi, replicates, median, trajectories, origins, (SELECT count(DISTINCT issue_id) FROM wt) AS stocks FROM result r LEFT JOIN md2 USING (metric, source) JOIN n2 USING (source)""",
+    "estimate lo hi median",
 )
 def l09_trajectory_comparison(spark, d):
     rows = written(steps(spark, d), "steps")
     both = tj.trajectory_metrics(rows).join(weighted(rows), tj.PATH)
-    return tj.compared(both, gt.bootstrap_weights(panel(spark, d), REPS, 7))
+    return tj.compared(written(both, "weighted-metrics"), REPS, 7)
 
 
 @query(
-    f"""{TRAJ}, {WEIGHTS}, s9 AS (SELECT a AS "from", b AS "to", source, issue_id, sum(weight * n) AS s, sum(n) AS raw FROM tc JOIN wt USING ({PK}) GROUP BY 1, 2, 3, 4), sm AS (SELECT *, sum(s) OVER (PARTITION BY "from", source, issue_id) AS w FROM s9),
-    {_bands_sql('sm', '"from", "to"')}, sp AS (SELECT "from", "to", source, sum(raw)::BIGINT AS raw, count(*) FILTER (raw > 0) AS stocks FROM sm GROUP BY 1, 2, 3) SELECT r.*, raw, stocks, raw >= 30 AND stocks >= 5 AS supported FROM result r LEFT JOIN sp USING ("from", "to", source)""",
-    "estimate lo hi",
+    f"""{TRAJ}, {weights_sql('wt')}, s9 AS (SELECT a AS "from", b AS "to", source, issue_id, sum(weight * n) AS s, sum(n) AS n FROM tc JOIN wt USING ({PK}) GROUP BY 1, 2, 3, 4),
+    sm AS (SELECT *, sum(s) OVER (PARTITION BY "from", source, issue_id) AS w, sum(n) OVER (PARTITION BY "from", source, issue_id) AS raw FROM s9), {_bands_sql('sm', '"from", "to"')},
+    sp AS (SELECT "from", "to", source, sum(s) AS weighted, sum(w) AS weighted_from, sum(raw)::BIGINT AS raw_from, count(*) FILTER (w > 0) AS stocks, sum(raw) >= 30 AND count(*) FILTER (w > 0) >= 5 AS supported FROM sm GROUP BY 1, 2, 3),
+    s2 AS (SELECT * FROM sp UNION ALL SELECT "from", "to", '{tj.GAP}', NULL, NULL, NULL, min(stocks), bool_and(supported) FROM sp GROUP BY 1, 2)
+    SELECT r.* EXCLUDE (lo, hi), CASE WHEN supported THEN lo END AS lo, CASE WHEN supported THEN hi END AS hi, weighted, weighted_from, raw_from, stocks, supported FROM result r JOIN s2 USING ("from", "to", source)""",
+    "estimate lo hi weighted weighted_from",
 )
 def l10_transition_comparison(spark, d):
     rows = written(steps(spark, d), "steps")
-    return tj.compared_transitions(tj.transitions(rows), weighted(rows), gt.bootstrap_weights(panel(spark, d), REPS, 7))
+    return tj.compared_transitions(tj.transitions(rows), weighted(rows), REPS, 7)
 
 
 @query(f"{TRAJ} SELECT segment_id, source, a AS \"from\", b AS \"to\", sum(n)::BIGINT AS raw, sum(n * weight) AS weighted FROM tc JOIN wt USING ({PK}) GROUP BY 1, 2, 3, 4", "weighted")

@@ -4,9 +4,9 @@ Tokenizer A is a byte-level BPE file of the tokenizers library and reads a space
 adds that space itself. The cumulative ends of each token's bytes go into two dictionaries from end to index; their common keys, sorted,
 slice both id lists into groups, and the tokens of a slice that end with it are linked. An id pair's count is how many links hold it in the whole corpus.
 
-A space between two other characters starts a token of A, and of B if no piece has a space behind another character. So texts are cut there
-into units, a unit that recurs is aligned once a worker, and a text's groups and links are those of its units. Should a unit's bytes not come
-back, or B's pieces not allow cutting, the whole text is encoded and aligned at once.
+A space or line feed between two characters that aren't white space starts a token of A; of B too, if no piece has a space behind another character or a line
+feed. So texts are cut there into units, a unit that recurs is aligned once a worker, and a text's groups and links are those of its units. Should a
+unit's bytes not come back, or B's pieces not allow cutting, the whole text is encoded and aligned at once.
 
 Counting: a task lays the pairs of a block of texts (``SLICE_ROWS`` rows, ``SLICE_CHARS`` bytes) together, so that a pair is shuffled once a
 block, however many of its texts have it; counts come back to the block in the same way, and blocks to their texts.
@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 from pyspark import TaskContext
@@ -33,12 +35,12 @@ from pyspark.sql import functions as F
 from pricepanel.llm.bpe import byte_table
 from pricepanel.llm.common import map_slices, sources
 
-#: A space that isn't alone between two other characters, and the spaces that are.
-WIDE_SPACE, CUT = re.compile(r"(?:\A|\s) | (?:\s|\Z)").search, re.compile(r"(?<=\S) (?=\S)").split
+#: White space that isn't alone between two other characters, and the places to cut at: a space goes, a line feed stays with what follows.
+WIDE_SPACE, CUT = re.compile(r"\s\s|\A\s|\s\Z").search, re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)").split
 #: Tokens of A whose ends are in a dictionary at a time.
 PIECE = 1 << 16
-#: Characters of a unit that is remembered, and bytes of all units that a worker remembers; beyond them memory starts anew.
-MEMO_CHARS, MEMO_BYTES = 64, 64 << 20
+#: Characters of a unit that is remembered, and bytes of all units that a worker remembers; beyond half of them memory starts anew beside the old.
+MEMO_CHARS, MEMO_BYTES = 64, 96 << 20
 NOTHING = (0, 0, 0, 0, "", b"")
 RESULT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -46,21 +48,43 @@ RESULT = (
 )
 
 
-def common_ends(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """The places after the last tokens of A and B at each end that both have, in order of the ends."""
-    at_a, at_b = dict(zip(ends_a, count(1), strict=False)), dict(zip(ends_b, count(1), strict=False))
-    return [(at_a[end], at_b[end]) for end in sorted(at_a.keys() & at_b.keys())]
-
-
-def _slices(ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[int, int]]:
-    """:func:`common_ends` for any number of tokens: ``PIECE`` of A at a time, and those of B that end within them."""
-    at = 0
+def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """The places after the last tokens of A, and of B, at each end that both have, in order of the ends."""
+    stops: tuple[list[int], list[int]] = [], []
+    at = first = 0
     while at < len(ends_a):
-        stop = int(np.searchsorted(ends_a, ends_a[min(at + PIECE, len(ends_a)) - 1], "right"))
-        first, last = (int(np.searchsorted(ends_b, ends_a[i], side)) for i, side in ((at, "left"), (stop - 1, "right")))
-        for i, j in common_ends(ends_a[at:stop].tolist(), ends_b[first:last].tolist()):
-            yield at + i, first + j
-        at = stop
+        stop = bisect_right(ends_a, ends_a[min(at + PIECE, len(ends_a)) - 1])
+        last = bisect_right(ends_b, ends_a[stop - 1])
+        index_a = dict(zip(ends_a[at:stop], count(at + 1), strict=False))
+        index_b = dict(zip(ends_b[first:last], count(first + 1), strict=False))
+        both = sorted(index_a.keys() & index_b.keys())
+        stops[0].extend(map(index_a.__getitem__, both))
+        stops[1].extend(map(index_b.__getitem__, both))
+        at, first = stop, last
+    return stops
+
+
+def sliced(a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[list[str], np.ndarray, list[list[int]]]:
+    """The groups of two lists of ids that spell the same bytes, the end of each, and its links."""
+    ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+    stops_a, stops_b = common_ends(ends_a.tolist(), ends_b.tolist())
+    groups, links, i, j = [], [], 0, 0
+    empty = not (sizes_a.all() and sizes_b.all())
+    for stop_a, stop_b in zip(stops_a, stops_b, strict=True):
+        x, y = a[stop_a - 1], b[stop_b - 1]
+        single = stop_a - i == 1 == stop_b - j
+        groups.append(f"{x}|{y}" if single else f"{','.join(map(str, a[i:stop_a]))}|{','.join(map(str, b[j:stop_b]))}")
+        if empty and not single:  # tokens without bytes end together with the one before them
+            last_a, last_b = stop_a - 1, stop_b - 1
+            while last_a > i and not sizes_a[last_a]:
+                last_a -= 1
+            while last_b > j and not sizes_b[last_b]:
+                last_b -= 1
+            links.append([v << 32 | w for v in a[last_a:stop_a] for w in b[last_b:stop_b]])
+        else:
+            links.append([x << 32 | y])
+        i, j = stop_a, stop_b
+    return groups, ends_a[np.array(stops_a, np.int64) - 1], links
 
 
 class Aligner:
@@ -77,64 +101,88 @@ class Aligner:
         self.bytes_a = {i: bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode() for token, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.memo: dict[str, tuple] = {}
+        self.space = self.b.piece_to_id("▁")
+        self.cuts = not self.b.is_unknown(self.space) and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)])
+        self.size_b = np.array([len(own) for own in self.bytes_b])
+        #: Units met lately, and those of the time before, from which they come back when met again.
+        self.memo: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
         self.memo_bytes = 0
 
-    def _aligned(self, texts: list[str]) -> list[tuple | None]:
-        """Tokens, groups and links of texts that are encoded whole; None if their bytes don't come back."""
-        own_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        out: list[tuple | None] = []
-        for text, a, b in zip(texts, own_a, self.b.encode(texts, num_threads=1), strict=True):
-            spelt_a, spelt_b, want = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], b" " + text.encode()
-            out.append(self._groups(a, b, spelt_a, spelt_b) if b"".join(spelt_a) == want == b"".join(spelt_b) else None)
-        return out
-
-    @staticmethod
-    def _groups(a: list[int], b: list[int], spelt_a: list[bytes], spelt_b: list[bytes]) -> tuple:
-        ends_a, ends_b = np.cumsum([len(s) for s in spelt_a]), np.cumsum([len(s) for s in spelt_b])
-        groups, links, i, j = [], [], 0, 0
-        for stop_a, stop_b in _slices(ends_a, ends_b):
-            groups.append(f"{','.join(map(str, a[i:stop_a]))}|{','.join(map(str, b[j:stop_b]))}")
-            # Tokens without bytes would end together with the one before them.
-            last_a, last_b = stop_a - 1, stop_b - 1
-            while last_a > i and not spelt_a[last_a]:
-                last_a -= 1
-            while last_b > j and not spelt_b[last_b]:
-                last_b -= 1
-            links += [x << 32 | y for x in a[last_a:stop_a] for y in b[last_b:stop_b]]
-            i, j = stop_a, stop_b
-        return len(a), len(b), len(groups), len(links), ";".join(groups), np.array(links, "<u8").tobytes()
+    def _units(self, text: str) -> list[str]:
+        """The units of a text: a space goes before each that doesn't begin with a line feed."""
+        if not self.cuts or text[:1] == "\n":
+            return [text]
+        return CUT(text) if WIDE_SPACE(text) else text.replace("\n", " \n").split(" ")
+
+    def _aligned(self, units: list[str], whole: bool = False) -> list[tuple | None]:
+        """Tokens, groups and links of units, or of whole texts; None where their bytes don't come back."""
+        spelt = [" " + u if whole or u[:1] != "\n" else u for u in units]
+        own_a = [e.ids for e in self.a.encode_batch_fast(spelt, add_special_tokens=False)]
+        own_b = self.b.encode(units, num_threads=1)
+        for text, ids in zip(spelt, own_b, strict=True):
+            if text[:1] == "\n" and ids[:1] == [self.space]:
+                del ids[0]  # the space that B adds is only the text's
+        return self._records([s.encode() for s in spelt], own_a, own_b)
+
+    def _records(self, raw: list[bytes], own_a: list[list[int]], own_b: list[list[int]]) -> list[tuple | None]:
+        """A record of each unit. All of them are laid end to end, since units end where their tokens do, and sliced at once."""
+        a, b = list(chain.from_iterable(own_a)), list(chain.from_iterable(own_b))
+        sizes_a, sizes_b = self.size_a[np.array(a, np.int64)], self.size_b[np.array(b, np.int64)]
+        stops = np.cumsum([len(r) for r in raw])
+        spells = lambda sizes, own: np.array_equal(np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(x) for x in own])], stops)
+        want = b"".join(raw)
+        if not (spells(sizes_a, own_a) and spells(sizes_b, own_b) and b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))):
+            fine = [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raw, own_a, own_b, strict=True)]
+            rest = iter(self._records(*([x for x, ok in zip(own, fine, strict=True) if ok] for own in (raw, own_a, own_b))) if any(fine) else [])
+            return [next(rest) if ok else None for ok in fine]
+        groups, ends, links = sliced(a, b, sizes_a, sizes_b)
+        cuts = [0, *np.searchsorted(ends, stops, "right").tolist()]
+        if all(len(x) == 1 for x in links):
+            packed, places = array("Q", chain.from_iterable(links)).tobytes(), [8 * c for c in cuts]
+        else:
+            packed = array("Q", chain.from_iterable(links)).tobytes()
+            places = np.concatenate([[0], 8 * np.cumsum([len(x) for x in links])])[cuts].tolist()
+        return [
+            (len(x), len(y), stop - start, (q - p) // 8, ";".join(groups[start:stop]), packed[p:q])
+            for x, y, start, stop, p, q in zip(own_a, own_b, cuts, cuts[1:], places, places[1:], strict=False)
+        ]
+
+    def _remember(self, unit: str, record: tuple | None) -> None:
+        self.memo[unit] = record
+        # What an entry's objects and its place in the table take, besides the strings.
+        self.memo_bytes += 300 + 2 * len(unit) + (len(record[4]) + len(record[5]) if record else 0)
 
     def align(self, texts: list[str]) -> list[tuple]:
         """Numbers of tokens, groups and links, the groups, and the packed links of each text."""
-        units = [(CUT(t) if WIDE_SPACE(t) else t.split(" ")) if self.cuts else [t] for t in texts]
-        memo = self.memo
-        unseen = list({u for own in units for u in own if u and u not in memo})
-        found: dict[str, tuple | None] = {}
+        units = [self._units(t) for t in texts]
+        if self.memo_bytes > MEMO_BYTES // 2:
+            self.older, self.memo, self.memo_bytes = self.memo, {}, 0
+        known, older = self.memo, self.older
+        unseen, long = [], {}
+        for unit in {u for own in units if len(own) > 1 for u in own}:
+            if unit not in known:
+                if unit in older:
+                    self._remember(unit, older[unit])
+                else:
+                    unseen.append(unit)
         for at in range(0, len(unseen), 10_000):
             part = unseen[at : at + 10_000]
-            found.update(zip(part, self._aligned(part), strict=True))
-        short = {u: r for u, r in found.items() if len(u) <= MEMO_CHARS}
-        get = found.get
+            for unit, record in zip(part, self._aligned(part), strict=True):
+                if len(unit) <= MEMO_CHARS:
+                    self._remember(unit, record)
+                else:
+                    long[unit] = record
+        get = known.__getitem__
         out = []
         for text, own in zip(texts, units, strict=True):
-            records = [memo[u] if u in memo else get(u) for u in own] if text else [NOTHING]
+            records = [long[u] if u in long else get(u) for u in own] if len(own) > 1 and long else list(map(get, own)) if len(own) > 1 else [None]
             if None in records:
-                records = self._aligned([text]) if len(own) > 1 else [None]
-            if records == [None]:
-                out.append(NOTHING)
-            elif len(records) == 1:
-                out.append(records[0])
+                out.append((self._aligned([text], whole=True)[0] if text else None) or NOTHING)
             else:
                 n_a, n_b, n_groups, n_links, groups, links = zip(*records, strict=True)
                 out.append((sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(groups), b"".join(links)))
-        # What an entry's objects and its place in the table take, besides the strings.
-        self.memo_bytes += sum(400 + 2 * len(u) + (len(r[4]) + len(r[5]) if r else 0) for u, r in short.items())
-        memo.update(short)
-        if self.memo_bytes > MEMO_BYTES:
-            memo.clear()
-            self.memo_bytes = 0
         return out
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -82,7 +83,7 @@ def test_small_pieces_blocks_and_memory_change_nothing(spark, monkeypatch):
     plain = [r[:5] for r in own.align([t or "" for t in texts()])]
     monkeypatch.setattr(alignment, "PIECE", 3)
     monkeypatch.setattr(alignment, "MEMO_BYTES", 2000)
-    own.memo.clear()
+    own.memo, own.older = {}, {}
     assert [r[:5] for r in own.align([t or "" for t in texts()])] == plain
     own.cuts = False
     assert [r[:5] for r in own.align([t or "" for t in texts()])] == plain
@@ -91,8 +92,9 @@ def test_small_pieces_blocks_and_memory_change_nothing(spark, monkeypatch):
 
 
 def test_tokens_without_bytes_link_with_the_token_they_end_with():
-    groups = alignment.Aligner._groups([1, 2, 3, 4], [7, 8], [b"a", b"b", b"", b"c"], [b"ab", b"c"])
-    assert groups[:5] == (4, 2, 2, 3, "1,2,3|7;4|8") and alignment.common_ends([1, 2, 2, 3], [2, 3]) == [(3, 1), (4, 2)]
+    groups, ends, links = alignment.sliced([1, 2, 3, 4], [7, 8], np.array([1, 1, 0, 1]), np.array([2, 1]))
+    assert groups == ["1,2,3|7", "4|8"] and ends.tolist() == [2, 3] and links == [[2 << 32 | 7, 3 << 32 | 7], [4 << 32 | 8]]
+    assert alignment.common_ends([1, 2, 2, 3], [2, 3]) == ([3, 4], [1, 2])
 
 
 def test_empty_table(spark):

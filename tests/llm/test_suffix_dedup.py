@@ -57,7 +57,7 @@ def result(found):
 @pytest.mark.parametrize(("length", "q", "hot", "small"), [(50, 24, 4096, False), (50, 24, 1, True), (50, 12, 2, True), (20, 20, 4096, True), (33, 9, 3, True), (8, 8, 4096, True)])
 def test_against_a_dictionary(spark, monkeypatch, length, q, hot, small):
     if small:
-        for name, value in (("BLOCK_BYTES", 2000), ("PIECE", 300), ("COUNT_BYTES", 9000), ("REFINE_BYTES", 5000), ("SORTED_BYTES", 500)):
+        for name, value in (("BLOCK_BYTES", 2000), ("BLOCK_ROWS", 7), ("PIECE", 300), ("COUNT_BYTES", 9000), ("DIGEST_BYTES", 8000), ("REFINE_BYTES", 5000), ("SORTED_BYTES", 500)):
             monkeypatch.setattr(suffix_dedup, name, value)
     own = rows(length)
     want = by_hand(own, length)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.storage import scratch as shared_path
@@ -18,8 +18,8 @@ __all__ = ["Lookup", "arrow_cuts", "arrow_type", "hashes", "map_slices", "pair_h
 
 #: Rows, and characters of text, that a Python task holds as Python objects at a time (one longer text may exceed the latter).
 SLICE_ROWS, SLICE_CHARS = 256, 1 << 20
-#: Ranges of the hash by which a sample's rows are counted.
-BUCKETS = 1024
+#: Ranges of the hash by which a sample's rows are counted, a power of two.
+BUCKETS = 4096
 
 
 def remainder(col: str, modulus: int):
@@ -83,31 +83,46 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[list
 def quota_sample(df: DataFrame, by: str, rows: int, chars: int) -> DataFrame:
     """``df(doc_id, text, by)`` cut to a sample bounded in rows and in code points, shared evenly by the values of ``by``.
 
-    Of each value the rows of smallest hash come in, up to its share of both bounds, so partitions don't change the sample. Rows and
-    lengths are counted by ``BUCKETS`` ranges of the hash, which together hold some twice the share, whatever a value's part of all
-    rows; the ranges that fit are taken. Only those counts travel, texts stay where they are.
+    Of each value the rows of smallest hash come in, as long as both its shares last: ``rows`` and ``chars`` by the number of values, of which the
+    ``rows`` most frequent count. So a sample has ``rows`` rows at most, and for each value one text at most begins before and ends after its
+    share of ``chars``. Equal rows count each; they share a hash, and so many of them come in as are left to take. Partitions
+    don't change the sample. Rows without a value aren't sampled.
+
+    Only hashes and lengths are counted: by ranges of the hash, then one by one within the range of each value in which its share ends.
     """
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(2**31))
-    sizes = {r[0]: r[1] for r in df.groupBy(by).agg(F.count(F.lit(1))).collect()}
-    if not sizes:
+    hashed = df.where(F.col(by).isNotNull()).withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    light = written(hashed.select(F.col(by).alias("_by"), "_h", F.coalesce(F.length("text"), F.lit(0)).alias("_n")), "hashes")
+    values = light.groupBy("_by").agg(F.count(F.lit(1)).alias("_rows"))
+    n = values.count()
+    if not n:
         return df.limit(0)
-    share, most = max(1, rows // len(sizes)), max(1, chars // len(sizes))
-    # Width of a range by value: the first BUCKETS of them hold about 2 * (share + 50) rows, or all.
-    width = {value: max(1, -(-int(min(1.0, 2 * (share + 50) / n) * 2**31) // BUCKETS)) for value, n in sizes.items()}
-    bucket = F.lit(BUCKETS)
-    for value, step in width.items():
-        bucket = F.when(F.col(by).eqNullSafe(F.lit(value)), F.floor(h / F.lit(step))).otherwise(bucket)
-    counted = df.select(by, bucket.alias("bucket"), F.length("text").alias("n")).where(F.col("bucket") < BUCKETS)
-    counts = counted.groupBy(by, "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("chars")).collect()
-    taken = F.lit(False)
-    for value, step in width.items():
-        end = so_far = so_long = 0
-        for r in sorted((r for r in counts if r[by] == value), key=lambda r: r["bucket"]):
-            if so_long >= most or so_far and so_far + r["rows"] > share:
-                break
-            end, so_far, so_long = (r["bucket"] + 1) * step, so_far + r["rows"], so_long + (r["chars"] or 0)
-        taken |= F.col(by).eqNullSafe(F.lit(value)) & (h < F.lit(end))
-    return df.where(taken)
+    share, most = max(1, rows // n), max(1, chars // n)
+    # At most ``rows`` values: a proven bound for the broadcasts.
+    used = values if n <= rows else values.orderBy(F.col("_rows").desc(), "_by").limit(rows)
+    used = F.broadcast(written(used.select("_by"), "sampled-values"))
+    light = light.join(used, "_by").withColumn("_range", F.shiftright("_h", 64 - BUCKETS.bit_length() + 1))
+
+    def up_to(counts: DataFrame, place: str) -> DataFrame:
+        """Rows and code points of each value before each place."""
+        w = Window.partitionBy("_by").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        before = {f"_{c}_before": F.coalesce(F.sum(f"_{c}").over(w), F.lit(0)) for c in ("rows", "chars")}
+        return counts.withColumns(before)
+
+    sums = (F.count(F.lit(1)).alias("_rows"), F.sum(F.col("_n").cast("long")).alias("_chars"))
+    ranges = up_to(light.groupBy("_by", "_range").agg(*sums), "_range").where((F.col("_rows_before") < share) & (F.col("_chars_before") < most))
+    last = ranges.groupBy("_by").agg(F.max_by(F.struct("_range", "_rows_before", "_chars_before"), "_range").alias("_last"))
+    last = F.broadcast(written(last.select("_by", "_last.*"), "last-ranges").withColumnsRenamed({"_rows_before": "_r", "_chars_before": "_c"}))
+    inside = light.join(last, ["_by", "_range"]).groupBy("_by", "_h", "_r", "_c").agg(*sums)
+    inside = up_to(inside, "_h").withColumns({"_rows_before": F.col("_rows_before") + F.col("_r"), "_chars_before": F.col("_chars_before") + F.col("_c")})
+    fit = inside.where((F.col("_rows_before") < share) & (F.col("_chars_before") < most))
+    each = F.greatest(F.lit(1), (F.col("_chars") / F.col("_rows")).cast("long"))
+    left = F.least(F.col("_rows"), share - F.col("_rows_before"), F.ceil((most - F.col("_chars_before")) / each))
+    ends = fit.groupBy("_by").agg(F.max_by(F.struct(F.col("_h").alias("_end"), left.alias("_left")), "_h").alias("_cut")).select("_by", "_cut.*")
+    cut = hashed.join(F.broadcast(written(ends, "sample-ends")), F.col(by) == F.col("_by"))
+    whole = cut.where(F.col("_h") < F.col("_end")).select(*df.columns)
+    equal = cut.where(F.col("_h") == F.col("_end")).withColumn("_i", F.row_number().over(Window.partitionBy("_by").orderBy("_h")))
+    # Equal rows of a value: a task keeps ``share`` of them at most before they meet.
+    return whole.unionByName(equal.where((F.col("_i") <= share) & (F.col("_i") <= F.col("_left"))).select(*df.columns))
 
 
 def hashes(words: list[str]) -> np.ndarray:

@@ -13,7 +13,7 @@ threshold, so the filters before it lose nothing:
 One pass over the documents finds the known n-grams of each, and counts them; documents that could be copies are written with their
 text. Seeds found there pick the item and the diagonals to align around.
 
-Items are broadcast in blocks of ``block`` words on average, dealt by a hash of their id, so what is broadcast has that bound for any benchmark of
+Items are broadcast in blocks of ``block`` words on average (some 40 MB in a worker), dealt by a hash of their id, so that is the bound for any benchmark of
 items that are shorter; each block takes its own pass over the documents. Of several texts of one item id the smallest counts.
 
 Defined results: null, empty and wordless texts and items match nothing; each pair of document and item is returned once with its best
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pricepanel.llm.common import map_slices, sources, written
 
 #: Words of a seed at most, score from which a document is a copy, words of a block of items.
-SEED, THRESHOLD, BLOCK = 3, 0.6, 1_000_000
+SEED, THRESHOLD, BLOCK = 3, 0.6, 80_000
 #: Scores of a match, of a mismatch and of a gap of one word.
 MATCH, MISMATCH, GAP = 2, -1, -2
 RESULT = "doc_id long, item_id long, score double, first_word int, end_word int"

@@ -5,16 +5,16 @@ characters (edges marked) of which any is known: length 5, then 4, down to singl
 
 The model is fitted on a bounded sample of labelled rows, ``max_rows`` and ``max_chars`` code points, of which every language has
 an equal share, so a rare language is learned from a large table as from a small one. Every word and n-gram of the sample is
-kept; they are keyed by 64-bit hashes, so the model is arrays of 8 bytes an entry and 4 more for each language.
+kept; they are keyed by 64-bit hashes, and an entry lists only the languages that have it, so the model is 16 bytes for each word or n-gram and 8 more for each
+of its languages, however many languages there are. Languages beyond ``max_rows`` aren't learned, the least frequent ones.
 
 Defined results: null text, empty text, or text without a letter, is ``und`` with score 0. If nothing was learned every text is
 ``und``. A tie goes to the language with more training words, then to the first by name. Whole texts are read however long they are,
-rows that repeat a doc_id or a text count as they are, an empty table gives an empty result, extra columns are dropped.
+rows that repeat a doc_id or a text count as they are, in training too, an empty table gives an empty result, extra columns are dropped.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +29,8 @@ from pricepanel.llm.common import Lookup, hashes, map_slices, quota_sample, sour
 
 #: Bounds of the sample; longest n-gram.
 MAX_ROWS, MAX_CHARS, LONGEST = 20_000, 40_000_000, 5
+#: Entries of a model that are added up at a time.
+ADDED = 1 << 22
 #: Distinct words that a task counts before it hands its counts on.
 HELD = 100_000
 words_of = re.compile(r"[^\W\d_]+").findall
@@ -42,31 +44,72 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Parts:
+    """What words or n-grams add to a language's score above ``unseen``, for the languages that have them."""
+
+    #: First entry and number of entries of each key.
+    of: Lookup
+    lang: np.ndarray
+    gain: np.ndarray
+
+    @classmethod
+    def build(cls, part: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Parts:
+        order = np.argsort(part, kind="stable")
+        keys, begins, sizes = np.unique(part[order], return_index=True, return_counts=True)
+        return cls(Lookup(keys, np.stack([begins, sizes], axis=1).astype(np.int32)), lang[order].astype(np.int32), np.log1p(10.0 * n[order]).astype(np.float32))
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place in ``of`` its entries: which place each is of, and its place in ``lang`` and ``gain``."""
+        begin, size = self.of.values[at].T.astype(np.int64) if len(at) else np.zeros((2, 0), np.int64)
+        which = np.repeat(np.arange(len(at)), size)
+        return which, np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(which))
+
+
 @dataclass
 class Model:
-    """Log frequencies by language of the sample's words and n-grams."""
+    """Log frequencies by language of the sample's words and n-grams: what unseen ones of each length have, and the gains of those seen."""
 
     langs: list[str]
-    words: Lookup
-    grams: Lookup
+    unseen: np.ndarray
+    words: Parts
+    grams: Parts
 
-    def _unseen(self, words: list[str]) -> np.ndarray:
-        """Scores of unseen words by the longest known n-grams."""
-        out, left = np.full((len(words), len(self.langs)), -math.log(1e6)), np.arange(len(words))
+    def _unknown(self, words: list[str], texts: np.ndarray, of: np.ndarray, totals: np.ndarray) -> None:
+        """Adds the scores of words that aren't known, which occur in ``texts`` as number ``of``, by the longest known n-grams."""
+        left = np.arange(len(words))
         for n in range(LONGEST, 0, -1):
             if not len(left):
                 break
             own = [grams_of(words[i], n) for i in left]
-            sizes = np.array([len(g) for g in own])
-            at = self.grams.places(hashes(list(chain.from_iterable(own))))
-            of = np.repeat(np.arange(len(left)), sizes)[at >= 0]
-            found = np.bincount(of, minlength=len(left))
-            total = np.zeros((len(left), len(self.langs)))
-            np.add.at(total, of, self.grams.values[at[at >= 0]])
-            met = found > 0
-            out[left[met]] = total[met] / found[met, None]
+            at = self.grams.of.places(hashes(list(chain.from_iterable(own))))
+            word = np.repeat(np.arange(len(left)), [len(g) for g in own])[at >= 0]
+            found = np.bincount(word, minlength=len(left))
+            if (met := found > 0).any():
+                # The occurrences of the words that are settled at this length, and their n-grams' entries.
+                place = np.full(len(words), -1)
+                place[left[met]] = np.flatnonzero(met)
+                here = place[of] >= 0
+                grams = at[at >= 0]
+                begins = np.cumsum(found) - found  # n-grams come in the order of their words
+                self._add(self.grams, grams, begins, found, place[of[here]], texts[here], totals)
+                totals += np.bincount(texts[here], minlength=len(totals))[:, None] * self.unseen[n]
             left = left[~met]
-        return out
+
+    @staticmethod
+    def _add(parts: Parts, keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray, of: np.ndarray, texts: np.ndarray, totals: np.ndarray) -> None:
+        """Adds to the total of each text the mean gain of the keys of each of its words ``of``: ``sizes`` from ``begins`` on."""
+        at = 0
+        each = sizes[of]
+        while at < len(of):  # so many occurrences at a time as have ADDED entries, one at least
+            stop = at + max(1, int(np.searchsorted(np.cumsum(each[at:] * totals.shape[1]), ADDED, "right")))
+            n, text = each[at:stop], texts[at:stop]
+            which = np.repeat(np.arange(stop - at), n)
+            key = keys[np.repeat(begins[of[at:stop]] - (np.cumsum(n) - n), n) + np.arange(len(which))]
+            entry_of, entry = parts.entries(key)
+            cell = text[which[entry_of]] * totals.shape[1] + parts.lang[entry]
+            totals += np.bincount(cell, parts.gain[entry] / n[which[entry_of]], totals.size).reshape(totals.shape)
+            at = stop
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
@@ -79,15 +122,20 @@ class Model:
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not every:
             return langs, scores
-        keys = hashes(every)
-        at = self.words.places(keys)
-        vectors = self.words.values[at].astype(float)
+        keys, text = hashes(every), np.repeat(np.arange(len(own)), sizes)
+        distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        at = self.words.of.places(distinct)
+        totals = np.zeros((len(own), len(self.langs)))
+        seen = at[of] >= 0
+        ones = np.ones(len(at), np.int64)
+        self._add(self.words, at, np.arange(len(at)), ones, of[seen], text[seen], totals)
+        totals += np.bincount(text[seen], minlength=len(own))[:, None] * self.unseen[0]
         missing = np.flatnonzero(at < 0)
-        _, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-        vectors[missing] = self._unseen([every[i] for i in missing[first]])[back]
-        held = np.flatnonzero(sizes)
-        totals = np.add.reduceat(vectors, (np.cumsum(sizes) - sizes)[held])
-        for i, total in zip(held, totals, strict=True):
+        number = np.full(len(at), -1)
+        number[missing] = np.arange(len(missing))
+        self._unknown([every[first[i]] for i in missing], text[~seen], number[of[~seen]], totals)
+        for i in np.flatnonzero(sizes):
+            total = totals[i]
             best = int(total.argmax())
             shares = np.exp((total - total[best]) * min(1.0, 50 / sizes[i]))
             langs[i], scores[i] = self.langs[best], float(shares[best] / shares.sum())
@@ -130,18 +178,21 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHAR
     words = written(_words(quota_sample(taught, "lang", max_rows, max_chars).select("lang", "text")), "words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals, key=lambda k: (-totals[k], k))
-    number = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(langs) for x in (k, i))), F.col("lang")) if langs else F.lit(0)
-    # Bounded by the sample: hashes and counts only.
-    rows = _parts(words).select("size", "part", number.cast("int").alias("lang"), "n").toArrow()
-    size, part, lang, n = (rows[c].to_numpy() for c in ("size", "part", "lang", "n"))
+    number = {k: i for i, k in enumerate(langs)}
+    # Bounded by the sample: a word has six n-grams a code point at most, and a row here is 20 bytes.
+    rows = _parts(words).toArrow()
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    size, part, n = (rows[c].to_numpy() for c in ("size", "part", "n"))
+    lang = np.array([number[k] for k in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if len(rows) else np.zeros(0, np.int64)
     # n-grams of one length compete with each other only, so their frequencies are shares of that length.
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    unseen = np.zeros((LONGEST + 1, max(1, len(langs))))
     for k in range(LONGEST + 1):
-        keys, at = np.unique(part[size == k].view(np.uint64), return_inverse=True)
-        counts = np.zeros((len(keys), max(1, len(langs))))
-        np.add.at(counts, (at, lang[size == k]), n[size == k])
-        found.append((keys, np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * (len(keys) + 1))).astype(np.float32)))
-    return Model(langs, Lookup(*found[0]), Lookup(*map(np.concatenate, zip(*found[1:], strict=True))))
+        of = size == k
+        total = np.bincount(lang[of], n[of], max(1, len(langs)))
+        unseen[k] = np.log(0.1 / (total + 0.1 * (len(np.unique(part[of])) + 1)))
+    word = size == 0
+    keys = part.view(np.uint64)
+    return Model(langs, unseen, Parts.build(keys[word], lang[word], n[word]), Parts.build(keys[~word], lang[~word], n[~word]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

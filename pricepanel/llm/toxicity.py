@@ -8,7 +8,8 @@ A history that only one class has seen tells nothing of the other, so there both
 
 A text's evidence is the difference of its log-likelihoods under the two models, divided by its length: that of the whole text, and
 those of its most toxic expressions of one, two and four words, since a few insults say little about a long text's mean. A logistic
-function of these, fitted on training rows that the counts have not seen, is the score. No count is dropped and no ratio is cut off.
+function of these, fitted on training rows that the counts have not seen, is the score; how many of the expressions it reads and its ridge are chosen by
+folds of those rows. No count is dropped and no ratio is cut off.
 
 The models are fitted on a bounded sample: ``max_toxic`` labelled rows of one class, ``max_ordinary`` of the other, and ``max_chars``
 code points in all. Every word and bigram of the sample is kept; words are keyed by 64-bit hashes, so the model is
@@ -39,8 +40,8 @@ from pricepanel.llm.common import Lookup, hashes, map_slices, pair_hashes, quota
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, FOLDS = 3_000, 9_000, 40_000_000, 5
 #: Kneser-Ney discount, and the words of an expression.
 DISCOUNT, EXPRESSIONS = 0.75, (1, 2, 4)
-#: Intercept and weights (whole text, expressions) where no row is left to fit them on; ridge of the fit.
-UNFITTED, RIDGE = (-6.0, 0.0, 1.0, 1.0, 0.0), 0.005
+#: Intercept and weights (whole text, expressions) where no row is left to fit them on; ridges that a fit chooses from.
+UNFITTED, RIDGES = (-6.0, 0.0, 1.0, 1.0, 0.0), (0.0005, 0.005, 0.05, 0.5)
 #: Distinct bigrams that a task counts before it hands its counts on.
 HELD = 100_000
 words_of, SPACE = re.compile(r"\w+").findall, re.compile(r"\s+").search
@@ -192,22 +193,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
 
 
 def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[float, ...]:
-    """Weights of the logistic function by Newton steps, each class weighing as much as all its labels; none but the intercept is negative."""
-    found = _with_features(rows, model).collect()  # three numbers a row of the sample
-    y = np.array([r["toxic"] for r in found], float)
+    """Weights of the logistic function; the ridge and the expressions are those of least loss over folds of these same rows."""
+    found = sorted((r["toxic"], *r["features"]) for r in _with_features(rows, model).collect())  # a few numbers a row of the sample
+    y = np.array([r[0] for r in found], float)
     if not 0 < y.sum() < len(y):
         return UNFITTED
-    x = np.array([r["features"] for r in found])
+    x = np.array([r[1:] for r in found])
+    prior = math.log(sizes[1] / sizes[0])
+    # Each class weighs as much as all its labels.
     per = np.array([sizes[0] / (len(y) - y.sum()), sizes[1] / y.sum()])[y.astype(int)]
     per *= len(y) / per.sum()
+    fold, best = np.arange(len(y)) % FOLDS, (math.inf, 0.0, 0)
+    for used in range(2, x.shape[1] + 1):  # the whole text and so many of the expressions, shortest first
+        for ridge in RIDGES:
+            loss = 0.0
+            for f in range(FOLDS):
+                fits, tries = fold != f, fold == f
+                w = logistic(x[fits, :used], y[fits], per[fits], ridge, prior)
+                p = 1 / (1 + np.exp(-np.clip(x[tries, :used] @ w, -30, 30)))
+                loss -= float((per[tries] * np.log(np.where(y[tries] == 1, p, 1 - p))).sum())
+            best = min(best, (loss, ridge, used))
+    weights = np.zeros(x.shape[1])
+    weights[: best[2]] = logistic(x[:, : best[2]], y, per, best[1], prior)
+    return tuple(weights.tolist())
+
+
+def logistic(x: np.ndarray, y: np.ndarray, per: np.ndarray, ridge: float, prior: float) -> np.ndarray:
+    """Weights that minimise the loss, each row weighing ``per``, and half the ridge times the squared weights but the first, none of which is negative."""
     used = np.arange(x.shape[1])
     while True:
-        w = np.where(used > 0, 0.5, math.log(sizes[1] / sizes[0]))
-        own, ridge = x[:, used], np.where(used > 0, RIDGE, 0.0)
+        w = np.where(used > 0, 0.5, prior)
+        own, penalty = x[:, used], np.where(used > 0, ridge, 0.0)
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
-            gradient = own.T @ (per * (p - y)) + ridge * w
-            curve = (own * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ own + np.diag(ridge + 1e-6)
+            gradient = own.T @ (per * (p - y)) + penalty * w
+            curve = (own * (per * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ own + np.diag(penalty + 1e-6)
             step = np.linalg.solve(curve, gradient)
             w = w - step * min(1.0, 3 / np.abs(step).max())
             if np.abs(step).max() < 1e-6:
@@ -217,7 +237,7 @@ def _weights(model: Model, rows: DataFrame, sizes: dict[int, int]) -> tuple[floa
         used = used[stays]
     weights = np.zeros(x.shape[1])
     weights[used] = w
-    return tuple(weights.tolist())
+    return weights
 
 
 def _with_features(rows: DataFrame, model: Model) -> DataFrame:

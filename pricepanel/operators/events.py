@@ -1,33 +1,23 @@
 """Level-interaction events of a path.
 
-The detector works on runs, not on single steps: for each level the sides of all prices (below, inside, above) and where each run of
-one side ends are known at once, and an interaction jumps from run to run. A path is packed into one row of arrays first (a horizon's steps,
-however many paths there are), and batches of such rows go to Python.
+A path is packed into one row of arrays first (a horizon's steps, however many paths there are), which the detector of
+:mod:`pricepanel.operators.automaton` folds step by step; one fold gives events, states and the state to go on from.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import ratio
+from pricepanel.operators import automaton
 from pricepanel.operators.gates import EXPERTS, P
 
-EVENT_FIELDS = (
-    "event_type string, fib_level double, entry_index int, approach_side string, approach_direction string, consolidation_index int, hover_index int, "
-    "dwell_time int, is_terminal boolean, output_index int, pullback_stage string, exit_direction string, exit_index int, confirmation_end_index int, "
-    "exit_price double, max_price_after double, min_price_after double"
-)
-TERMINAL = ("PULLBACK", "BREAKOUT", "TIMEOUT")
 #: Names of the events in tables; a timeout has none.
 NAMES = {"HOVER": "Hover", "BREAKOUT": "Break", "PULLBACK": "Bounce"}
 EVENTS = tuple(NAMES.values())
-SIDES = {-1: "below", 1: "above"}
 
 
 @dataclass(frozen=True)
@@ -42,13 +32,6 @@ class Rules:
             raise ValueError(f"invalid rules: {self}")
 
 
-def checked(prices: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    prices, levels = np.asarray(prices, float), np.unique(np.asarray(levels, float))
-    if not len(prices) or not len(levels) or not np.isfinite(prices).all() or not np.isfinite(levels).all():
-        raise ValueError("prices and levels must be finite and not empty")
-    return prices, levels
-
-
 def path_faults(paths: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, n_steps, n_missing, fault`` of each path ``(keys, step, price, levels)``: why the detector would refuse it, null if it takes it.
 
@@ -67,132 +50,26 @@ def path_faults(paths: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "n_steps", "n_missing", fault.alias("fault"))
 
 
-def detect(prices: np.ndarray, levels: np.ndarray, rules: Rules = Rules()) -> tuple[list[dict], list[str]]:
-    """Events of one path in order, and its state at every step."""
-    prices, levels = checked(prices, levels)
-    n = len(prices)
-    gap = prices[None, :] - levels[:, None]
-    sides = (gap > rules.tolerance).astype(int) - (gap < -rules.tolerance)
-    ends = np.full_like(sides, n)
-    for i in range(n - 2, -1, -1):
-        ends[:, i] = np.where(sides[:, i] == sides[:, i + 1], ends[:, i + 1], i + 1)
-    nearest = np.abs(gap).argmin(axis=0)
-    in_zone = np.abs(gap).min(axis=0) <= rules.tolerance
-    outside_before = np.zeros(n, bool)
-    outside_before[1:] = sides[nearest[1:], np.arange(n - 1)] != 0
-    entries = np.flatnonzero(in_zone & outside_before)
-    states, events = ["IDLE"] * n, []
-
-    def mark(a: int, b: int, state: str, last: str | None = None) -> None:
-        states[a:b] = [state] * (b - a)
-        if last:
-            states[b] = last
-
-    at = 1
-    while (k := int(np.searchsorted(entries, at))) < len(entries):
-        entry = int(entries[k])
-        level = int(nearest[entry])
-        side, end = sides[level], ends[level]
-        came = int(side[entry - 1])
-        base = {
-            "fib_level": float(levels[level]), "entry_index": entry, "approach_side": SIDES[came], "approach_direction": "up" if came < 0 else "down",
-            "consolidation_index": None, "hover_index": None, "dwell_time": 1,
-        }
-
-        def emit(kind: str, out: int, dwell: int, leave: int | None = None, confirmed: bool = False, stage: str | None = None, base: dict = base, side: np.ndarray = side) -> None:
-            span = prices[leave : out + 1] if confirmed else None
-            events.append(base | {
-                "event_type": kind, "is_terminal": kind in TERMINAL, "output_index": out, "dwell_time": dwell, "pullback_stage": stage,
-                "exit_direction": ("up" if side[leave] > 0 else "down") if confirmed else None, "exit_index": leave, "confirmation_end_index": out if confirmed else None,
-                "exit_price": None if leave is None else float(prices[leave]), "max_price_after": float(span.max()) if confirmed else None, "min_price_after": float(span.min()) if confirmed else None,
-            })
-
-        settled, left = entry + rules.min_dwell - 1, int(end[entry])
-        if left <= settled:  # it leaves the zone before it has settled
-            mark(entry, left, "APPROACHING")
-            if left == n:
-                break
-            if side[left] != came:
-                at = left
-                continue
-            done = left + rules.confirmation - 1
-            if done >= n:
-                break
-            if end[left] > done:
-                mark(left, done, "APPROACHING", "FINISHED")
-                emit("PULLBACK", done, left - entry, left, True, "approaching")
-                at = done + 1
-            else:
-                mark(left, int(end[left]), "APPROACHING")
-                at = int(end[left])
-            continue
-        mark(entry, settled, "APPROACHING", "CONSOLIDATING")
-        base["consolidation_index"] = base["hover_index"] = settled
-        emit("HOVER", settled, rules.min_dwell)
-        timeout, i, dwell = settled + rules.max_dwell, settled + 1, rules.min_dwell
-        while True:
-            if i >= n:
-                return events, states
-            if i >= timeout:
-                mark(settled, timeout, "CONSOLIDATING", "FINISHED")
-                emit("TIMEOUT", timeout, dwell, timeout)
-                at = timeout + 1
-                break
-            if side[i] == 0:
-                until = min(int(end[i]), timeout)
-                mark(i, until, "CONSOLIDATING")
-                dwell, i = dwell + until - i, until
-                continue
-            done = i + rules.confirmation - 1
-            if timeout < n and done >= timeout:
-                i = timeout
-                continue
-            if done >= n:
-                return events, states
-            if end[i] > done:
-                mark(i, done, "CONSOLIDATING", "FINISHED")
-                back = side[i] == came
-                emit("PULLBACK" if back else "BREAKOUT", done, dwell, i, True, "consolidating" if back else None)
-                at = done + 1
-                break
-            mark(i, int(end[i]), "CONSOLIDATING")
-            i = int(end[i])
-    return events, states
-
-
-def _fields(keys: list[str], df: DataFrame) -> str:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return ", ".join(f"{k} {kinds[k]}" for k in keys)
-
-
 def packed(paths: DataFrame, keys: list[str]) -> DataFrame:
     """Each path as one row: arrays of its steps and prices in order, null prices dropped, and its levels."""
     rows = paths.where("price is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("step", "price"))).alias("p"), F.first("levels").alias("levels"))
     return rows.select(*keys, F.col("p.step").alias("steps"), F.col("p.price").alias("prices"), "levels")
 
 
-EVENT_NAMES = tuple(f.split()[0] for f in EVENT_FIELDS.split(", "))
-
+def traced(paths: DataFrame, keys: list[str], rules: Rules = Rules(), before: DataFrame | None = None) -> DataFrame:
+    """Events and states of each path ``(keys, step, price, levels)`` in one row ``(keys, step, state, event, levels)`` of arrays, and the state it ends with.
 
-def traced(paths: DataFrame, keys: list[str], rules: Rules = Rules(), pad: int = 0) -> DataFrame:
-    """Events and states of each path ``(keys, step, price, levels)`` in one row ``(keys, step, state, event)`` of arrays; one run of the detector gives both.
-
-    ``pad`` repeats the last price that often; the states are those of the path's own steps.
+    ``before(keys, end)`` are the ends of earlier parts of the same paths, from which they go on: step numbers, open interactions and awaited
+    confirmations are carried over, so a path cut anywhere gives the events of the whole. A path without one begins anew. States are those of the own steps; an
+    exit too late to be confirmed leaves the steps from there on idle, also if a later part confirms it.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            states, events = [], []
-            for prices, levels in zip(pdf["prices"], pdf["levels"], strict=True):
-                own = np.asarray(prices, float)
-                found, trace = detect(np.concatenate([own, np.repeat(own[-1], pad)]), levels, rules)
-                states.append(trace[: len(own)])
-                events.append([{n: e[n] for n in EVENT_NAMES} for e in found])
-            yield pdf[[*keys, "steps"]].rename(columns={"steps": "step"}).assign(state=states, event=events)
-
-    event = ", ".join(f.replace(" ", ": ", 1) for f in EVENT_FIELDS.split(", "))
-    step = paths.schema["step"].dataType.simpleString()
-    return packed(paths, keys).mapInPandas(run, f"{_fields(keys, paths)}, step array<{step}>, state array<string>, event array<struct<{event}>>")
+    rows = packed(paths, keys)
+    if before is None:
+        rows = rows.withColumn("begin", automaton.beginning())
+    else:
+        rows = rows.join(before.select(*keys, F.col("end").alias("begin")), keys, "left").withColumn("begin", automaton.carried(F.col("begin")))
+    rows = rows.withColumn("end", automaton.folded(F.col("prices"), F.col("levels"), F.col("begin"), rules))
+    return rows.select(*keys, F.col("steps").alias("step"), automaton.states(F.col("end"), F.col("begin.n") + F.size("begin.tail")).alias("state"), F.col("end.events").alias("event"), "levels", "end")
 
 
 def events_of(traces: DataFrame, keys: list[str]) -> DataFrame:
@@ -205,9 +82,9 @@ def states_of(traces: DataFrame, keys: list[str]) -> DataFrame:
     return traces.select(*keys, F.explode(F.arrays_zip("step", "state")).alias("s")).select(*keys, "s.*")
 
 
-def interactions(paths: DataFrame, keys: list[str], rules: Rules = Rules(), pad: int = 0) -> DataFrame:
-    """Events of each path ``(keys, step, price, levels)``; ``pad`` repeats the last price that often."""
-    return events_of(traced(paths, keys, rules, pad), keys)
+def interactions(paths: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:
+    """Events of each path ``(keys, step, price, levels)``."""
+    return events_of(traced(paths, keys, rules), keys)
 
 
 def state_trace(paths: DataFrame, keys: list[str], rules: Rules = Rules()) -> DataFrame:
@@ -250,12 +127,19 @@ def aligned(events: DataFrame, gates: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumns({f"{c}_change": F.col(c) - F.col(f"{c}_entry") for c in P})
 
 
-def unresolved(paths: DataFrame, keys: list[str], horizon: int, rules: Rules = Rules(), pad: int = 32) -> DataFrame:
-    """Entries within the horizon that only a path extended by its last price resolves, per path."""
-    events = interactions(paths, keys, rules, pad)
-    open_ = events.where((F.col("entry_index") <= horizon) & (F.col("output_index") > horizon)).select(*keys, "entry_index").distinct()
-    closed = events.where(F.col("is_terminal") & (F.col("output_index") <= horizon)).select(*keys, "entry_index")
-    return open_.join(closed, [*keys, "entry_index"], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("unresolved"))
+def unresolved(traces: DataFrame, keys: list[str], horizon: int, rules: Rules = Rules(), pad: int = 32) -> DataFrame:
+    """Per path of :func:`traced`, the entries within the horizon that have an event beyond it and no end within it.
+
+    A path is continued from its end by ``pad`` repeats of its last price; one that ends idle has nothing to come.
+    """
+    end = F.col("end")
+    last = F.when(F.size(end["tail"]) > 0, F.element_at(end["tail"], -1)).otherwise(end["last"])
+    more = automaton.folded(F.array_repeat(last, pad), F.col("levels"), automaton.carried(end), rules)["events"]
+    events = F.when(end["mode"] != automaton.IDLE, F.concat("event", more)).otherwise(F.col("event"))
+    rows = traces.select(*keys, F.explode(events).alias("e")).where(F.col("e.entry_index") <= horizon)
+    late, over = F.col("e.output_index") > horizon, F.col("e.is_terminal") & (F.col("e.output_index") <= horizon)
+    entries = rows.groupBy(*keys, F.col("e.entry_index").alias("entry_index")).agg(F.max(late).alias("late"), F.max(over).alias("over"))
+    return entries.where("late and not over").groupBy(*keys).agg(F.count(F.lit(1)).alias("unresolved"))
 
 
 def typical_examples(rows: DataFrame) -> DataFrame:

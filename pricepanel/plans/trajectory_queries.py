@@ -235,7 +235,7 @@ def l19_unrolled_steps(spark, d):
 
 
 RULES = ev.Rules()
-#: Last prices that an unfinished path is extended by: enough for any interaction to end.
+#: Last prices that the SQL extends an unfinished path by: enough for any interaction to have an event.
 PAD = RULES.min_dwell + RULES.max_dwell + RULES.confirmation
 
 
@@ -250,6 +250,10 @@ def event_paths(spark, d):
     return rows.withColumn("price", scaled).withColumn("levels", levels(F.lit(0.0), F.lit(1.0)))
 
 
+def traced(spark, d):
+    return ev.traced(event_paths(spark, d), tj.PATH, RULES)
+
+
 def detected(spark, d):
     rows = written(event_paths(spark, d), "event-paths")
     return rows, written(ev.interactions(rows, tj.PATH, RULES), "events")
@@ -295,8 +299,8 @@ def m03_state_trace(spark, d):
     SELECT {PK}, run, state, min(step)::INT AS start, max(step)::INT AS "end", coalesce(string_agg(event_type, ',' ORDER BY step), '') AS events FROM tr LEFT JOIN (SELECT {PK}, output_index AS step, event_type FROM ev) USING ({PK}, step) GROUP BY {PK}, run, state"""
 )
 def m04_state_runs(spark, d):
-    traced = written(ev.traced(event_paths(spark, d), tj.PATH, RULES), "traced-paths")
-    return ev.state_runs(ev.states_of(traced, tj.PATH), ev.events_of(traced, tj.PATH), tj.PATH)
+    traces = written(traced(spark, d), "traced-paths")
+    return ev.state_runs(ev.states_of(traces, tj.PATH), ev.events_of(traces, tj.PATH), tj.PATH)
 
 
 def _faulty(events):
@@ -334,7 +338,7 @@ def m06_event_gate_alignment(spark, d):
 
 @query(f"{EV_PADDED}, {_unresolved_sql(HOR)} SELECT * FROM ur")
 def m07_unresolved(spark, d):
-    return ev.unresolved(event_paths(spark, d), tj.PATH, HOR, RULES, PAD)
+    return ev.unresolved(traced(spark, d), tj.PATH, HOR, RULES, PAD)
 
 
 @query(
@@ -398,15 +402,16 @@ def m12_jensen_shannon(spark, d):
     SELECT segment_id, coalesce(timeouts, 0) AS timeouts, coalesce(unresolved, 0) AS unresolved FROM (SELECT DISTINCT segment_id FROM ep) LEFT JOIN ts USING (segment_id) LEFT JOIN us USING (segment_id)"""
 )
 def m13_segment_counters(spark, d):
-    rows, events = detected(spark, d)
-    per = events.groupBy("segment_id").agg(F.count(F.when(F.col("event_type") == "TIMEOUT", 1)).alias("timeouts"))
-    open_ = ev.unresolved(rows, tj.PATH, HOR, RULES, PAD).groupBy("segment_id").agg(F.sum("unresolved").alias("unresolved"))
-    return rows.select("segment_id").distinct().join(per, "segment_id", "left").join(open_, "segment_id", "left").na.fill(0, ["timeouts", "unresolved"])
+    traces = written(traced(spark, d), "traced-paths")
+    timeouts = F.size(F.filter("event", lambda e: e["event_type"] == "TIMEOUT"))
+    per = traces.groupBy("segment_id").agg(F.sum(timeouts.cast("long")).alias("timeouts"))
+    open_ = ev.unresolved(traces, tj.PATH, HOR, RULES, PAD).groupBy("segment_id").agg(F.sum("unresolved").alias("unresolved"))
+    return per.join(open_, "segment_id", "left").na.fill(0, ["timeouts", "unresolved"])
 
 
 @query(f"{EV_PADDED}, {_unresolved_sql(HOR // 2)} SELECT * FROM ur")
 def c12_unfinished_entries(spark, d):
-    return ev.unresolved(event_paths(spark, d), tj.PATH, HOR // 2, RULES, PAD)
+    return ev.unresolved(traced(spark, d), tj.PATH, HOR // 2, RULES, PAD)
 
 
 SUMMARY = f"""{AL}, lg AS (SELECT event, issue_id, unnest([{', '.join(f"'{e}'" for e in gt.EXPERTS)}]) AS expert, unnest([{', '.join(gt.P)}]) AS a, unnest([{', '.join(f'{c}_entry' for c in gt.P)}]) AS b FROM ag),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import os
+import sys
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricepanel import plans
+from pricepanel.operators import automaton
 from pricepanel.operators import calendar as cal
 from pricepanel.operators import events as ev
 from pricepanel.operators import features as fx
@@ -28,6 +30,9 @@ from pricepanel.operators import windows as wn
 from pricepanel.plans import registry
 from pricepanel.sources import tables as st
 
+sys.path.insert(0, os.path.dirname(__file__))
+from detector import detect  # noqa: E402
+
 plans.load()
 TINY = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings labels".split()
@@ -125,12 +130,12 @@ def test_origin_seed_formula(spark):
 
 def test_event_is_read_at_exit_not_at_confirmation(spark):
     path = np.array([0.45, 0.50, 0.501, 0.499] + [0.54] * 12)
-    events, states = ev.detect(path, np.array([0.5]))
+    events, states = detect(path, np.array([0.5]))
     assert [(e["event_type"], e["entry_index"], e["output_index"], e["exit_index"]) for e in events] == [("HOVER", 1, 3, None), ("BREAKOUT", 1, 13, 4)]
     assert states[:4] == ["IDLE", "APPROACHING", "APPROACHING", "CONSOLIDATING"] and states[13] == "FINISHED"
     rows = spark.createDataFrame([(0, i, float(p), [0.5]) for i, p in enumerate(path)], "k int, step int, price double, levels array<double>")
-    assert ev.unresolved(rows.where("step < 7"), ["k"], 6).first()["unresolved"] == 1
-    assert ev.unresolved(rows, ["k"], 15).count() == 0
+    assert ev.unresolved(ev.traced(rows.where("step < 7"), ["k"]), ["k"], 6).first()["unresolved"] == 1
+    assert ev.unresolved(ev.traced(rows, ["k"]), ["k"], 15).count() == 0
 
 
 def stepwise(prices, levels, rules):
@@ -188,14 +193,90 @@ def test_detector_against_a_stepwise_walk(rules):
     rng = np.random.default_rng(1)
     for _ in range(300):
         path = np.round(np.cumsum(rng.normal(0, rng.choice([0.01, 0.03, 0.1]), rng.integers(1, 120))) + rng.random(), 4)
-        events, _ = ev.detect(path, levels, rules)
+        events, _ = detect(path, levels, rules)
         assert [(e["event_type"], e["entry_index"], e["output_index"]) for e in events] == stepwise(path, levels, rules)
 
 
+LEVELS = [0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0]
+PATHS = "k int, step int, price double, levels array<double>"
+
+
+def random_paths(seed, n, longest):
+    rng = np.random.default_rng(seed)
+    return [np.round(np.cumsum(rng.normal(0, rng.choice([0.01, 0.03, 0.1]), rng.integers(1, longest))) + rng.random(), 4) for _ in range(n)]
+
+
+def by_path(traces):
+    return {r["k"]: ([tuple(e) for e in r["event"]], list(r["state"])) for r in traces.collect()}
+
+
+def plain(path, rules, levels=LEVELS):
+    events, states = detect(path, np.array(levels), rules)
+    names = [f.split()[0] for f in automaton.EVENT.split(", ")]
+    return [tuple(e[n] for n in names) for e in events], states
+
+
+@pytest.mark.parametrize("rules", [ev.Rules(), ev.Rules(0.03, 1, 2, 5), ev.Rules(0.02, 2, 3, 8), ev.Rules(0.05, 3, 1, 3), ev.Rules(0.04, 1, 1, 1)])
+def test_fold_against_the_detector(spark, rules):
+    paths = random_paths(7, 250, 140)
+    rows = spark.createDataFrame([(k, i, float(p), LEVELS[::-1] + [0.5]) for k, path in enumerate(paths) for i, p in enumerate(path)], PATHS)
+    found = by_path(ev.traced(rows, ["k"], rules))
+    assert found == {k: plain(path, rules) for k, path in enumerate(paths)} and sum(len(e) for e, _ in found.values()) > 100
+
+
+@pytest.mark.parametrize("rules", [ev.Rules(), ev.Rules(0.03, 1, 2, 5)])
+def test_path_cut_anywhere_goes_on(spark, rules):
+    rng = np.random.default_rng(5)
+    paths = random_paths(8, 120, 120)
+    cuts = [rng.integers(0, len(p) + 1) for p in paths]
+    rows = spark.createDataFrame([(k, i, float(p), LEVELS) for k, path in enumerate(paths) for i, p in enumerate(path)], PATHS)
+    cut = spark.createDataFrame([(k, int(c)) for k, c in enumerate(cuts)], "k int, cut int")
+    both = rows.join(cut, "k")
+    first = ev.traced(both.where("step < cut").drop("cut"), ["k"], rules).cache()
+    second = ev.traced(both.where("step >= cut").drop("cut"), ["k"], rules, first)
+    a, b = by_path(first), by_path(second)
+    for k, path in enumerate(paths):
+        events, states = plain(path, rules)
+        assert a.get(k, ([], []))[0] + b.get(k, ([], []))[0] == events
+        # Steps from an exit that was too late to be confirmed stay idle in the first part; all else is as in the whole.
+        assert all(x in (y, "IDLE") for x, y in zip(a.get(k, ([], []))[1], states, strict=False)) and b.get(k, ([], []))[1] == states[cuts[k] :]
+
+
+def test_path_of_10000_steps(spark):
+    path = np.round(0.5 + 0.3 * np.sin(np.arange(10_000) / 60) + np.random.default_rng(2).normal(0, 0.004, 10_000), 4)
+    rows = spark.createDataFrame([(0, i, float(p), LEVELS) for i, p in enumerate(path)], PATHS)
+    found = by_path(ev.traced(rows, ["k"]))[0]
+    assert found == plain(path, ev.Rules()) and len(found[0]) > 300
+
+
+@pytest.mark.parametrize("horizon", [5, 30, 200])
+def test_unresolved_entries_are_those_of_a_path_that_stands_still(spark, horizon):
+    paths = random_paths(9, 200, 60)
+    rows = spark.createDataFrame([(k, i, float(p), LEVELS) for k, path in enumerate(paths) for i, p in enumerate(path)], PATHS)
+    want = {}
+    for k, path in enumerate(paths):
+        events, _ = detect(np.concatenate([path, np.repeat(path[-1], 33)]), np.array(LEVELS))
+        late = {e["entry_index"] for e in events if e["entry_index"] <= horizon < e["output_index"]}
+        late -= {e["entry_index"] for e in events if e["is_terminal"] and e["output_index"] <= horizon}
+        if late:
+            want[k] = len(late)
+    found = {r["k"]: r["unresolved"] for r in ev.unresolved(ev.traced(rows, ["k"]), ["k"], horizon, pad=33).collect()}
+    assert found == want and (len(want) > 5 or horizon == 200)
+
+
+def test_events_run_in_the_jvm(spark):
+    rows = spark.createDataFrame([(0, 0, 0.5, LEVELS)], PATHS)
+    plan = ev.traced(rows, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    for bad in ([(0, 0, float("nan"), LEVELS)], [(0, 0, 0.1, [])], [(0, 0, 0.1, [float("inf")])]):
+        with pytest.raises(Exception, match="finite"):
+            ev.traced(spark.createDataFrame(bad, PATHS), ["k"]).collect()
+
+
 def test_detector_rejects_bad_input():
     for bad in ([], [1.0, float("nan")]):
         with pytest.raises(ValueError):
-            ev.detect(np.array(bad), np.array([0.5]))
+            detect(np.array(bad), np.array([0.5]))
     with pytest.raises(ValueError):
         ev.Rules(min_dwell=5, max_dwell=2)
 
@@ -214,9 +295,9 @@ def test_faults_are_what_the_detector_rejects(spark):
         args = np.array([p for p in ps if p is not None], float), np.array(lv or [], float)
         if found[k]["fault"]:
             with pytest.raises(ValueError):
-                ev.detect(*args)
+                detect(*args)
         else:
-            ev.detect(*args)
+            detect(*args)
 
 
 def test_segments_of_a_calendar(spark):

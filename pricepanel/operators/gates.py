@@ -95,8 +95,10 @@ def _grid(df: DataFrame, **axes: list[int]) -> DataFrame:
 
 def distance_sums(df: DataFrame) -> DataFrame:
     """Sums by level (-1 for all), bin and stock: all that the summary and its bootstrap read afterwards."""
-    levelled = df.withColumn("level", F.explode(F.array(F.lit(-1), F.col("nearest_level").cast("int"))))
-    return levelled.groupBy("level", "distance_bin", "issue_id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in P))
+    rest = ["distance_bin", "issue_id"]
+    rows = df.select(F.col("nearest_level").cast("int").alias("level"), *rest, *P)
+    both = rows.groupingSets([["level", *rest], rest], "level", *rest).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in P), F.grouping_id().alias("_all"))
+    return both.select(F.when(F.col("_all") > 0, -1).otherwise(F.col("level")).alias("level"), *rest, "n", *P)
 
 
 def distance_summary(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import full, trailing
@@ -54,14 +54,26 @@ def balanced_by(df: DataFrame, value: str, binning: Callable[[Column], Column],
     return balanced_bins(df.withColumn("bin", binning(F.col(value))).where("bin is not null"), "bin", keys, target, seed)
 
 
-def table_function(paths: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Any number of rows for each path ``(keys, step, ...)``; ``fn`` gets its rows by step and returns the columns of ``schema`` after the keys."""
-    kinds = {f.name: f.dataType.simpleString() for f in paths.schema}
+def table_function(spark: SparkSession, name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], keys: dict[str, str], schema: str) -> None:
+    """Registers ``fn`` as a table function for SQL: any number of rows for each partition of a table.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fn(pdf.sort_values("step", ignore_index=True))
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
+    ``SELECT * FROM name(TABLE(paths) PARTITION BY (keys) ORDER BY step)`` gives the ``keys`` (name and type) and the columns of ``schema``.
+    ``fn`` gets a partition's rows in the order that is asked for; a partition is a path, whose rows are bounded by the calendar.
+    """
 
-    return paths.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {schema}")
+    class Applied:
+        def __init__(self) -> None:
+            self.rows: list[dict] = []
+
+        def eval(self, row) -> None:
+            self.rows.append(row.asDict())
+
+        def terminate(self):
+            if not self.rows:
+                return
+            own = tuple(self.rows[0][k] for k in keys)
+            for found in fn(pd.DataFrame(self.rows)).itertuples(index=False, name=None):
+                yield (*own, *(v.item() if hasattr(v, "item") else v for v in found))
+
+    kinds = ", ".join(f"{k} {kind}" for k, kind in keys.items())
+    spark.udtf.register(name, F.udtf(Applied, returnType=f"{kinds}, {schema}"))

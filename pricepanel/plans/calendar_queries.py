@@ -217,14 +217,14 @@ def c05_validated_many_to_one(spark, d):
 
 
 @query(
-    f"""{P}, counts AS (SELECT issue_id, floor(vo_adj / 20)::INT AS bin, count(*) AS n, avg(cl_adj_loc) AS mean_price FROM panel WHERE vo_adj < 200 GROUP BY 1, 2),
+    f"""{P}, counts AS (SELECT issue_id, least(floor(vo_adj / 20), 9)::INT AS bin, count(*) AS n, avg(cl_adj_loc) AS mean_price FROM panel GROUP BY 1, 2),
     grid AS (SELECT issue_id, b::INT AS bin FROM (SELECT DISTINCT issue_id FROM panel), range(10) t(b))
     SELECT issue_id, bin, coalesce(n, 0) AS n, mean_price FROM grid LEFT JOIN counts USING (issue_id, bin)""",
     "mean_price",
 )
 def c07_dense_grid(spark, d):
     prices = panel(spark, d)
-    counts = prices.where("vo_adj < 200").groupBy("issue_id", F.floor(F.col("vo_adj") / 20).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("cl_adj_loc").alias("mean_price"))
+    counts = prices.groupBy("issue_id", F.least(F.floor(F.col("vo_adj") / 20), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("cl_adj_loc").alias("mean_price"))
     grid = prices.select("issue_id").distinct().select("issue_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin"))
     return jn.completed(counts, grid, ["issue_id", "bin"], ["n"])
 

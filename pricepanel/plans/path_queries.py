@@ -125,9 +125,9 @@ def n05_fixed_level_ratio(spark, d):
     return real.join(made, keys).withColumn("ratio", F.try_divide("baseline", "original"))
 
 
-@query(f"{RETS} SELECT {PK}, step, ret FROM rr WHERE ret IS NOT NULL AND source <> 'baseline'", "ret")
+@query(f"{RETS} SELECT {PK}, step, ret FROM rr WHERE ret IS NOT NULL", "ret")
 def n06_daily_returns(spark, d):
-    return pt.returns(price_paths(spark, d).where("source <> 'baseline'"), pt.KEYS).select(*pt.KEYS, "step", "ret")
+    return pt.returns(price_paths(spark, d), pt.KEYS).select(*pt.KEYS, "step", "ret")
 
 
 @query(f"{RETS} SELECT * FROM rm", "mean std variance max_drawdown")
@@ -157,9 +157,9 @@ def n10_across_issues(spark, d):
     return pt.across_issues(_path_metrics(spark, d), SOURCES)
 
 
-@query(f"{RETS}, q AS (SELECT source, std FROM rm WHERE source <> 'baseline'), e AS (SELECT min(std) AS lo, max(std) AS hi FROM q), b AS (SELECT source, least(greatest(floor((std - lo) / ((hi - lo) / 40)), 0), 39)::INT AS bin, (hi - lo) / 40 AS w FROM q, e), c AS (SELECT source, bin, count(*) AS n, max(w) AS w FROM b GROUP BY 1, 2) SELECT source, bin, n, n / (sum(n) OVER (PARTITION BY source) * w) AS density FROM c", "density", 3)
+@query(f"{RETS}, q AS (SELECT source, std FROM rm), e AS (SELECT min(std) AS lo, max(std) AS hi FROM q), b AS (SELECT source, least(greatest(floor((std - lo) / ((hi - lo) / 40)), 0), 39)::INT AS bin, (hi - lo) / 40 AS w FROM q, e), c AS (SELECT source, bin, count(*) AS n, max(w) AS w FROM b GROUP BY 1, 2) SELECT source, bin, n, n / (sum(n) OVER (PARTITION BY source) * w) AS density FROM c", "density", 3)
 def n11_shared_histogram(spark, d):
-    return pt.shared_histogram(_path_metrics(spark, d).where("source <> 'baseline'"), "std")
+    return pt.shared_histogram(_path_metrics(spark, d), "std")
 
 
 TAIL = "CASE WHEN z IS NULL THEN 1 WHEN z >= 0 THEN tail ELSE 1 - tail END"

@@ -19,6 +19,7 @@ from pricepanel.plans.metric_queries import GATES as GATES_SQL
 from pricepanel.plans.registry import query
 from pricepanel.plans.trend_queries import ranges, samples
 from pricepanel.sources import tables as st
+from pricepanel.sources.store import PanelStore
 
 
 def _market_folder(spark, d) -> str:
@@ -55,10 +56,16 @@ def a03_two_header_csv(spark, d):
 
 @query(f"{P} SELECT {K}, cl_adj_loc FROM panel WHERE date <= DATE '1999-06-30'")
 def a04_wide_to_panel(spark, d):
-    rows = panel(spark, d)
-    ids = sorted(r["issue_id"] for r in rows.select("issue_id").distinct().collect())  # the wide file's columns
-    wide = rows.groupBy(F.col("date").alias("Datetime")).pivot("issue_id", ids).agg(F.first("cl_adj_loc"))
-    return st.wide_to_panel(wide.withColumnsRenamed({c: f"Close_{c}" for c in ids}), ids, "1999-06-30").select("issue_id", "date", "cl_adj_loc")
+    at = scratch(spark, "wide")
+    rows = panel(spark, d).select("issue_id", "date", F.col("cl_adj_loc").cast("string").alias("text"))
+    # The file's own lines: the header has all ids, and a line has a cell for each of them.
+    head = rows.agg(F.array_sort(F.collect_set("issue_id")).alias("ids"))
+    days = rows.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("issue_id", "text"))).alias("of")).crossJoin(F.broadcast(head))
+    cells = F.transform("ids", lambda i: F.coalesce(F.element_at("of", i), F.lit("")))
+    top = head.select(F.lit("").alias("day"), F.array_join(F.concat(F.array(F.lit("Datetime")), F.transform("ids", lambda i: F.concat(F.lit("Close_"), i))), ",").alias("value"))
+    lines = top.union(days.select(F.col("date").cast("string"), F.concat_ws(",", F.col("date").cast("string"), F.array_join(cells, ","))))
+    lines.repartitionByRange(1, "day").sortWithinPartitions("day").select("value").write.text(at)  # one file, as a vendor sends it
+    return st.wide_lines_to_panel(spark, at, "1999-06-30")
 
 
 @query(f"{P} SELECT {K}, cl_adj_loc FROM panel WHERE (date - DATE '1970-01-01') % 5 <> 0")
@@ -69,7 +76,8 @@ def a05_user_frame(spark, d):
 
 @query(f"{P} SELECT {K}, cl_adj_loc FROM panel WHERE issue_id IN ('1', '4')")
 def a07_filtered_prices(spark, d):
-    return st.filtered_prices(panel(spark, d), ["1", "4"])
+    store = PanelStore.write(panel(spark, d), scratch(spark, "panel-store"))
+    return st.filtered_prices(store.read(), ["1", "4"])
 
 
 @query(f"{P} SELECT issue_id || '_synthetic_0' AS issue_id, date, cl_adj_loc FROM panel WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND (date - DATE '1970-01-01') % 7 <> 0")
@@ -145,8 +153,8 @@ def a13_compressed_step_sink(spark, d):
 @query(f"{P} SELECT * FROM panel")
 def a14_parquet_export(spark, d):
     at = scratch(spark, "export")
-    panel(spark, d).write.parquet(at)
-    return spark.read.parquet(at)
+    PanelStore.write(panel(spark, d), at)
+    return PanelStore(spark, at).read()
 
 
 @query(f"{P} SELECT DISTINCT issue_id FROM panel")

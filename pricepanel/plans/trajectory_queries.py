@@ -227,9 +227,9 @@ def l18_origin_seed(spark, d):
     return origins(spark, d).select("issue_id", "origin_date", tj.origin_seed(1, F.col("issue_id"), F.col("origin_date")).alias("seed"))
 
 
-@query(f"{TRAJ} SELECT {PK}, step, price, {PROB} FROM traj WHERE source = 'real'", "p_bounce p_break p_hover")
+@query(f"{TRAJ} SELECT {PK}, (row_number() OVER ({PW}) - 1)::INT AS step, price, {PROB} FROM traj", "p_bounce p_break p_hover")
 def l19_unrolled_steps(spark, d):
-    rows = trajectories(spark, d).where("source = 'real'")
+    rows = trajectories(spark, d)
     packed = rows.groupBy(*tj.PATH).agg(F.sort_array(F.collect_list(F.struct("step", "price", *gt.P))).alias("s"))
     return tj.unrolled(packed.select(*tj.PATH, *(F.col(f"s.{c}").alias(c) for c in ("price", *gt.P))))
 

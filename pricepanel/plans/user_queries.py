@@ -77,13 +77,14 @@ def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 @query(
-    f"""{P}, m AS (SELECT issue_id, month(date) AS month, row_number() OVER (PARTITION BY issue_id, month(date) ORDER BY date) AS step, cl_adj_loc AS price FROM panel WHERE year(date) = 1997),
-    n AS (SELECT *, lag(price) OVER v AS a, lead(price) OVER v AS b FROM m WINDOW v AS (PARTITION BY issue_id, month ORDER BY step)) SELECT issue_id, month, step, price FROM n WHERE price > a AND price > b"""
+    f"""{P}, m AS (SELECT issue_id, year(date) AS year, month(date) AS month, row_number() OVER (PARTITION BY issue_id, year(date), month(date) ORDER BY date) AS step, cl_adj_loc AS price FROM panel),
+    n AS (SELECT *, lag(price) OVER v AS a, lead(price) OVER v AS b FROM m WINDOW v AS (PARTITION BY issue_id, year, month ORDER BY step)) SELECT issue_id, year::INT AS year, month::INT AS month, step, price FROM n WHERE price > a AND price > b"""
 )
 def u06_table_function(spark, d):
     from pyspark.sql import Window
 
-    rows = panel(spark, d).where("year(date) = 1997").withColumn("month", F.month("date"))
-    step = F.row_number().over(Window.partitionBy("issue_id", "month").orderBy("date")).cast("long")
-    paths = rows.select("issue_id", "month", step.alias("step"), F.col(CL).alias("price"))
-    return uf.table_function(paths, ["issue_id", "month"], peaks, "step long, price double")
+    rows = panel(spark, d).withColumns({"year": F.year("date"), "month": F.month("date")})
+    step = F.row_number().over(Window.partitionBy("issue_id", "year", "month").orderBy("date")).cast("long")
+    paths = rows.select("issue_id", "year", "month", step.alias("step"), F.col(CL).alias("price"))
+    uf.table_function(spark, "peaks", peaks, {"issue_id": "string", "year": "int", "month": "int"}, "step long, price double")
+    return spark.sql("SELECT * FROM peaks(TABLE(SELECT * FROM {paths}) PARTITION BY (issue_id, year, month) ORDER BY step)", paths=paths)

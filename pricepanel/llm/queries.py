@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -29,38 +30,28 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(language_id.predict(docs, model), 3, 1)
 
 
-def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates arrive first, exact counts revise them, repeated texts are deleted; one batch is committed twice."""
-    docs = _read(spark, sf_dir, "documents")
+def rollup_batches(spark: SparkSession, docs: DataFrame, kinds: dict[str, Callable[..., DataFrame]]) -> token_rollups.Rollups:
+    """A store that took three batches: provisional counts arrive first, exact ones revise them and come twice, and repeated texts are deleted.
+
+    ``kinds`` has for each tokenizer version the function that makes a batch's changes of documents.
+    """
     store = token_rollups.Rollups(spark, shared_path(spark, "token-rollups"))
-    kinds = {"words-1": token_rollups.words_1(F.col("text")), "pieces-1": token_rollups.pieces_1(F.col("text"))}
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    store.commit("estimates", union(token_rollups.counted(docs, k, F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 6)) for k in kinds))
-    exact = union(token_rollups.counted(docs, k, count, "revise", 1) for k, count in kinds.items())
+    store.commit("provisional", union(token_rollups.counted(docs, k, F.coalesce(F.length("text"), F.lit(0))) for k in kinds))
+    exact = union(count(docs, k, op="revise", seq=1) for k, count in kinds.items())
     store.commit("exact", exact)
     store.commit("exact", exact)
     hashed = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     firsts = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     repeats = hashed.join(firsts, "doc_id", "left_anti")
     store.commit("repeats", union(token_rollups.counted(repeats, k, F.lit(0), "delete", 2) for k in kinds))
-    return store.totals()
-
-
-OP2_SQL = """
-WITH kept AS (
-  SELECT min(doc_id) AS doc_id FROM documents GROUP BY coalesce(text, '')
-), counts AS (
-  SELECT d.source, d.lang, 'words-1' AS tokenizer,
-         coalesce(len(regexp_extract_all(d.text, '[^\\x20\\x09-\\x0D]+')), 0) AS n
-  FROM documents d JOIN kept USING (doc_id)
-  UNION ALL
-  SELECT d.source, d.lang, 'pieces-1',
-         coalesce(len(regexp_extract_all(d.text, '[A-Za-z]+|[0-9]+|[^\\x00-\\x7F]+|[\\x21-\\x7E]')), 0)
-  FROM documents d JOIN kept USING (doc_id)
-)
-SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens
-FROM counts GROUP BY source, lang, tokenizer
-"""
+    return store
+
+
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of byte-level BPE tokens, first of each text only."""
+    multi = partial(token_rollups.bpe_counted, path=public_tokenizers.path(VOCABULARY), pattern=public_tokenizers.PATTERN)
+    return rollup_batches(spark, _read(spark, sf_dir, "documents"), {"byte-bpe-multi-50k": multi}).totals()
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,4 +198,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_rollups, op3_toxicity, op4_simhash, op5_secret_scan, op6_chat_format, op7_byte_bpe, op8_exact_dedup, op9_decontamination, op10_lm_score, op11_suffix_dedup, op12_fill_in_middle, op13_alignment)}
-ORACLE_SQL = {"op2_token_rollups": OP2_SQL, "op5_secret_scan": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_fill_in_middle": OP12_SQL}
+ORACLE_SQL = {"op5_secret_scan": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op12_fill_in_middle": OP12_SQL}

@@ -5,27 +5,35 @@ A store has a ledger of batches. A batch holds changes ``(op, doc_id, tokenizer,
 ones away, a revision does both. Totals are sums of signed rows, so they need no recount and any order of batches gives the same.
 
 A batch is written in a folder of its own name and counts once that folder is complete, so a repeated commit changes nothing,
-and one that a lost driver left half-way is written anew. A commit looks up the facts of its own documents only. :meth:`Rollups.compact`
-folds committed batches into one: the list of its members is written first, its rows under a name of their own next, and only a
+and one that a lost driver left half-way is written anew. The ledger is laid out by ``PARTS`` hash parts of the document id, sorted within them, and a commit reads only
+the parts that its own documents are in. :meth:`Rollups.compact` folds committed batches into one: the list of its members is written first, its rows under a name of their own next, and only a
 complete base takes its members' place, so it can be tried again after any loss.
 
 Defined results: an insert of a document that the store has counts as a revision, a delete or revision of an unknown
 one as nothing or as an insert; of several changes of one document in a batch the one of highest ``seq`` counts, then
 delete before revise before insert, then the largest count, then the last source and language by name; null source or lang are groups of their own;
-null tokens count as 0; changes without doc_id or tokenizer are dropped; an empty batch is committed and changes nothing; groups whose
+null tokens count as 0, and null and empty texts have 0 tokens under every counter; changes without doc_id or tokenizer are dropped; an empty batch is committed and changes nothing; groups whose
 documents are all gone are not returned; very long texts are counted whole; extra columns of changes are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricepanel.llm import bpe
-from pricepanel.llm.common import sources
+from pricepanel.llm.common import sources, written
 
 KEY = ["doc_id", "tokenizer"]
-SIGNED = "doc_id long, tokenizer string, source string, lang string, tokens long, sign int"
+SIGNED = "doc_id long, tokenizer string, source string, lang string, tokens long, sign int, part int"
+#: Hash parts of a ledger.
+PARTS = 64
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
 
 
 def words_1(text: Column) -> Column:
@@ -79,7 +87,13 @@ class Rollups:
 
     def _ledger(self, names: list[str]) -> DataFrame:
         empty = self.spark.createDataFrame([], SIGNED)
-        return self.spark.read.schema(SIGNED).parquet(*(f"{self.path}/{n}" for n in names)) if names else empty
+        frames = [self.spark.read.schema(SIGNED).parquet(f"{self.path}/{n}") for n in names]  # each has its own folders of parts
+        return reduce(DataFrame.unionByName, frames, empty) if frames else empty
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """Rows by part: a file for each part and task that has it, sorted by document."""
+        own = rows.withColumn("part", _part()).repartition("part").sortWithinPartitions("part", "doc_id")
+        own.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/{name}")
 
     def ledger(self) -> DataFrame:
         """All signed rows that count."""
@@ -88,7 +102,9 @@ class Rollups:
     def facts(self, of: DataFrame | None = None) -> DataFrame:
         """The current facts of each document and tokenizer version, or of those ``of`` names."""
         rows = self.ledger()
-        rows = rows if of is None else rows.join(of.select(*KEY), KEY, "left_semi")
+        if of is not None:
+            parts = [r[0] for r in of.select(_part()).distinct().collect()]  # at most PARTS numbers
+            rows = rows.where(F.col("part").isin(parts)).join(of.select(*KEY), KEY, "left_semi")
         return self._net(rows)
 
     @staticmethod
@@ -106,6 +122,7 @@ class Rollups:
         known = sources(changes, "op", "seq", *KEY, "source", "lang", "tokens").where("doc_id is not null and tokenizer is not null")
         rank = F.when(F.col("op") == "delete", 2).when(F.col("op") == "revise", 1).otherwise(0)
         last = known.groupBy(*KEY).agg(F.max(F.struct("seq", rank.alias("rank"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "source", "lang")).alias("new"))
+        last = written(last, "changes")  # counted once: it is looked up by, and joined
         old = self.facts(last).select(*KEY, F.struct("source", "lang", "tokens").alias("old"))
         met = last.join(old, KEY, "left")
         side = lambda c, sign: F.struct(F.col(f"{c}.source").alias("source"), F.col(f"{c}.lang").alias("lang"), F.col(f"{c}.tokens").alias("tokens"), F.lit(sign).alias("sign"))
@@ -113,7 +130,7 @@ class Rollups:
             F.when(F.col("old").isNotNull(), F.array(side("old", -1))).otherwise(F.array().cast("array<struct<source:string,lang:string,tokens:bigint,sign:int>>")),
             F.when(F.col("new.rank") < 2, F.array(side("new", 1))).otherwise(F.array().cast("array<struct<source:string,lang:string,tokens:bigint,sign:int>>")),
         )
-        met.select(*KEY, F.explode(rows).alias("r")).select(*KEY, "r.*").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._write(met.select(*KEY, F.explode(rows).alias("r")).select(*KEY, "r.*"), name)
         return True
 
     def compact(self, base_id: str) -> bool:
@@ -127,7 +144,7 @@ class Rollups:
         members = [m for n in names for m in ([n, *self._members(n)] if n.startswith("base-") else [n])]
         self.spark.createDataFrame([(m,) for m in members], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/members-{base}")
         net = self._net(self._ledger(names)).withColumn("sign", F.lit(1))
-        net.write.mode("overwrite").parquet(f"{self.path}/{base}")
+        self._write(net, base)
         return True
 
     def totals(self) -> DataFrame:

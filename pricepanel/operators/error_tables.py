@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import bin_index, ratio
+from pricepanel.functions.storage import written
+from pricepanel.operators.quantiles import exact_quantiles
 
 
 def wrong() -> Column:
@@ -57,10 +59,10 @@ def deviation_counts(rows: DataFrame, horizon: int) -> DataFrame:
 
 def deviation_histogram(rows: DataFrame, lo: float = -1.0, hi: float = 1.0, bins: int = 50) -> DataFrame:
     """Share of the daily deviations by bin, beside their 2.5 % and 97.5 % quantiles."""
-    long = rows.select(F.explode("deviations").alias("v"))
-    ends = long.agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count(F.lit(1)).alias("_all"))
+    long = written(rows.select(F.explode("deviations").alias("v")), "deviations")
+    ends = long.agg(F.count(F.lit(1)).alias("_all")).join(F.broadcast(exact_quantiles(long, [], "v", {"q025": 0.025, "q975": 0.975})), how="left")  # one row
     binned = long.withColumn("bin", bin_index(F.col("v"), lo, hi, bins)).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    return binned.crossJoin(F.broadcast(ends)).select("bin", "n", (100 * F.col("n") / F.col("_all")).alias("percent"), F.col("q")[0].alias("q025"), F.col("q")[1].alias("q975"))
+    return binned.crossJoin(F.broadcast(ends)).select("bin", "n", (100 * F.col("n") / F.col("_all")).alias("percent"), "q025", "q975")
 
 
 def deviation_heat(rows: DataFrame, lo: float = -1.0, hi: float = 1.0, bins: int = 21) -> DataFrame:

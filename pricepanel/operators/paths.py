@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricepanel.functions.expressions import bin_index, ratio, uniform
+from pricepanel.functions.storage import written
+from pricepanel.operators.quantiles import exact_quantiles, running_total
 
 KEYS = ["issue_id", "origin_date", "source", "iteration"]
 #: Differences up to which the signed-rank test is exact.
 EXACT = 50
+#: Names and levels of a band's quantiles.
+BAND = {"q05": 0.05, "median": 0.5, "q95": 0.95}
 
 
 def inventory(paths: DataFrame) -> DataFrame:
@@ -47,25 +51,23 @@ def change_statistics(paths: DataFrame, keys: list[str], path: list[str], scale:
     """Fourteen statistics of the scaled changes from step to step."""
     d = (F.col("price") - F.lag("price").over(Window.partitionBy(*path).orderBy("step"))) * scale
     rows = paths.withColumn("d", d).where("d is not null")
-    q = F.percentile("d", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
+    rows = written(rows.select(*keys, "d"), "path-changes")
     out = rows.groupBy(*keys).agg(
         F.count("d").alias("count"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.avg(F.abs("d")).alias("mean_abs"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"),
-        F.min("d").alias("min"), F.max("d").alias("max"), q.alias("q"), F.avg((F.col("d") > 0).cast("int")).alias("share_up"), F.avg((F.col("d") < 0).cast("int")).alias("share_down"),
+        F.min("d").alias("min"), F.max("d").alias("max"), F.avg((F.col("d") > 0).cast("int")).alias("share_up"), F.avg((F.col("d") < 0).cast("int")).alias("share_down"),
     )
-    names = ("q05", "q25", "median", "q75", "q95")
-    return out.select("*", *(F.col("q")[i].alias(n) for i, n in enumerate(names))).drop("q")
+    return out.join(exact_quantiles(rows, keys, "d", {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}), keys)
 
 
 def metric_summary(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Per group and metric: paths, valid ones, and over the valid ones mean, population deviation, 5 %, 50 % and 95 % quantiles."""
     cells = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
-    long = rows.select(*keys, "is_valid", F.explode(cells).alias("c")).select(*keys, "is_valid", "c.*")
+    long = written(rows.select(*keys, "is_valid", F.explode(cells).alias("c")).select(*keys, "is_valid", "c.*"), "path-metrics")
     ok = F.when(F.col("is_valid"), F.col("value"))
     out = long.groupBy(*keys, "metric").agg(
         F.count(F.lit(1)).alias("paths"), F.count(F.when(F.col("is_valid"), 1)).alias("valid"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("std"),
-        F.percentile(ok, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
     )
-    return out.select(*keys, "metric", "paths", "valid", "mean", "std", *(F.col("q")[i].alias(n) for i, n in enumerate(("q05", "median", "q95"))))
+    return out.join(exact_quantiles(long.where("is_valid"), [*keys, "metric"], "value", BAND), [*keys, "metric"], "left")
 
 
 def returns(paths: DataFrame, path: list[str]) -> DataFrame:
@@ -114,16 +116,18 @@ def signed_rank_test(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFr
 
     ``p_value`` is exact for up to ``EXACT`` differences of distinct sizes, none of them 0, else by the normal approximation with ties corrected.
 
-    Ranks come from the counts of distinct sizes, one row each, so no row is ranked in one task with all others.
+    Ranks come from the running totals of the counts of distinct sizes, which are summed by ranges, so no row is ranked in one task with all others.
     """
     d = F.round(F.col(b) - F.col(a), 12)
-    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", d)
+    rows = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b, d.alias("_d")), "paired-differences")
     totals = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("issues"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.percentile(a, F.lit(0.5)).alias("median_a"), F.percentile(b, F.lit(0.5)).alias("median_b")
+        F.count(F.lit(1)).alias("issues"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b")
     )
+    for c, name in ((a, "median_a"), (b, "median_b")):
+        median = exact_quantiles(rows, keys, c, {name: 0.5})
+        totals = totals.join(median, keys, "left") if keys else totals.join(F.broadcast(median), how="left")  # one row
     sizes = rows.where("_d <> 0").groupBy(*keys, F.abs("_d").alias("_size")).agg(F.count(F.lit(1)).alias("_c"), F.count(F.when(F.col("_d") > 0, 1)).alias("_up"))
-    w = Window.partitionBy(*keys).orderBy("_size")
-    ranked = sizes.withColumn("_rank", F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
+    ranked = running_total(sizes, keys, "_size", "_c", "_up_to").withColumn("_rank", F.col("_up_to") - (F.col("_c") - 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum("_c").alias("n"), F.sum(F.col("_rank") * F.col("_up")).alias("statistic"), F.sum(F.col("_c") * F.col("_c") * F.col("_c") - F.col("_c")).alias("_ties"))
     out = totals.join(sums, keys, "left") if keys else totals.crossJoin(sums)
     n = F.coalesce("n", F.lit(0))
@@ -154,5 +158,4 @@ def upper_tail(z: Column) -> Column:
 
 def quantile_band(paths: DataFrame, keys: list[str]) -> DataFrame:
     """Median, 5 % and 95 % quantiles over paths at each step."""
-    out = paths.groupBy(*keys, "step").agg(F.percentile("price", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    return out.select(*keys, "step", *(F.col("q")[i].alias(n) for i, n in enumerate(("q05", "median", "q95"))))
+    return exact_quantiles(paths, [*keys, "step"], "price", BAND)

@@ -13,6 +13,7 @@ from pricepanel.functions.expressions import ratio
 from pricepanel.functions.storage import written
 from pricepanel.operators.bootstrap import percentiles, ratios, resampled
 from pricepanel.operators.gates import EXPERTS, P, entropy, top_two
+from pricepanel.operators.quantiles import exact_quantiles
 
 PATH = ["segment_id", "issue_id", "source", "path_id"]
 METRICS = (
@@ -116,8 +117,9 @@ def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q
 
 def interval(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
     """2.5 and 97.5 percentiles of the draws that have a value, and their number."""
-    out = draws.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("_p"), F.count(value).alias("replicates"))
-    return out.select(*keys, F.col("_p")[0].alias("lo"), F.col("_p")[1].alias("hi"), "replicates")
+    draws = written(draws.select(*keys, value), "draws")
+    counts = draws.groupBy(*keys).agg(F.count(value).alias("replicates"))
+    return counts.join(exact_quantiles(draws, keys, value, {"lo": 0.025, "hi": 0.975}), keys, "left").select(*keys, "lo", "hi", "replicates")
 
 
 def _sides(sums: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:

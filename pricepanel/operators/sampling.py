@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,10 +69,6 @@ def random_split(df: DataFrame, keys: list[str], share: float, seed: int) -> Dat
     return ranked.withColumn("split", F.when(F.col("rank") <= first, "train").otherwise("val")).drop("rank")
 
 
-def _rank(by: list[str], order: Column, ties: list[str]) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(order, *ties))
-
-
 def balanced(df: DataFrame, label: str, keys: list[str], seed: int) -> DataFrame:
     """As many rows of every class as the smallest has, without replacement."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
@@ -127,9 +126,9 @@ def appended(real: DataFrame, synthetic: DataFrame) -> DataFrame:
 def sector_allocation(universe: DataFrame, n: int, seed: int) -> DataFrame:
     """``int(n / sectors + .5)`` securities of each sector, the first half of them train."""
     each = universe.select("sector").distinct().agg(F.floor(n / F.count(F.lit(1)) + 0.5).cast("int").alias("_each"))
-    ranked = universe.withColumn("_rank", _rank(["sector"], hash_order(seed, "issue_id"), ["issue_id"])).crossJoin(F.broadcast(each)).where("_rank <= _each")
-    size = F.count(F.lit(1)).over(Window.partitionBy("sector"))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= F.floor(size / 2), "train").otherwise("val")).drop("_rank", "_each")
+    ranked = ranked_in_buckets(universe, hash_order(seed, "issue_id"), ["issue_id"], ("sector",), "_rank", "_n").crossJoin(F.broadcast(each)).where("_rank <= _each")
+    size = F.least("_n", "_each")
+    return ranked.withColumn("split", F.when(F.col("_rank") <= F.floor(size / 2), "train").otherwise("val")).drop("_rank", "_each", "_n")
 
 
 def matched_batches(rows: DataFrame, env: str, keys: list[str], seed: int) -> DataFrame:
@@ -148,7 +147,7 @@ def stratified_ids(rows: DataFrame, eligible: DataFrame, n: int, seed: int) -> D
     share = rows.groupBy("sector").agg(F.count(F.lit(1)).alias("_c")).withColumn("_all", F.sum("_c").over(Window.partitionBy()))
     quota = share.select("sector", F.bround(F.col("_c") / F.col("_all") * n).cast("int").alias("_quota"))
     order = hash_order(seed, "issue_id")
-    ranked = eligible.withColumn("_rank", _rank(["sector"], order, ["issue_id"])).join(F.broadcast(quota), "sector")
+    ranked = ranked_in_buckets(eligible, order, ["issue_id"], ("sector",), "_rank").join(F.broadcast(quota), "sector")
     first = F.when(F.col("_rank") <= F.col("_quota"), 0).otherwise(1)
     # Ids in quota come first, the others top up; n of them stay. Only ids are ordered.
     return ranked.withColumn("_first", first).orderBy("_first", order, "issue_id").limit(n).select("issue_id", "sector")
@@ -169,35 +168,97 @@ def least_correlated(df: DataFrame, value: str, first: str, last: str, k: int) -
     return means.select("issue_id", F.round("mean_abs_corr", 9).alias("mean_abs_corr")).orderBy("mean_abs_corr", "issue_id").limit(k)
 
 
-def mean_correlations(series: DataFrame, block: int = 64) -> DataFrame:
-    """``(issue_id, mean_abs_corr)`` of each security's correlations with all others, over ``series(issue_id, x)``: arrays over one calendar.
+def calendar_series(df: DataFrame, value: str) -> DataFrame:
+    """``(issue_id, x)``: each security's values on all days of the panel, null where it has none. A day is given once for each security."""
+    days, ids = df.select("date").distinct(), df.select("issue_id").distinct()
+    grid = ids.crossJoin(F.broadcast(days)).join(df.select("issue_id", "date", F.col(value).alias("x")), ["issue_id", "date"], "left")
+    return grid.groupBy("issue_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "x"))), lambda s: s["x"]).alias("x"))
+
+
+#: Bytes of one series block in a task, and securities of a block at most: a pair of blocks makes a few matrices of their product's size.
+BLOCK_BYTES, BLOCK_SERIES = 32 << 20, 2048
 
-    Nulls are left out pair by pair; pairs without a correlation count for nothing. Securities are dealt to blocks; a task gets two
-    blocks and does their pairs as products of matrices, so a series is sent once for each block, not for each security and date.
+
+def _block_pairs(series: DataFrame, block: int | None) -> DataFrame:
+    """``issue_id, x, own, i, j``: the series of both blocks of each pair of blocks ``i <= j``.
+
+    A block is as large as its bytes allow, since a series travels once for each block; few securities make smaller ones, so that all tasks have pairs.
     """
-    series = written(series, "series")
-    blocks = max(1, -(-series.count() // block))
+    size = series.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("long")).first()
+    if not block:
+        tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = math.ceil(size["n"] / math.sqrt(2 * tasks))
+        block = max(1, min(BLOCK_SERIES, BLOCK_BYTES // (8 * max(1, size["long"] or 1)), max(64, spread)))
+    blocks = max(1, -(-size["n"] // block))
     own = F.pmod(F.xxhash64("issue_id"), F.lit(blocks)).cast("int")
     met = series.select("issue_id", "x", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    met = met.select("issue_id", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return met.select("issue_id", "x", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def correlated(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([np.array(v, float) for v in pdf["x"]])
-        there = np.isfinite(x)
-        m, x = there.astype(float), np.where(there, x - np.nanmean(np.where(there, x, np.nan), axis=1, keepdims=True), 0.0)
-        n, sx, sxx, sxy = m @ m.T, x @ m.T, (x * x) @ m.T, x @ x.T
-        spread = n * sxx - sx**2
-        spread[spread <= 1e-12 * n * sxx] = np.nan  # a series that stands still over the common dates
-        c = np.abs((n * sxy - sx * sx.T) / np.sqrt(spread * spread.T))
-        # A block with itself has its own pairs, two blocks those across.
-        side = pdf["own"].to_numpy()
-        wanted = np.isfinite(c) & ~np.eye(len(x), dtype=bool) & ((side[:, None] != side[None, :]) | (pdf["i"].iloc[0] == pdf["j"].iloc[0]))
-        return pd.DataFrame({"issue_id": pdf["issue_id"], "total": np.where(wanted, c, 0.0).sum(axis=1), "n": wanted.sum(axis=1)})
 
+def _products(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
+    """Common days and correlation of each series of ``a`` with each of ``b``; NaN where one of them stands still over the common days."""
+    x, y = (np.array([np.array(v, float) for v in side]) for side in (a, b))
+    m, k = (np.isfinite(v).astype(float) for v in (x, y))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # a series without any value has no mean
+        x, y = (np.where(np.isfinite(v), v - np.nanmean(np.where(np.isfinite(v), v, np.nan), axis=1, keepdims=True), 0.0) for v in (x, y))
+    n, sx, sy = m @ k.T, x @ k.T, m @ y.T
+    left, right = n * ((x * x) @ k.T) - sx**2, n * (m @ (y * y).T) - sy**2
+    for spread, squares in ((left, (x * x) @ k.T), (right, m @ (y * y).T)):
+        spread[spread <= 1e-12 * n * squares] = np.nan
+    return n, (n * (x @ y.T) - sx * sy) / np.sqrt(left * right)
+
+
+def _none(**columns: type) -> pd.DataFrame:
+    return pd.DataFrame({name: pd.Series(dtype=kind) for name, kind in columns.items()})
+
+
+def mean_correlations(series: DataFrame, block: int | None = None) -> DataFrame:
+    """``(issue_id, mean_abs_corr)`` of each security's correlations with all others, over ``series(issue_id, x)``: arrays over one calendar.
+
+    Nulls are left out pair by pair; pairs without a correlation count for nothing. A task does the pairs of two blocks as products of matrices.
+    """
+
+    def correlated(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf[pdf["own"] == pdf["i"].iloc[0]]
+        alone = pdf["i"].iloc[0] == pdf["j"].iloc[0]  # a block with itself has its own pairs, two blocks those across
+        second = first if alone else pdf[pdf["own"] != pdf["i"].iloc[0]]
+        if not len(first) or not len(second):
+            return _none(issue_id=object, total=float, n=int)
+        c = np.abs(_products(first["x"].tolist(), second["x"].tolist())[1])
+        wanted = np.isfinite(c) & ~(np.eye(len(c), dtype=bool) if alone else np.zeros(c.shape, bool))
+        c = np.where(wanted, c, 0.0)
+        sides = [(first, c.sum(axis=1), wanted.sum(axis=1)), *([] if alone else [(second, c.sum(axis=0), wanted.sum(axis=0))])]
+        return pd.concat([pd.DataFrame({"issue_id": pd.Series(s["issue_id"].tolist(), dtype=object), "total": t, "n": n}) for s, t, n in sides])
+
+    met = _block_pairs(written(series, "series"), block)
     sums = met.groupBy("i", "j").applyInPandas(correlated, "issue_id string, total double, n long")
     return sums.groupBy("issue_id").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean_abs_corr")).where("mean_abs_corr is not null")
 
 
+def pair_correlations(series: DataFrame, block: int | None = None) -> DataFrame:
+    """``(id_a, id_b, n, c)`` of all pairs ``id_a < id_b`` with common days: their number and the correlation over them, null where there is none.
+
+    The pairs are the result; what travels is a series for each block and not a row for each pair and day.
+    """
+
+    def correlated(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf[pdf["own"] == pdf["i"].iloc[0]]
+        alone = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        second = first if alone else pdf[pdf["own"] != pdf["i"].iloc[0]]
+        if not len(first) or not len(second):
+            return _none(id_a=object, id_b=object, n=int, c=float)
+        n, c = _products(first["x"].tolist(), second["x"].tolist())
+        a, b = first["issue_id"].to_numpy(object), second["issue_id"].to_numpy(object)
+        rows, cols = np.nonzero((n > 0) & ((a[:, None] < b[None, :]) if alone else np.ones(n.shape, bool)))
+        swap = a[rows] > b[cols]
+        ids = (pd.Series(np.where(swap, *pair), dtype=object) for pair in ((b[cols], a[rows]), (a[rows], b[cols])))
+        return pd.DataFrame({"id_a": next(ids), "id_b": next(ids), "n": n[rows, cols].astype(int), "c": c[rows, cols]})  # NaN is null to Spark
+
+    met = _block_pairs(written(series, "series"), block)
+    return met.groupBy("i", "j").applyInPandas(correlated, "id_a string, id_b string, n long, c double")
+
+
 def round_robin(candidates: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` origins, one per security in turn, in hash order."""
     turn = F.row_number().over(Window.partitionBy("issue_id").orderBy(hash_order(seed, "issue_id", "origin_date"), "origin_date"))

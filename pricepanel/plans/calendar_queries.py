@@ -9,6 +9,7 @@ from pricepanel.operators import calendar as cal
 from pricepanel.operators import filters as fl
 from pricepanel.operators import joins as jn
 from pricepanel.operators.panel import UNIVERSE_SQL, panel, table, universe
+from pricepanel.operators.sampling import calendar_series, pair_correlations
 from pricepanel.plans.feature_queries import K, O, P, w
 from pricepanel.plans.registry import query
 
@@ -238,8 +239,7 @@ def c08_paired_semi_join(spark, d):
 
 @query(f"{P} SELECT a.issue_id AS id_a, b.issue_id AS id_b, count(*) AS n, corr(a.cl_adj_loc, b.cl_adj_loc) AS c FROM panel a JOIN panel b USING (date) WHERE a.issue_id < b.issue_id GROUP BY 1, 2", "c")
 def c09_pairs_by_date(spark, d):
-    pairs = jn.pairs_by_date(panel(spark, d), "cl_adj_loc")
-    return pairs.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("c"))
+    return pair_correlations(calendar_series(panel(spark, d).select("issue_id", "date", "cl_adj_loc"), "cl_adj_loc"))
 
 
 @query(f"{P} SELECT count(*) AS rows, count(*) FILTER (lo_adj_loc IS NULL) AS missing, count(*) FILTER (vo_adj * 1e-8 > 5.05e-7 AND lo_adj_loc IS NOT NULL) AS violations, max(vo_adj * 1e-8) FILTER (lo_adj_loc IS NOT NULL) AS max_error FROM panel", "max_error", 9)

@@ -17,7 +17,7 @@ from pricepanel.plans.calendar_queries import HOR, LOOK, ORIGINS, origins
 from pricepanel.plans.feature_queries import K, P, w
 from pricepanel.plans.metric_queries import GATES as GATES_SQL
 from pricepanel.plans.registry import query
-from pricepanel.plans.trend_queries import ranges, samples
+from pricepanel.plans.trend_queries import FIT, ranges, samples
 from pricepanel.sources import tables as st
 from pricepanel.sources.store import PanelStore
 
@@ -197,7 +197,28 @@ def _classified(spark, d):
 @query()
 def q01_trend_classifier(spark, d):
     train, test = _classified(spark, d)
-    return md.train_and_score(train, test, [21, 64, 8, 3], seed=1, iterations=15)
+    return md.train_and_score(train, test, [21, 64, 8, 3], seed=1)
+
+
+HELD_OUT = f"{FIT}, t AS (SELECT issue_id, test_date, label FROM samples WHERE test_date > DATE '1998-12-31')"
+
+
+@query(f"{HELD_OUT} SELECT issue_id, test_date, label, 1.0::DOUBLE AS total, true AS is_largest FROM t", "total")
+def q01_probability_check(spark, d):
+    """Each held-out sample once: its class probabilities sum to one, and the class that is told has the largest."""
+    found = q01_trend_classifier(spark, d)
+    chances = [F.col(f"p{i}") for i in range(3)]
+    largest = F.get(F.array(*chances), F.col("y_hat")) == F.greatest(*chances)
+    return found.select("issue_id", "test_date", "label", (chances[0] + chances[1] + chances[2]).alias("total"), largest.alias("is_largest"))
+
+
+@query(f"{HELD_OUT} SELECT label AS y_true, 10::BIGINT AS runs, count(*) AS n, 10 * count(*) AS total FROM t GROUP BY 1")
+def q03_run_totals(spark, d):
+    """The repeated runs' confusion counts by true class: every run has each held-out sample once."""
+    train, test = _classified(spark, d)
+    counts = confusion(md.repeated(train, test, [21, 64, 8, 3], list(range(1, 11)), iterations=3), "label", "y_hat", 3, ("run",))
+    per_run = counts.groupBy("y_true", "run").agg(F.sum("n").alias("n"))
+    return per_run.groupBy("y_true").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("n"), F.sum("n").alias("total")).where("n > 0")
 
 
 def column_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +238,7 @@ def q02_gate_scoring(spark, d):
 @query()
 def q03_repeated_runs(spark, d):
     train, test = _classified(spark, d)
-    runs = md.repeated(train, test, [21, 64, 8, 3], list(range(1, 11)), iterations=10)
+    runs = md.repeated(train, test, [21, 64, 8, 3], list(range(1, 11)))
     return repeated_runs(confusion(runs, "label", "y_hat", 3, ("run",)), ["y_true", "y_pred"], "percent")
 
 

@@ -440,6 +440,35 @@ def test_mean_correlations_against_pandas(spark):
         assert set(found) == set(range(9)) - {5} and all(abs(found[i] - np.nanmean(c[i])) < 1e-9 for i in found)
 
 
+@pytest.mark.parametrize("block", [None, 3, 1])
+def test_pair_correlations_against_pandas(spark, block):
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(size=(11, 30)), axis=1)
+    x[2, :28] = np.nan
+    x[3, 2:] = np.nan
+    x[5] = 3.0
+    x[7] = np.nan
+    rows = [(f"s{i}", [None if np.isnan(v) else float(v) for v in own]) for i, own in enumerate(x)]
+    found = {(r["id_a"], r["id_b"]): (r["n"], r["c"]) for r in sm.pair_correlations(spark.createDataFrame(rows, "issue_id string, x array<double>"), block).collect()}
+    want = {}
+    for i in range(11):
+        for j in range(11):
+            both = np.isfinite(x[i]) & np.isfinite(x[j])
+            if f"s{i}" < f"s{j}" and both.any():
+                a, b = x[i][both], x[j][both]
+                want[f"s{i}", f"s{j}"] = both.sum(), np.corrcoef(a, b)[0, 1] if len(a) > 1 and a.std() > 1e-12 and b.std() > 1e-12 else None
+    assert set(found) == set(want)
+    for key, (n, c) in want.items():
+        assert found[key][0] == n and (found[key][1] is None if c is None else abs(found[key][1] - c) < 1e-9)
+
+
+def test_block_sizes_follow_bytes_and_tasks(spark):
+    series = spark.range(5000).select(F.col("id").cast("string").alias("issue_id"), F.array_repeat(F.lit(1.0), 10).alias("x"))
+    blocks = sm._block_pairs(series, None).agg(F.max("own")).first()[0] + 1
+    assert blocks == -(-5000 // max(64, math.ceil(5000 / math.sqrt(8))))
+    assert sm._block_pairs(series, 2000).count() == 5000 * 3
+
+
 def test_signed_rank_tails_are_exact(spark):
     from itertools import product
 

@@ -71,9 +71,10 @@ def random_split(df: DataFrame, keys: list[str], share: float, seed: int) -> Dat
 
 def balanced(df: DataFrame, label: str, keys: list[str], seed: int) -> DataFrame:
     """As many rows of every class as the smallest has, without replacement."""
+    df = written(df, "rows-to-balance")  # read for its counts and for its rows
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
     ranked = ranked_in_buckets(df, hash_order(seed, *keys), keys, (label,), "_rank")
-    return ranked.crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_least")
+    return ranked.join(F.broadcast(least), F.col("_rank") <= F.col("_least")).drop("_rank", "_least")  # one row
 
 
 def balanced_bins(df: DataFrame, bin_: str, keys: list[str], target: int, seed: int) -> DataFrame:

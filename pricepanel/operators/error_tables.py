@@ -90,13 +90,31 @@ def autocorrelation(rows: DataFrame, lags: int, least: int) -> DataFrame:
     return acf.groupBy("lag").agg(F.avg("acf").alias("mean_acf"), F.count("acf").alias("issues"))
 
 
+def binomial_quantiles(n: Column, p: Column, low: float = 0.025, high: float = 0.975) -> tuple[Column, Column]:
+    """The least numbers of successes of ``n`` draws whose cumulative chance reaches ``low`` and ``high``: terms added up one by one."""
+    odds = F.ln(p) - F.ln(1 - p)
+    start = F.struct((n * F.ln(1 - p)).alias("log"), F.lit(0.0).alias("up_to"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+
+    def add(so_far: Column, k: Column) -> Column:
+        up_to = so_far["up_to"] + F.exp(so_far["log"])
+        reached = lambda name, q: F.coalesce(so_far[name], F.when(up_to >= q - 1e-12, k)).alias(name)
+        after = so_far["log"] + odds + F.ln((n - k).cast("double")) - F.ln(k + 1.0)
+        return F.struct(F.coalesce(after, F.lit(float("-inf"))).alias("log"), up_to.alias("up_to"), reached("low", low), reached("high", high))
+
+    found = F.aggregate(F.sequence(F.lit(0).cast("long"), n), start, add)
+    return tuple(F.when(p <= 0, 0).when(p >= 1, n).otherwise(F.coalesce(found[name], n)) for name in ("low", "high"))
+
+
 def effective_size(rows: DataFrame, acf: DataFrame, upto: int = 50) -> DataFrame:
-    """Inflation 1 + 2 * sum of the mean autocorrelations of lags 1 to ``upto``, effective size, accuracy and its 95 % normal interval."""
+    """Inflation 1 + 2 * sum of the mean autocorrelations of lags 1 to ``upto``, effective size, accuracy and its 95 % binomial interval at that size.
+
+    The interval's counts are those of the whole part of the effective size, over the size itself.
+    """
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(1 - wrong()).alias("accuracy"))
     inflation = acf.where(F.col("lag").between(1, upto)).agg((1 + 2 * F.coalesce(F.sum("mean_acf"), F.lit(0.0))).alias("inflation"))
-    out = total.crossJoin(inflation).withColumn("n_eff", F.col("n") / F.col("inflation"))
-    half = 1.96 * F.sqrt(F.col("accuracy") * (1 - F.col("accuracy")) / F.col("n_eff"))
-    return out.withColumns({"lo": F.col("accuracy") - half, "hi": F.col("accuracy") + half})
+    out = total.crossJoin(inflation).withColumn("n_eff", F.col("n") / F.col("inflation"))  # one row each
+    low, high = binomial_quantiles(F.floor("n_eff"), F.col("accuracy"))
+    return out.withColumns({"lo": low / F.col("n_eff"), "hi": high / F.col("n_eff")})
 
 
 def sparse_accuracy(rows: DataFrame, strides: tuple[int, ...] = (60, 90, 180, 378)) -> DataFrame:

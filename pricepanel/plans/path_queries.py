@@ -288,7 +288,13 @@ def p14_correctness_autocorrelation(spark, d):
     return et.autocorrelation(predictions(spark, d), 20, 100)
 
 
-@query(f"{ACF}, t AS (SELECT count(*) AS n, avg((label = y_hat)::INT) AS accuracy FROM preds), i AS (SELECT 1 + 2 * sum(mean_acf) AS inflation FROM acf WHERE lag BETWEEN 1 AND 20) SELECT n, accuracy, inflation, n / inflation AS n_eff, accuracy - 1.96 * sqrt(accuracy * (1 - accuracy) / (n / inflation)) AS lo, accuracy + 1.96 * sqrt(accuracy * (1 - accuracy) / (n / inflation)) AS hi FROM t, i", "accuracy inflation n_eff lo hi", 4)
+@query(
+    f"""{ACF}, t AS (SELECT count(*) AS n, avg((label = y_hat)::INT) AS accuracy FROM preds), i AS (SELECT 1 + 2 * sum(mean_acf) AS inflation FROM acf WHERE lag BETWEEN 1 AND 20), e AS (SELECT n, accuracy, inflation, n / inflation AS n_eff, floor(n / inflation)::BIGINT AS m FROM t, i),
+    pm AS (SELECT k, exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(accuracy) + (m - k) * ln(1 - accuracy)) AS p FROM e, range(0, (SELECT m + 1 FROM e)) r(k)), cd AS (SELECT k, sum(p) OVER (ORDER BY k) AS c FROM pm)
+    SELECT n, accuracy, inflation, n_eff, (SELECT min(k) FROM cd WHERE c >= 0.025) / n_eff AS lo, (SELECT min(k) FROM cd WHERE c >= 0.975) / n_eff AS hi FROM e""",
+    "accuracy inflation n_eff lo hi",
+    4,
+)
 def p15_effective_sample_size(spark, d):
     rows = predictions(spark, d)
     return et.effective_size(rows, et.autocorrelation(rows, 20, 100), 20)

@@ -157,3 +157,19 @@ def test_edges_of_one_value_are_padded_by_little(spark):
     r = gt.edges(spark.createDataFrame([(5.0, 0.0), (5.0, 0.0)], "a double, b double"), "a", "b").first()
     assert (r["lo_a"], r["hi_a"], r["lo_b"], r["hi_b"]) == (5.0 - 5e-6, 5.0 + 5e-6, -1e-8, 1e-8)
     assert gt.binned(spark.createDataFrame([(5.0,)], "a double"), "a").select(F.col("a_bin")).first()[0] == 10
+
+
+def test_binomial_quantiles_by_enumeration(spark):
+    from pricepanel.operators.error_tables import binomial_quantiles
+
+    cases = [(n, p) for n in range(31) for p in (0.0, 0.01, 0.3, 0.5, 0.731, 0.99, 1.0)] + [(349, 0.731), (20_000, 0.5)]
+    rows = spark.createDataFrame(cases, "n long, p double")
+    low, high = binomial_quantiles(F.col("n"), F.col("p"))
+    for r in rows.select("n", "p", low.alias("low"), high.alias("high")).collect():
+        chances, up_to, found = [], 0.0, []
+        for k in range(r["n"] + 1):
+            chances.append(math.exp(math.lgamma(r["n"] + 1) - math.lgamma(k + 1) - math.lgamma(r["n"] - k + 1) + k * math.log(r["p"]) + (r["n"] - k) * math.log(1 - r["p"])) if 0 < r["p"] < 1 else float(k == r["n"] * (r["p"] == 1)))
+        for q in (0.025, 0.975):
+            up_to = np.cumsum(chances)
+            found.append(int(np.argmax(up_to >= q - 1e-12)))
+        assert [r["low"], r["high"]] == found, r

@@ -1,4 +1,10 @@
-"""A corpus pipeline: five operators, one after the other, over ``documents``."""
+"""A corpus pipeline: five operators, one after the other, over ``documents``.
+
+Every stage but the last returns the columns of ``documents``; extra columns of a table, whatever their names, are dropped. Null and empty texts are documents
+like others: they aren't toxic, are one group of exact copies, have fingerprint zero, match no benchmark item and have no tokens. Very long texts are judged
+whole. Null and repeated ids are kept apart by a row id of each stage's own, so a row is judged by its own text. Ties go to the smallest
+doc_id, then to any one of the rows that are equal in it. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +25,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic; all of them where the labels don't have both classes. Labels of the held-out fold teach nothing."""
     docs = _documents(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", 5) != 0)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
@@ -62,14 +68,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows without a copy of a benchmark item, each judged by its own text."""
+    """The rows without a copy of a benchmark item, each judged by its own text; items without text match nothing."""
     rows = _numbered(docs)
     found = decontaminate.contaminated(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return rows.join(found.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that is left, with digests of them and of what they decode to."""
+    """Token ids of each document that is left, with digests of them and of what they decode to; a null or empty text has none."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.coded(docs, path, pattern).select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

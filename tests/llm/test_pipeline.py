@@ -74,3 +74,18 @@ def test_null_and_repeated_ids_are_judged_by_row(spark, tmp_path):
     near = texts(corpus_pipeline.drop_near_copies, frame)
     assert {(0, b), (7, c), (8, "  " + a)} <= set(near) and len(near) == len(set(near)) and (0, a) not in near and (0, c) not in near
     assert texts(corpus_pipeline.drop_benchmark_copies, frame) == sorted((i or 0, t) for i, t in rows[:7])
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path, stage):
+    texts = [None, "", "", " ", "a b c", "a  b c", None, "x" * 300_000, "日本語", "calm words " * 40_000, "vile rotten filth", "calm and plain words"]
+    rows = [(None if i % 5 == 4 else i // 2, t, "en", None, 0, i, "clash", 0.5, 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, of string, score double, predicted int")
+    spark.createDataFrame([(100 + i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f g")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    kept = {"exact_dedup": 7, "simhash_near_dedup": 7}.get(stage, len(texts))
+    found = run(spark, df, str(tmp_path))
+    assert found.count() == kept
+    assert stage == "byte_bpe" or found.columns == list(corpus_pipeline.COLUMNS)
+    assert run(spark, df.limit(0), str(tmp_path)).count() == 0

@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -195,12 +196,12 @@ def _frame(ddl: str, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _shards(rows: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The rows of each shard of their buckets, in their order."""
-    shard = (rows["bucket"] if rows.dtype.names else rows) % np.uint64(shards)
+def _by_shard(buckets: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that the buckets are of, and their places."""
+    shard = buckets % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
     there, begins = np.unique(shard[order], return_index=True)
-    return zip(there.tolist(), np.split(rows[order], begins[1:]), strict=True) if len(rows) else iter(())
+    return zip(there.tolist(), np.split(order, begins[1:]), strict=True) if len(buckets) else iter(())
 
 
 class Texts:
@@ -257,13 +258,14 @@ def laid_out(docs: DataFrame) -> tuple[DataFrame, int]:
 def shared_buckets(blocks: DataFrame, size: int, length: int, q: int, hot: int) -> DataFrame:
     """``block, shared, hot``: of each block the buckets that other blocks have too, packed, and those of them that over ``hot`` have."""
     width, shards = _width(size), 1 + size // COUNT_BYTES
-    mask = (1 << 8 * width) - 1
+    mask, sent_ddl = (1 << 8 * width) - 1, "shard long, block long, buckets binary"
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 buckets = np.unique(_runs(Texts(raw).texts, length, q, mask)["bucket"])
-                yield from _frame("shard long, block long, buckets binary", [(shard, block, _packed(part, width)) for shard, part in _shards(buckets, shards)]).to_batches()
+                rows = [(shard, block, _packed(buckets[i], width)) for shard, i in _by_shard(buckets, shards)]
+                yield from _frame(sent_ddl, rows).to_batches()
 
     def met(table: pa.Table) -> pa.Table:
         packed, rows, stop = table["buckets"].to_pylist(), [], 0
@@ -276,7 +278,7 @@ def shared_buckets(blocks: DataFrame, size: int, length: int, q: int, hot: int)
                 rows.append((block, _packed(buckets[(n > 1) & (n <= hot)], width), _packed(buckets[n > max(1, hot)], width)))
         return _frame("block long, shared binary, hot binary", rows)
 
-    sent = blocks.mapInArrow(own, "shard long, block long, buckets binary")
+    sent = blocks.mapInArrow(own, sent_ddl)
     return sent.groupBy("shard").applyInArrow(met, "block long, shared binary, hot binary")
 
 
@@ -316,21 +318,19 @@ def verdicts(blocks: DataFrame, shared: DataFrame, size: int, length: int, q: in
         out = []
         for single, some in parts:
             distinct, low, several = _lows(some, texts.ids)
-            at = np.arange(len(distinct))
-            shard = distinct["bucket"] % np.uint64(shards)
-            for number in np.unique(shard).tolist():
-                i = at[shard == number]
-                out.append((number, block, single, _packed(distinct["bucket"][i], width), distinct["digest"][i].tobytes(), _packed_ids(low[i]), np.packbits(several[i]).tobytes()))
+            for shard, i in _by_shard(distinct["bucket"], shards):
+                part = distinct[i]
+                cells = _packed(part["bucket"], width), part["digest"].tobytes(), _packed_ids(low[i]), np.packbits(several[i]).tobytes()
+                out.append((shard, block, single, *cells))
         return _frame(ddl, out)
 
     def met(table: pa.Table) -> pa.Table:
         out: dict[int, list[list[bytes]]] = {}
         for single in (False, True):
-            part = table.filter(pa.compute.equal(table["single"], single))
+            part = table.filter(pc.equal(table["single"], single))
             if not part.num_rows:
                 continue
             block, counts = part["block"].to_numpy(), [len(b) // width for b in part["buckets"].to_pylist()]
-            row = np.repeat(np.arange(len(counts)), counts)
             bucket = _unpacked(b"".join(part["buckets"].to_pylist()), width)
             digest = np.frombuffer(b"".join(part["digests"].to_pylist()), np.uint64)
             low = np.concatenate([_unpacked_ids(x) for x in part["low"].to_pylist()])
@@ -354,7 +354,6 @@ def verdicts(blocks: DataFrame, shared: DataFrame, size: int, length: int, q: in
                     cell[2 * single].append(keys)
                     cell[2 * single + 1].append(least[yes].tobytes())
                     cell[4].append(_packed(np.unique(bucket[no]), width))
-            del row
         return _frame(result, [(number, *(b"".join(x) for x in cell)) for number, cell in out.items()])
 
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(own, ddl)
@@ -428,13 +427,13 @@ def refine(blocks: DataFrame, opened: DataFrame, size: int, length: int, q: int)
         texts = Texts(table["packed"][0].as_py())
         rows = _runs(texts.texts, length, q, mask)
         distinct, low, several = _lows(rows[_member(rows["bucket"], wanted)], texts.ids)
-        out, shard = [], distinct["bucket"] % np.uint64(shards)
-        for number in np.unique(shard).tolist():
-            i = np.flatnonzero(shard == number)
+        out = []
+        for shard, i in _by_shard(distinct["bucket"], shards):
             part = distinct[i]
             sizes = part["strings"] + np.int32(length - 1)
             runs = b"".join(texts.texts[d][at : at + n] for d, at, n in zip(part["doc"].tolist(), part["at"].tolist(), sizes.tolist(), strict=True))
-            out.append((number, table["block"][0].as_py(), _packed(part["bucket"], width), part["digest"].tobytes(), sizes.astype("<i4").tobytes(), runs, _packed_ids(low[i]), np.packbits(several[i]).tobytes()))
+            cells = _packed(part["bucket"], width), part["digest"].tobytes(), sizes.astype("<i4").tobytes(), runs, _packed_ids(low[i]), np.packbits(several[i]).tobytes()
+            out.append((shard, table["block"][0].as_py(), *cells))
         return _frame(ddl, out)
 
     def sorted_runs(table: pa.Table) -> pa.Table:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricepanel.operators import gates as gt
 from pricepanel.operators import metrics as mt
 from pricepanel.operators import windows as wn
-from pricepanel.operators.panel import panel, table
+from pricepanel.operators.panel import table
 from pricepanel.plans.feature_queries import K
 from pricepanel.plans.registry import query
 from pricepanel.plans.trend_queries import FEATS, FIT, KT, RANGES, ranges, samples

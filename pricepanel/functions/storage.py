@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that were handed out, by application.
+_HANDED_OUT: dict[str, list[str]] = defaultdict(list)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``.
 
@@ -20,7 +25,21 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pricepanel-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this application wrote under its scratch paths, and tells how many there were.
+
+    For the end of a job: results that were not saved elsewhere read those tables, so they can't be read again.
+    """
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    jvm, conf, found = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        found += path.getFileSystem(conf).delete(path, True)
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

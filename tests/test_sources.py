@@ -93,3 +93,20 @@ def test_table_function_sees_partitions_in_order(spark):
     want = [(k, s, float((s * 7 + k) % 5)) for k in range(3) for s in range(1, 20) if (s * 7 + k) % 5 < ((s - 1) * 7 + k) % 5]
     assert sorted(map(tuple, found.collect())) == want
     assert spark.sql("SELECT * FROM falls(TABLE(SELECT * FROM {rows}) PARTITION BY k ORDER BY step)", rows=rows.limit(0)).count() == 0
+
+
+def test_scratch_tables_can_be_dropped(spark, tmp_path):
+    from pricepanel.functions import storage
+
+    kept = spark.range(5)
+    kept.write.parquet(str(tmp_path / "kept"))
+    before = dict(storage._HANDED_OUT)
+    storage._HANDED_OUT.clear()  # what other tests wrote stays
+    try:
+        tables = [storage.written(spark.range(n), "dropped") for n in (3, 4)]
+        assert [t.count() for t in tables] == [3, 4] and storage.drop_scratch(spark) == 2 and storage.drop_scratch(spark) == 0
+        with pytest.raises(Exception, match="(?i)file|path"):
+            tables[0].collect()
+        assert spark.read.parquet(str(tmp_path / "kept")).count() == 5
+    finally:
+        storage._HANDED_OUT.update(before)

@@ -413,8 +413,8 @@ def test_user_functions(spark):
     found = uf.balanced_by(rows, value, lambda v: F.when(v < 6, F.floor(v / 3).cast("int")), ["issue_id", "date"], 4, 1)
     assert {r["bin"]: r["count"] for r in found.groupBy("bin").count().collect()} == {0: 4, 1: 4}
     paths = rows.select("issue_id", F.dayofmonth("date").alias("step"), F.col(value).alias("price"))
-    up = uf.table_function(paths, ["issue_id"], lambda pdf: pdf[pdf["price"].diff() > 0][["step"]].reset_index(drop=True), "step int").count()
-    assert up == 3
+    uf.table_function(spark, "rises", lambda pdf: pdf[pdf["price"].diff() > 0][["step"]], {"issue_id": "string"}, "step int")
+    assert spark.sql("SELECT * FROM rises(TABLE(SELECT * FROM {paths}) PARTITION BY issue_id ORDER BY step)", paths=paths).count() == 3
 
 
 def test_numbers_without_one_task(spark):

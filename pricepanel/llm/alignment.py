@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,7 +39,7 @@ WIDE_SPACE, CUT = re.compile(r"\s\s|\A\s|\s\Z").search, re.compile(r"(?<=\S) (?=
 #: Tokens of A whose ends are in a dictionary at a time.
 PIECE = 1 << 16
 #: Characters of a unit that is remembered, and bytes of all units that a worker remembers; beyond half of them memory starts anew beside the old.
-MEMO_CHARS, MEMO_BYTES = 64, 96 << 20
+MEMO_CHARS, MEMO_BYTES = 64, 160 << 20
 NOTHING = (0, 0, 0, 0, "", b"")
 RESULT = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
@@ -64,27 +63,27 @@ def common_ends(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[i
     return stops
 
 
-def sliced(a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[list[str], np.ndarray, list[list[int]]]:
-    """The groups of two lists of ids that spell the same bytes, the end of each, and its links."""
+def sliced(a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The groups of two lists of ids that spell the same bytes, the end of each, and the packed links with the place after each group's last."""
     ends_a, ends_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
-    stops_a, stops_b = common_ends(ends_a.tolist(), ends_b.tolist())
-    groups, links, i, j = [], [], 0, 0
-    empty = not (sizes_a.all() and sizes_b.all())
-    for stop_a, stop_b in zip(stops_a, stops_b, strict=True):
-        x, y = a[stop_a - 1], b[stop_b - 1]
-        single = stop_a - i == 1 == stop_b - j
-        groups.append(f"{x}|{y}" if single else f"{','.join(map(str, a[i:stop_a]))}|{','.join(map(str, b[j:stop_b]))}")
-        if empty and not single:  # tokens without bytes end together with the one before them
-            last_a, last_b = stop_a - 1, stop_b - 1
-            while last_a > i and not sizes_a[last_a]:
-                last_a -= 1
-            while last_b > j and not sizes_b[last_b]:
-                last_b -= 1
-            links.append([v << 32 | w for v in a[last_a:stop_a] for w in b[last_b:stop_b]])
-        else:
-            links.append([x << 32 | y])
-        i, j = stop_a, stop_b
-    return groups, ends_a[np.array(stops_a, np.int64) - 1], links
+    stops_a, stops_b = (np.array(s, np.int64) for s in common_ends(ends_a.tolist(), ends_b.tolist()))
+    last_a, last_b = (np.array(ids, np.int64)[stops - 1] for ids, stops in ((a, stops_a), (b, stops_b)))
+    from_a, from_b = (np.concatenate([[0], stops[:-1]]).astype(np.int64) for stops in (stops_a, stops_b))
+    groups = list(map("%d|%d".__mod__, zip(last_a.tolist(), last_b.tolist(), strict=True)))
+    several = np.flatnonzero((stops_a - from_a > 1) | (stops_b - from_b > 1))
+    bounds = (x[several].tolist() for x in (from_a, stops_a, from_b, stops_b))
+    for k, i, stop_a, j, stop_b in zip(several.tolist(), *bounds, strict=True):
+        groups[k] = f"{','.join(map(str, a[i:stop_a]))}|{','.join(map(str, b[j:stop_b]))}"
+    links = last_a << 32 | last_b
+    counts = np.ones(len(links), np.int64)
+    if not (sizes_a.all() and sizes_b.all()):  # tokens without bytes end together with the one before them
+        out = []
+        for i, stop_a, j, stop_b in zip(*(x.tolist() for x in (from_a, stops_a, from_b, stops_b)), strict=True):
+            with_a = [v for v, end in zip(a[i:stop_a], ends_a[i:stop_a], strict=True) if end == ends_a[stop_a - 1]]
+            with_b = [w for w, end in zip(b[j:stop_b], ends_b[j:stop_b], strict=True) if end == ends_b[stop_b - 1]]
+            out.append([v << 32 | w for v in with_a for w in with_b])
+        links, counts = np.array(list(chain.from_iterable(out)), np.int64), np.array([len(x) for x in out], np.int64)
+    return groups, ends_a[stops_a - 1], links, np.cumsum(counts)
 
 
 class Aligner:
@@ -137,13 +136,10 @@ class Aligner:
             fine = [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raw, own_a, own_b, strict=True)]
             rest = iter(self._records(*([x for x, ok in zip(own, fine, strict=True) if ok] for own in (raw, own_a, own_b))) if any(fine) else [])
             return [next(rest) if ok else None for ok in fine]
-        groups, ends, links = sliced(a, b, sizes_a, sizes_b)
-        cuts = [0, *np.searchsorted(ends, stops, "right").tolist()]
-        if all(len(x) == 1 for x in links):
-            packed, places = array("Q", chain.from_iterable(links)).tobytes(), [8 * c for c in cuts]
-        else:
-            packed = array("Q", chain.from_iterable(links)).tobytes()
-            places = np.concatenate([[0], 8 * np.cumsum([len(x) for x in links])])[cuts].tolist()
+        groups, ends, links, upto = sliced(a, b, sizes_a, sizes_b)
+        cuts = np.concatenate([[0], np.searchsorted(ends, stops, "right")])
+        packed, places = links.astype("<i8").tobytes(), (8 * np.concatenate([[0], upto])[cuts]).tolist()
+        cuts = cuts.tolist()
         return [
             (len(x), len(y), stop - start, (q - p) // 8, ";".join(groups[start:stop]), packed[p:q])
             for x, y, start, stop, p, q in zip(own_a, own_b, cuts, cuts[1:], places, places[1:], strict=False)

@@ -92,8 +92,8 @@ def test_small_pieces_blocks_and_memory_change_nothing(spark, monkeypatch):
 
 
 def test_tokens_without_bytes_link_with_the_token_they_end_with():
-    groups, ends, links = alignment.sliced([1, 2, 3, 4], [7, 8], np.array([1, 1, 0, 1]), np.array([2, 1]))
-    assert groups == ["1,2,3|7", "4|8"] and ends.tolist() == [2, 3] and links == [[2 << 32 | 7, 3 << 32 | 7], [4 << 32 | 8]]
+    groups, ends, links, upto = alignment.sliced([1, 2, 3, 4], [7, 8], np.array([1, 1, 0, 1]), np.array([2, 1]))
+    assert groups == ["1,2,3|7", "4|8"] and ends.tolist() == [2, 3] and links.tolist() == [2 << 32 | 7, 3 << 32 | 7, 4 << 32 | 8] and upto.tolist() == [2, 3]
     assert alignment.common_ends([1, 2, 2, 3], [2, 3]) == ([3, 4], [1, 2])
 
 

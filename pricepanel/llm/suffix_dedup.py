@@ -57,8 +57,10 @@ _STEP = 0xA0761D6478BD642F
 
 def _words(data: bytes, n: int) -> np.ndarray:
     """The eight bytes from each of the first ``n`` places of ``data``, zeros behind its end, as big-endian numbers."""
-    padded = np.frombuffer(data + b"\0" * 8, np.uint8)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").ravel().astype(np.uint64)
+    padded, out = data + b"\0" * 16, np.empty(n, np.uint64)
+    for i in range(min(8, n)):  # every eighth place from each of the first eight
+        out[i::8] = np.frombuffer(padded, ">u8", count=len(out[i::8]), offset=i)
+    return out
 
 
 def _gram_hashes(data: bytes, q: int) -> np.ndarray:

@@ -26,6 +26,15 @@ def weight_matrix(spark, ids):
     return out
 
 
+def test_draws_are_not_broadcast(spark):
+    """The draws are replicates times as many as the securities that the plan's sizes are guessed from."""
+    rows = gt.bootstrap_weights(spark.createDataFrame([(f"s{i:02d}",) for i in range(40)], "issue_id string"), REPLICATES, SEED)
+    joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_n#" in line]
+    assert joins and all("shuffle_hash" in line for line in joins)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 1
+
+
 def same(a, b):
     return a is None and b is None or a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
 

@@ -44,19 +44,20 @@ def close_volatility(df: DataFrame, src: str, dst: str, window: int = 21, least:
 def hurst(df: DataFrame, src: str, dst: str, window: int = 21) -> DataFrame:
     """ln(range of the cumulated deviations / population deviation) / ln(n)."""
     df = df.withColumn("_w", full(F.collect_list(src).over(trailing(window)), src, window))
-    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / window
-    df = df.withColumn("_m", mean)
     zero = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0.0).alias("sq"))
 
-    def step(a: Column, x: Column) -> Column:
-        at = a["at"] + (x - F.col("_m"))
-        lo, hi = F.least(F.coalesce(a["lo"], at), at), F.greatest(F.coalesce(a["hi"], at), at)
-        return F.struct(at.alias("at"), lo.alias("lo"), hi.alias("hi"), (a["sq"] + (x - F.col("_m")) * (x - F.col("_m"))).alias("sq"))
+    def step(a: Column, off: Column) -> Column:
+        at = a["at"] + off
+        return F.struct(at.alias("at"), F.least(a["lo"], at).alias("lo"), F.greatest(a["hi"], at).alias("hi"), (a["sq"] + off * off).alias("sq"))
+
+    def ended(a: Column) -> Column:
+        spread, deviation = a["hi"] - a["lo"], F.sqrt(a["sq"] / window)
+        return F.when((deviation > 1e-12) & (spread > 0), F.ln(spread / deviation) / F.ln(F.lit(float(window))))
 
-    df = df.withColumn("_f", F.aggregate("_w", zero, step))
-    spread, deviation = F.col("_f.hi") - F.col("_f.lo"), F.sqrt(F.col("_f.sq") / window)
-    value = F.when((deviation > 1e-12) & (spread > 0), F.ln(spread / deviation) / F.ln(F.lit(float(window)))) if window >= 20 else F.lit(None).cast("double")
-    return _kept(df, dst, value).drop("_w", "_m", "_f")
+    # The mean is bound once, as the lambda's argument: as a column, a filter on the result takes it into every step of the fold.
+    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / window
+    folded = F.transform(F.array(mean), lambda m: F.aggregate(F.transform("_w", lambda x: x - m), zero, step, ended))
+    return _kept(df, dst, F.get(folded, F.lit(0)) if window >= 20 else F.lit(None).cast("double")).drop("_w")
 
 
 def sma_ratio(df: DataFrame, src: str, dst: str, short: int, long: int) -> DataFrame:

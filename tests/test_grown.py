@@ -54,3 +54,9 @@ def test_peaks_of_all_months_of_a_security():
 
 def test_table_function_over_securities(spark):
     matches(spark, "u06_table_function", TINY)
+
+
+def test_hurst_takes_a_mean_once_for_a_window(spark):
+    """A filter on the result is pushed through the columns before it; it must not carry the mean into the fold's steps."""
+    plan = registry.QUERIES["e05_hurst"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 4  # a mean and a fold, in the result and in its filter

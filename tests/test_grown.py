@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from pricepanel.operators import normalise as nm
 from pricepanel.plans import load, registry, user_queries
 from test_panel import TABLES, TINY, _plain
 
@@ -60,3 +63,13 @@ def test_hurst_takes_a_mean_once_for_a_window(spark):
     """A filter on the result is pushed through the columns before it; it must not carry the mean into the fold's steps."""
     plan = registry.QUERIES["e05_hurst"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") <= 4  # a mean and a fold, in the result and in its filter
+
+
+def test_normalisers_take_a_window_s_sums_once(spark):
+    """Ends, mean and deviation are no part of a lambda over the elements, where each element would take them again."""
+    x = [1.0, 5.0, 3.0, 2.0]
+    rows = spark.createDataFrame([(x,)], "x array<double>").select(nm.sample_minmax(F.col("x")).alias("m"), nm.sample_zscore(F.col("x")).alias("z"))
+    found = rows.first()
+    assert np.allclose(found["m"], (np.array(x) - 1) / (4 + 1e-6)) and np.allclose(found["z"], (np.array(x) - np.mean(x)) / (np.std(x) + 1e-6))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min") == 1 and plan.count("aggregate(") == 2

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pricepanel.operators import models as md
 from pricepanel.operators import normalise as nm
 from pricepanel.plans import load, registry, user_queries
 from test_panel import TABLES, TINY, _plain
@@ -73,3 +74,15 @@ def test_normalisers_take_a_window_s_sums_once(spark):
     assert np.allclose(found["m"], (np.array(x) - 1) / (4 + 1e-6)) and np.allclose(found["z"], (np.array(x) - np.mean(x)) / (np.std(x) + 1e-6))
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_min") == 1 and plan.count("aggregate(") == 2
+
+
+def test_runs_of_the_classifier_normalise_once(spark):
+    """Runs by seed read written vectors, and tell what single fits on the arrays tell."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3) for i in range(60)], "k int, features array<double>, label int")
+    runs = md.repeated(rows, rows, [4, 5, 3], [1, 2], 3)
+    assert "array_min" not in runs._jdf.queryExecution().optimizedPlan().toString()
+    by = {s: {r["k"]: r for r in runs.where(F.col("run") == s).collect()} for s in (1, 2)}
+    for s in (1, 2):
+        alone = md.train_and_score(rows, rows, [4, 5, 3], s, 3).collect()
+        assert len(alone) == len(by[s]) == 60 and all(np.allclose([r[f"p{i}"] for i in range(3)], [by[s][r["k"]][f"p{i}"] for i in range(3)], atol=1e-6) for r in alone)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import models as md
 from pricepanel.operators import normalise as nm
+from pricepanel.operators import trend as tr
 from pricepanel.plans import load, registry, user_queries
 from test_panel import TABLES, TINY, _plain
 
@@ -86,3 +87,16 @@ def test_runs_of_the_classifier_normalise_once(spark):
     for s in (1, 2):
         alone = md.train_and_score(rows, rows, [4, 5, 3], s, 3).collect()
         assert len(alone) == len(by[s]) == 60 and all(np.allclose([r[f"p{i}"] for i in range(3)], [by[s][r["k"]][f"p{i}"] for i in range(3)], atol=1e-6) for r in alone)
+
+
+def test_strided_fit_is_one_fold(spark):
+    rows = spark.createDataFrame([([1.0, 9.0, 3.0, 9.0, 4.0, 9.0],)], "x array<double>").select(tr.strided_fit(F.col("x"), 2).alias("f"))
+    found = rows.first()["f"]
+    slope, intercept = np.polyfit([0, 1, 2], [1, 3, 4], 1)
+    assert np.allclose([found["slope"], found["intercept"], found["n"]], [slope, intercept, 3])
+    assert np.isclose(found["sigma"], np.sqrt(np.mean((np.array([1, 3, 4]) - intercept - slope * np.arange(3)) ** 2)))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_coverage_and_instability(spark):
+    matches(spark, "h12_coverage_and_instability", TINY)

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricepanel.functions.storage import written
 from pricepanel.operators.panel import panel
 
 #: Types of known columns of the market files; others are read as text.
@@ -87,21 +88,25 @@ def wide_lines_to_panel(spark: SparkSession, path: str, end: str | None = None,
 
     A line is cut into an array and unpivoted in its task; a cell finds its ticker by its place in the header of its own file. So neither the
     columns nor the tickers become part of the plan or come to the driver. Cells that are no number, and lines whose day is no date, are left out.
+    Files go by number through the join with their headers, as their paths would be most of its bytes.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     # A file's first line is the first one of its first block.
-    headers = lines.where("_block = 0").groupBy("file").agg(F.min_by("value", "_id").alias("header"))
-    names = headers.select("file", F.posexplode(F.split("header", F.lit(sep))).alias("place", "name"))
+    headers = written(lines.where("_block = 0").groupBy("file").agg(F.min_by("value", "_id").alias("header")), "headers")
+    files = headers.select("file", F.row_number().over(Window.orderBy("file")).alias("_file"))  # a row for each file
+    names = headers.join(F.broadcast(files), "file").select("_file", F.posexplode(F.split("header", F.lit(sep))).alias("place", "name"))
     low = F.lower("name")
     rank = F.when(low == "index", 0).when(low == "datetime", 1).when(low == "date", 2).when(low.contains("date") | low.contains("time"), 3)
-    dates = names.where(rank.isNotNull()).groupBy("file").agg(F.min(F.struct(rank.alias("rank"), "place")).alias("d")).select("file", F.col("d.place").alias("_date"))
-    closes = names.where(F.col("name").startswith("Close")).select("file", "place", F.when(F.col("name") == "Close", "Close").otherwise(F.regexp_extract("name", r"^Close_(.*)$", 1)).alias("issue_id"))
+    dates = names.where(rank.isNotNull()).groupBy("_file").agg(F.min(F.struct(rank.alias("rank"), "place")).alias("d")).select("_file", F.col("d.place").alias("_date"))
+    closes = names.where(F.col("name").startswith("Close")).select("_file", "place", F.when(F.col("name") == "Close", "Close").otherwise(F.regexp_extract("name", r"^Close_(.*)$", 1)).alias("issue_id"))
     cells = F.split("value", F.lit(sep))
-    rows = lines.join(dates, "file").select("file", F.expr("try_cast(split(value, :sep)[_date] AS date)".replace(":sep", repr(sep))).alias("date"), cells.alias("cells")).where("date is not null")
+    known = files.join(dates, "_file")
+    rows = lines.join(F.broadcast(known), "file").select("_file", F.expr("try_cast(split(value, :sep)[_date] AS date)".replace(":sep", repr(sep))).alias("date"), cells.alias("cells")).where("date is not null")
     if end:
         rows = rows.where(F.col("date") < F.date_add(F.lit(end).cast("date"), 1))
-    long = rows.select("file", "date", F.posexplode("cells").alias("place", "_text")).select("file", "date", "place", F.expr("try_cast(_text AS double)").alias("cl_adj_loc"))
-    return long.where("cl_adj_loc is not null").join(closes, ["file", "place"]).select("issue_id", "date", "cl_adj_loc")
+    long = rows.select("_file", "date", F.posexplode("cells").alias("place", "_text")).where("_text <> ''")
+    long = long.select("_file", "date", "place", F.expr("try_cast(_text AS double)").alias("cl_adj_loc"))
+    return long.where("cl_adj_loc is not null").join(closes, ["_file", "place"]).select("issue_id", "date", "cl_adj_loc")
 
 
 def user_frame(df: DataFrame) -> DataFrame:

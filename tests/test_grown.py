@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pricepanel.operators import models as md
 from pricepanel.operators import normalise as nm
 from pricepanel.operators import trend as tr
-from pricepanel.plans import load, registry, user_queries
+from pricepanel.plans import load, registry, source_queries, user_queries
+from pricepanel.sources import tables
 from test_panel import TABLES, TINY, _plain
 
 load()
@@ -100,3 +101,19 @@ def test_strided_fit_is_one_fold(spark):
 
 def test_coverage_and_instability(spark):
     matches(spark, "h12_coverage_and_instability", TINY)
+
+
+def test_wide_files_of_absent_cells(spark, tmp_path):
+    """A file for each year has its own header, and a line a cell for each id, absent ones too; no cell is looked up in a map."""
+    rows = [("10", "2020-01-02", "1.5"), ("9", "2020-01-02", "2.5"), ("11", "2020-01-03", "3.5"), ("10", "2021-05-03", "4.5")]
+    at = str(tmp_path / "wide")
+    source_queries._wide_files(spark.createDataFrame(rows, "issue_id string, day string, text string").selectExpr("issue_id", "to_date(day) AS date", "text"), at)
+    lines = {y: [r[0] for r in spark.read.text(f"{at}/year={y}").collect()] for y in (2020, 2021)}
+    head = "Datetime,Close_10,Close_11,Close_9"
+    assert lines == {2020: [head, "2020-01-02,1.5,,2.5", "2020-01-03,,3.5,"], 2021: [head, "2021-05-03,4.5,,"]}
+    found = tables.wide_lines_to_panel(spark, at).collect()
+    assert sorted((r["issue_id"], str(r["date"]), str(r["cl_adj_loc"])) for r in found) == sorted(rows)
+
+
+def test_wide_to_panel(spark):
+    matches(spark, "a04_wide_to_panel", TINY)

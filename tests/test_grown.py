@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricepanel.operators import models as md
 from pricepanel.operators import normalise as nm
 from pricepanel.operators import trend as tr
+from pricepanel.operators import windows as wn
 from pricepanel.plans import load, registry, source_queries, user_queries
 from pricepanel.sources import tables
 from test_panel import TABLES, TINY, _plain
@@ -117,3 +118,17 @@ def test_wide_files_of_absent_cells(spark, tmp_path):
 
 def test_wide_to_panel(spark):
     matches(spark, "a04_wide_to_panel", TINY)
+
+
+def test_extremes_of_the_last_rows(spark):
+    """Extremes by spans that double are those of the last rows, nulls left out; no frame slides over the rows."""
+    rng = np.random.default_rng(3)
+    values = {s: [None if rng.random() < 0.1 else float(rng.integers(50)) for _ in range(n)] for s, n in (("a", 40), ("b", 7), ("c", 1))}
+    rows = spark.createDataFrame([(s, i, v) for s, vs in values.items() for i, v in enumerate(vs)], "issue_id string, date int, x double")
+    for k in (1, 2, 3, 8, 21):
+        found = wn.rolling_extremes(rows, "x", k)
+        for r in found.collect():
+            own = [v for v in values[r["issue_id"]][max(0, r["date"] + 1 - k) : r["date"] + 1] if v is not None]
+            assert (r["lo"], r["hi"], r["_n"]) == (min(own, default=None), max(own, default=None), len(own))
+    plan = wn.window_range(rows, "x", 21)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(" not in plan and "-20, currentrow" not in plan

@@ -132,3 +132,16 @@ def test_extremes_of_the_last_rows(spark):
             assert (r["lo"], r["hi"], r["_n"]) == (min(own, default=None), max(own, default=None), len(own))
     plan = wn.window_range(rows, "x", 21)._jdf.queryExecution().optimizedPlan().toString()
     assert "min(" not in plan and "-20, currentrow" not in plan
+
+
+def test_fit_of_variance_and_covariance(spark):
+    """A fit far from a security's first row is that of its own window, and takes no more than one covariance."""
+    prices = [100 + 0.3 * i + (i * 7 % 5) for i in range(400)]
+    rows = tr.fits(spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(prices)], "issue_id string, date int, x double"), "x", 21, 5)
+    for r in rows.where("test_date in (20, 200, 394)").collect():
+        own = np.array(prices[r["test_date"] - 20 : r["test_date"] + 1])
+        slope, intercept = np.polyfit(np.arange(21), own, 1)
+        sigma = np.sqrt(np.mean((own - intercept - slope * np.arange(21)) ** 2))
+        assert np.allclose([r["slope"], r["intercept"], r["sigma"], r["lo"], r["hi"]], [slope, intercept, sigma, own.min(), own.max()])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regr_" not in plan and "regr" not in plan.lower()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import models as md
 from pricepanel.operators import normalise as nm
+from pricepanel.operators import sampling as sm
 from pricepanel.operators import trend as tr
 from pricepanel.operators import windows as wn
 from pricepanel.plans import load, registry, source_queries, user_queries
@@ -145,3 +146,22 @@ def test_fit_of_variance_and_covariance(spark):
         assert np.allclose([r["slope"], r["intercept"], r["sigma"], r["lo"], r["hi"]], [slope, intercept, sigma, own.min(), own.max()])
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "regr_" not in plan and "regr" not in plan.lower()
+
+
+def test_pairs_travel_as_the_values_they_have(spark):
+    """A series has no cells for the days it lacks, before pairs and in them, and parts of a block make the same pairs as whole ones."""
+    rows = [(s, d, float(s * d % 7 + d)) for s in range(40) for d in range(60) if (s + d) % 4 == 0]
+    prices = spark.createDataFrame([(str(s), d, x) for s, d, x in rows], "issue_id string, date int, x double")
+    series = sm.calendar_series(prices, "x")
+    assert {r["issue_id"]: list(r["at"]) for r in series.collect()} == {str(s): [d for d in range(60) if (s + d) % 4 == 0] for s in range(40)}
+    assert series.select(F.max(F.size("x"))).first()[0] == 15
+    whole = {(r["id_a"], r["id_b"]): (r["n"], round(r["c"], 9)) for r in sm.pair_correlations(series).collect()}
+    wide = pd.DataFrame(rows, columns=["s", "d", "x"]).pivot(index="d", columns="s", values="x")
+    want = wide.corr(min_periods=2).stack()
+    assert len(whole) == 4 * (10 * 9 // 2) and all(a < b and n == 15 and abs(c - want[int(a), int(b)]) < 1e-8 for (a, b), (n, c) in whole.items())
+    part, sm.PART = sm.PART, 6
+    try:
+        for block in (None, 15):
+            assert {(r["id_a"], r["id_b"]): (r["n"], round(r["c"], 9)) for r in sm.pair_correlations(series, block).collect()} == whole
+    finally:
+        sm.PART = part

@@ -165,3 +165,19 @@ def test_pairs_travel_as_the_values_they_have(spark):
             assert {(r["id_a"], r["id_b"]): (r["n"], round(r["c"], 9)) for r in sm.pair_correlations(series, block).collect()} == whole
     finally:
         sm.PART = part
+
+
+def test_classifier_rows_come_from_one_pass(spark):
+    """Windows and labels are those of the joined passes; training and held-out rows read one written table and no lines."""
+    from pricepanel.operators.panel import panel
+    from pricepanel.plans.trend_queries import samples
+
+    keys = ["issue_id", "test_date"]
+    train, test = source_queries._classified(spark, TINY)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (train, test)]
+    assert not any("l_suppkey" in p or "collect_list" in p for p in plans)
+    joined = wn.train_test_windows(panel(spark, TINY), "cl_adj_loc", 21, 5).join(samples(spark, TINY), keys).select(*keys, F.col("train").alias("features"), "label")
+    late = joined.where("test_date > date '1998-12-31'")
+    assert test.count() == late.count() > 0 and test.exceptAll(late).isEmpty()
+    early = sm.balanced(joined.where("test_date <= date '1998-12-31'"), "label", keys, 7)
+    assert train.count() == early.count() > 0 and train.select(*keys, "features", "label").exceptAll(early.select(*keys, "features", "label")).isEmpty()

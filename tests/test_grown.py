@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from pricepanel.functions.expressions import rounded
 from pricepanel.operators import models as md
 from pricepanel.operators import normalise as nm
 from pricepanel.operators import sampling as sm
@@ -181,3 +182,23 @@ def test_classifier_rows_come_from_one_pass(spark):
     assert test.count() == late.count() > 0 and test.exceptAll(late).isEmpty()
     early = sm.balanced(joined.where("test_date <= date '1998-12-31'"), "label", keys, 7)
     assert train.count() == early.count() > 0 and train.select(*keys, "features", "label").exceptAll(early.select(*keys, "features", "label")).isEmpty()
+
+
+def test_windows_are_normalised_by_their_frames(spark):
+    """A window's ends, mean and deviation are taken by the frame that makes it; rounding makes no decimals and takes halves away from zero."""
+    values = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0, 6.0, 6.0, 6.0]
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "issue_id string, date int, x double")
+    found = nm.windows_normalised(rows, {"m": ("x", "group_minmax"), "z": ("x", "sample_zscore"), "w": ("x", None)}, 4)
+    got = found.collect()
+    assert [r["date"] for r in sorted(got, key=lambda r: r["date"])] == list(range(3, 11))
+    for r in got:
+        own = np.array(values[r["date"] - 3 : r["date"] + 1])
+        assert list(r["w"]) == list(own) and np.allclose(r["m"], (own - own.min()) / (np.ptp(own) + 1e-6)) and np.allclose(r["z"], (own - own.mean()) / (own.std() + 1e-6))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "array_min" not in plan
+    halves = spark.createDataFrame([([0.125, -0.125, -0.001, 0.126, -3.0],)], "x array<double>").select(F.transform("x", lambda v: rounded(v, 2)).alias("x"))
+    assert str(halves.first()["x"]) == "[0.13, -0.13, 0.0, 0.13, -3.0]" and "round(" not in halves._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_group_variants(spark):
+    matches(spark, "f06_group_variants", TINY)

@@ -16,6 +16,7 @@ from pricepanel.operators import sampling as sm
 from pricepanel.operators import trend as tr
 from pricepanel.operators import windows as wn
 from pricepanel.plans import load, registry, source_queries, user_queries
+from pricepanel.plans.trend_queries import FIT
 from pricepanel.sources import tables
 from test_panel import TABLES, TINY, _plain
 
@@ -202,3 +203,25 @@ def test_windows_are_normalised_by_their_frames(spark):
 
 def test_group_variants(spark):
     matches(spark, "f06_group_variants", TINY)
+
+
+def test_prices_on_their_line_as_in_sql(spark):
+    """A first test price that lies on the fitted line has a margin of exactly 1 or just below it, by the last bits of the fit. Sums and line run as the
+    SQL's, so both tell nearly all alike; where the SQL engine merges or fuses its sums, the bits are its own."""
+    duckdb = pytest.importorskip("duckdb")
+    rng, weights, rows = np.random.default_rng(4), 10 + 3 * np.arange(-10, 11), []
+    y = np.round(1e6 * np.exp(rng.integers(-5, 6, 2000).cumsum() / 200)).astype(int)
+    starts = [k + int(rng.integers(8, 11)) for k in range(0, 1950, 32)]  # the SQL engine merges no sums in these
+    for s in starts:
+        y[s + 7] -= int(weights @ y[s : s + 21]) % 210  # that price has weight 1 of 210 in the line's next value
+        y[s + 21] = int(weights @ y[s : s + 21]) // 210
+    days = pd.date_range("1995-01-01", periods=len(y)).date
+    px = pd.DataFrame({"issue_id": "1", "date": days, "cl_adj_loc": y / 1e4})  # noqa: F841
+    con = duckdb.connect()
+    con.execute("CREATE TABLE px AS SELECT issue_id, date::DATE AS date, cl_adj_loc FROM px")
+    sql = "WITH panel AS (SELECT * FROM px), " + FIT[FIT.index("ps AS (SELECT") :]
+    theirs = dict(con.sql(f"{sql} SELECT test_date, margin FROM samples").fetchall())
+    ours = {r["test_date"]: r["margin"] for r in tr.trend_samples(spark.createDataFrame(px), "cl_adj_loc", 21, 5).select("test_date", "margin").collect()}
+    ties = [days[s + 20] for s in starts]
+    assert ours.keys() == theirs.keys() and all(ours[t] > 1 - 1e-12 for t in ties)
+    assert {theirs[t] < 1 for t in ties} == {True, False} and sum((ours[t] < 1) == (theirs[t] < 1) for t in ties) >= 0.9 * len(ties)

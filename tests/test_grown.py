@@ -15,6 +15,7 @@ from pricepanel.operators import normalise as nm
 from pricepanel.operators import sampling as sm
 from pricepanel.operators import trend as tr
 from pricepanel.operators import windows as wn
+from pricepanel.operators.metrics import confusion
 from pricepanel.plans import load, registry, source_queries, user_queries
 from pricepanel.plans.trend_queries import FIT
 from pricepanel.sources import tables
@@ -225,3 +226,43 @@ def test_prices_on_their_line_as_in_sql(spark):
     ties = [days[s + 20] for s in starts]
     assert ours.keys() == theirs.keys() and all(ours[t] > 1 - 1e-12 for t in ties)
     assert {theirs[t] < 1 for t in ties} == {True, False} and sum((ours[t] < 1) == (theirs[t] < 1) for t in ties) >= 0.9 * len(ties)
+
+
+def _windows(spark, n=256):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 6)).cumsum(axis=1)
+    y = (x[:, -1] > x[:, 0]).astype(int) + (x[:, 3] > x[:, 1])
+    return spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y, strict=True))], "k int, features array<double>, label int").coalesce(1)
+
+
+@pytest.mark.parametrize("iterations", [1, 20])
+def test_fits_are_spark_s_perceptron(spark, iterations):
+    """Passes shared by the runs end at the weights of Spark ML's own fits (whose blocks of 128 rows are full here)."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = _windows(spark)
+    vectors = rows.select("k", array_to_vector(nm.sample_minmax(F.col("features"))).alias("x"), F.col("label").cast("double").alias("y"))
+    found = md.repeated(rows, rows, [6, 5, 4, 3], [1, 2, 3], iterations)
+    for seed in (1, 2, 3):
+        net = MultilayerPerceptronClassifier(layers=[6, 5, 4, 3], seed=seed, maxIter=iterations, featuresCol="x", labelCol="y")
+        theirs = {r["k"]: (list(r["p"]), r["prediction"]) for r in net.fit(vectors).transform(vectors).select("k", vector_to_array("probability").alias("p"), "prediction").collect()}
+        ours = {r["k"]: ([r[f"p{i}"] for i in range(3)], r["y_hat"]) for r in found.where(F.col("run") == seed).collect()}
+        assert ours.keys() == theirs.keys() and all(np.allclose(ours[k][0], theirs[k][0], atol=1e-6) for k in ours)
+        assert sum(ours[k][1] != theirs[k][1] for k in ours) <= 1
+
+
+def test_runs_share_their_passes(spark, monkeypatch):
+    """Ten runs read the rows no more often than the slowest of them alone, and confusion reads the scored rows once."""
+    passes, one_pass = [], md._losses
+    monkeypatch.setattr(md, "_losses", lambda train, layers, points: passes.append(len(points)) or one_pass(train, layers, points))
+    rows, alone = _windows(spark), []
+    for seed in range(1, 5):
+        md.repeated(rows, rows, [6, 5, 3], [seed], 4)
+        alone.append(len(passes))
+        passes.clear()
+    runs = md.repeated(rows, rows, [6, 5, 3], [1, 2, 3, 4], 4)
+    assert len(passes) == max(alone) and sum(passes) == sum(alone)
+    table = confusion(runs, "label", "y_hat", 3, ("run",))
+    assert "MapInArrow" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert table.count() == 36 and table.agg(F.sum("n")).first()[0] == 4 * 256

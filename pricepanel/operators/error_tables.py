@@ -91,17 +91,31 @@ def autocorrelation(rows: DataFrame, lags: int, least: int) -> DataFrame:
 
 
 def binomial_quantiles(n: Column, p: Column, low: float = 0.025, high: float = 0.975) -> tuple[Column, Column]:
-    """The least numbers of successes of ``n`` draws whose cumulative chance reaches ``low`` and ``high``: terms added up one by one."""
-    odds = F.ln(p) - F.ln(1 - p)
-    start = F.struct((n * F.ln(1 - p)).alias("log"), F.lit(0.0).alias("up_to"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    """The least numbers of successes of ``n`` draws whose cumulative chance reaches ``low`` and ``high``: terms added up one by one.
+
+    Terms further from the mean than 20 roots of ``n`` add up to less than 2 exp(-800) (Hoeffding's bound), which is 0 as a double, so an array has
+    40 roots of ``n`` terms and not ``n``. Terms count by their share of all, so the first one needs no factorials.
+    """
+    odds, reach = F.ln(p) - F.ln(1 - p), 20 * F.sqrt(n)
+    first, last = F.greatest(F.floor(n * p - reach), F.lit(0)).cast("long"), F.least(F.ceil(n * p + reach), n).cast("long")
+    part = lambda k, share: F.when(k > 0, k * F.ln(k / (n * share))).otherwise(0.0)
+    start = -(part(first, p) + part(n - first, 1 - p))
+
+    def after(log: Column, k: Column) -> Column:
+        return F.coalesce(log + odds + F.ln((n - k).cast("double")) - F.ln(k + 1.0), F.lit(float("-inf"))).alias("log")
+
+    def total(so_far: Column, k: Column) -> Column:
+        return F.struct(after(so_far["log"], k), (so_far["up_to"] + F.exp(so_far["log"])).alias("up_to"))
 
     def add(so_far: Column, k: Column) -> Column:
-        up_to = so_far["up_to"] + F.exp(so_far["log"])
+        up_to = so_far["up_to"] + F.exp(so_far["log"]) / so_far["all"]
         reached = lambda name, q: F.coalesce(so_far[name], F.when(up_to >= q - 1e-12, k)).alias(name)
-        after = so_far["log"] + odds + F.ln((n - k).cast("double")) - F.ln(k + 1.0)
-        return F.struct(F.coalesce(after, F.lit(float("-inf"))).alias("log"), up_to.alias("up_to"), reached("low", low), reached("high", high))
+        return F.struct(after(so_far["log"], k), up_to.alias("up_to"), so_far["all"].alias("all"), reached("low", low), reached("high", high))
 
-    found = F.aggregate(F.sequence(F.lit(0).cast("long"), n), start, add)
+    none = F.lit(None).cast("long")
+    ks, begun = F.sequence(first, last), [start.alias("log"), F.lit(0.0).alias("up_to")]
+    every = F.aggregate(ks, F.struct(*begun), total, lambda s: s["up_to"])
+    found = F.aggregate(ks, F.struct(*begun, every.alias("all"), none.alias("low"), none.alias("high")), add)
     return tuple(F.when(p <= 0, 0).when(p >= 1, n).otherwise(F.coalesce(found[name], n)) for name in ("low", "high"))
 
 

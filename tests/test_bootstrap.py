@@ -182,3 +182,15 @@ def test_binomial_quantiles_by_enumeration(spark):
             up_to = np.cumsum(chances)
             found.append(int(np.argmax(up_to >= q - 1e-12)))
         assert [r["low"], r["high"]] == found, r
+
+
+def test_binomial_quantiles_of_many_draws(spark):
+    """An array of all counts would be too long for 3,000,000,000 draws; 30,000,000 are added up without a drift."""
+    from pricepanel.operators.error_tables import binomial_quantiles
+
+    rows = spark.createDataFrame([(30_000_000, 0.6), (30_000_000, 0.999), (3_000_000_000, 0.6)], "n long, p double")
+    low, high = binomial_quantiles(F.col("n"), F.col("p"))
+    for r in rows.select("n", "p", low.alias("low"), high.alias("high")).collect():
+        mean, spread = r["n"] * r["p"], math.sqrt(r["n"] * r["p"] * (1 - r["p"]))
+        for z, found in ((-1.959964, r["low"]), (1.959964, r["high"])):
+            assert abs(mean + z * spread + (z * z - 1) * (1 - 2 * r["p"]) / 6 - found) <= 1, r

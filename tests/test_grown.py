@@ -266,3 +266,14 @@ def test_runs_share_their_passes(spark, monkeypatch):
     table = confusion(runs, "label", "y_hat", 3, ("run",))
     assert "MapInArrow" not in table._jdf.queryExecution().optimizedPlan().toString()
     assert table.count() == 36 and table.agg(F.sum("n")).first()[0] == 4 * 256
+
+
+def test_series_travel_once_for_all_their_pairs(spark):
+    """Blocks meet without a shuffle of pairs: a series is in one block, however many blocks there are, and none is copied for each of them."""
+    rows = [(str(s), d, float(s * d % 7 + d)) for s in range(40) for d in range(20)]
+    series = sm.calendar_series(spark.createDataFrame(rows, "issue_id string, date int, x double"), "x")
+    blocks = sm._blocks(series, 4)
+    assert blocks.count() > 5 and blocks.agg(F.sum(F.size("series"))).first()[0] == 40
+    pairs = sm.pair_correlations(series, 4)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "FlatMapGroups" not in plan and pairs.count() == 40 * 39 // 2
